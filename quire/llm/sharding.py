@@ -19,10 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.llm.common import shuffle_partitions
+
 #: Virtual slots; a power of two far above any shard count in use.
 SLOTS = 4096
 #: Bytes that each record costs besides its text.
 OVERHEAD = 8
+#: Rows (of some 50 bytes) that a task ranks and writes at least, so that small inputs don't end in many tiny files.
+ROWS_A_FILE = 20_000
 
 
 @dataclass(frozen=True)
@@ -150,4 +154,5 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> Da
     """All documents in shards of near-equal bytes: doc_id, size, text_crc32, virtual_slot, shard, slot, map_version."""
     placed = place(docs.select("doc_id", "text"), slots=slots).drop("text")
     loads, counts = slot_loads(placed, slots)
-    return shard(placed, assign(loads, shards), counts, ("doc_id", "text_crc32", "size"))
+    parts = min(shuffle_partitions(docs.sparkSession), sum(counts) // ROWS_A_FILE + 1)
+    return shard(placed, assign(loads, shards), counts, ("doc_id", "text_crc32", "size")).coalesce(parts)
