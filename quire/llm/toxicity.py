@@ -222,10 +222,6 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 def toxic_filter(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """docs, in their own columns, without those whose score reaches limit."""
-    return score(docs.select(*docs.columns), model, tuple(docs.columns)).where(F.col("score") < limit).select(*docs.columns) if "score" not in docs.columns else _renamed(docs, model, limit)
-
-
-def _renamed(docs: DataFrame, model: Model, limit: float) -> DataFrame:
-    """toxic_filter for input that has a score column of its own."""
-    aside = docs.withColumnRenamed("score", "score_before")
-    return toxic_filter(aside, model, limit).withColumnRenamed("score_before", "score")
+    names = {c: f"_in_{k}" for k, c in enumerate(docs.columns) if c == "score"}
+    own = docs.withColumnsRenamed(names)
+    return score(own, model, tuple(own.columns)).where(F.col("score") < limit).select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
