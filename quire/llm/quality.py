@@ -37,7 +37,7 @@ _TAIL, _SHAPE, _BIN = (np.uint64(x) for x in (0x51ED270B7A0F9A3D, 0x2545F4914F6C
 
 
 def _bin(kind: int, value: np.ndarray) -> np.ndarray:
-    return tk.mix(np.uint64(kind) * _BIN + value.astype(np.uint64)) & np.uint64(BUCKETS - 1)
+    return tk.mix(np.array([kind], dtype=np.uint64) * _BIN + value.astype(np.uint64)) & np.uint64(BUCKETS - 1)
 
 
 def coded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

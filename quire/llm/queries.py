@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprint, quality, sharding, toxicity
+from quire.llm import fingerprint, ngram_join, quality, sharding, toxicity
 from quire.llm.common import id_text_crc, table
 
 
@@ -25,6 +25,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail probability of every document, and whether it is selected."""
     docs = table(spark, sf_dir, "documents")
@@ -39,7 +44,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op8_quality, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op5_ngram_join, op8_quality, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:

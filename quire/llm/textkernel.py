@@ -150,9 +150,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> Iterat
             s = np.sort(full[a : b - width + 1])
             yield s[np.concatenate(([True], s[1:] != s[:-1]))]
         elif b > a:
-            whole = np.uint64(b - a)
+            whole = np.array([b - a], dtype=np.uint64)
             for k in range(b - a):
-                whole = (whole * np.uint64(31)) ^ (h[a + k] * steps[k])
-            yield mix(np.array([whole], dtype=np.uint64))
+                whole = (whole * np.uint64(31)) ^ (h[a + k : a + k + 1] * steps[k])
+            yield mix(whole)
         else:
             yield np.zeros(0, dtype=np.uint64)
