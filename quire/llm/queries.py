@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprint, ngram_join, quality, sharding, toxicity
+from quire.llm import fingerprint, lm, ngram_join, quality, sharding, toxicity
 from quire.llm.common import id_text_crc, table
 
 
@@ -38,13 +38,19 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_text_crc() % 5 == 0).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).cast("int").alias("selected"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's log probability of every document, beside that of smoothed counts."""
+    scored = lm.score_documents(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of every document and of its edited text."""
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op5_ngram_join, op8_quality, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op5_ngram_join, op8_quality, op9_lm_scoring, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
