@@ -2,17 +2,18 @@
 
 Tokens are a text's distinct word shingles (five words by default). All sets share one order: light tokens first, then
 heavy ones (frequent by a count sketch over the whole corpus), each by hash. Two sets of n and m tokens that reach the
-threshold share o = ceil(t * n) tokens at least, so their prefixes of n - o + l tokens share l. Light tokens of a
-prefix are indexed alone. Heavy tokens fall into g classes and are indexed as pairs within a class, for which the prefix
-is extended by g: of g + 1 shared heavy tokens two are in one class. g grows with the size class of a set, which keeps
-the pairs of a set in proportion to its prefix; a set is indexed for its own size class and the one below, so sizes up
-to 1.25 apart always meet. Signatures thus find every pair that reaches the threshold, whatever the sketch says;
-its counts only decide how much there is to verify.
-
-Verification: equal sets are one class. In each bucket all classes are compared with the bucket's smallest one first;
-whole sets are compared, so a link is exact up to collisions of 64-bit hashes. What that has linked is one component,
-and only classes of a bucket that are still in different components are compared with each other after that. A bucket
-of near copies of any size so costs one comparison per member.
+threshold share o = ceil(t * n) tokens at least, so their prefixes of n - o + l tokens share l; l is 1 + n / 20, so that
+sets which share a passage and little else are told apart by counting. Light tokens of a prefix are indexed alone.
+Heavy tokens fall into g classes and are indexed as pairs within a class, for which the prefix is extended by g: of
+l + g shared tokens, those that are heavy form pairs within classes, g fewer at most. So linked sets share l signatures.
+g grows with the size class of a set, which keeps the pairs of a set in proportion to its prefix; a set is indexed for
+its own size class and the one below, so sizes up to 1.25 apart always meet. Signatures thus find every pair that
+reaches the threshold, whatever the sketch says; its counts only decide how much there is to verify.
+
+Verification: equal sets are one class. In large buckets, classes that often meet the smallest one are compared with it
+first; whole sets are compared, by 40 bits of each token, so a link is exact up to collisions of those. What that has linked is one
+component, and only classes that are still in different components and share l signatures are compared after that. A
+bucket of near copies of any size so costs one comparison per member.
 
 Whole texts never reach the driver; it holds a sketch of 2**22 counters and a bitmap of 2**24 bits (which copies of
 texts may be candidates), both of fixed size. Intermediate tables are written to the shared folder.
@@ -47,10 +48,14 @@ _BLOCK = 16
 MARKS = 24
 #: Heavy tokens of a prefix that share a class, on average.
 PER_CLASS = 8
+#: Of a set of n tokens, n / SHARE more than one have to meet.
+SHARE = 20
 #: Class keys that a task remembers so as to skip copies.
 REMEMBERED = 300_000
-#: Comparisons with one set that a task makes before another task takes over.
-SALT = 2000
+#: Tokens of the pairs that one group compares; a home with more is salted.
+GROUP = 8_000_000
+#: Buckets of more classes are first cleared by comparisons with their smallest class.
+STAR = 32
 
 _SINGLE, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -74,19 +79,24 @@ def need(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def shared(n: int) -> int:
+    """Signatures that a set of n shares at least with any set it is linked to."""
+    return 1 + n // SHARE
+
+
 def signatures(s: np.ndarray, heavy: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """All signatures of a set; heavy marks its heavy tokens."""
     n = len(s)
-    o = need(n, percent)
     own = int(np.searchsorted(bounds, n, side="right")) - 1
-    groups = [max(1, -(-int(bounds[q + 1] - need(int(bounds[q + 1]), percent)) // PER_CLASS)) for q in (own, own - 1) if q >= 0]
+    prefix = lambda m: m - need(m, percent) + shared(m)
+    groups = [max(1, -(-prefix(int(bounds[q + 1])) // PER_CLASS)) for q in (own, own - 1) if q >= 0]
     light = s[~heavy]
-    longest = n - o + 1 + groups[0]
+    longest = prefix(n) + groups[0]
     out = [tk.mix(light[:longest] ^ _SINGLE)]
     if len(light) < longest:
         dark = s[heavy]
         for q, g in zip((own, own - 1), groups, strict=False):
-            some = dark[: max(0, n - o + 1 + g - len(light))]
+            some = dark[: max(0, prefix(n) + g - len(light))]
             cls = (some >> np.uint64(9)) % np.uint64(g)
             order = np.argsort(cls, kind="stable")
             some, cls = some[order], cls[order]
@@ -187,6 +197,17 @@ def _index(width: int, percent: int, packed: bytes):
     return run
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """The upper 40 bits of each token."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), dtype=np.uint8)
+    out[:, 3:] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _sets(width: int, marks: bytes):
     """(key, tokens) of the sets whose mark is set, once a task."""
 
@@ -201,7 +222,7 @@ def _sets(width: int, marks: bytes):
                     at = key & ((1 << MARKS) - 1)
                     if int(on[at >> 6]) >> (at & 63) & 1 and seen.new(key):
                         keys.append(key)
-                        sets.append(s.tobytes())
+                        sets.append(_packed(s))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "tokens"])
 
@@ -209,45 +230,51 @@ def _sets(width: int, marks: bytes):
 
 
 def _compare(percent: int):
-    """Rows sorted by (head, salt, member, key): the head's tokens come first, then its members'."""
+    """Rows sorted by (home, salt, kind): a group's sets (kind 0), then its pairs (kind 1)."""
 
     def run(batches):
-        head, salt, tokens, last = None, None, None, None
+        group, sets = None, {}
         for batch in batches:
             a, b = [], []
-            heads, salts, members, keys = (batch.column(k).to_pylist() for k in range(4))
-            for h, x, m, k, t in zip(heads, salts, members, keys, batch.column(4), strict=True):
-                if (h, x) != (head, salt):
-                    head, salt, tokens, last = h, x, None, None
-                if not m:
-                    if tokens is None:
-                        tokens = np.frombuffer(t.as_buffer(), np.uint64).copy()
-                elif k != last and tokens is not None:
-                    last = k
-                    own = np.frombuffer(t.as_buffer(), np.uint64)
-                    both = np.sort(np.concatenate((tokens, own)))
+            homes, salts, kinds, heads, keys = (batch.column(k).to_pylist() for k in range(5))
+            for h, x, kind, head, key, t in zip(homes, salts, kinds, heads, keys, batch.column(5), strict=True):
+                if (h, x) != group:
+                    group, sets = (h, x), {}
+                if not kind:
+                    sets[head] = t.as_py()
+                elif head in sets and key in sets:
+                    both = np.sort(np.concatenate((_unpacked(sets[head]), _unpacked(sets[key]))))
                     shared = int((both[1:] == both[:-1]).sum())
                     if 100 * shared >= percent * (len(both) - shared):
-                        a.append(h)
-                        b.append(k)
+                        a.append(head)
+                        b.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links (a, b) among the candidate pairs (head, key), which is a written table."""
+    """The links (a, b) among the candidate pairs (head, key, n, head_n), which is a written table.
+
+    Pairs are dealt to homes: the smallest key that either end is paired with. The pairs of a cluster so share a home,
+    and a set goes there once however many pairs it is in. Homes with many tokens are salted by the pairs' heads.
+    """
     spark = docs.sparkSession
-    ends = pairs.select(F.col("head").alias("k")).union(pairs.select(F.col("key").alias("k"))).select((F.col("k") % (1 << MARKS)).alias("at"))
-    words = ends.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
+    ends = pairs.select(F.col("head").alias("k"), F.col("key").alias("other")).union(pairs.select(F.col("key").alias("k"), F.col("head").alias("other")))
+    least = ends.groupBy("k").agg(F.least(F.min("other"), F.col("k")).alias("near"))
+    at = F.expr(f"k & {(1 << MARKS) - 1}L")
+    words = least.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("bits")).toPandas()
     marks = np.zeros(1 << MARKS - 6, dtype=np.int64)
     marks[words["word"].to_numpy()] = words["bits"].to_numpy()
-    sets = docs.select("text").mapInArrow(_sets(width, marks.tobytes()), "key long, tokens binary")
-    salts = pairs.groupBy("head").agg(F.count("*").alias("n")).select("head", F.ceil(F.col("n") / SALT).alias("salts"))
-    salted = pairs.join(salts, "head").select("head", F.pmod(F.xxhash64("key"), "salts").cast("int").alias("salt"), F.lit(1).alias("member"), "key")
-    heads = salts.select("head", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), F.lit(0).alias("member"), F.col("head").alias("key"))
-    routed = salted.unionByName(heads).join(sets, "key").select("head", "salt", "member", "key", "tokens")
-    ordered = routed.repartition(shuffle_partitions(spark), "head", "salt").sortWithinPartitions("head", "salt", "member", "key")
+    sets = docs.select("text").mapInArrow(_sets(width, marks.tobytes()), "k long, tokens binary")
+    homed = pairs.join(least.select(F.col("k").alias("head"), F.col("near").alias("a")), "head").join(least.select(F.col("k").alias("key"), F.col("near").alias("b")), "key")
+    homed = written(homed.select("head", "key", (F.col("n") + F.col("head_n")).cast("long").alias("size"), F.least("a", "b").alias("home")), "homes")
+    salts = homed.groupBy("home").agg(F.ceil(F.sum("size") / GROUP).alias("salts"))
+    salted = homed.join(salts, "home").select("home", F.pmod(F.xxhash64("head"), "salts").cast("int").alias("salt"), "head", "key")
+    sent = salted.select("home", "salt", F.explode(F.array("head", "key")).alias("k")).distinct().join(sets, "k")
+    sent = sent.select("home", "salt", F.lit(0).alias("kind"), F.col("k").alias("head"), F.lit(None).cast("long").alias("key"), "tokens")
+    rows = sent.unionByName(salted.select("home", "salt", F.lit(1).alias("kind"), "head", "key", F.lit(None).cast("binary").alias("tokens")))
+    ordered = rows.repartition(shuffle_partitions(spark), "home", "salt").sortWithinPartitions("home", "salt", "kind")
     return ordered.mapInArrow(_compare(percent), "a long, b long")
 
 
@@ -259,10 +286,12 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     index = docs.select("text").mapInArrow(_index(width, percent, heavy), "sig long, key long, n int")
     bucket = Window.partitionBy("sig")
     head = F.min(F.struct("n", "key")).over(bucket)
-    live = index.select("*", head.alias("head"), F.min("key").over(bucket).alias("low"), F.max("key").over(bucket).alias("high")).where("low <> high")
-    live = written(live.select("sig", "key", "n", F.col("head.key").alias("head"), F.col("head.n").alias("head_n")), "buckets")
+    live = index.select("*", head.alias("head"), F.min("key").over(bucket).alias("low"), F.max("key").over(bucket).alias("high"), F.count("*").over(bucket).alias("members")).where("low <> high")
+    live = written(live.select("sig", "key", "n", F.col("head.key").alias("head"), F.col("head.n").alias("head_n"), "members"), "buckets")
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    first = written(live.where("key <> head").where(fits(F.col("n"), F.col("head_n"))).select("head", "key").distinct(), "pairs")
+    least = 1 + F.floor(F.least("n", "head_n") / SHARE)
+    met = live.where((F.col("members") > STAR) & (F.col("key") != F.col("head"))).where(fits(F.col("n"), F.col("head_n"))).groupBy("head", "key", "n", "head_n").agg(F.count("*").alias("met"))
+    first = written(met.where(F.col("met") * 4 >= least), "pairs")
     links = written(verified(docs, first, width, percent), "links")
     labels = components(links)
     # what the bucket heads have left apart
@@ -271,7 +300,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     apart = written(apart, "apart")
     other = apart.select("sig", F.col("key").alias("head"), F.col("n").alias("head_n"), F.col("label").alias("head_label"))
     rest = apart.join(other, "sig").where((F.col("head") < F.col("key")) & (F.col("label") != F.col("head_label")) & fits(F.col("n"), F.col("head_n")))
-    rest = rest.select("head", "key").distinct()
+    rest = rest.groupBy("head", "key", "n", "head_n").agg(F.count("*").alias("met")).where(F.col("met") >= least)
     done = first.select(F.least("head", "key").alias("head"), F.greatest("head", "key").alias("key"))
     rest = written(rest.join(done, ["head", "key"], "left_anti"), "pairs")
     more = written(verified(docs, rest, width, percent), "links")
