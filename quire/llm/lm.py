@@ -39,7 +39,7 @@ from quire.llm.boosting import sigmoid
 from quire.llm.common import id_text_crc, written
 
 #: Bytes of text whose distinct tokens are looked up together.
-CHUNK = 32_000_000
+CHUNK = 16_000_000
 #: Orders of the bit predictors, and the bits of their tables' addresses.
 ORDERS, SLOT_BITS = (1, 2, 3, 4, 6), (16, 18, 18, 19, 19)
 _ADDRESS = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS])))
@@ -50,7 +50,7 @@ GATES = 8 * (len(ORDERS) + 1)
 #: Buckets of the adaptive map, per byte before.
 MAP = 33
 #: Tokens that are mixed in one step, and those whose weights are updated together.
-STEP, ONLINE = 60_000, 4_000
+STEP, ONLINE = 20_000, 4_000
 RATE = 0.02
 #: Contexts of p_hit: run of hits, last four hits, rank class of the previous and of the predicted token; 16 values each.
 JOINT = 16**4
@@ -221,11 +221,26 @@ def _spell(tables: np.ndarray, w: np.ndarray, refined: np.ndarray):
                     total += np.log(np.where(bit, p, 1 - p))
                 out.append(np.add.reduceat(total, spelled.first))
             if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(out))], ["token", "c", "q"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(out), pa.float32())], ["token", "c", "q"])
 
     return run
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Token ids as compressed byte planes; frequent tokens have small ids, so the upper planes are almost empty."""
+    return zlib.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def by_texts(first: np.ndarray, limit: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with limit tokens at most, or one text."""
+    yield from tk.slices(np.diff(first), limit)
+
+
 def predicted(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(has, hit, context) for every token: whether one is predicted, whether it is right, and the joint context."""
     n = len(ids)
@@ -311,15 +326,18 @@ def _chunks(batches):
         offsets = np.concatenate(([0, 0], np.cumsum(width)))
         picked = np.repeat(starts_ - offsets[1:-1], width) + np.arange(int(width.sum())) if len(width) else np.zeros(0, np.int64)
         tokens = pa.Array.from_buffers(pa.binary(), len(uniq) + 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw[picked].tobytes())])
-        small = ids.astype("<u4")
-        yield _rows(chunk=[chunk] * docs, doc_id=ids_of, held_out=outs, n_bytes=bytes_of, ids=[small[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        yield _rows(chunk=[chunk] * docs, doc_id=ids_of, held_out=outs, n_bytes=bytes_of, ids=[packed(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
         m = len(uniq) + 1
         for i in range(0, m, 50_000):
             part = tokens.slice(i, 50_000)
             yield _rows(chunk=np.full(len(part), chunk), local=np.arange(i, i + len(part), dtype=np.int32), token=part, n=count[i : i + len(part)])
-        has, hit, context = predicted(ids, ends)
-        use = has & train
-        tried, ok = np.bincount(context[use], minlength=JOINT), np.bincount(context[use & hit], minlength=JOINT)
+        tried, ok = np.zeros(JOINT, dtype=np.int64), np.zeros(JOINT, dtype=np.int64)
+        for i, j in by_texts(ends):
+            span = slice(ends[i], ends[j])
+            has, hit, context = predicted(ids[span], ends[i : j + 1] - ends[i])
+            use = has & train[span]
+            tried += np.bincount(context[use], minlength=JOINT)
+            ok += np.bincount(context[use & hit], minlength=JOINT)
         on = np.flatnonzero(tried)
         yield _rows(context=on, n=tried[on], hits=ok[on])
         held, size = [], 0
@@ -366,15 +384,18 @@ def _scored(total: int, distinct: int, p_hit: np.ndarray):
         c[local], q[local] = looked.column("c").to_numpy(), looked.column("q").to_numpy()
         base_of = np.log10((c + 1) / (total + a))
         p_of = (c + a * np.exp(q)) / (total + a)
-        ids = [np.frombuffer(b.as_py(), "<u4") for b in docs.column("ids")]
+        ids = [unpacked(b.as_py()) for b in docs.column("ids")]
         n = np.array([len(i) for i in ids])
         first = np.concatenate(([0], np.cumsum(n)))
-        ids = np.concatenate(ids).astype(np.int64)
-        has, hit, context = predicted(ids, first)
-        trust = np.where(has, p_hit[context], 0.0)
-        p = np.log10(np.where(hit, trust, 0.0) + (1 - trust) * np.maximum(p_of[ids], 1e-300))
-        sums = lambda v: np.add.reduceat(v, first[:-1])
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(sums((c[ids] > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(len(n), total), pa.int64()), "base_score": sums(base_of[ids]), "score": sums(p), "n_bytes": docs.column("n_bytes")})
+        known, base, score = (np.zeros(len(n)) for _ in range(3))
+        for i, j in by_texts(first):
+            own, edge = np.concatenate(ids[i:j]).astype(np.int64), first[i : j + 1] - first[i]
+            has, hit, context = predicted(own, edge)
+            trust = np.where(has, p_hit[context], 0.0)
+            p = np.log10(np.where(hit, trust, 0.0) + (1 - trust) * np.maximum(p_of[own], 1e-300))
+            for out, v in ((known, c[own] > 0), (base, base_of[own]), (score, p)):
+                out[i:j] = np.add.reduceat(v.astype(np.float64), edge[:-1])
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known.astype(np.int64)), "train_tokens": pa.array(np.full(len(n), total), pa.int64()), "base_score": base, "score": score, "n_bytes": docs.column("n_bytes")})
 
     return run
 
@@ -393,7 +414,7 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
     tables = bit_tables(counted)
     w, refined = mixer(counted, tables)
     p_hit = hit_model(chunks.where("context is not null").select("context", "n", "hits"))
-    spelled = counted.mapInArrow(_spell(tables, w, refined), "token binary, c long, q double")
+    spelled = counted.mapInArrow(_spell(tables, w, refined), "token binary, c long, q float")
     looked = words.select(F.col("chunk").alias("home"), "local", "token").join(spelled, "token").select("home", "local", "c", "q")
     rows = chunks.where("ids is not null").select("chunk", "doc_id", "held_out", "n_bytes", "ids")
     scored = rows.groupBy("chunk").cogroup(looked.groupBy("home")).applyInArrow(_scored(total, distinct, p_hit), _SCORED_SQL)
