@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprint, lm, ngram_join, quality, sharding, toxicity
+from quire.llm import fingerprint, lm, media, ngram_join, quality, sharding, toxicity, warc
 from quire.llm.common import id_text_crc, table
 
 
@@ -25,6 +25,33 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a WARC archive of all pages says about each, once read back."""
+    captures = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(h, 10 * (k // 8) + 1, 10))::BIGINT) >> (35 - 5 * (k % 8))) & 31)::INT + 1, 1)), '') AS payload_digest
+  FROM p
+),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d JOIN f USING (payload_digest)
+"""
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as stored samples, and features of what is read back."""
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
@@ -50,8 +77,8 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op5_ngram_join, op8_quality, op9_lm_scoring, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_warc, op4_media, op5_ngram_join, op8_quality, op9_lm_scoring, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL}
