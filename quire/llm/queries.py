@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprint, lm, media, ngram_join, quality, sharding, toxicity, warc
+from quire.llm import fingerprint, lm, media, mixing, ngram_join, packing, quality, sharding, toxicity, warc
 from quire.llm.common import id_text_crc, table
 
 
@@ -57,6 +57,17 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raked weight, sampling probability and fate of every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.PRODUCTION, mixing.SHARE)
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "selected")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin and place of every piece of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail probability of every document, and whether it is selected."""
     docs = table(spark, sf_dir, "documents")
@@ -77,7 +88,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_warc, op4_media, op5_ngram_join, op8_quality, op9_lm_scoring, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_warc, op4_media, op5_ngram_join, op6_mixing, op7_packing, op8_quality, op9_lm_scoring, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
