@@ -316,3 +316,18 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     joined = rows.join(classes, "key", "left")
     alone = F.col("key").isNull()
     return joined.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs without those that are in a component of a smaller id.
+
+    The join gives the ids to drop; repeated rows of a kept id are one document if their texts are equal, and texts that
+    share an id are judged by that id. Rows without an id stay.
+    """
+    joined = jaccard_join(docs, width, percent)
+    gone = joined.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    once = stay.join(again, "doc_id", "left_anti").select(*docs.columns)
+    several = stay.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(several)
