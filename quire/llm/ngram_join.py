@@ -3,17 +3,20 @@
 Tokens are a text's distinct word shingles (five words by default). All sets share one order: light tokens first, then
 heavy ones (frequent by a count sketch over the whole corpus), each by hash. Two sets of n and m tokens that reach the
 threshold share o = ceil(t * n) tokens at least, so their prefixes of n - o + l tokens share l; l is 1 + n / 20, so that
-sets which share a passage and little else are told apart by counting. Light tokens of a prefix are indexed alone.
-Heavy tokens fall into g classes and are indexed as pairs within a class, for which the prefix is extended by g: of
-l + g shared tokens, those that are heavy form pairs within classes, g fewer at most. So linked sets share l signatures.
+sets which share a passage and little else are told apart by counting. A set with more than n - o light tokens is
+indexed by those alone, as many as a prefix of such an l (a smaller one, if it has few more) takes. Others are indexed by
+all light tokens, each alone, and by combinations of heavy ones: heavy tokens fall into g classes and are indexed as
+pairs within a class, for which the prefix is extended by g: of l + g shared tokens, those that are heavy form pairs
+within classes, g fewer at most. So linked sets share l signatures; two sets of this kind share a light token, or have
+so many heavy ones that these may suffice.
 g grows with the size class of a set, which keeps the pairs of a set in proportion to its prefix; a set is indexed for
 its own size class and the one below, so sizes up to 1.25 apart always meet. Signatures thus find every pair that
 reaches the threshold, whatever the sketch says; its counts only decide how much there is to verify.
 
-Verification: equal sets are one class. In large buckets, classes that often meet the smallest one are compared with it
-first; whole sets are compared, by 40 bits of each token, so a link is exact up to collisions of those. What that has linked is one
-component, and only classes that are still in different components and share l signatures are compared after that. A
-bucket of near copies of any size so costs one comparison per member.
+Verification: equal sets are one class. In large buckets, all classes are compared with the most central one first (whose
+tokens are in most sets, as those of an original are in its copies), for a few rounds; whole sets are compared, by 40 bits of each token, so a link is exact up to
+collisions of those. What that has linked is one component, and only classes that are still in different components and
+share l signatures are compared after that. A bucket of near copies of any size so costs a few comparisons per member.
 
 Whole texts never reach the driver; it holds a sketch of 2**22 counters and a bitmap of 2**24 bits (which copies of
 texts may be candidates), both of fixed size. Intermediate tables are written to the shared folder.
@@ -54,9 +57,12 @@ SHARE = 20
 REMEMBERED = 300_000
 #: Tokens of the pairs that one group compares; a home with more is salted.
 GROUP = 8_000_000
-#: Buckets of more classes are first cleared by comparisons with their smallest class.
-STAR = 32
+#: Rounds of comparisons with the most central set of each large bucket.
+ROUNDS = 3
+#: Classes of a bucket whose pairs are all counted at once; larger buckets are first cleared by a few comparisons.
+SMALL = 8
 
+_EVEN = ~np.uint64(1)
 _SINGLE, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -80,33 +86,38 @@ def need(n: int, percent: int) -> int:
 
 
 def shared(n: int) -> int:
-    """Signatures that a set of n shares at least with any set it is linked to."""
-    return 1 + n // SHARE
+    """Signatures that linked sets of n tokens are asked to share, if their prefixes allow it."""
+    return min(1 + n // SHARE, 63)
 
 
-def signatures(s: np.ndarray, heavy: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """All signatures of a set; heavy marks its heavy tokens."""
+def signatures(s: np.ndarray, heavy: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, int]:
+    """(all signatures of a set, how many of them any linked set shares at least, its light tokens if all are indexed
+    with heavy ones); heavy marks its heavy tokens. Signatures of pairs are odd."""
     n = len(s)
+    slack = n - need(n, percent)
+    light = s[~heavy]
+    if len(light) > slack:  # a linked set shares some of so many light tokens
+        least = min(shared(n), len(light) - slack)
+        return tk.mix(light[: slack + least] ^ _SINGLE) & _EVEN, least, 0
+    least = shared(n)
     own = int(np.searchsorted(bounds, n, side="right")) - 1
     prefix = lambda m: m - need(m, percent) + shared(m)
-    groups = [max(1, -(-prefix(int(bounds[q + 1])) // PER_CLASS)) for q in (own, own - 1) if q >= 0]
-    light = s[~heavy]
-    longest = prefix(n) + groups[0]
-    out = [tk.mix(light[:longest] ^ _SINGLE)]
-    if len(light) < longest:
-        dark = s[heavy]
-        for q, g in zip((own, own - 1), groups, strict=False):
-            some = dark[: max(0, prefix(n) + g - len(light))]
-            cls = (some >> np.uint64(9)) % np.uint64(g)
-            order = np.argsort(cls, kind="stable")
-            some, cls = some[order], cls[order]
-            salt = tk.mix(np.array([q + 1], dtype=np.uint64))[0]
-            for d in range(1, len(some)):
-                same = cls[d:] == cls[:-d]
-                if not same.any():
-                    break
-                out.append(tk.mix(tk.mix(some[:-d][same] ^ _PAIR) + some[d:][same] + salt))
-    return np.concatenate(out)
+    out, dark = [tk.mix(light ^ _SINGLE) & _EVEN], s[heavy]
+    for q in (own, own - 1):
+        if q < 0:
+            continue
+        g = max(1, -(-prefix(int(bounds[q + 1])) // PER_CLASS))
+        some = dark[: slack + least + g - len(light)]
+        cls = (some >> np.uint64(9)) % np.uint64(g)
+        order = np.argsort(cls, kind="stable")
+        some, cls = some[order], cls[order]
+        salt = tk.mix(np.array([q + 1], dtype=np.uint64))[0]
+        for d in range(1, len(some)):
+            same = cls[d:] == cls[:-d]
+            if not same.any():
+                break
+            out.append(tk.mix(tk.mix(some[:-d][same] ^ _PAIR) + some[d:][same] + salt) | ~_EVEN)
+    return np.concatenate(out), least, len(light)
 
 
 class _Seen:
@@ -166,33 +177,37 @@ def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
 
-def heavy_slots(scanned: DataFrame) -> np.ndarray:
-    """A flag for each of the 2**SKETCH counters."""
+def sketch(scanned: DataFrame) -> tuple[np.ndarray, int]:
+    """(the 2**SKETCH counters, up to 65535; the count above which a counter's tokens are heavy)."""
     counts = np.zeros((1 << SKETCH - _BLOCK, 1 << _BLOCK), dtype=np.uint64)
     for r in scanned.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_summed, "block int, counts binary").toLocalIterator():
         counts[r["block"]] = np.frombuffer(r["counts"], dtype=np.uint64)
     mean = counts.mean()
-    return (counts > mean + SIGMAS * np.sqrt(mean) + 1).ravel()
+    return np.minimum(counts, 65535).astype(np.uint16).ravel(), min(int(mean + SIGMAS * np.sqrt(mean) + 1), 65534)
 
 
-def _index(width: int, percent: int, packed: bytes):
-    """(sig, key, n) of every set that is new to the task."""
+def _index(width: int, percent: int, counters: np.ndarray, limit: int):
+    """(sig, key, n) of every set that is new to the task; n holds centrality, light tokens, size, signatures to share.
+
+    Centrality is the tokens' mean count: an original's tokens are in all its copies, a copy's own ones in none.
+    """
 
     def run(batches):
-        heavy = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
         bounds, seen = _size_classes(percent), _Seen()
         for _, raw, offsets in tk.pieces(batches, "text"):
             sigs, keys, sizes, counts = [], [], [], []
             for s in tk.shingle_sets(raw, offsets, width):
                 # sets that no other size can be linked to are found as equal sets
                 if len(s) and len(s) * 100 // percent > need(len(s), percent) and seen.new(key := _key(s)):
-                    sig = signatures(s, heavy[(s >> np.uint64(64 - SKETCH)).view(np.int64)], bounds, percent)
+                    count = counters[(s >> np.uint64(64 - SKETCH)).view(np.int64)]
+                    sig, least, light = signatures(s, count > limit, bounds, percent)
+                    central = int(np.minimum(count, 4 * limit).mean() / (4 * limit) * 8191)
                     sigs.append(sig)
                     keys.append(key)
-                    sizes.append(len(s))
+                    sizes.append(central << 50 | min(light, _LIGHT) << 32 | len(s) << 6 | least)
                     counts.append(len(sig))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], ["sig", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int64), counts))], ["sig", "key", "n"])
 
     return run
 
@@ -278,41 +293,179 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     return ordered.mapInArrow(_compare(percent), "a long, b long")
 
 
+#: n holds, from the lowest bit on: 6 bits of signatures to share, 26 of size, 18 of light tokens, 13 of centrality.
+_SIZE, _LIGHT = (1 << 26) - 1, (1 << 18) - 1
+#: Shared pairs of heavy tokens are counted above this bit, shared light tokens below.
+_HEAVY = 24
+_MET = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("met", pa.int64())])
+_MET_SQL = "sig long, a long, b long, na long, nb long, met long"
+
+
+def _combined(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (a, b, na, nb) with the sums of their weights."""
+    rows = np.concatenate(parts, axis=1)
+    order = np.lexsort((rows[1], rows[0]))
+    rows = rows[:, order]
+    new = np.ones(rows.shape[1], dtype=bool)
+    new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+    at = np.flatnonzero(new)
+    return np.concatenate((rows[:4, at], np.add.reduceat(rows[4], at)[None, :]))
+
+
+def _ordered_pairs(sig: np.ndarray, key: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """(a, b, na, nb, weight) with a < b of the index pairs whose sizes allow a link."""
+    a, b = n[i] >> 6 & _SIZE, n[j] >> 6 & _SIZE
+    small, large = np.minimum(a, b), np.maximum(a, b)
+    ok = (small * 100 >= large * percent) & (key[i] != key[j])
+    i, j = i[ok], j[ok]
+    swap = key[i] > key[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return np.stack([key[i], key[j], n[i], n[j], np.where(sig[i] & 1, 1 << _HEAVY, 1)])
+
+
+def _buckets(percent: int):
+    """From rows sorted by (sig, key): the pairs of small buckets, counted (sig is null), and the rows of large ones
+    (b is null)."""
+
+    def run(batches):
+        carry: np.ndarray | None = None
+        small: list[np.ndarray] = []
+        held = 0
+
+        def cut(rows: np.ndarray):
+            """Whole buckets only."""
+            nonlocal held
+            keep = np.ones(rows.shape[1], dtype=bool)
+            keep[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+            rows = rows[:, keep]
+            first = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+            size = np.diff(np.append(first, rows.shape[1]))
+            for m in range(2, SMALL + 1):
+                at = first[size == m]
+                for d in range(m if len(at) else 0):
+                    for e in range(d + 1, m):
+                        small.append(_ordered_pairs(rows[0], rows[1], rows[2], at + d, at + e, percent))
+                        held += small[-1].shape[1]
+            inside = np.repeat(size > SMALL, size)
+            if inside.any():
+                own, m = rows[:, inside], np.repeat(size, size)[inside]
+                yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.nulls(len(m), pa.int64()), pa.array(own[2]), pa.nulls(len(m), pa.int64()), pa.array(m, pa.int64())], schema=_MET)
+            if held > 2_000_000:
+                yield from flush()
+
+        def flush():
+            nonlocal small, held
+            if held:
+                rows = _combined(small)
+                yield pa.RecordBatch.from_arrays([pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3]), pa.array(rows[4])], schema=_MET)
+            small, held = [], 0
+
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            if carry is not None:
+                rows = np.concatenate((carry, rows), axis=1)
+            if not rows.shape[1]:
+                continue
+            last = int(np.searchsorted(rows[0], rows[0, -1]))  # the last bucket may go on
+            carry = rows[:, last:]
+            if last:
+                yield from cut(rows[:, :last])
+        if carry is not None and carry.shape[1]:
+            yield from cut(carry)
+        yield from flush()
+
+    return run
+
+
+class _Linker:
+    """Links found so far, and what they connect."""
+
+    def __init__(self, docs: DataFrame, width: int, percent: int):
+        self.docs, self.width, self.percent = docs, width, percent
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+        self.done: DataFrame | None = None
+
+    def labelled(self, rows: DataFrame, key: str, label: str) -> DataFrame:
+        if self.labels is None:
+            return rows.withColumn(label, F.col(key))
+        return rows.join(self.labels.select(F.col("node").alias(key), F.col("label").alias("_label")), key, "left").withColumn(label, F.coalesce("_label", key)).drop("_label")
+
+    def add(self, pairs: DataFrame) -> bool:
+        """Compares pairs (a, b, na, nb) of different components that weren't compared before; whether some are linked."""
+        apart = self.labelled(self.labelled(pairs, "a", "a_label"), "b", "b_label").where("a_label <> b_label")
+        if self.done is not None:
+            apart = apart.join(self.done, ["a", "b"], "left_anti")
+        new = written(apart.select(F.col("a").alias("head"), F.col("b").alias("key"), F.shiftright("na", 6).bitwiseAND(_SIZE).alias("head_n"), F.shiftright("nb", 6).bitwiseAND(_SIZE).alias("n")), "pairs")
+        if new.isEmpty():
+            return False
+        found = written(verified(self.docs, new, self.width, self.percent), "links")
+        pair = new.select(F.col("head").alias("a"), F.col("key").alias("b"))
+        self.done = pair if self.done is None else self.done.union(pair)
+        if found.isEmpty():
+            return False
+        self.links = found if self.links is None else self.links.union(found)
+        before, self.labels = self.labels, components(self.links)
+        if before is not None:
+            drop_written(before)
+        return True
+
+
+def _components_of(docs: DataFrame, width: int, percent: int, counters: np.ndarray, limit: int) -> DataFrame | None:
+    """(node, label) of all sets that are linked to others; none if there are no links."""
+    index = docs.select("text").mapInArrow(_index(width, percent, counters, limit), "sig long, key long, n long")
+    dealt = index.repartition(shuffle_partitions(docs.sparkSession), "sig").sortWithinPartitions("sig", "key")
+    live = written(dealt.mapInArrow(_buckets(percent), _MET_SQL), "buckets")
+    total = lambda rows: rows.groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
+    least = F.least(F.col("na").bitwiseAND(63), F.col("nb").bitwiseAND(63))
+    size = lambda c: F.shiftright(c, 6).bitwiseAND(_SIZE)
+    fits = F.least(size("n"), size("other_n")) * 100 >= F.greatest(size("n"), size("other_n")) * percent
+    first = F.col("key") < F.col("other")
+    pair = (F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), F.when(first, F.col("n")).otherwise(F.col("other_n")).alias("na"), F.when(first, F.col("other_n")).otherwise(F.col("n")).alias("nb"), F.when(F.col("sig").bitwiseAND(1) == 1, 1 << _HEAVY).otherwise(1).alias("met"))
+    light = lambda c: F.shiftright(c, 32).bitwiseAND(_LIGHT)
+    # tokens that both may have in common besides shared light ones, and whether those and some more suffice
+    heavy = lambda a, b: F.least(size(a) - light(a), size(b) - light(b))
+    enough = lambda a, b, more: (heavy(a, b) + more) * (100 + percent) >= (size(a) + size(b)) * percent
+    lights, heavies = F.col("met").bitwiseAND((1 << _HEAVY) - 1), F.shiftright("met", _HEAVY)
+    both_dark = (light("na") > 0) & (light("nb") > 0)
+    candidate = ((lights + heavies >= least) | (both_dark & (lights > 0))) & (~both_dark | enough("na", "nb", lights))
+    bucket = Window.partitionBy("sig")
+    linker = _Linker(docs, width, percent)
+    large = live.where("b IS NULL").select("sig", F.col("a").alias("key"), F.col("na").alias("n"))
+    rows = large
+    for _ in range(ROUNDS):
+        # all are compared with the most central set of their bucket; the next round leaves that one's component out
+        top = F.max(F.struct("n", "key", "label")).over(bucket)
+        seen = linker.labelled(rows, "key", "label").withColumn("top", top).where(F.col("label") != F.col("top.label"))
+        seen = written(seen.select("sig", "key", "n", F.col("top.key").alias("other"), F.col("top.n").alias("other_n")), "rest")
+        found = linker.add(total(seen.where(fits).select(*pair)).where((lights + heavies) * 4 >= least))
+        rows = seen.select("sig", "key", "n")
+        if not found:
+            break
+    # all pairs of small buckets, and those of large ones that are still apart
+    apart = linker.labelled(large, "key", "label").select("*", F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("high"))
+    apart = written(apart.where("low <> high").select("sig", "key", "n", "label"), "apart")
+    other = apart.select("sig", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
+    possible = (F.col("sig").bitwiseAND(1) == 0) | enough("n", "other_n", F.lit(0))
+    met = apart.join(other, "sig").where(first & (F.col("label") != F.col("other_label")) & fits & possible).select(*pair)
+    linker.add(total(live.where("sig IS NULL").select("a", "b", "na", "nb", "met").unionByName(total(met))).where(candidate))
+    drop_written(live, apart)
+    return linker.labels
+
+
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id of an equal set) and component_id (smallest id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = written(docs.mapInArrow(_scan(width), "doc_id long, n_shingles long, key long, block int, counts binary"), "scan")
-    heavy = np.packbits(heavy_slots(scanned)).tobytes()
-    index = docs.select("text").mapInArrow(_index(width, percent, heavy), "sig long, key long, n int")
-    bucket = Window.partitionBy("sig")
-    head = F.min(F.struct("n", "key")).over(bucket)
-    live = index.select("*", head.alias("head"), F.min("key").over(bucket).alias("low"), F.max("key").over(bucket).alias("high"), F.count("*").over(bucket).alias("members")).where("low <> high")
-    live = written(live.select("sig", "key", "n", F.col("head.key").alias("head"), F.col("head.n").alias("head_n"), "members"), "buckets")
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    least = 1 + F.floor(F.least("n", "head_n") / SHARE)
-    met = live.where((F.col("members") > STAR) & (F.col("key") != F.col("head"))).where(fits(F.col("n"), F.col("head_n"))).groupBy("head", "key", "n", "head_n").agg(F.count("*").alias("met"))
-    first = written(met.where(F.col("met") * 4 >= least), "pairs")
-    links = written(verified(docs, first, width, percent), "links")
-    labels = components(links)
-    # what the bucket heads have left apart
-    named = live.join(labels.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", F.coalesce("label", "key").alias("label"))
-    apart = named.select("*", F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("high")).where("low <> high").select("sig", "key", "n", "label").distinct()
-    apart = written(apart, "apart")
-    other = apart.select("sig", F.col("key").alias("head"), F.col("n").alias("head_n"), F.col("label").alias("head_label"))
-    rest = apart.join(other, "sig").where((F.col("head") < F.col("key")) & (F.col("label") != F.col("head_label")) & fits(F.col("n"), F.col("head_n")))
-    rest = rest.groupBy("head", "key", "n", "head_n").agg(F.count("*").alias("met")).where(F.col("met") >= least)
-    done = first.select(F.least("head", "key").alias("head"), F.greatest("head", "key").alias("key"))
-    rest = written(rest.join(done, ["head", "key"], "left_anti"), "pairs")
-    more = written(verified(docs, rest, width, percent), "links")
-    if not more.isEmpty():
-        drop_written(labels)
-        labels = components(links.union(more))
-    drop_written(live, apart, first, rest)
+    labels = _components_of(docs, width, percent, *sketch(scanned))
     rows = scanned.where("n_shingles is not null").select("doc_id", "n_shingles", "key")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "class_id", F.coalesce("label", "key").alias("label"))
-    reach = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(reach, "label").select("key", "class_id", "component_id")
+    if labels is None:
+        classes = classes.withColumn("component_id", F.col("class_id"))
+    else:
+        classes = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "class_id", F.coalesce("label", "key").alias("label"))
+        reach = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
+        classes = classes.join(reach, "label").select("key", "class_id", "component_id")
     joined = rows.join(classes, "key", "left")
     alone = F.col("key").isNull()
     return joined.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
