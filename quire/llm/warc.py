@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import scratch_path
+from quire.llm.common import scratch_path, written
 
 #: Pages in one archive file, so that a file is a bounded unit of work for its reader.
 PAGES_A_FILE = 2000
@@ -35,9 +35,8 @@ _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
 
 
-def base32_sha1(data: Column) -> Column:
-    """The bare upper-case base32 SHA-1 of a binary column: four groups of 40 bits, eight letters each."""
-    digest = F.sha1(data)
+def base32(digest: Column) -> Column:
+    """A hexadecimal SHA-1 in bare upper-case base32: four groups of 40 bits, eight letters each."""
     letters = []
     for g in range(4):
         group = F.conv(F.substring(digest, 10 * g + 1, 10), 16, 10).cast("long")
@@ -61,9 +60,9 @@ def _uuid(kind: str) -> Column:
 
 
 def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, digest and first (the page that holds the payload, where this is another one)."""
+    """page_id, url, payload, digest (hexadecimal) and first (the page that holds the payload, where this is another)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     large = rows.where(F.octet_length("payload") >= least_bytes)
     held = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     joined = rows.join(held, "digest", "left")
@@ -79,7 +78,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, head).otherwise(F.concat(head, F.col("payload")))
     response = F.concat(
-        _lines(("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", F.octet_length(block))),
+        _lines(("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))), ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", F.octet_length(block))),
         block,
     )
     asked = F.concat(F.lit("GET / HTTP/1.1\r\nX-Target: "), F.coalesce(url, F.lit("-")), F.lit("\r\n\r\n"))
@@ -196,4 +195,6 @@ def archive_pages(pages: DataFrame, path: str | None = None, payload: bool = Fal
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_warc(pages, path)
-    return resolved(assemble(read_warc(spark, path, payload)))
+    records = read_warc(spark, path, payload)
+    # without payloads the records are small: parsed once, then joined
+    return resolved(assemble(records if payload else written(records, "records")))
