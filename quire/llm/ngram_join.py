@@ -57,6 +57,8 @@ SHARE = 20
 REMEMBERED = 300_000
 #: Tokens of the pairs that one group compares; a home with more is salted.
 GROUP = 8_000_000
+#: Rows of a home's buckets that one task counts; a home with more is salted.
+HOME = 200_000
 #: Rounds of comparisons with the most central set of each large bucket.
 ROUNDS = 3
 #: Classes of a bucket whose pairs are all counted at once; larger buckets are first cleared by a few comparisons.
@@ -377,6 +379,72 @@ def _buckets(percent: int):
     return run
 
 
+def _apart(percent: int):
+    """From rows (home, sig, key, n, label) sorted by home and sig: the pairs of different labels, counted.
+
+    A pair that shares no light token is counted only if its heavy ones may suffice. Counts are handed on when a home
+    ends, or sooner if there are many, so memory is bounded.
+    """
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        size, home, carry = 0, None, None
+
+        def flush():
+            nonlocal held, size
+            if held:
+                rows = _combined(held)
+                yield pa.RecordBatch.from_arrays([pa.nulls(rows.shape[1], pa.int64()), *[pa.array(r) for r in rows]], schema=_MET)
+            held, size = [], 0
+
+        def bucket(rows: np.ndarray):
+            nonlocal size
+            _, sig, key, n, label = rows
+            m = len(key)
+            block = max(1, 1_000_000 // m)
+            for i in range(0, m, block):
+                x, y = np.nonzero((np.arange(i, min(i + block, m))[:, None] < np.arange(m)[None, :]) & (label[i : i + block, None] != label[None, :]))
+                x += i
+                if not len(x):
+                    continue
+                heavy = (n >> 6 & _SIZE) - (n >> 32 & _LIGHT)
+                both = (n[x] >> 6 & _SIZE) + (n[y] >> 6 & _SIZE)
+                ok = (sig[x] & 1 == 0) | (np.minimum(heavy[x], heavy[y]) * (100 + percent) >= both * percent)
+                held.append(_ordered_pairs(sig, key, n, x[ok], y[ok], percent))
+                size += held[-1].shape[1]
+                if size > 3_000_000:
+                    merged = _combined(held)
+                    held[:] = [merged]
+                    size = merged.shape[1]
+                    if size > 1_500_000:
+                        yield from flush()
+
+        def whole(rows: np.ndarray):
+            nonlocal home
+            cut = np.flatnonzero((rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])) + 1
+            for part in np.split(rows, cut, axis=1):
+                if part[0, 0] != home:
+                    home = part[0, 0]
+                    if size > 200_000:
+                        yield from flush()
+                yield from bucket(part)
+
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)])
+            rows = rows if carry is None else np.concatenate((carry, rows), axis=1)
+            if not rows.shape[1]:
+                continue
+            same = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
+            carry, rows = rows[:, same], rows[:, ~same]
+            if rows.shape[1]:
+                yield from whole(rows)
+        if carry is not None and carry.shape[1]:
+            yield from whole(carry)
+        yield from flush()
+
+    return run
+
+
 class _Linker:
     """Links found so far, and what they connect."""
 
@@ -442,13 +510,15 @@ def _components_of(docs: DataFrame, width: int, percent: int, counters: np.ndarr
         rows = seen.select("sig", "key", "n")
         if not found:
             break
-    # all pairs of small buckets, and those of large ones that are still apart
-    apart = linker.labelled(large, "key", "label").select("*", F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("high"))
-    apart = written(apart.where("low <> high").select("sig", "key", "n", "label"), "apart")
-    other = apart.select("sig", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-    possible = (F.col("sig").bitwiseAND(1) == 0) | enough("n", "other_n", F.lit(0))
-    met = apart.join(other, "sig").where(first & (F.col("label") != F.col("other_label")) & fits & possible).select(*pair)
-    linker.add(total(live.where("sig IS NULL").select("a", "b", "na", "nb", "met").unionByName(total(met))).where(candidate))
+    # all pairs of small buckets, and those of large ones that are still apart: a cluster's buckets, which share their
+    # smallest set, are dealt to one task, so that it hands on each pair once and not once a bucket
+    apart = linker.labelled(large, "key", "label").select("*", F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("high"), F.min("key").over(bucket).alias("home"))
+    apart = written(apart.where("low <> high").select("home", "sig", "key", "n", "label"), "apart")
+    salts = apart.groupBy("home").agg(F.ceil(F.count("*") / HOME).alias("salts"))
+    dealt = apart.join(salts, "home").withColumn("salt", F.pmod(F.xxhash64("sig"), "salts"))
+    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "home", "salt").sortWithinPartitions("home", "salt", "sig", "key")
+    met = dealt.select("home", "sig", "key", "n", "label").mapInArrow(_apart(percent), _MET_SQL)
+    linker.add(total(live.where("sig IS NULL").select("a", "b", "na", "nb", "met").unionByName(met.select("a", "b", "na", "nb", "met"))).where(candidate))
     drop_written(live, apart)
     return linker.labels
 
