@@ -53,7 +53,8 @@ def overlay_smil(pars: DataFrame, section: str) -> DataFrame:
     return inner.groupBy(section).agg(F.concat(F.lit(head), ordered("para_ord", "_p"), F.lit("</body></smil>")).alias("smil"))
 
 
-def content_xhtml(sections: DataFrame, title: str, body: str, lang: str) -> Column:
+def content_xhtml(title: str, body: str, lang: str) -> Column:
+    """A content document; the body is trimmed on its right."""
     return F.concat(F.lit(_XML + '<html xmlns="http://www.w3.org/1999/xhtml" lang="'), F.col(lang), F.lit('"><head><title>'), text.escape_text(F.col(title)), F.lit("</title></head><body>"), F.rtrim(F.col(body)), F.lit("</body></html>"))
 
 
