@@ -57,6 +57,28 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+OP5_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS tokens FROM w
+),
+c AS (SELECT md5(array_to_string(tokens, chr(10))) AS class, min(doc_id) AS rep, any_value(tokens) AS tokens FROM s WHERE len(tokens) > 0 GROUP BY 1),
+t AS (SELECT rep, len(tokens) AS n, unnest(tokens) AS token FROM c),
+p AS (
+  SELECT a.rep AS x, b.rep AS y FROM t a JOIN t b ON a.token = b.token AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT rep AS x, rep AS y FROM c UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x AS rep, min(y) AS component_id FROM r GROUP BY 1)
+SELECT s.doc_id, len(s.tokens)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, coalesce(c.rep, s.doc_id) AS class_id
+FROM s LEFT JOIN c ON c.class = md5(array_to_string(s.tokens, chr(10))) AND len(s.tokens) > 0 LEFT JOIN m ON m.rep = c.rep
+"""
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raked weight, sampling probability and fate of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.PRODUCTION, mixing.SHARE)
@@ -92,4 +114,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op3_warc": OP3_SQL, "op5_ngram_join": OP5_SQL}
