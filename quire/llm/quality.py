@@ -28,7 +28,7 @@ from quire.llm.boosting import sigmoid
 from quire.llm.toxicity import _core, sampled
 
 #: Labelled rows that a model is fitted on at most.
-SAMPLE = 4000
+SAMPLE = 3000
 #: Hash buckets of the weight vector; part of the model's format.
 BUCKETS = 1 << 16
 GRADES = 4
