@@ -180,12 +180,12 @@ def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
 
 
 def sketch(scanned: DataFrame) -> tuple[np.ndarray, int]:
-    """(the 2**SKETCH counters, up to 65535; the count above which a counter's tokens are heavy)."""
+    """(the 2**SKETCH counters; the count above which a counter's tokens are heavy)."""
     counts = np.zeros((1 << SKETCH - _BLOCK, 1 << _BLOCK), dtype=np.uint64)
     for r in scanned.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_summed, "block int, counts binary").toLocalIterator():
         counts[r["block"]] = np.frombuffer(r["counts"], dtype=np.uint64)
     mean = counts.mean()
-    return np.minimum(counts, 65535).astype(np.uint16).ravel(), min(int(mean + SIGMAS * np.sqrt(mean) + 1), 65534)
+    return np.minimum(counts, 2**32 - 1).astype(np.uint32).ravel(), max(0, int(mean + SIGMAS * np.sqrt(mean) + 1))
 
 
 def _index(width: int, percent: int, counters: np.ndarray, limit: int):
@@ -203,7 +203,7 @@ def _index(width: int, percent: int, counters: np.ndarray, limit: int):
                 if len(s) and len(s) * 100 // percent > need(len(s), percent) and seen.new(key := _key(s)):
                     count = counters[(s >> np.uint64(64 - SKETCH)).view(np.int64)]
                     sig, least, light = signatures(s, count > limit, bounds, percent)
-                    central = int(np.minimum(count, 4 * limit).mean() / (4 * limit) * 8191)
+                    central = int(np.minimum(count.astype(np.int64), 4 * limit + 1).mean() / (4 * limit + 1) * 8191)
                     sigs.append(sig)
                     keys.append(key)
                     sizes.append(central << 50 | min(light, _LIGHT) << 32 | len(s) << 6 | least)

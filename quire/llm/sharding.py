@@ -84,11 +84,11 @@ def assign(loads: list[int], shards: int) -> SlotMap:
     return SlotMap(shards, tuple(shard_of))
 
 
-def rebalance(old: SlotMap, loads: list[int], shards: int | None = None) -> SlotMap:
+def rebalance(old: SlotMap, loads: list[int], shards: int | None = None, slack: float = 0.02) -> SlotMap:
     """The next version of a map for new loads or another number of shards, moving few slots.
 
     Slots of removed shards move first. Then the fullest shard gives its best-fitting slot to the emptiest, as long as
-    that narrows the gap between the two. Slots that needn't move stay.
+    that narrows the gap between the two and it is more than slack of the mean. Slots that needn't move stay.
     """
     shards = shards or old.shards
     shard_of = list(old.shard_of)
@@ -111,7 +111,7 @@ def rebalance(old: SlotMap, loads: list[int], shards: int | None = None) -> Slot
         high = max(range(shards), key=lambda s: (held[s], -s))
         gap = held[high] - held[low]
         fits = [k for k in owned[high] if 0 < loads[k] < gap]
-        if not fits:
+        if not fits or gap <= slack * sum(loads) / shards:
             break
         slot = min(fits, key=lambda k: (abs(gap / 2 - loads[k]), k))
         owned[high].remove(slot)
