@@ -15,23 +15,32 @@ from quire.functions.text import ABBREVIATIONS, ATTACHING, CLOSERS, TERMINATORS
 ANCHOR = 5
 
 
-def anchor_bounds(rows: DataFrame, keys: list[str], order: list[str], match: Column) -> DataFrame:
-    """lead_end and trail_start of each key: where its first anchor starts and its last one ends (null without one)."""
+def _with_anchors(rows: DataFrame, keys: list[str], order: list[str], match: Column) -> DataFrame:
+    """rows with idx (from 0), lead_end and trail_start: where the key's first anchor starts and its last one ends.
+
+    Windows over the keys alone, so rows are dealt once and never joined back; both bounds are null without an anchor.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = rows.select(*keys, *order, match.alias("_m")).withColumn("_i", F.row_number().over(w) - 1)
-    islands = numbered.withColumn("_g", F.sum(F.when(F.col("_m"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = islands.where("_m").groupBy(*keys, "_g").agg(F.min("_i").alias("a"), F.max("_i").alias("b"), F.count("*").alias("n"))
-    return runs.where(F.col("n") >= ANCHOR).groupBy(*keys).agg(F.min("a").alias("lead_end"), (F.max("b") + 1).alias("trail_start"))
+    marked = rows.withColumns({"_m": match, "idx": F.row_number().over(w) - 1})
+    marked = marked.withColumn("_g", F.sum(F.when(F.col("_m"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = F.count_if(F.col("_m")).over(Window.partitionBy(*keys, "_g"))
+    marked = marked.withColumn("_a", F.col("_m") & (run >= ANCHOR))
+    whole = Window.partitionBy(*keys)
+    inside = F.when(F.col("_a"), F.col("idx"))
+    return marked.withColumns({"lead_end": F.min(inside).over(whole), "trail_start": F.max(inside).over(whole) + 1}).drop("_m", "_g", "_a")
+
+
+def anchor_bounds(rows: DataFrame, keys: list[str], order: list[str], match: Column) -> DataFrame:
+    """lead_end and trail_start of each key that has an anchor."""
+    return _with_anchors(rows, keys, order, match).groupBy(*keys).agg(F.min("lead_end").alias("lead_end"), F.min("trail_start").alias("trail_start")).where("lead_end IS NOT NULL")
 
 
 def classify_regions(rows: DataFrame, keys: list[str], order: list[str], match: Column) -> DataFrame:
     """rows with their index and region; without a usable pair of anchors all is core."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    bounds = anchor_bounds(rows, keys, order, match)
-    indexed = rows.withColumn("idx", F.row_number().over(w) - 1).join(bounds, keys, "left")
+    placed = _with_anchors(rows, keys, order, match)
     usable = F.coalesce(F.col("lead_end") < F.col("trail_start"), F.lit(False))
     region = F.when(usable & (F.col("idx") < F.col("lead_end")), "leading").when(usable & (F.col("idx") >= F.col("trail_start")), "trailing").otherwise("core")
-    return indexed.withColumn("region", region).drop("lead_end", "trail_start")
+    return placed.withColumn("region", region).drop("lead_end", "trail_start")
 
 
 def monotonic_clamp(rows: DataFrame, keys: list[str], order: list[str], start: str, end: str, unsynced: Column) -> DataFrame:
