@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import textkernel as tk
 from quire.llm.boosting import sigmoid
-from quire.llm.common import id_text_crc, written
+from quire.llm.common import id_text_crc, summed_in_two, written
 
 #: Bytes of text whose distinct tokens are looked up together.
 CHUNK = 16_000_000
@@ -127,15 +127,15 @@ def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Itera
         for p in batch.column(1):
             own = np.frombuffer(zlib.decompress(p.as_py()), dtype=np.float32)
             total[: len(own)] += own
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)], pa.binary())], ["part", "counts"])
 
 
 def bit_tables(vocabulary: DataFrame) -> np.ndarray:
     """Two rows (ones, all) of bit counts over all training tokens."""
     out = np.zeros(-(-2 * _TABLE // _PART) * _PART, dtype=np.float32)
     parts = vocabulary.where("c > 0").select("token", "c").mapInArrow(_count, "part int, counts binary")
-    for r in parts.groupBy("part").applyInArrow(_add, "part int, counts binary").toLocalIterator():
-        out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["counts"], dtype=np.float32)
+    for r in summed_in_two(parts, "part", "counts", _add, "part int, counts binary").toLocalIterator():
+        out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.float32)
     return out[: 2 * _TABLE].reshape(2, _TABLE)
 
 
@@ -176,7 +176,7 @@ def _learn(tables: np.ndarray):
                 table[:, :, 0] += np.bincount(place, weight * bit, 256 * MAP).reshape(256, MAP)
                 table[:, :, 1] += np.bincount(place, weight, 256 * MAP).reshape(256, MAP)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total]), pa.array([(w * total).tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())], ["one", "total", "w", "map"])
+            yield _learned(np.concatenate(([total], (w * total).ravel(), table.ravel())))
 
     return run
 
@@ -185,22 +185,28 @@ def _map_bucket(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(stretch(np.clip(p, 1e-4, 1 - 1e-4)) * 2) + MAP // 2, 0, MAP - 1).astype(np.int64)
 
 
-def _average(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, w, table = 0.0, np.zeros((GATES, len(ORDERS))), np.zeros((256, MAP, 2))
+def _learned(sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())], ["one", "sums"])
+
+
+def _sum(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of what tasks have learned: their tokens, weights times tokens, map counts."""
+    total = np.zeros(1 + GATES * len(ORDERS) + 256 * MAP * 2)
     for batch in batches:
-        for t, a, m in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-            total += t.as_py()
-            w += np.frombuffer(a.as_py()).reshape(w.shape)
-            table += np.frombuffer(m.as_py()).reshape(table.shape)
-    yield pa.RecordBatch.from_arrays([pa.array([(w / max(total, 1)).tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())], ["w", "map"])
+        for part in batch.column(1):
+            total += np.frombuffer(zlib.decompress(part.as_py()))
+    yield _learned(total)
 
 
 def mixer(vocabulary: DataFrame, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weights of every gate, refined probability per byte before and bucket), over all training tokens."""
-    parts = vocabulary.where("c > 0").select("token", "c").mapInArrow(_learn(tables), "one int, total double, w binary, map binary")
-    rows = parts.groupBy("one").applyInArrow(_average, "w binary, map binary").collect()
-    w = np.frombuffer(rows[0]["w"]).reshape(GATES, -1) if rows else np.full((GATES, len(ORDERS)), 0.3)
-    table = np.frombuffer(rows[0]["map"]).reshape(256, MAP, 2) if rows else np.zeros((256, MAP, 2))
+    parts = vocabulary.where("c > 0").select("token", "c").mapInArrow(_learn(tables), "one int, sums binary")
+    rows = summed_in_two(parts, "one", "sums", _sum, "one int, sums binary").collect()
+    w, table = np.full((GATES, len(ORDERS)), 0.3), np.zeros((256, MAP, 2))
+    if rows:
+        sums = np.frombuffer(zlib.decompress(rows[0]["sums"]))
+        w = (sums[1 : 1 + w.size] / max(sums[0], 1)).reshape(w.shape)
+        table = sums[1 + w.size :].reshape(table.shape)
     middle = sigmoid((np.arange(MAP) - MAP // 2) / 2)
     return w, (table[:, :, 0] + 20 * middle) / (table[:, :, 1] + 20)
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm import textkernel as tk
-from quire.llm.common import drop_written, shuffle_partitions, written
+from quire.llm.common import drop_written, shuffle_partitions, summed_in_two, written
 from quire.llm.components import components
 
 WIDTH = 5
@@ -175,15 +175,16 @@ def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
     total = np.zeros(1 << _BLOCK, dtype=np.uint64)
     for batch in batches:
         for part in batch.column(1):
-            total += np.frombuffer(zlib.decompress(part.as_py()), dtype=np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
+            data = zlib.decompress(part.as_py())
+            total += np.frombuffer(data, dtype=np.uint32 if len(data) == 4 << _BLOCK else np.uint64)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
 
 def sketch(scanned: DataFrame) -> tuple[np.ndarray, int]:
     """(the 2**SKETCH counters; the count above which a counter's tokens are heavy)."""
     counts = np.zeros((1 << SKETCH - _BLOCK, 1 << _BLOCK), dtype=np.uint64)
-    for r in scanned.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_summed, "block int, counts binary").toLocalIterator():
-        counts[r["block"]] = np.frombuffer(r["counts"], dtype=np.uint64)
+    for r in summed_in_two(scanned.where("block is not null"), "block", "counts", _summed, "block int, counts binary").toLocalIterator():
+        counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint64)
     mean = counts.mean()
     return np.minimum(counts, 2**32 - 1).astype(np.uint32).ravel(), max(0, int(mean + SIGMAS * np.sqrt(mean) + 1))
 
