@@ -45,7 +45,7 @@ WIDTH = 5
 #: Jaccard similarity of a link, in hundredths.
 PERCENT = 80
 #: The count sketch has 2**SKETCH counters; a token is heavy if its counter stands SIGMAS above the mean.
-SKETCH, SIGMAS = 22, 6.0
+SKETCH, SIGMAS, HEAVY = 22, 6.0, 64
 _BLOCK = 16
 #: Bits of the candidates' bitmap, as a power of two.
 MARKS = 24
@@ -180,19 +180,20 @@ def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
 
-def sketch(scanned: DataFrame) -> tuple[np.ndarray, int]:
-    """(the 2**SKETCH counters; the count above which a counter's tokens are heavy)."""
+def sketch(scanned: DataFrame) -> np.ndarray:
+    """A level from 0 to 255 for each of the 2**SKETCH counters; tokens are heavy from HEAVY on, four times that at most."""
     counts = np.zeros((1 << SKETCH - _BLOCK, 1 << _BLOCK), dtype=np.uint64)
     for r in summed_in_two(scanned.where("block is not null"), "block", "counts", _summed, "block int, counts binary").toLocalIterator():
         counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint64)
     mean = counts.mean()
-    return np.minimum(counts, 2**32 - 1).astype(np.uint32).ravel(), max(0, int(mean + SIGMAS * np.sqrt(mean) + 1))
+    limit = max(1, int(mean + SIGMAS * np.sqrt(mean) + 2))
+    return np.minimum(counts.ravel() * np.uint64(HEAVY) // np.uint64(limit), 255).astype(np.uint8)
 
 
-def _index(width: int, percent: int, counters: np.ndarray, limit: int):
+def _index(width: int, percent: int, levels: np.ndarray):
     """(sig, key, n) of every set that is new to the task; n holds centrality, light tokens, size, signatures to share.
 
-    Centrality is the tokens' mean count: an original's tokens are in all its copies, a copy's own ones in none.
+    Centrality is the tokens' mean level: an original's tokens are in all its copies, a copy's own ones in none.
     """
 
     def run(batches):
@@ -202,9 +203,9 @@ def _index(width: int, percent: int, counters: np.ndarray, limit: int):
             for s in tk.shingle_sets(raw, offsets, width):
                 # sets that no other size can be linked to are found as equal sets
                 if len(s) and len(s) * 100 // percent > need(len(s), percent) and seen.new(key := _key(s)):
-                    count = counters[(s >> np.uint64(64 - SKETCH)).view(np.int64)]
-                    sig, least, light = signatures(s, count > limit, bounds, percent)
-                    central = int(np.minimum(count.astype(np.int64), 4 * limit + 1).mean() / (4 * limit + 1) * 8191)
+                    level = levels[(s >> np.uint64(64 - SKETCH)).view(np.int64)]
+                    sig, least, light = signatures(s, level >= HEAVY, bounds, percent)
+                    central = int(level.mean() * 32)
                     sigs.append(sig)
                     keys.append(key)
                     sizes.append(central << 50 | min(light, _LIGHT) << 32 | len(s) << 6 | least)
@@ -480,9 +481,9 @@ class _Linker:
         return True
 
 
-def _components_of(docs: DataFrame, width: int, percent: int, counters: np.ndarray, limit: int) -> DataFrame | None:
+def _components_of(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame | None:
     """(node, label) of all sets that are linked to others; none if there are no links."""
-    index = docs.select("text").mapInArrow(_index(width, percent, counters, limit), "sig long, key long, n long")
+    index = docs.select("text").mapInArrow(_index(width, percent, levels), "sig long, key long, n long")
     dealt = index.repartition(shuffle_partitions(docs.sparkSession), "sig").sortWithinPartitions("sig", "key")
     live = written(dealt.mapInArrow(_buckets(percent), _MET_SQL), "buckets")
     total = lambda rows: rows.groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
@@ -528,7 +529,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """doc_id, n_shingles, class_id (smallest id of an equal set) and component_id (smallest id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = written(docs.mapInArrow(_scan(width), "doc_id long, n_shingles long, key long, block int, counts binary"), "scan")
-    labels = _components_of(docs, width, percent, *sketch(scanned))
+    labels = _components_of(docs, width, percent, sketch(scanned))
     rows = scanned.where("n_shingles is not null").select("doc_id", "n_shingles", "key")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"))
     if labels is None:
