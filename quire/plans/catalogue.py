@@ -479,6 +479,29 @@ def word_diff(spark, sf_dir):
     return alignment.diff_sections(_sections(spark, sf_dir), ["doc_id", "line_ord"])
 
 
+_TOKENS = f"""WITH RECURSIVE b AS (SELECT doc_id, array_to_string({_LINES}, chr(10) || chr(10)) AS body FROM documents),
+p AS (SELECT doc_id, unnest(list_filter(string_split(body, chr(10) || chr(10)), lambda q: q <> '')) AS p, generate_subscripts(list_filter(string_split(body, chr(10) || chr(10)), lambda q: q <> ''), 1) - 1 AS para_idx FROM b),
+t AS (SELECT doc_id, para_idx, unnest({_WORDS.format('p')}) AS w, generate_subscripts({_WORDS.format('p')}, 1) AS t FROM p),
+s AS (SELECT *, sum(CASE WHEN {_NORMAL.format('w')} <> '' OR k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY para_idx, t) - 1 AS gt_idx FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, t) AS k FROM t))"""
+
+
+@query(f"{_TOKENS} SELECT doc_id, gt_idx::INT AS gt_idx, min(para_idx)::INT AS para_idx, string_agg(w, '' ORDER BY para_idx, t) AS text, {_NORMAL.format('first(w ORDER BY para_idx, t)')} AS key FROM s GROUP BY doc_id, gt_idx")
+def truth_words(spark, sf_dir):
+    """The words of true texts by paragraph, signs that stand alone put to the word before."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", text.normalise_body(F.col("text")).alias("body"))
+    return alignment.truth_words(docs, ["doc_id"], "body")
+
+
+@query()
+def aligned_paragraphs(spark, sf_dir):
+    """Aligned words back in paragraphs: each line a section, its words in paragraphs of twenty."""
+    s = _sections(spark, sf_dir)
+    script = alignment.diff_sections(s, ["doc_id", "line_ord"])
+    truth = _words(s, "truth", "gt_idx").withColumn("para_idx", F.expr("gt_idx div 20"))
+    aligned = alignment.transfer(script, _words(s, "transcript", "whisper_idx"), truth, ["doc_id", "line_ord"])
+    return alignment.regroup_paragraphs(aligned, truth, ["doc_id", "line_ord"]).drop("words")
+
+
 @query()
 def align_transfer(spark, sf_dir):
     """Every true word with its time, carried over from the transcript."""

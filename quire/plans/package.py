@@ -103,3 +103,19 @@ def epub(book: dict, sections: list[dict], headings, pages, audio: list[dict], c
         if cover:
             z.writestr(zipfile.ZipInfo("OEBPS/cover"), cover, zipfile.ZIP_STORED)
     return out.getvalue()
+
+
+def report_json(summary: DataFrame, issues: DataFrame, key: str) -> DataFrame:
+    """key and json: a report's counters and its issues in order of severity, backend and message."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in ("fatal", "error", "warning", "info", "usage")]), F.col("severity"))
+    listed = F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "backend", "message", "severity", "issue_id", "location")))
+    shown = F.transform(listed, lambda x: F.struct(x["severity"].alias("severity"), x["backend"].alias("backend"), x["issue_id"].alias("id"), x["message"].alias("message"), x["location"].alias("location")))
+    rows = issues.groupBy(key).agg(shown.alias("issues"))
+    counters = [F.col(c) for c in summary.columns if c != key]
+    return summary.join(rows, key, "left").select(key, F.to_json(F.struct(*counters, F.coalesce("issues", F.array()).alias("issues"))).alias("json"))
+
+
+def report_text() -> Column:
+    """A line per issue: SEVERITY id message (location)."""
+    place = F.when(F.col("location").isNotNull(), F.concat(F.lit(" ("), "location", F.lit(")"))).otherwise("")
+    return F.concat(F.upper("severity"), F.lit(" "), F.coalesce("issue_id", F.lit("-")), F.lit(" "), "message", place)

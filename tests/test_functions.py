@@ -226,3 +226,26 @@ def test_tiers(spark):
     candidates = spark.createDataFrame([(1, 2, 9.0, 10), (1, 1, 1.0, 11), (2, 2, 5.0, 12), (2, 2, 7.0, 13)], "k int, t int, score double, id int")
     got = {r["k"]: r["id"] for r in joins.tier_pick(keys, candidates, "k", F.col("t"), "id", F.desc("score")).collect()}
     assert got == {1: 11, 2: 13, 3: None}
+
+
+def test_truth_words_and_paragraphs(spark):
+    docs = spark.createDataFrame([("d", "- One two ! ...\n\n \n\n?\n\nThree -- four")], "k string, body string")
+    got = [(r["gt_idx"], r["para_idx"], r["text"], r["key"]) for r in alignment.truth_words(docs, ["k"], "body").orderBy("gt_idx").collect()]
+    assert got == [(0, 0, "-", "-"), (1, 0, "One", "one"), (2, 0, "two!...?", "two"), (3, 2, "Three", "three"), (4, 2, "--", "--"), (5, 2, "four", "four")]
+
+
+def test_paragraphs_keep_their_words_when_some_are_dropped(spark):
+    truth = spark.createDataFrame([("s", i, i // 2, f"w{i}") for i in range(6)], "k string, gt_idx int, para_idx int, text string")
+    aligned = spark.createDataFrame([("s", 1, "w1", 1.0, 2.0, "exact"), ("s", 2, "w2", 0.0, 0.0, "unsynced"), ("s", 4, "w4", 4.0, 5.0, "exact"), ("s", 5, "w5", 0.0, 0.0, "unsynced")], "k string, gt_idx int, text string, start_s double, end_s double, confidence string")
+    got = [(r["para_idx"], r["start_s"], r["end_s"], r["text"]) for r in alignment.regroup_paragraphs(aligned, truth, ["k"]).orderBy("para_idx").collect()]
+    assert got == [(0, 1.0, 2.0, "w1"), (1, 0.0, 0.0, "w2"), (2, 4.0, 5.0, "w4 w5")]
+
+
+def test_reports(spark):
+    import json
+
+    issues = spark.createDataFrame([("b", "ace", "warning", "x", "m", None), ("b", "ace", "fatal", None, "n", "p:1:2")], "book_id string, backend string, severity string, issue_id string, message string, location string")
+    summary = spark.createDataFrame([("b", 1), ("c", 0)], "book_id string, fatals int")
+    got = {r["book_id"]: json.loads(r["json"]) for r in package.report_json(summary, issues, "book_id").collect()}
+    assert [i["severity"] for i in got["b"]["issues"]] == ["fatal", "warning"] and got["c"] == {"fatals": 0, "issues": []}
+    assert sorted(r[0] for r in issues.select(package.report_text()).collect()) == ["FATAL - n (p:1:2)", "WARNING x m"]
