@@ -354,7 +354,7 @@ def _buckets(percent: int):
             if inside.any():
                 own, m = rows[:, inside], np.repeat(size, size)[inside]
                 yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.nulls(len(m), pa.int64()), pa.array(own[2]), pa.nulls(len(m), pa.int64()), pa.array(m, pa.int64())], schema=_MET)
-            if held > 2_000_000:
+            if held > 500_000:
                 yield from flush()
 
         def flush():
@@ -403,7 +403,7 @@ def _apart(percent: int):
             nonlocal size
             _, sig, key, n, label = rows
             m = len(key)
-            block = max(1, 1_000_000 // m)
+            block = max(1, 400_000 // m)
             for i in range(0, m, block):
                 x, y = np.nonzero((np.arange(i, min(i + block, m))[:, None] < np.arange(m)[None, :]) & (label[i : i + block, None] != label[None, :]))
                 x += i
@@ -414,11 +414,11 @@ def _apart(percent: int):
                 ok = (sig[x] & 1 == 0) | (np.minimum(heavy[x], heavy[y]) * (100 + percent) >= both * percent)
                 held.append(_ordered_pairs(sig, key, n, x[ok], y[ok], percent))
                 size += held[-1].shape[1]
-                if size > 3_000_000:
+                if size > 800_000:
                     merged = _combined(held)
                     held[:] = [merged]
                     size = merged.shape[1]
-                    if size > 1_500_000:
+                    if size > 400_000:
                         yield from flush()
 
         def whole(rows: np.ndarray):
