@@ -294,7 +294,8 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     sent = sent.select("home", "salt", F.lit(0).alias("kind"), F.col("k").alias("head"), F.lit(None).cast("long").alias("key"), "tokens")
     rows = sent.unionByName(salted.select("home", "salt", F.lit(1).alias("kind"), "head", "key", F.lit(None).cast("binary").alias("tokens")))
     ordered = rows.repartition(shuffle_partitions(spark), "home", "salt").sortWithinPartitions("home", "salt", "kind")
-    return ordered.mapInArrow(_compare(percent), "a long, b long")
+    # links are few: many tasks compare, few files hold what they find
+    return ordered.mapInArrow(_compare(percent), "a long, b long").repartition(max(1, shuffle_partitions(spark) // 8))
 
 
 #: n holds, from the lowest bit on: 6 bits of signatures to share, 26 of size, 18 of light tokens, 13 of centrality.
