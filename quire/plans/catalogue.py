@@ -451,6 +451,23 @@ def fuzzy_pairs(spark, sf_dir):
     return pairs.where(F.col("score") >= alignment.THRESHOLD).select("item_id", "line", F.round("score", 9).alias("score"))
 
 
+@query()
+def fuzzy_pairs_whole(spark, sf_dir):
+    """Every line of a benchmark item with every document line that is similar, whole lines and no block.
+
+    Equal document lines are compared once. The items' lines are held by every task, and each task bounds its lines by
+    length and by shared letters before it compares them (similarity.Lines).
+    """
+    whole = lambda c: F.nullif(text.normalise_heading(c), F.lit(""))
+    parts = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("part", "t")
+    items = _t(spark, sf_dir, "benchmark").select("item_id", parts).select("item_id", "part", whole(F.col("t")).alias("t")).where("t IS NOT NULL")
+    held = [(r["item_id"], r["part"], r["t"]) for r in items.collect()]
+    lines = _t(spark, sf_dir, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    lines = lines.select(whole(F.col("line")).alias("line")).where("line IS NOT NULL").distinct()
+    pairs = lines.mapInArrow(similarity.similar_pairs(held, alignment.THRESHOLD), "item_id long, part int, line string, score double")
+    return pairs.withColumn("score", F.round("score", 9))
+
+
 @query()
 def section_match(spark, sf_dir):
     """Sections of each document found by headings that are its lines with a letter changed."""
