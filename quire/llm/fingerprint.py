@@ -6,8 +6,7 @@ emitted strings have a small Hamming distance. A fingerprint samples that string
 characters under the pointer at the step with the smallest hash h_k among those that the text reaches. Texts of
 different lengths thus sample the same steps wherever both go. Likeness is the share of equal slots.
 
-Near duplicates come from bands of sampled slots: texts that agree in a whole band are candidates, and a bounded edit
-distance over the whole texts verifies them.
+Near duplicates come from several such walks, whose slots are each a band of its own that keeps a longer gram. Texts that agree in a band are candidates, and a bounded edit distance over the whole texts verifies them.
 
 Kernel: one lane per text in numpy, all lanes at the same step; a step costs three vector operations. Memory is bounded by
 STEP_BYTES of text (or one text). Defined results: a null text is empty; an empty text has the all-zero fingerprint,
@@ -18,6 +17,7 @@ a single document is its own neighbour; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkernel as tk
-from quire.llm.common import shuffle_partitions, written
+from quire.llm.common import drop_written, shuffle_partitions, written
+from quire.llm.components import components
 
 SLOTS = 64
-#: Bands of near_duplicates and slots in each.
-BANDS, BAND_SLOTS = 16, 4
+#: Walks of near_duplicates, the slots of each, every one a band of its own, and the characters that one holds.
+NEAR_WALKS, NEAR_SLOTS, NEAR_GRAM = 4, 64, 8
 #: Bytes of text that walk together.
 STEP_BYTES = 12_000_000
+NEAR_STEP = 4_000_000
 
 _PERIOD = 4096
 _BLOCK = 8192
@@ -46,22 +48,27 @@ def _bits() -> np.ndarray:
     return out
 
 
-_CACHE: dict = {"bits": None, "least": np.full(SLOTS, 2**64 - 1, dtype=np.uint64), "until": 0, "events": {}}
+def _cache(slots: int) -> dict:
+    return {"bits": None, "least": np.full(slots, 2**64 - 1, dtype=np.uint64), "until": 0, "events": {}}
 
 
-def _events(until: int) -> dict[int, np.ndarray]:
+_CACHE, _NEAR = _cache(SLOTS), _cache(NEAR_SLOTS)
+
+
+def _events(until: int, cache: dict = _CACHE) -> dict[int, np.ndarray]:
     """For each step that is a new minimum of some h_k: those slots k."""
-    while _CACHE["until"] < until:
-        a = _CACHE["until"]
+    slots = np.uint64(len(cache["least"]))
+    while cache["until"] < until:
+        a = cache["until"]
         j = np.arange(a, a + _BLOCK, dtype=np.uint64)
-        h = tk.mix(j[None, :] * np.uint64(SLOTS) + np.arange(SLOTS, dtype=np.uint64)[:, None] + np.uint64(0x14057B7EF767814F))
-        running = np.minimum.accumulate(np.concatenate((_CACHE["least"][:, None], h), axis=1), axis=1)
+        h = tk.mix(j[None, :] * slots + np.arange(slots, dtype=np.uint64)[:, None] + np.uint64(0x14057B7EF767814F))
+        running = np.minimum.accumulate(np.concatenate((cache["least"][:, None], h), axis=1), axis=1)
         slot, step = np.nonzero(h < running[:, :-1])
         for s, k in zip((step + a).tolist(), slot.tolist(), strict=True):
-            _CACHE["events"].setdefault(s, []).append(k)
-        _CACHE["least"] = running[:, -1]
-        _CACHE["until"] = a + _BLOCK
-    return _CACHE["events"]
+            cache["events"].setdefault(s, []).append(k)
+        cache["least"] = running[:, -1]
+        cache["until"] = a + _BLOCK
+    return cache["events"]
 
 
 def fingerprints(chars: list[np.ndarray]) -> np.ndarray:
@@ -226,39 +233,147 @@ def _run(a: str, b: str, i: int, j: int) -> int:
     return i
 
 
+def edit_distance(a: str, b: str, most: int) -> int | None:
+    """The edit distance if it is most or less. Bit-parallel: a column of the table in one integer, a step per letter of b."""
+    head = _run(a, b, 0, 0)
+    a, b = a[head:], b[head:]
+    tail = _run(a[::-1], b[::-1], 0, 0)
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if abs(len(a) - len(b)) > most:
+        return None
+    if not a or not b:
+        return max(len(a), len(b))
+    spots: dict[str, list[int]] = {}
+    for i, c in enumerate(a):
+        spots.setdefault(c, []).append(i)
+    at: dict[str, int] = {}
+    for c, places in spots.items():
+        bits = bytearray(len(a) // 8 + 1)
+        for i in places:
+            bits[i >> 3] |= 1 << (i & 7)
+        at[c] = int.from_bytes(bits, "little")
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        eq = at.get(c, 0)
+        diagonal = ((((eq & up) + up) ^ up) | eq | down) & full
+        rise, fall = down | (full & ~(diagonal | up)), up & diagonal
+        if rise & last:
+            distance += 1
+        elif fall & last:
+            distance -= 1
+        if distance - left > most:
+            return None
+        rise, fall = ((rise << 1) | 1) & full, (fall << 1) & full
+        up, down = fall | (full & ~(diagonal | rise)), rise & diagonal
+    return distance if distance <= most else None
+
+
+def most_edits(least: float, longest: int) -> int:
+    return int((1 - least) * longest + 1e-9)
+
+
+def similar(a: str, b: str, least: float) -> bool:
+    """Whether 1 - distance / longer length is least or more. An edit takes q of a text's q-grams at most, so that too few in common settle it."""
+    longest = max(len(a), len(b))
+    most = most_edits(least, longest)
+    if abs(len(a) - len(b)) > most:
+        return False
+    for q in (2, 3):
+        grams = [Counter(t[i : i + q] for i in range(len(t) - q + 1)) for t in (a, b)]
+        if (grams[0] & grams[1]).total() < longest - q + 1 - most * q:
+            return False
+    return edit_distance(a, b, most) is not None
+
+
+def near_keys(chars: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct band keys of each text: sampled steps, each with the NEAR_GRAM characters under the pointer.
+
+    A band is one slot. It holds a long gram instead of several slots of a byte, so one place in step is enough. Walks
+    that lose their step at an edit do so apart from each other, so some walks find more than as many slots of one.
+    """
+    found = np.zeros((len(chars), NEAR_WALKS, NEAR_SLOTS), dtype=np.uint64)
+    if _CACHE["bits"] is None:
+        _CACHE["bits"] = _bits()
+    bits = _CACHE["bits"]
+    length = np.array([len(c) for c in chars], dtype=np.int64)
+    begin = np.cumsum(length + NEAR_GRAM) - length - NEAR_GRAM
+    flat = np.zeros(int((length + NEAR_GRAM).sum()), dtype=np.uint8)
+    for c, b in zip(chars, begin.tolist(), strict=True):
+        flat[b : b + len(c)] = (c * np.uint32(0x9E3779B1) >> np.uint32(13)) % np.uint32(255) + np.uint32(1)
+    for walk in range(NEAR_WALKS):
+        lane = np.flatnonzero(length)
+        at, end = begin[lane].copy(), (begin + length)[lane]
+        step = 0
+        while len(lane):
+            events = _events(step + 256, _NEAR)
+            for j in range(step, step + 256):
+                if j in events:
+                    on = at < end
+                    p = at[on]
+                    gram = np.full(len(p), j * NEAR_WALKS + walk, dtype=np.uint64)
+                    for i in range(NEAR_GRAM):
+                        gram = tk.mix(gram * np.uint64(257) + flat[p + i])
+                    found[lane[on][:, None], walk, np.array(events[j])[None, :]] = gram[:, None]
+                at += bits[(j + walk * (_PERIOD // NEAR_WALKS)) % _PERIOD].take(flat.take(at))
+            step += 256
+            on = at < end
+            lane, at, end = lane[on], at[on], end[on]
+    return [np.unique(r[r != 0]) for r in found]
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id and class_id: documents whose verified edit similarity to their class's smallest id is least or more.
+    """doc_id and class_id: classes are components of verified links, class_id the smallest id in the class.
 
-    Equal texts are one candidate. Candidates of a band are compared with the band's smallest id alone, so a band of
-    any size costs as many comparisons as it has members.
+    Equal texts are one candidate. Texts that share a band key and whose lengths allow it are candidates. First each is
+    compared with one head; then every pair of a band that is in different classes by then is compared. So all pairs
+    that share a key are linked, in one class already, or found apart. Pairs without a shared key are missed: the
+    README gives the measured recall.
     """
 
-    def prints(batches):
-        for rows, raw, offsets in tk.pieces(batches, "text", STEP_BYTES):
+    def keys(batches):
+        for rows, raw, offsets in tk.pieces(batches, "text", NEAR_STEP):
             data = raw.tobytes()
-            fp = fingerprints([code_points(data[offsets[k] : offsets[k + 1]]) for k in range(len(offsets) - 1)])
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in fp], pa.binary())], ["rep", "fp"])
-
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    member = whole.select("doc_id", F.sha2("text", 256).alias("same"))
-    reps = member.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    texts = whole.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    fps = texts.mapInArrow(prints, "rep long, fp binary")
-    width = SLOTS // BANDS
-    bands = F.array(*[F.concat(F.lit(bytes([k])), F.substring("fp", k * width + 1, width)) for k in range(BANDS)])
-    keyed = written(fps.select("rep", F.explode(bands).alias("band")), "bands")
-    heads = keyed.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = keyed.join(heads, "band").where("rep <> head").select("rep", "head").distinct()
-    both = pairs.join(texts, "rep").join(texts.select(F.col("rep").alias("head"), F.col("text").alias("head_text")), "head")
+            size = len(offsets) - 1
+            for i in range(0, size, 20_000):
+                chars = [code_points(data[offsets[k] : offsets[k + 1]]) for k in range(i, min(i + 20_000, size))]
+                own = near_keys(chars)
+                n = np.array([len(k) for k in own])
+                every = np.concatenate(own) if own else np.zeros(0, np.uint64)
+                node = np.repeat(rows.column(0).to_numpy()[i : i + 20_000], n)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.repeat([len(c) for c in chars], n), pa.int32()), pa.array(every.view(np.int64))], ["node", "n", "band"])
 
     def verify(batches):
         for batch in batches:
-            rows = batch.to_pydict()
-            keep = []
-            for a, b in zip(rows["text"], rows["head_text"], strict=True):
-                longest = max(len(a), len(b))
-                keep.append(edit_distance_within(a, b, int((1 - least) * longest)) is not None)
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, k in zip(rows["rep"], keep, strict=True) if k], pa.int64()), pa.array([h for h, k in zip(rows["head"], keep, strict=True) if k], pa.int64())], ["rep", "head"])
-
-    links = both.select("rep", "head", "text", "head_text").mapInArrow(verify, "rep long, head long").groupBy("rep").agg(F.min("head").alias("head"))
-    return member.join(reps, "same").join(links, "rep", "left").select("doc_id", F.coalesce("head", "rep").alias("class_id"))
+            a, b, own, other = (batch.column(k).to_pylist() for k in range(4))
+            keep = pa.array([similar(x, y, least) for x, y in zip(own, other, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keep], ["a", "b", "near"])
+
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    keyed = written(whole.select("node", "text").mapInArrow(keys, "node long, n int, band long"), "bands")
+    apart = lambda x, y: F.abs(F.col(x) - F.col(y)) <= F.floor(F.greatest(x, y) * (1 - least) + 1e-9)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.select("a", "b").distinct(), "pairs")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = written(whole.select("node", "text").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("own")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+        out = written(both.select("a", "b", "own", "other").mapInArrow(verify, "a long, b long, near boolean"), "checked")
+        drop_written(texts, pairs)
+        return out
+
+    heads = keyed.groupBy("band").agg(F.min_by(F.struct("node", "n"), "node").alias("head"))
+    led = keyed.join(heads, "band").select(F.col("node").alias("a"), "n", F.col("head.node").alias("b"), F.col("head.n").alias("m")).where("a <> b").where(apart("n", "m"))
+    first = checked(led.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))
+    known = components(first.where("near"))
+    labelled = keyed.join(known.select("node", F.col("label").alias("_l")), "node", "left").withColumn("label", F.coalesce("_l", "node"))
+    groups = written(labelled.groupBy("band", "label").agg(F.collect_set(F.struct("node", "n")).alias("members")), "groups")
+    left, right = (groups.select("band", F.col("label").alias(f"_{k}"), F.col("members").alias(k)) for k in "xy")
+    rest = left.join(right, "band").where("_x < _y").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    rest = rest.select(F.col("x.node").alias("_a"), F.col("x.n").alias("n"), F.col("y.node").alias("_b"), F.col("y.n").alias("m")).where(apart("n", "m"))
+    rest = rest.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = checked(rest.join(done, ["a", "b"], "left_anti"))
+    classes = components(first.union(second).where("near").select("a", "b"))
+    member = whole.select("doc_id", "node").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return member.select("doc_id", "label").join(member.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("doc_id", "class_id")

@@ -109,8 +109,13 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document, by bands of the fingerprint's walk and verified edit similarity."""
+    return fingerprint.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_warc, op4_media, op5_ngram_join, op6_mixing, op7_packing, op8_quality, op9_lm_scoring, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_warc, op4_media, op5_ngram_join, op6_mixing, op7_packing, op8_quality, op9_lm_scoring, op10_fingerprint, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
