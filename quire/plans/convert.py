@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,38 +45,58 @@ def sections(tables: dict[str, DataFrame]) -> DataFrame:
     return rows.select("book_id", "section_idx", "title", body.alias("body"), "smil", F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
 
 
-def convert(spark: SparkSession, root: str) -> DataFrame:
-    """input, status, error, n_sections, seconds and epub (the package's bytes) of every book under root."""
+def _heard_files(spark: SparkSession, root: str, heard: DataFrame) -> DataFrame:
+    """book_id, src and content of every heard source that is a file of its book's folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    return heard.select("book_id", "src", F.concat_ws("/", "book_id", "src").alias("path")).join(files, "path").select("book_id", "src", "content")
+
+
+def convert(spark: SparkSession, root: str, covers: DataFrame | None = None, rights: str | None = None, modified: str | None = None) -> DataFrame:
+    """input, status, error, n_sections, seconds, epub (the package's bytes) and missing_audio of every book under root.
+
+    Audio is stored as it is. Sources without a file are in the manifest and in missing_audio. covers: book_id and cover
+    (JPEG or PNG bytes). rights: said instead of the books' own. modified: the packages' time, else that of the call.
+    """
     tables = daisy.load(spark, root)
-    book = tables["books"].select("book_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), F.coalesce(F.nullif("language", F.lit("")), F.lit("en")).alias("lang"), F.coalesce("identifier", F.concat(F.lit("urn:book:"), F.sha1(F.col("book_id").cast("binary")))).alias("identifier"), "error")
+    modified = modified or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    daisy_urn = F.concat(F.lit("urn:dpub:daisy:"), "identifier")
+    own_rights = F.lit(rights) if rights is not None else F.get(F.map_values(F.map_filter("other", lambda k, _: F.lower(k) == "dc:rights")), F.lit(0))
+    book = tables["books"].select("book_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), F.coalesce(F.nullif("language", F.lit("")), F.lit("en")).alias("lang"), F.coalesce(F.when(F.col("identifier").startswith("urn:"), F.col("identifier")).otherwise(daisy_urn), F.concat(F.lit("urn:book:"), F.sha1(F.col("book_id").cast("binary")))).alias("identifier"), "creator", "publisher", "date", daisy_urn.alias("source"), own_rights.alias("rights"), "narrator", F.col("multimedia_type").alias("multimedia"), "error")
     own = sections(tables).join(book.select("book_id", "lang"), "book_id").withColumn("xhtml", package.content_xhtml("title", "body", "lang"))
     packed = own.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("section_idx", "xhtml", "smil", "seconds"))).alias("sections"))
     headings = tables["nav_items"].where("kind = 'heading'").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("ord", "level", text.escape_text(text.heading_label(F.col("text"), F.col("item_id"))).alias("label"), text.escape_attr(text.rewrite_href(F.col("href"))).alias("href")))).alias("headings"))
     pages = tables["nav_items"].where("kind = 'page'").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("ord", text.escape_text(F.col("text")).alias("label"), text.escape_attr(text.rewrite_href(F.col("href"))).alias("href")))).alias("pages"))
     heard = aggregates.first_seen(tables["clips"].withColumn("place", F.col("section_idx").cast("long") * 1_000_000_000 + F.col("clip_ord")), ["book_id"], "src", "place")
-    audio = heard.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("first_seen", F.concat(F.lit("audio/"), "src").alias("href"), text.media_type(F.col("src")).alias("media_type")))).alias("audio"))
+    audio = heard.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("first_seen", "src", F.concat(F.lit("audio/"), "src").alias("href"), text.media_type(F.col("src")).alias("media_type")))).alias("audio"))
+    total = tables["clips"].groupBy("book_id").agg(F.sum(aggregates.clip_seconds(F.col("clip_begin"), F.col("clip_end"))).alias("total"))
+    covers = spark.createDataFrame([], "book_id string, cover binary") if covers is None else covers.select("book_id", "cover")
     rows = book
-    for part in (packed, headings, pages, audio):
+    for part in (packed, headings, pages, audio, total, covers):
         rows = rows.join(part, "book_id", "left")
     wrong = package.violations(F.col("identifier"), F.col("title"), F.col("lang"), F.size("sections"))
     rows = rows.withColumn("error", F.coalesce("error", F.nullif(F.array_join(wrong, "; "), F.lit(""))))
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                listed = lambda x: [] if x is None else [dict(v.asDict() if hasattr(v, "asDict") else v) for v in x]
-                data, error = None, r.error
-                parts = listed(r.sections)
-                if not error:
-                    try:
-                        data = package.epub({"identifier": r.identifier, "title": r.title, "language": r.lang}, parts, [(h["level"], h["label"], h["href"]) for h in listed(r.headings)], [(p["label"], p["href"]) for p in listed(r.pages)], listed(r.audio))
-                    except Exception as e:  # a book's failure is its row's error
-                        error = f"{type(e).__name__}: {e}"
-                out.append((r.book_id, "error" if error else "ok", error, len(parts), float(sum(p["seconds"] for p in parts)), data))
-            yield pd.DataFrame(out, columns=["input", "status", "error", "n_sections", "seconds", "epub"])
-
-    return rows.mapInPandas(run, "input string, status string, error string, n_sections int, seconds double, epub binary")
+    def run(books, files):
+        out = []
+        stored = dict(zip(files["src"], files["content"], strict=True))
+        for r in books.itertuples(index=False):
+            listed = lambda x: [] if x is None else [dict(v.asDict() if hasattr(v, "asDict") else v) for v in x]
+            plain = lambda v: None if v is None or v != v else v
+            data, error = None, r.error
+            parts = listed(r.sections)
+            sounds = [a | {"content": stored.get(a["src"])} for a in listed(r.audio)]
+            if not error:
+                try:
+                    about = {"identifier": r.identifier, "title": r.title, "language": r.lang, "modified": modified, "seconds": plain(r.total), "access_modes": ("auditory", "textual") if r.multimedia == "audioFullText" else ("auditory",)}
+                    about |= {n: plain(getattr(r, n)) for n in ("creator", "publisher", "date", "source", "rights", "narrator")}
+                    data = package.epub(about, parts, [(h["level"], h["label"], h["href"]) for h in listed(r.headings)], [(p["label"], p["href"]) for p in listed(r.pages)], sounds, plain(r.cover))
+                except Exception as e:  # a book's failure is its row's error
+                    error = f"{type(e).__name__}: {e}"
+            out.append((r.book_id, "error" if error else "ok", error, len(parts), float(sum(p["seconds"] for p in parts)), data, [a["src"] for a in sounds if a["content"] is None]))
+        return pd.DataFrame(out, columns=["input", "status", "error", "n_sections", "seconds", "epub", "missing_audio"])
+
+    files = _heard_files(spark, root, heard)
+    return rows.groupBy("book_id").cogroup(files.groupBy("book_id")).applyInPandas(run, "input string, status string, error string, n_sections int, seconds double, epub binary, missing_audio array<string>")
 
 
 def summary(entries: DataFrame) -> DataFrame:

@@ -58,11 +58,35 @@ def content_xhtml(title: str, body: str, lang: str) -> Column:
     return F.concat(F.lit(_XML + '<html xmlns="http://www.w3.org/1999/xhtml" lang="'), F.col(lang), F.lit('"><head><title>'), text.escape_text(F.col(title)), F.lit("</title></head><body>"), F.rtrim(F.col(body)), F.lit("</body></html>"))
 
 
-def opf(book: dict, sections: list[dict], audio: list[dict]) -> str:
-    """The package document: metadata, manifest and spine in order, with durations where there are overlays."""
+ACCESS = '<meta property="schema:accessibilityFeature">tableOfContents</meta><meta property="schema:accessibilityFeature">synchronizedAudioText</meta><meta property="schema:accessibilityHazard">none</meta><meta property="schema:accessibilitySummary">This audiobook is structured for accessible reading with synchronised audio and navigable headings.</meta>'
+
+
+def cover_kind(cover: bytes) -> tuple[str, str]:
+    """(media type, href) of a cover, by its first bytes."""
+    if cover[:3] == b"\xff\xd8\xff":
+        return "image/jpeg", "images/cover.jpg"
+    if cover[:8] == b"\x89PNG\r\n\x1a\n":
+        return "image/png", "images/cover.png"
+    raise ValueError("the cover is neither JPEG nor PNG")
+
+
+def opf(book: dict, sections: list[dict], audio: list[dict], cover: bytes | None = None) -> str:
+    """The package document: metadata, manifest and spine in order, with durations where there are overlays.
+
+    book has identifier, title and language, and where known modified, creator, publisher, date, source, rights,
+    narrator, seconds (of all audio) and access_modes.
+    """
     esc = lambda s: str(s).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
     meta = [f'<dc:identifier id="pub-id">{esc(book["identifier"])}</dc:identifier>', f'<dc:title>{esc(book["title"])}</dc:title>', f'<dc:language>{esc(book["language"])}</dc:language>']
+    if book.get("modified"):
+        meta.append(f'<meta property="dcterms:modified">{esc(book["modified"])}</meta>')
+    meta += [f"<dc:{n}>{esc(book[n])}</dc:{n}>" for n in ("creator", "publisher", "date", "source", "rights") if book.get(n) is not None]
+    if book.get("narrator") is not None:
+        meta.append(f'<meta property="media:narrator">{esc(book["narrator"])}</meta>')
     items = ['<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>']
+    if cover:
+        kind, href = cover_kind(cover)
+        items.append(f'<item id="cover-image" href="{href}" media-type="{kind}" properties="cover-image"/>')
     spine, total = [], 0.0
     for k, s in enumerate(sections, 1):
         over = f' media-overlay="mo-{k:03d}"' if s.get("smil") else ""
@@ -72,10 +96,13 @@ def opf(book: dict, sections: list[dict], audio: list[dict]) -> str:
             meta.append(f'<meta property="media:duration" refines="#mo-{k:03d}">{s["seconds"]:.3f}s</meta>')
             total += s["seconds"]
         spine.append(f'<itemref idref="s-{k:03d}"/>')
+    total = total if book.get("seconds") is None else book["seconds"]
     if total > 0:
         meta.append(f'<meta property="media:duration">{total:.3f}s</meta>')
+    meta.append(ACCESS)
+    meta += [f'<meta property="schema:accessMode">{m}</meta>' for m in book.get("access_modes") or ("auditory",)]
     items += [f'<item id="audio-{k:03d}" href="{esc(a["href"])}" media-type="{a["media_type"]}"/>' for k, a in enumerate(audio, 1)]
-    return _XML + '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="pub-id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">' + "".join(meta) + "</metadata><manifest>" + "".join(items) + "</manifest><spine>" + "".join(spine) + "</spine></package>"
+    return _XML + '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="pub-id" prefix="schema: http://schema.org/"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">' + "".join(meta) + "</metadata><manifest>" + "".join(items) + "</manifest><spine>" + "".join(spine) + "</spine></package>"
 
 
 def nav_xhtml(headings: list[tuple[int, str, str]], pages: list[tuple[str, str]]) -> str:
@@ -90,7 +117,7 @@ def epub(book: dict, sections: list[dict], headings, pages, audio: list[dict], c
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip", zipfile.ZIP_STORED)
         z.writestr("META-INF/container.xml", CONTAINER)
-        z.writestr("OEBPS/package.opf", opf(book, sections, audio))
+        z.writestr("OEBPS/package.opf", opf(book, sections, audio, cover))
         z.writestr("OEBPS/nav.xhtml", nav_xhtml(headings, pages))
         for k, s in enumerate(sections, 1):
             z.writestr(f"OEBPS/content/section-{k:03d}.xhtml", s["xhtml"])
@@ -101,7 +128,7 @@ def epub(book: dict, sections: list[dict], headings, pages, audio: list[dict], c
             if a.get("content") is not None:
                 z.writestr(zipfile.ZipInfo(f"OEBPS/{a['href']}"), a["content"], zipfile.ZIP_STORED)
         if cover:
-            z.writestr(zipfile.ZipInfo("OEBPS/cover"), cover, zipfile.ZIP_STORED)
+            z.writestr(zipfile.ZipInfo(f"OEBPS/{cover_kind(cover)[1]}"), cover, zipfile.ZIP_STORED)
     return out.getvalue()
 
 

@@ -234,8 +234,22 @@ def book_info(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def write_smil(nodes: list[dict]) -> str:
-    """A section's nodes as SMIL; parsing it gives the same nodes."""
+def _head(metas: list[tuple[str, str]]) -> str:
+    from html import escape
+
+    return "<head>" + "".join(f'<meta name="{escape(n)}" content="{escape(c)}"/>' for n, c in metas) + "</head>"
+
+
+def write_master(refs: list[tuple[str, str, str]], metas: list[tuple[str, str]] = ()) -> str:
+    """A master file of refs (id, title, src) and metas; parsing it gives the same refs and metas."""
+    from html import escape
+
+    body = "".join(f'<ref title="{escape(title)}" src="{escape(src)}" id="{escape(ident)}"/>' for ident, title, src in refs)
+    return f'<?xml version="1.0" encoding="utf-8"?>\n<smil>{_head(metas)}<body>{body}</body></smil>'
+
+
+def write_smil(nodes: list[dict], metas: list[tuple[str, str]] = ()) -> str:
+    """A section's nodes and metas as SMIL; parsing it gives the same nodes and metas."""
     from html import escape
 
     children: dict = {}
@@ -248,4 +262,4 @@ def write_smil(nodes: list[dict]) -> str:
         inner = "".join(map(one, children.get(n["node_id"], [])))
         return f"<{n['kind']}{attrs}>{inner}</{n['kind']}>" if n["kind"] in ("seq", "par") else f"<{n['kind']}{attrs}/>"
 
-    return '<?xml version="1.0" encoding="utf-8"?>\n<smil><head></head><body>' + "".join(map(one, children.get(None, []))) + "</body></smil>"
+    return '<?xml version="1.0" encoding="utf-8"?>\n<smil>' + _head(metas) + "<body>" + "".join(map(one, children.get(None, []))) + "</body></smil>"
