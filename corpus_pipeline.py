@@ -39,7 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that sources, languages and topics meet their targets."""
-    mixed = mixing.mix(docs.select("doc_id", "text", "lang", "source", "n_chars"), mixing.PRODUCTION, mixing.SHARE)
+    mixed = mixing.mix(docs.select("doc_id", "text", "lang", "source", "n_chars"), mixing.production(docs), mixing.SHARE)
     return mixed.where("selected").select("doc_id", "text", "lang", "source", "n_chars")
 
 

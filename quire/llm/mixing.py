@@ -5,7 +5,7 @@ Iterative proportional fitting rakes the cells' token weights until the weighted
 topic are the targets. Documents are then sampled by a hash of their id with their cell's calibrated probability: one
 scale for all weights, set so that the expected tokens are the wanted share of the corpus where no probability is above 1.
 
-Levels without a target of their own are one level, "other", so the cells are at most the product of the targets'
+Levels without a target of their own are one level, "other", which keeps its observed share if it has no target, so the cells are at most the product of the targets'
 lengths plus one each, whatever the corpus holds: a proven bound for what the driver rakes and broadcasts.
 
 Topics are told from the text's form by column expressions: signs, capitals, repeats, else its length.
@@ -106,6 +106,18 @@ def cells(docs: DataFrame, targets: Targets) -> DataFrame:
     return classed.withColumns({f"{name}_level": _level(name, wanted) for name, wanted in targets.marginals()})
 
 
+def _goal(table: np.ndarray, axis: int, wanted: dict[str, float], levels: list[str]) -> np.ndarray:
+    """The shares wanted of an axis; "other" without a target keeps the share that it has."""
+    goal = np.array([wanted.get(k, 0.0) for k in levels])
+    goal /= goal.sum() or 1.0
+    if OTHER not in wanted and table.sum():
+        now = table.sum(tuple(a for a in range(table.ndim) if a != axis))
+        at = levels.index(OTHER)
+        goal *= 1 - now[at] / now.sum()
+        goal[at] = now[at] / now.sum()
+    return goal
+
+
 def probabilities(classed: DataFrame, targets: Targets, share: float) -> DataFrame:
     """A row per cell: its levels, raked weight and sampling probability."""
     spark = classed.sparkSession
@@ -115,7 +127,7 @@ def probabilities(classed: DataFrame, targets: Targets, share: float) -> DataFra
     found = classed.groupBy(*[f"{n}_level" for n in names]).agg(F.sum("tokens").alias("tokens")).collect()  # a row a cell at most
     for r in found:
         table[tuple(x.index(r[f"{n}_level"]) for n, x in zip(names, levels, strict=True))] = r["tokens"]
-    wanted = [np.array([w.get(k, 0.0) for k in x]) for (_, w), x in zip(targets.marginals(), levels, strict=True)]
+    wanted = [_goal(table, axis, w, x) for axis, ((_, w), x) in enumerate(zip(targets.marginals(), levels, strict=True))]
     weight = rake(table, wanted)
     chance = calibrate(table, weight, share)
     rows = [(*[x[i] for x, i in zip(levels, at, strict=True)], float(weight[at]), float(chance[at])) for at in np.ndindex(*table.shape)]
@@ -140,3 +152,13 @@ PRODUCTION = Targets(
 )
 #: Share of all tokens that is sampled.
 SHARE = 0.6
+#: Sources with a level of their own at most, those with the most documents; the rest are one level.
+SOURCES = 1000
+
+
+def production(docs: DataFrame) -> Targets:
+    """PRODUCTION with the sources that docs has, all alike. SOURCES bounds what is collected and the raked table."""
+    named = docs.where(F.col("source").isNotNull() & (F.col("source") != OTHER))
+    found = [r["source"] for r in named.groupBy("source").count().orderBy(F.desc("count"), "source").limit(SOURCES).collect()]
+    share = (1 - PRODUCTION.source[OTHER]) / max(len(found), 1)
+    return Targets(dict.fromkeys(found, share) | {OTHER: PRODUCTION.source[OTHER]}, PRODUCTION.lang, PRODUCTION.topic)

@@ -81,7 +81,8 @@ FROM s LEFT JOIN c ON c.class = md5(array_to_string(s.tokens, chr(10))) AND len(
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raked weight, sampling probability and fate of every document."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.PRODUCTION, mixing.SHARE)
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, mixing.production(docs), mixing.SHARE)
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "selected")
 
 
