@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own on a local master alone."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         known = sc._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all machines share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -27,12 +29,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives the loss of any executor."""
+#: Deletes a command's shuffle files once it has ended: what it wrote needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, label: str, every_row: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and survives the loss of any executor.
+
+    every_row: rows hold megabytes, so that pages and row groups must be measured after each.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     # no marker file: the table is read by its path in this session alone
-    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    writer = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    if every_row:
+        writer = writer.option("parquet.page.size.row.check.min", "1").option("parquet.block.size.row.check.min", "1").option("parquet.block.size", str(32 << 20))
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,12 +78,6 @@ def id_text_crc(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def base_columns(docs: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
-    """Only the wanted columns, under their own names; columns that are missing come as null strings."""
-    have = {c.lower(): c for c in docs.columns}
-    return docs.select(*[F.col(f"`{have[c]}`").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in wanted])
-
-
 def summed_in_two(rows: DataFrame, key: str, value: str, function, schema: str, first: int = 32) -> DataFrame:
     """rows (key, value) summed per key by an Arrow function, first in shares, then the shares: no task reads all parts."""
     shares = rows.select(key, value, (F.spark_partition_id() % first).alias("_share"))

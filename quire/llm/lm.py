@@ -1,26 +1,35 @@
-"""LM scoring by online logistic context mixing.
-
-A text is a sequence of tokens: its words (A-Z lower-cased), then one end. The model's probability of a token is
-
-    p_hit * [token is the predicted one] + (1 - p_hit) * (c + a * q(token)) / (N + a)
-
-* q spells the token bit by bit, ending in a space. Several hashed-context bit predictors (orders 1, 2, 3, 4 and 6
-  within the word, counted over the training tokens) are stretched, weighted by a weight set that a gate selects, and
-  squashed. The weights are learned online, step by step, over all training tokens, each with its own occurrence taken
-  out of the counts; tasks learn side by side and their weights are averaged. An adaptive probability map refines the
-  mix by the byte before.
-* c, N are the token's and all counts in the training documents (exact, kept in a distributed table that grows with
-  the corpus), a = V + 1 with V distinct training tokens.
-* The predicted token is the one that followed the last occurrence of the previous token in the same document. p_hit
-  mixes three context statistics by gated logistic weights and refines the result by its own context's counts.
-
-Work is laid out by chunks of at most CHUNK bytes of text: a chunk's distinct tokens go to the corpus-wide counts and
-come back with their figures, so what is shuffled is a chunk's vocabulary, not its tokens. Chunks are written to the
-shared folder once. Tables on the driver have fixed sizes (SLOT_BITS, JOINT).
+"""LM scoring by online logistic context mixing over running text.
+
+A text is a sequence of tokens: its words (A-Z lower-cased), then one end. Every token is told by a chain of bits, and
+the model's log10 probability of a text is the sum over its bits and choices:
+
+1. repeat: is it what followed the last occurrence of the token before, in the same document?
+2. two, one, short: has it been seen after the two tokens before, after the token before, after the last short word
+   (SHORT bytes at most)? If so the choice is (n - D) / (N - D * T): n its count in that context, N and T the context's
+   tokens and distinct tokens, D the order's absolute discount.
+3. known: does the corpus know it? If so the choice is the discounted share of its count.
+4. again: is it one of the unknown words that the document had before? If so all of them are alike.
+5. Otherwise it is spelled bit by bit, ending in a space.
+
+Each bit of 1 to 4 is mixed from three hashed-context predictors by weights that a gate selects, refined by the counts
+of the joint context, and shifted by a bias that is learned online while the document is read. The bits of a spelling are
+mixed from predictors of orders 1, 2, 3, 4 and 6 and one of the last short word with two letters; their weights are
+learned online and an adaptive map refines the mix by the byte before.
+
+What the corpus teaches are exact counts of tokens and of tokens in contexts over all training documents; they grow with
+the corpus and stay in the shared folder. A training document is scored by what the others teach: its own counts are
+taken out. All counts are integers and all weights are learned in a fixed order (cells of tables, words by name in shards
+by hash), so a score doesn't depend on how rows are dealt.
+
+Work is laid out by chunks of at most CHUNK bytes of text. A chunk sends each context's distinct tokens as sorted runs to
+ranges of the contexts' hashes (there are as many ranges as the corpus needs) and gets their counts back, so no token is
+a row. A context that more than one in 2 ** HOT tokens has is dealt over several ranges by its tokens and summed. Tokens
+and contexts are told apart by 64 bits of hash and more, growing with the number of ranges. Tables on the driver have
+fixed sizes but for the hot contexts' (about one row for each range).
 
 Defined results: a null text is empty, and an empty text is the end alone; repeated rows score alike; rows without an
 id are training rows like others (their crc32 is that of the empty text); an empty table gives no rows; a corpus
-without training rows has N = V = 0 and scores by q and p_hit alone; other columns are ignored.
+without training rows has N = V = 0 and scores by spelling alone; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,47 +45,630 @@ from pyspark.sql import functions as F
 
 from quire.llm import textkernel as tk
 from quire.llm.boosting import sigmoid
-from quire.llm.common import id_text_crc, summed_in_two, written
+from quire.llm.common import drop_written, id_text_crc, summed_in_two, written
+
+#: Bytes of text whose contexts are looked up together, and bytes of text that a range of contexts stands for.
+CHUNK, RANGE = 16_000_000, 8_000_000
+#: Bits of a context's hash beyond those of its range, and bits of a token's hash in it.
+CONTEXT_BITS, TOKEN_BITS = 33, 31
+#: A context with more than one in 2**HOT tokens is dealt over ranges; it is told from one position in EVERY.
+HOT, EVERY = 14, 16
+#: Bytes of a short word.
+SHORT = 3
+#: Orders that are counted: 0 the token itself, then contexts of one token, two, and the last short word.
+VOCABULARY, ONE, TWO, LAST_SHORT = 0, 1, 2, 3
+#: The chain's bits in the order they are asked.
+REPEAT, SEEN_TWO, SEEN_ONE, SEEN_SHORT, KNOWN, AGAIN = range(6)
+CHAIN = 6
+#: A bit's joint context: four values below 16, the first of which is the gate.
+JOINT = 16**4
+#: The online bias: tokens between updates, rate, and how much it is drawn to nothing.
+BLOCK, BIAS_RATE, BIAS_HOLD = 32, 0.02, 0.98
 
-#: Bytes of text whose distinct tokens are looked up together.
-CHUNK = 16_000_000
-#: Orders of the bit predictors, and the bits of their tables' addresses.
-ORDERS, SLOT_BITS = (1, 2, 3, 4, 6), (16, 18, 18, 19, 19)
+#: Orders of the spelling's predictors (0: the last short word with two letters) and the bits of their tables' addresses.
+ORDERS, SLOT_BITS = (1, 2, 3, 4, 6, 0), (16, 18, 18, 19, 19, 19)
 _ADDRESS = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS])))
 _TABLE = int(_ADDRESS[-1])
 _PART = 1 << 17
-#: Gates: bit number times how many predictors know their context.
+#: Gates of the spelling: bit number times how many predictors know their context.
 GATES = 8 * (len(ORDERS) + 1)
 #: Buckets of the adaptive map, per byte before.
 MAP = 33
-#: Tokens that are mixed in one step, and those whose weights are updated together.
-STEP, ONLINE = 20_000, 4_000
+#: Words that are mixed in one step, those whose weights are updated together, and those of a shard of the learning.
+STEP, ONLINE, SHARD = 20_000, 4_000, 100_000
 RATE = 0.02
-#: Contexts of p_hit: run of hits, last four hits, rank class of the previous and of the predicted token; 16 values each.
-JOINT = 16**4
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SALT = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
+_START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+#: Values of bytes for a second hash of tokens.
+_OTHER = (tk.mix(np.arange(256, dtype=np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
 
 
 def stretch(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+# ---- packing
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers >= 0 as byte planes of the width they need, compressed together."""
+    parts = [np.array([len(arrays)], "<u8").tobytes()]
+    for a in arrays:
+        top = int(a.max()) if len(a) else 0
+        width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+        planes = np.ascontiguousarray(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+        parts += [np.array([width, len(a)], "<u8").tobytes(), planes.tobytes()]
+    raw = b"".join(parts)
+    return np.array([len(raw)], "<u8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    size = int(np.frombuffer(data, "<u8", 1)[0])
+    raw = pa.decompress(memoryview(data)[8:], size, codec="zstd", asbytes=True)
+    at, out = 8, []
+    for _ in range(int(np.frombuffer(raw, "<u8", 1)[0])):
+        width, n = (int(v) for v in np.frombuffer(raw, "<u8", 2, at))
+        planes = np.frombuffer(raw, np.uint8, width * n, at + 16).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
+        at += 16 + width * n
+    return out
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def spread(starts: np.ndarray, n: int) -> np.ndarray:
+    """The number of its run for each of n places."""
+    marks = np.zeros(n, dtype=np.int64)
+    marks[starts[1:]] = 1
+    return np.cumsum(marks)
+
+
+# ---- chunks
+
+_CHUNK = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("hot", pa.binary())])
+_CHUNK_SQL = "chunk long, docs binary, ids binary, sizes binary, words binary, hot binary"
+
+
+class Chunk:
+    """The documents of a chunk: token ids (0: the end), the tokens' bytes and hashes, and hashes of all contexts."""
+
+    def __init__(self, docs: bytes, ids: bytes, sizes: bytes, words: bytes):
+        self.doc_id, self.no_id, held, self.n_bytes, tokens = unpack(docs)
+        self.held = held.astype(bool)
+        (ids,) = unpack(ids)
+        self.ids = ids.astype(np.int64)
+        self.first = np.concatenate(([0], np.cumsum(tokens.astype(np.int64))))
+        (width,) = unpack(sizes)
+        self.offsets = np.concatenate(([0], np.cumsum(width.astype(np.int64))))
+        self.raw = np.frombuffer(pa.decompress(memoryview(words), int(self.offsets[-1]), codec="zstd", asbytes=True), np.uint8) if self.offsets[-1] else np.zeros(0, np.uint8)
+        self.hash = tk.range_hashes(self.raw, self.offsets[:-1], self.offsets[1:])
+        self.hash[0] = _END
+        self.other = (tk.range_hashes(_OTHER[self.raw], self.offsets[:-1], self.offsets[1:]) >> np.uint64(64 - TOKEN_BITS)).astype(np.uint32)
+        self.owner = np.repeat(np.arange(len(self.held)), np.diff(self.first))
+        self.place = np.arange(len(self.ids)) - self.first[self.owner]
+
+    @classmethod
+    def of(cls, row: dict) -> Chunk:
+        return cls(row["docs"], row["ids"], row["sizes"], row["words"])
+
+    def last_short(self) -> np.ndarray:
+        """For each token the place of the last short word before it in its document, or -1."""
+        short = (np.diff(self.offsets) <= SHORT)[self.ids] & (self.ids > 0)
+        at = np.where(short, np.arange(len(self.ids)), -1)
+        last = np.full(len(self.ids), -1, dtype=np.int64)
+        last[1:] = np.maximum.accumulate(at)[:-1]
+        last[last < self.first[self.owner]] = -1
+        return last
+
+    def before(self, back: int) -> np.ndarray:
+        """The hash of the token that many places before, or that of the start."""
+        h = np.full(len(self.ids), _START, dtype=np.uint64)
+        h[back:] = self.hash[self.ids[:-back]]
+        h[self.place < back] = _START
+        return h
+
+    def context(self, order: int) -> np.ndarray:
+        """The hash of each token's context; order 0 has an entry for each distinct token."""
+        if order == VOCABULARY:
+            return self.hash
+        if order == ONE:
+            return tk.mix(self.before(1) + _SALT[0])
+        if order == TWO:
+            return tk.mix(self.before(1) * _SALT[1] + self.before(2) * _SALT[2])
+        last = self.last_short()
+        return tk.mix(np.where(last >= 0, self.hash[self.ids[np.maximum(last, 0)]], _START) + _SALT[3])
+
+    def training(self) -> np.ndarray:
+        return ~self.held[self.owner]
+
+
+class Entries:
+    """A chunk's distinct (context, token) pairs of an order, sorted; hot contexts are salted by their tokens."""
+
+    def __init__(self, chunk: Chunk, order: int, hot: Hot):
+        context, token = chunk.context(order), chunk.other if order == VOCABULARY else chunk.other[chunk.ids]
+        if order != VOCABULARY:
+            context = hot.salted(order, context, token)
+        top, low = np.uint64(24), np.uint64(TOKEN_BITS - 24)
+        self.order = np.argsort((context >> top << top) | (token.astype(np.uint64) >> low), kind="stable")
+        context, token = context[self.order], token[self.order]
+        self.pair = runs(context, token)
+        self.pair_of = spread(self.pair, len(context))
+        self.context, self.token = context[self.pair], token[self.pair]
+        self.run = runs(self.context)
+        self.run_of = spread(self.run, len(self.context))
+
+    def ranges(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ranges, first pair of each and the total); a run of a context is never cut."""
+        of = (self.context >> np.uint64(64 - bits)) if bits else np.zeros(len(self.context), np.uint64)
+        starts = runs(of)
+        return of[starts].astype(np.int64), np.append(starts, len(of))
+
+    def within(self, bits: int) -> np.ndarray:
+        """The contexts' hashes without the bits of the range."""
+        return (self.context << np.uint64(bits)) >> np.uint64(64 - CONTEXT_BITS)
+
+
+class Hot:
+    """Contexts that are dealt over several ranges, and the totals of all their shares once these are counted."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.context = {o: np.zeros(0, np.uint64) for o in (ONE, TWO, LAST_SHORT)}
+        self.shares = dict.fromkeys(self.context, np.zeros(0, np.uint64))
+        self.totals: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def add(self, order: int, context: np.ndarray, share: np.ndarray) -> None:
+        """Contexts with their shares of all tokens."""
+        by = np.argsort(context)
+        self.context[order] = context[by]
+        self.shares[order] = (1 + np.ceil(share[by] * (1 << self.bits) * 2)).astype(np.uint64)
+
+    def _salt(self, context: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return tk.mix(context + (number + np.uint64(1)) * _C1)
+
+    def salted(self, order: int, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+        known = self.context[order]
+        if not len(known):
+            return context
+        at = np.minimum(np.searchsorted(known, context), len(known) - 1)
+        hit = known[at] == context
+        number = (tk.mix(token[hit].astype(np.uint64)) >> np.uint64(11)) % self.shares[order][at[hit]]
+        out = context.copy()
+        out[hit] = self._salt(context[hit], number)
+        return out
+
+    def salts(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted salted contexts, the hot context each belongs to)."""
+        n = self.shares[order].astype(np.int64)
+        of = np.repeat(np.arange(len(n)), n)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        salted = self._salt(self.context[order][of], number.astype(np.uint64))
+        by = np.argsort(salted)
+        return salted[by], of[by]
+
+    def key(self, context: np.ndarray) -> np.ndarray:
+        """The bits of a context that the ranges see."""
+        return context >> np.uint64(max(0, 64 - CONTEXT_BITS - self.bits))
+
+    def sum(self, order: int, keys: np.ndarray, tokens: np.ndarray, distinct: np.ndarray) -> None:
+        """Takes the shares' counts and keeps the totals by salted context."""
+        salted, of = self.salts(order)
+        total = np.zeros((2, len(self.context[order])), dtype=np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(self.key(salted), keys), max(0, len(salted) - 1))
+            for row, v in zip(total, (tokens, distinct), strict=True):
+                np.add.at(row, of[at], v.astype(np.int64))
+        self.totals[order] = (salted, total[0][of], total[1][of])
+
+    def whole(self, order: int, context: np.ndarray, tokens: np.ndarray, distinct: np.ndarray) -> None:
+        """Replaces the counts of salted contexts by those of the whole context."""
+        salted, n, t = self.totals[order]
+        if len(salted):
+            at = np.minimum(np.searchsorted(salted, context), len(salted) - 1)
+            hit = salted[at] == context
+            tokens[hit], distinct[hit] = n[at[hit]], t[at[hit]]
+
+
+def _chunks(batches):
+    """A row for each chunk: its documents, token ids (by falling frequency), words, and frequent contexts of a sample."""
+    task, number = TaskContext.get().partitionId(), 0
+    held: list = []
+    size = 0
+
+    def flush():
+        nonlocal held, size, number
+        hashes = np.concatenate([h for _, h, _, _ in held])
+        first, base, spans = [0], 0, []
+        doc_ids, outs, n_bytes = [], [], []
+        for rows, _, (starts, ends, f, sizes), raw in held:
+            doc_ids.append(rows.column(0))
+            outs.append(rows.column(1))
+            n_bytes.append(sizes)
+            first += (f[1:] + first[-1]).tolist()
+            spans.append(np.stack([starts, ends]) + base)
+            base += len(raw)
+        first, spans = np.array(first), np.concatenate(spans, axis=1)
+        raw = np.concatenate([r for *_, r in held])
+        uniq, where, back, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        order = np.lexsort((uniq, -n))
+        # id 0 is the end; words follow by falling frequency
+        place = np.empty(len(uniq), dtype=np.int64)
+        place[order] = np.arange(1, len(uniq) + 1)
+        docs = len(first) - 1
+        ids = np.zeros(len(hashes) + docs, dtype=np.int64)
+        if len(hashes):
+            ids[np.arange(len(hashes)) + np.repeat(np.arange(docs), np.diff(first))] = place[back]
+        starts, ends = spans[0][where[order]], spans[1][where[order]]
+        width = ends - starts
+        offsets = np.concatenate(([0], np.cumsum(width)))
+        picked = np.repeat(starts - offsets[:-1], width) + np.arange(int(offsets[-1]))
+        id_of = pa.concat_arrays([a.cast(pa.int64()) for a in doc_ids])
+        rows = pack(id_of.fill_null(0).to_numpy().view(np.uint64), id_of.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), np.concatenate([o.to_numpy(zero_copy_only=False) for o in outs]).astype(np.uint8), np.concatenate(n_bytes), np.diff(first) + 1)
+        row = {"docs": rows, "ids": pack(ids), "sizes": pack(np.concatenate(([0], width))), "words": pa.compress(raw[picked].tobytes(), codec="zstd", asbytes=True)}
+        row |= {"chunk": (task << 24) + number, "hot": _frequent(Chunk.of(row))}
+        yield pa.RecordBatch.from_pylist([row], schema=_CHUNK)
+        held, size, number = [], 0, number + 1
+
+    for rows, raw, offsets in tk.pieces(batches, "text"):
+        if held and size + len(raw) > CHUNK:
+            yield from flush()
+        low = tk.lower_ascii(raw)
+        starts, ends, f = tk.words(raw, offsets)
+        held.append((rows, tk.range_hashes(low, starts, ends), (starts, ends, f, np.diff(offsets)), low))
+        size += len(raw)
+    if held:
+        yield from flush()
+
+
+def _frequent(chunk: Chunk) -> bytes:
+    """Of every EVERY-th token the contexts that more than one in 2**(HOT + 2) has, by order: they only steer the dealing."""
+    out = []
+    for order in (ONE, TWO, LAST_SHORT):
+        context, n = np.unique(chunk.context(order)[::EVERY], return_counts=True)
+        often = n > max(1, len(chunk.ids) // EVERY >> (HOT + 2))
+        out += [context[often], n[often]]
+    return pack(np.array([len(chunk.ids)]), *out)
+
+
+def hot_contexts(chunks: DataFrame, bits: int) -> Hot:
+    """The frequent contexts of all chunks' samples, by their share of all tokens."""
+    hot, total, found = Hot(bits), 0, {}
+    for r in chunks.select("hot").toLocalIterator():
+        (n,), *rest = unpack(r["hot"])
+        total += int(n)
+        for i, order in enumerate((ONE, TWO, LAST_SHORT)):
+            held = found.setdefault(order, [np.zeros(0, np.uint64), np.zeros(0)])
+            context, back = np.unique(np.concatenate((held[0], rest[2 * i].astype(np.uint64))), return_inverse=True)
+            found[order] = [context, np.bincount(back, np.concatenate((held[1], rest[2 * i + 1])))]
+    for order, (context, n) in found.items():
+        often = n * EVERY > total / (1 << HOT)
+        hot.add(order, context[often], n[often] * EVERY / max(total, 1))
+    return hot
+
+
+# ---- counts
+
+_REPLY_SQL = "chunk long, place long, ord int, counts binary"
+_REPLY = pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("ord", pa.int32()), ("counts", pa.binary())])
+#: Rows that belong to no chunk: an order's statistics, and the shares of hot contexts.
+STATISTICS, SHARES = -1, -2
+
+
+def _keys(order: int, bits: int, hot: Hot):
+    """A chunk's pairs of an order, a row for each range."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk.of(row)
+                own = Entries(chunk, order, hot)
+                training = np.bincount(chunk.ids, chunk.training(), len(chunk.hash))[own.order] if order == VOCABULARY else chunk.training()[own.order]
+                n = np.add.reduceat(training.astype(np.int64), own.pair)
+                places, edges = own.ranges(bits)
+                within = own.within(bits)
+                at = np.searchsorted(own.run, edges)
+                sizes = np.diff(np.append(own.run, len(own.context)))
+                blobs = []
+                for i in range(len(places)):
+                    a, b, c, d = edges[i], edges[i + 1], at[i], at[i + 1]
+                    first = within[own.run[c:d]]
+                    blobs.append(pack(np.diff(first, prepend=np.uint64(0)), sizes[c:d], own.token[a:b], n[a:b]))
+                for i in range(0, len(places), 64):
+                    m = len(places[i : i + 64])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, row["chunk"])), pa.array(places[i : i + 64]), pa.array(np.full(m, order, np.int32)), pa.array(blobs[i : i + 64], pa.binary())], schema=_REPLY)
+
+    return run
+
+
+def _counted(bits: int, order: int, hot_keys: np.ndarray):
+    """The counts of all pairs of a range, as replies to the chunks that asked."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, asked, parts = key[0].as_py(), [], []
+        for batch in batches:
+            asked += batch.column("chunk").to_pylist()
+            parts += [unpack(b.as_py()) for b in batch.column("counts")]
+        sizes = [p[1].astype(np.int64) for p in parts]
+        context = np.concatenate([np.repeat(np.cumsum(p[0].astype(np.uint64)), s) for p, s in zip(parts, sizes, strict=True)])
+        both = (context << np.uint64(TOKEN_BITS)) | np.concatenate([p[2].astype(np.uint64) for p in parts])
+        by = np.argsort(both)
+        sorted_ = both[by]
+        pair = runs(sorted_)
+        n = np.add.reduceat(np.concatenate([p[3] for p in parts]).astype(np.int64)[by], pair)
+        own = sorted_[pair] >> np.uint64(TOKEN_BITS)
+        run_ = runs(own)
+        tokens, distinct = np.add.reduceat(n, run_), np.add.reduceat((n > 0).astype(np.int64), run_)
+        pair_of, of = np.empty(len(by), np.int64), spread(run_, len(own))
+        pair_of[by] = spread(pair, len(by))
+        out, a = [], 0
+        for s in sizes:
+            m = int(s.sum())
+            mine = pair_of[a : a + m]
+            at = of[mine[np.cumsum(s) - s]]
+            out.append(pack(n[mine]) if order == VOCABULARY else pack(n[mine], tokens[at], distinct[at]))
+            a += m
+        asked.append(STATISTICS)
+        out.append(pack(np.array([n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum()])))
+        if len(hot_keys):
+            whole = (np.uint64(place) << np.uint64(CONTEXT_BITS)) | own[run_] if bits else own[run_]
+            mine = np.isin(whole, hot_keys)
+            if mine.any():
+                asked.append(SHARES)
+                out.append(pack(whole[mine], tokens[mine], distinct[mine]))
+        for i in range(0, len(asked), 64):
+            m = len(asked[i : i + 64])
+            yield pa.RecordBatch.from_arrays([pa.array(asked[i : i + 64], pa.int64()), pa.array(np.full(m, place)), pa.array(np.full(m, order, np.int32)), pa.array(out[i : i + 64], pa.binary())], schema=_REPLY)
+
+    return run
+
+
+def counts_of(chunks: DataFrame, order: int, bits: int, hot: Hot) -> tuple[DataFrame, np.ndarray]:
+    """(replies to all chunks, statistics of the order: tokens, distinct pairs, pairs counted once, twice)."""
+    keys = np.zeros(0, np.uint64) if order == VOCABULARY else np.sort(hot.key(hot.salts(order)[0]))
+    asked = chunks.select("chunk", "docs", "ids", "sizes", "words").mapInArrow(_keys(order, bits, hot), _REPLY_SQL)
+    replies = written(asked.groupBy("place").applyInArrow(_counted(bits, order, keys), _REPLY_SQL), f"counts-{order}")
+    total, shares = np.zeros(4, dtype=np.int64), [[], [], []]
+    for r in replies.where("chunk < 0").select("chunk", "counts").toLocalIterator():
+        found = unpack(r["counts"])
+        if r["chunk"] == STATISTICS:
+            total += found[0].astype(np.int64)
+        else:
+            for held, v in zip(shares, found, strict=True):
+                held.append(v)
+    if order != VOCABULARY:
+        hot.sum(order, *(np.concatenate(s) if s else np.zeros(0, np.uint64) for s in shares))
+    return replies, total
+
+
+# ---- the chain's bits
+
+_FEATURES = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("bits", pa.binary()), ("spelled", pa.binary()), ("words", pa.binary()), ("n_spelled", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+_FEATURES_SQL = "chunk long, docs binary, bits binary, spelled binary, words binary, n_spelled long, part int, counts binary"
+
+
+def bucket(v: np.ndarray, step: int = 1) -> np.ndarray:
+    """Number of binary digits, in steps, 15 at most."""
+    return np.minimum((np.frexp(v.astype(np.float64))[1] + step - 1) // step, 15).astype(np.int64)
+
+
+def share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b in sixteenths, 15 where b is 0."""
+    return np.where(b > 0, 15 * a // np.maximum(b, 1), 15)
+
+
+def joined(*values: np.ndarray) -> np.ndarray:
+    code = values[0]
+    for v in values[1:]:
+        code = code * 16 + v
+    return code
+
+
+def history(outcome: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The last four outcomes within the document before each."""
+    out = np.zeros(len(outcome), dtype=np.int64)
+    for k in range(1, 5):
+        out[k:] += np.where(owner[k:] == owner[:-k], outcome[:-k].astype(np.int64) << (k - 1), 0)
+    return out
+
+
+def followed(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the last token that followed the same token in the document, or -1; length of the run of such hits before)."""
+    n = len(chunk.ids)
+    prev = np.empty(n, dtype=np.int64)
+    prev[1:] = chunk.ids[:-1]
+    prev[chunk.place == 0] = -1
+    key = chunk.owner * np.int64(len(chunk.hash) + 1) + prev + 1
+    order = np.argsort(key, kind="stable")
+    last = np.full(n, -1, dtype=np.int64)
+    last[order[1:]] = np.where(key[order][1:] == key[order][:-1], order[:-1], -1)
+    last[prev < 0] = -1
+    hit = (last >= 0) & (chunk.ids[last] == chunk.ids)
+    stop = np.maximum.accumulate(np.where(hit & (chunk.place > 0), -1, np.arange(n)))
+    before = np.zeros(n, dtype=np.int64)
+    before[1:] = np.arange(n - 1) - stop[:-1]
+    before[chunk.place == 0] = 0
+    return last, before
+
+
+def own_counts(by: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each of the sorted places the length of its run."""
+    return np.repeat(np.diff(np.append(starts, len(by))), np.diff(np.append(starts, len(by))))
+
+
+def _others(chunk: Chunk, order: int, hot: Hot, reply: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token, in its context and without its document: its count, the tokens, the distinct tokens."""
+    own = Entries(chunk, order, hot)
+    n, tokens, distinct = (v.astype(np.int64) for v in reply)
+    hot.whole(order, own.context[own.run], tokens, distinct)
+    owner = chunk.owner[own.order]
+    sub = runs(own.pair_of, owner)
+    size = np.diff(np.append(sub, len(owner)))
+    at = own.order[sub]
+    pair = own.pair_of[sub]
+    key = tk.mix(chunk.context(order)[at] + (chunk.owner[at].astype(np.uint64) + np.uint64(1)) * _C2)
+    by = np.argsort(key)
+    group = runs(key[by])
+    of = np.empty(len(by), dtype=np.int64)
+    of[by] = spread(group, len(by))
+    in_document, only_here = np.add.reduceat(size[by], group)[of], np.add.reduceat((n[pair] == size)[by].astype(np.int64), group)[of]
+    training = ~chunk.held[chunk.owner[at]]
+    out = []
+    for all_, mine in ((n[pair], size), (tokens[own.run_of[pair]], in_document), (distinct[own.run_of[pair]], only_here)):
+        v = np.empty(len(owner), dtype=np.int64)
+        v[own.order] = np.repeat(all_ - np.where(training, mine, 0), size)
+        out.append(v)
+    return tuple(out)
+
+
+def discount(statistics: np.ndarray) -> float:
+    """The absolute discount that counts of one and of two occurrences suggest."""
+    _, _, once, twice = (float(v) for v in statistics)
+    return min(max((once + 0.5) / (once + 2 * twice + 1), 0.1), 0.9)
+
+
+def _features(hot: Hot, statistics: dict[int, np.ndarray]):
+    """All that a chunk's bits are mixed from, and the log10 probabilities of its choices."""
+    tokens, distinct = int(statistics[VOCABULARY][0]), int(statistics[VOCABULARY][1])
+    less = {o: discount(s) for o, s in statistics.items()}
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        chunk = Chunk.of(row)
+        got: dict[int, list] = {}
+        for r in sorted(right.to_pylist(), key=lambda r: (r["ord"], r["place"])):
+            got.setdefault(r["ord"], []).append(unpack(r["counts"]))
+        reply = {o: [np.concatenate(v) for v in zip(*parts, strict=True)] for o, parts in got.items()}
+        ids, owner, place, training = chunk.ids, chunk.owner, chunk.place, chunk.training()
+        vocabulary = Entries(chunk, VOCABULARY, hot)
+        c = np.empty(len(chunk.hash), dtype=np.int64)
+        c[vocabulary.order] = reply[VOCABULARY][0].astype(np.int64)[vocabulary.pair_of]
+        by = np.argsort(ids, kind="stable")
+        sub = runs(ids[by], owner[by])
+        size = np.diff(np.append(sub, len(by)))
+        own = np.empty(len(ids), dtype=np.int64)
+        own[by] = np.repeat(size, size)
+        first_here = np.zeros(len(ids), dtype=bool)
+        first_here[by[sub]] = True
+        known = c[ids] - np.where(training, own, 0)
+        docs = len(chunk.held)
+        only_here = np.bincount(owner[by[sub]], (c[ids[by[sub]]] == size) & training[by[sub]], docs).astype(np.int64)
+        n_tokens = np.diff(chunk.first)
+        others, kinds = tokens - np.where(chunk.held, 0, n_tokens), distinct - only_here
+        # unknown words that the document had before, the prior token's count
+        unknown = known == 0
+        new = unknown & first_here
+        so_far = np.cumsum(new) - new
+        so_far -= so_far[chunk.first[:-1]][owner]
+        prior = np.zeros(len(ids), dtype=np.int64)
+        prior[1:] = known[:-1]
+        prior[place == 0] = 0
+        choice = np.zeros(len(ids))
+        told = np.full(len(ids), CHAIN, dtype=np.uint8)
+        asked = np.zeros(len(ids), dtype=np.uint8)
+        codes = []
+        pending = np.ones(len(ids), dtype=bool)
+
+        def ask(bit: int, use: np.ndarray, outcome: np.ndarray, code) -> np.ndarray:
+            """Asks a bit of some tokens that are not told yet; returns the places where it is one."""
+            at = np.flatnonzero(use & pending)
+            codes.append(code(at, history(outcome[at], owner[at])).astype(np.int64))
+            asked[at] |= 1 << bit
+            hit = at[outcome[at]]
+            told[hit] = bit
+            pending[hit] = False
+            return hit
+
+        last, before = followed(chunk)
+        ask(REPEAT, last >= 0, (last >= 0) & (ids[last] == ids), lambda at, h: joined(np.minimum(before[at], 15), h, bucket(prior[at]), bucket(known[last[at]])))
+        seen = {o: _others(chunk, o, hot, reply[o]) for o in (TWO, ONE, LAST_SHORT)}
+        ratio = {o: share(t, n) for o, (_, n, t) in seen.items()}
+        inputs = {
+            SEEN_TWO: (TWO, lambda at, h: joined(bucket(seen[TWO][1][at]), ratio[TWO][at], h, ratio[ONE][at])),
+            SEEN_ONE: (ONE, lambda at, h: joined(bucket(seen[ONE][1][at]), ratio[ONE][at], h, ratio[LAST_SHORT][at])),
+            SEEN_SHORT: (LAST_SHORT, lambda at, h: joined(bucket(seen[LAST_SHORT][1][at], 2), ratio[LAST_SHORT][at], h, bucket(prior[at]))),
+        }
+        for bit, (order, code) in inputs.items():
+            n, all_, kinds_here = seen[order]
+            hit = ask(bit, all_ > 0, n > 0, code)
+            choice[hit] = np.log10((n[hit] - less[order]) / (all_[hit] - less[order] * kinds_here[hit]))
+        short = bucket(seen[LAST_SHORT][1], 2)
+        hit = ask(KNOWN, pending, ~unknown, lambda at, h: joined(h, short[at], bucket(prior[at]), 15 * so_far[at] // np.maximum(place[at], 1)))
+        choice[hit] = np.log10((known[hit] - less[VOCABULARY]) / (others[owner[hit]] - less[VOCABULARY] * kinds[owner[hit]]))
+        hit = ask(AGAIN, so_far > 0, ~first_here, lambda at, h: joined(bucket(so_far[at]), h, bucket(place[at]), bucket(prior[at])))
+        choice[hit] = -np.log10(so_far[hit])
+        base = np.log10((c + 1.0) / (tokens + distinct + 1.0))[ids]
+        cut = chunk.first[:-1]
+        sums = [np.add.reduceat(v, cut).astype(np.float64).view(np.uint64) for v in (choice, base)]
+        rows = pack(chunk.doc_id, chunk.no_id, chunk.held, chunk.n_bytes, n_tokens, np.add.reduceat((c[ids] > 0).astype(np.int64), cut), *sums)
+        spelled = np.flatnonzero(told == CHAIN)
+        width = np.diff(chunk.offsets)[ids[spelled]]
+        offsets = np.concatenate(([0], np.cumsum(width)))
+        raw = chunk.raw[np.repeat(chunk.offsets[:-1][ids[spelled]] - offsets[:-1], width) + np.arange(int(offsets[-1]))]
+        words = [pack(owner[spelled], width, chunk.context(LAST_SHORT)[spelled] & np.uint64(0xFFFF)), pa.compress(raw.tobytes(), codec="zstd", asbytes=True)]
+        n_spelled = int(training[spelled].sum())
+        out = [{"chunk": row["chunk"], "docs": rows, "bits": pack(told, asked, *codes), "spelled": words[0], "words": words[1], "n_spelled": n_spelled}]
+        for bit, code in enumerate(codes):
+            at = np.flatnonzero(asked & (1 << bit))
+            use = training[at]
+            out.append({"part": bit, "counts": pack(*(np.bincount(v, minlength=JOINT) for v in (code[use], code[use & (told[at] == bit)])))})
+        return pa.Table.from_pylist(out, schema=_FEATURES)
+
+    return run
+
+
+def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of packed arrays of counts."""
+    total: list[np.ndarray] = []
+    for batch in batches:
+        for p in batch.column(1):
+            parts = [a.astype(np.int64) for a in unpack(p.as_py())]
+            total = [a + b for a, b in zip(total, parts, strict=True)] if total else parts
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([pack(*total)], pa.binary())], ["part", "counts"])
+
+
+def refined(tried: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """A bit's probability in every joint context: three predictors mixed by gated weights, refined by the cell's counts."""
+    grid_t, grid_h = tried.reshape(16, 16, 16, 16).astype(np.float64), hits.reshape(16, 16, 16, 16).astype(np.float64)
+    inputs = []
+    for axes in ((2, 3), (1, 3), (1, 2)):
+        t, h = grid_t.sum(axes, keepdims=True), grid_h.sum(axes, keepdims=True)
+        inputs.append(np.broadcast_to(stretch((h + 0.4) / (t + 0.8)), grid_t.shape).reshape(-1))
+    x = np.stack(inputs)
+    gate = np.arange(JOINT) >> 12
+    w = np.full((16, 3), 0.4)
+    mass = np.maximum(np.bincount(gate, tried, 16), 1)
+    for _ in range(200):
+        err = hits - tried * sigmoid((x * w[gate].T).sum(0))
+        w += 0.02 * np.stack([np.bincount(gate, err * x[k], 16) for k in range(3)], axis=1) / mass[:, None]
+    p = sigmoid((x * w[gate].T).sum(0))
+    return np.clip((hits + 20 * p) / (tried + 20), 1e-5, 1 - 1e-5)
+
+
+# ---- spelling
+
+
 class Spelled:
-    """The bits of some tokens, and their addresses in the predictors' tables."""
+    """The bits of some words and an ending space, and their addresses in the predictors' tables."""
 
-    def __init__(self, tokens: pa.Array):
-        raw, offsets = tk.utf8(tokens)
-        size = np.diff(offsets)
+    def __init__(self, raw: np.ndarray, size: np.ndarray, short: np.ndarray):
+        offsets = np.concatenate(([0], np.cumsum(size)))
         self.first = offsets[:-1] + np.arange(len(size))
         self.owner = np.repeat(np.arange(len(size)), size + 1)
         self.code = np.full(len(raw) + len(size), 32, dtype=np.uint8)
         self.code[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw
         place = np.arange(len(self.code)) - self.first[self.owner]
-        self.before = np.zeros(len(self.code), dtype=np.uint8)
         h = np.zeros(len(self.code), dtype=np.uint64)
-        self.context = []
+        found = {}
         for k in range(1, max(ORDERS) + 1):
             back = np.zeros(len(self.code), dtype=np.uint64)
             back[k:] = self.code[:-k]
@@ -84,8 +676,10 @@ class Spelled:
             if k == 1:
                 self.before = back.astype(np.uint8)
             h = h + (back + np.uint64(1)) * _SALT[k - 1]
-            if k in ORDERS:
-                self.context.append(tk.mix(h + np.uint64(k)))
+            if k == 2:
+                found[0] = tk.mix(h + (short[self.owner].astype(np.uint64) + np.uint64(1)) * _C2)
+            found[k] = tk.mix(h + np.uint64(k))
+        self.context = [found[k] for k in ORDERS]
 
     def bits(self):
         """For each bit of a byte, most telling first: (number, values, addresses with a row per order)."""
@@ -95,88 +689,121 @@ class Spelled:
             yield b, (self.code >> np.uint8(7 - b)) & np.uint8(1), at
 
 
-def _tokens(batches, least: int = STEP):
-    """(tokens, counts) in steps."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, least):
-            part = batch.slice(i, least)
-            yield part.column(0), part.column(1).to_numpy(zero_copy_only=False)
+def _words(row: dict, chunk_held: np.ndarray, training: bool) -> tuple[np.ndarray, ...]:
+    """(bytes, sizes, short words, document) of a chunk's spelled words; with training those of training documents alone."""
+    owner, size, short = (v.astype(np.int64) for v in unpack(row["spelled"]))
+    total = int(size.sum())
+    raw = np.frombuffer(pa.decompress(memoryview(row["words"]), total, codec="zstd", asbytes=True), np.uint8) if total else np.zeros(0, np.uint8)
+    if training:
+        use = ~chunk_held[owner]
+        raw, owner, size, short = raw[np.repeat(use, size)], owner[use], size[use], short[use]
+    return raw, size, short, owner
 
 
-def _count(batches):
-    """The task's part of all tables: ones, then all, as weighted counts of bits."""
-    ones, every, any_row = np.zeros(_TABLE), np.zeros(_TABLE), False
-    for tokens, c in _tokens(batches):
-        spelled, any_row = Spelled(tokens), True
-        weight = c[spelled.owner].astype(np.float64)
-        for _, bit, at in spelled.bits():
-            on = bit.astype(bool)
-            for k, base in enumerate(_ADDRESS[:-1].tolist()):
-                own, n = at[k] - base, 1 << SLOT_BITS[k]
-                every[base : base + n] += np.bincount(own, weight, n)
-                ones[base : base + n] += np.bincount(own[on], weight[on], n)
-    if any_row:
-        both = np.concatenate((ones, every)).astype(np.float32)
-        parts = [(k, zlib.compress(both[i : i + _PART].tobytes(), 1)) for k, i in enumerate(range(0, len(both), _PART))]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["part", "counts"])
+def _steps(raw: np.ndarray, size: np.ndarray, short: np.ndarray):
+    """(words, range) in steps; a step ends after STEP words or a piece's bytes."""
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    for a, b in tk.slices(size + tk.PIECE // (4 * STEP), tk.PIECE // 4):
+        yield Spelled(raw[offsets[a] : offsets[b]], size[a:b], short[a:b]), slice(a, b)
 
 
-def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(_PART)
+def _held(row: dict) -> np.ndarray:
+    return unpack(row["docs"])[2].astype(bool)
+
+
+def _count(batches):
+    """The task's part of all tables: ones, then all, as counts of bits over the spelled words of training documents."""
+    ones, every, any_row = np.zeros(_TABLE, np.int64), np.zeros(_TABLE, np.int64), False
     for batch in batches:
-        for p in batch.column(1):
-            own = np.frombuffer(zlib.decompress(p.as_py()), dtype=np.float32)
-            total[: len(own)] += own
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)], pa.binary())], ["part", "counts"])
+        for row in batch.to_pylist():
+            raw, size, short, _ = _words(row, _held(row), True)
+            for spelled, _ in _steps(raw, size, short):
+                any_row = True
+                for _, bit, at in spelled.bits():
+                    on = bit.astype(bool)
+                    for k, base in enumerate(_ADDRESS[:-1].tolist()):
+                        own, n = at[k] - base, 1 << SLOT_BITS[k]
+                        every[base : base + n] += np.bincount(own, minlength=n)
+                        ones[base : base + n] += np.bincount(own[on], minlength=n)
+    if any_row:
+        both = np.concatenate((ones, every))
+        parts = [pack(both[i : i + _PART]) for i in range(0, len(both), _PART)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
 
 
-def bit_tables(vocabulary: DataFrame) -> np.ndarray:
-    """Two rows (ones, all) of bit counts over all training tokens."""
-    out = np.zeros(-(-2 * _TABLE // _PART) * _PART, dtype=np.float32)
-    parts = vocabulary.where("c > 0").select("token", "c").mapInArrow(_count, "part int, counts binary")
+def bit_tables(features: DataFrame) -> np.ndarray:
+    """Two rows (ones, all) of bit counts over the spelled words of all training documents."""
+    out = np.zeros(2 * _TABLE, dtype=np.float32)
+    parts = features.select("docs", "spelled", "words").mapInArrow(_count, "part int, counts binary")
     for r in summed_in_two(parts, "part", "counts", _add, "part int, counts binary").toLocalIterator():
-        out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.float32)
-    return out[: 2 * _TABLE].reshape(2, _TABLE)
+        (own,) = unpack(r["counts"])
+        out[r["part"] * _PART : r["part"] * _PART + len(own)] = own
+    return out.reshape(2, _TABLE)
 
 
-def _inputs(tables: np.ndarray, at: np.ndarray, b: int, bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched predictions, one row per order; gate). With bit, one occurrence of it is taken out of the counts."""
-    one, all_ = tables[0].take(at), tables[1].take(at)
-    if bit is not None:
-        one, all_ = np.maximum(one - bit, 0), np.maximum(all_ - 1, 0)
+def _inputs(tables: np.ndarray, at: np.ndarray, b: int, bit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretched predictions, one row per order; gate). Where own is 1, one occurrence of bit is taken out of the counts."""
+    one, all_ = np.maximum(tables[0].take(at) - bit * own, 0), np.maximum(tables[1].take(at) - own, 0)
     zero = np.maximum(all_ - one, 0)
     x = np.log((one + np.float32(0.1)) / (zero + np.float32(0.1)))
     x *= all_ / (all_ + np.float32(0.5))
     return x, b * (len(ORDERS) + 1) + (all_ > 0.5).sum(0)
 
 
-def _learn(tables: np.ndarray):
-    """Weights and map counts that one task learns online from its tokens."""
+def _sharded(shards: int):
+    """Spelled words of training documents by shards of their hashes."""
 
     def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                raw, size, short, _ = _words(row, _held(row), True)
+                if not len(size):
+                    continue
+                offsets = np.concatenate(([0], np.cumsum(size)))
+                of = (tk.range_hashes(raw, offsets[:-1], offsets[1:]) % np.uint64(shards)).astype(np.int64)
+                words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw.tobytes())])
+                by = np.argsort(of, kind="stable")
+                starts = runs(of[by])
+                for a, b in zip(starts, np.append(starts[1:], len(by)), strict=True):
+                    mine = words.take(pa.array(by[a:b]))
+                    joined_, edges = tk.utf8(mine)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(of[by[a]])], pa.int32()), pa.array([pack(np.diff(edges), short[by[a:b]])], pa.binary()), pa.array([joined_.tobytes()], pa.binary())], ["shard", "sizes", "words"])
+
+    return run
+
+
+def _learn(tables: np.ndarray):
+    """Weights and map counts that are learned online from a shard's words, in the order of their bytes."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, shorts, raws = [], [], []
+        for batch in batches:
+            for s, r in zip(batch.column(1), batch.column(2), strict=True):
+                size, short = unpack(s.as_py())
+                sizes.append(size.astype(np.int64))
+                shorts.append(short.astype(np.int64))
+                raws.append(r.as_py())
+        size, short, raw = np.concatenate(sizes), np.concatenate(shorts), b"".join(raws)
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        table = pa.table({"word": words, "short": short}).sort_by([("word", "ascending"), ("short", "ascending")])
+        joined_, edges = tk.utf8(table.column("word"))
         w = np.full((GATES, len(ORDERS)), 0.3)
-        table, total = np.zeros((256, MAP, 2)), 0.0
-        for tokens, c in _tokens(batches):
-            spelled = Spelled(tokens)
-            weight = c[spelled.owner].astype(np.float64)
-            total += float(c.sum())
+        seen = np.zeros((2, 256 * MAP), dtype=np.int64)
+        for spelled, _ in _steps(joined_, np.diff(edges), table.column("short").to_numpy()):
+            one = np.ones(len(spelled.code), dtype=np.float32)
             for b, bit, at in spelled.bits():
-                x, gate = _inputs(tables, at, b, bit)
+                x, gate = _inputs(tables, at, b, bit, one)
                 p = np.empty(len(bit))
                 for i in range(0, len(bit), ONLINE * 8):
                     cut = slice(i, i + ONLINE * 8)
-                    dot = (x[:, cut] * w[gate[cut]].T).sum(0)
-                    p[cut] = sigmoid(dot)
-                    err = (bit[cut] - p[cut]) * weight[cut]
-                    mass = np.bincount(gate[cut], weight[cut], GATES)
+                    p[cut] = sigmoid((x[:, cut] * w[gate[cut]].T).sum(0))
+                    err, mass = bit[cut] - p[cut], np.bincount(gate[cut], minlength=GATES)
                     for k in range(len(ORDERS)):
-                        g = np.bincount(gate[cut], err * x[k, cut], GATES)
-                        w[:, k] += np.clip(RATE * 10 * g / np.maximum(mass, 1), -0.1, 0.1)
+                        w[:, k] += np.clip(RATE * 10 * np.bincount(gate[cut], err * x[k, cut], GATES) / np.maximum(mass, 1), -0.1, 0.1)
                 place = spelled.before.astype(np.int64) * MAP + _map_bucket(p)
-                table[:, :, 0] += np.bincount(place, weight * bit, 256 * MAP).reshape(256, MAP)
-                table[:, :, 1] += np.bincount(place, weight, 256 * MAP).reshape(256, MAP)
-        if total:
-            yield _learned(np.concatenate(([total], (w * total).ravel(), table.ravel())))
+                seen += np.stack([np.bincount(place, bit, 256 * MAP).astype(np.int64), np.bincount(place, minlength=256 * MAP)])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([len(size)], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([pack(*seen)], pa.binary())], ["shard", "n", "weights", "seen"])
 
     return run
 
@@ -185,244 +812,110 @@ def _map_bucket(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(stretch(np.clip(p, 1e-4, 1 - 1e-4)) * 2) + MAP // 2, 0, MAP - 1).astype(np.int64)
 
 
-def _learned(sums: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())], ["one", "sums"])
+def mixer(features: DataFrame, tables: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of every gate, refined probability per byte before and bucket) of the spelling."""
+    shards = min(4096, max(1, -(-words // SHARD)))
+    dealt = features.select("docs", "spelled", "words").mapInArrow(_sharded(shards), "shard int, sizes binary, words binary")
+    rows = dealt.groupBy("shard").applyInArrow(_learn(tables), "shard int, n long, weights binary, seen binary")
+    total, w, seen = 0, np.zeros((GATES, len(ORDERS))), np.zeros((2, 256 * MAP))
+    for r in sorted(rows.collect(), key=lambda r: r["shard"]):
+        total += r["n"]
+        w += r["n"] * np.frombuffer(r["weights"]).reshape(w.shape)
+        seen += np.stack(unpack(r["seen"]))
+    middle = np.tile(sigmoid((np.arange(MAP) - MAP // 2) / 2), 256)
+    return (w / total if total else np.full(w.shape, 0.3)), ((seen[0] + 20 * middle) / (seen[1] + 20)).reshape(256, MAP)
+
+
+def spelling(raw: np.ndarray, size: np.ndarray, short: np.ndarray, own: np.ndarray, tables: np.ndarray, w: np.ndarray, map_: np.ndarray) -> np.ndarray:
+    """The log10 probability of each word's spelling. own: 1 for words that the tables have counted."""
+    out = np.zeros(len(size))
+    for spelled, cut in _steps(raw, size, short):
+        total, mine = np.zeros(len(spelled.code)), own[cut][spelled.owner].astype(np.float32)
+        for b, bit, at in spelled.bits():
+            x, gate = _inputs(tables, at, b, bit, mine)
+            p = sigmoid((x * w[gate].T).sum(0))
+            p = np.clip(0.5 * p + 0.5 * map_[spelled.before, _map_bucket(p)], 1e-5, 1 - 1e-5)
+            total += np.log10(np.where(bit, p, 1 - p))
+        out[cut] = np.add.reduceat(total, spelled.first)
+    return out
+
+
+# ---- scores
+
+
+def read_online(x: np.ndarray, outcome: np.ndarray, owner: np.ndarray, block: np.ndarray, docs: int) -> np.ndarray:
+    """The log10 probability of a bit's outcomes by document; x: stretched probabilities. A document's bias is learned
+    after every block of its tokens."""
+    out, bias = np.zeros(docs), np.zeros(docs)
+    by = np.argsort(block, kind="stable")
+    starts = runs(block[by]) if len(by) else np.zeros(0, np.int64)
+    x, outcome, owner = x[by], outcome[by], owner[by]
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(by)).tolist() if len(by) else [], strict=True):
+        who, y = owner[a:b], outcome[a:b]
+        p = sigmoid(x[a:b] + bias[who])
+        here = runs(who)
+        docs_here = who[here]
+        out[docs_here] += np.add.reduceat(np.log10(np.where(y, p, 1 - p)), here)
+        bias[docs_here] = BIAS_HOLD * bias[docs_here] + BIAS_RATE * np.add.reduceat(y - p, here)
+    return out
 
 
-def _sum(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of what tasks have learned: their tokens, weights times tokens, map counts."""
-    total = np.zeros(1 + GATES * len(ORDERS) + 256 * MAP * 2)
-    for batch in batches:
-        for part in batch.column(1):
-            total += np.frombuffer(zlib.decompress(part.as_py()))
-    yield _learned(total)
-
-
-def mixer(vocabulary: DataFrame, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(weights of every gate, refined probability per byte before and bucket), over all training tokens."""
-    parts = vocabulary.where("c > 0").select("token", "c").mapInArrow(_learn(tables), "one int, sums binary")
-    rows = summed_in_two(parts, "one", "sums", _sum, "one int, sums binary").collect()
-    w, table = np.full((GATES, len(ORDERS)), 0.3), np.zeros((256, MAP, 2))
-    if rows:
-        sums = np.frombuffer(zlib.decompress(rows[0]["sums"]))
-        w = (sums[1 : 1 + w.size] / max(sums[0], 1)).reshape(w.shape)
-        table = sums[1 + w.size :].reshape(table.shape)
-    middle = sigmoid((np.arange(MAP) - MAP // 2) / 2)
-    return w, (table[:, :, 0] + 20 * middle) / (table[:, :, 1] + 20)
+_SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
-def _spell(tables: np.ndarray, w: np.ndarray, refined: np.ndarray):
-    """(token, c, q): q is the natural log of the spelling's probability."""
+def _scored(train_tokens: int, chain: list[np.ndarray], tables: np.ndarray, w: np.ndarray, map_: np.ndarray):
+    chain = [stretch(p) for p in chain]
 
     def run(batches):
         for batch in batches:
-            out = []
-            for tokens, _ in _tokens([batch]):
-                spelled = Spelled(tokens)
-                total = np.zeros(len(spelled.code))
-                for b, bit, at in spelled.bits():
-                    x, gate = _inputs(tables, at, b)
-                    p = sigmoid((x * w[gate].T).sum(0))
-                    p = np.clip(0.5 * p + 0.5 * refined[spelled.before, _map_bucket(p)], 1e-5, 1 - 1e-5)
-                    total += np.log(np.where(bit, p, 1 - p))
-                out.append(np.add.reduceat(total, spelled.first))
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(out), pa.float32())], ["token", "c", "q"])
+            for row in batch.to_pylist():
+                doc_id, no_id, held, n_bytes, n_tokens, n_known, choice, base = unpack(row["docs"])
+                told, asked, *codes = unpack(row["bits"])
+                n_tokens, docs = n_tokens.astype(np.int64), len(held)
+                owner = np.repeat(np.arange(docs), n_tokens)
+                block = (np.arange(len(owner)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)) // BLOCK
+                score = choice.view(np.float64).copy()
+                for bit, code in enumerate(codes):
+                    at = np.flatnonzero(asked & (1 << bit))
+                    score += read_online(chain[bit][code], told[at] == bit, owner[at], block[at], docs)
+                raw, size, short, of = _words(row, held.astype(bool), False)
+                if len(size):
+                    score += np.bincount(of, spelling(raw, size, short, held[of] == 0, tables, w, map_), docs)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc_id.astype(np.uint64).view(np.int64), mask=no_id.astype(bool)), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(n_known.astype(np.int64)),
+                        pa.array(np.full(docs, train_tokens)), pa.array(base.view(np.float64)), pa.array(score), pa.array(n_bytes.astype(np.int64)),
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"],
+                )
 
     return run
 
 
-def packed(ids: np.ndarray) -> bytes:
-    """Token ids as compressed byte planes; frequent tokens have small ids, so the upper planes are almost empty."""
-    return zlib.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
-
-
-def by_texts(first: np.ndarray, limit: int = 500_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with limit tokens at most, or one text."""
-    yield from tk.slices(np.diff(first), limit)
-
-
-def predicted(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(has, hit, context) for every token: whether one is predicted, whether it is right, and the joint context."""
-    n = len(ids)
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    start = np.zeros(n, dtype=bool)
-    start[first[:-1]] = True
-    prev = np.empty(n, dtype=np.int64)
-    prev[1:] = ids[:-1]
-    prev[start] = -1
-    key = owner * np.int64(1 << 32) + (prev + 1)
-    order = np.argsort(key, kind="stable")
-    same = np.zeros(n, dtype=bool)
-    same[1:] = key[order][1:] == key[order][:-1]
-    last = np.full(n, -1, dtype=np.int64)
-    last[order[1:]] = np.where(same[1:], order[:-1], -1)
-    has = (last >= 0) & (prev >= 0)
-    guess = np.where(has, ids[last], 0)
-    hit = has & (guess == ids)
-    # run of hits just before, within the text
-    miss = np.where(~hit | start, np.arange(n), 0)
-    stop = np.maximum.accumulate(miss)
-    before = np.zeros(n, dtype=np.int64)
-    before[1:] = np.arange(n - 1) - stop[:-1]
-    before[start] = 0
-    history = np.zeros(n, dtype=np.int64)
-    place = np.arange(n) - first[:-1][owner]
-    for k in range(1, 5):
-        history[k:] += hit[:-k].astype(np.int64) << (k - 1)
-    for k in range(4):
-        history[place == k] &= (1 << k) - 1
-    rank = lambda v: np.minimum(np.log2(np.maximum(v, 0) + 1).astype(np.int64), 15)
-    context = ((np.minimum(before, 15) * 16 + history) * 16 + rank(prev)) * 16 + rank(guess)
-    return has, hit, context
-
-
-_CHUNK = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("local", pa.int32()), ("token", pa.binary()), ("n", pa.int64()), ("context", pa.int32()), ("hits", pa.int64())])
-_CHUNK_SQL = "chunk long, doc_id long, held_out boolean, n_bytes long, ids binary, local int, token binary, n long, context int, hits long"
-
-
-def _rows(**columns) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _CHUNK], schema=_CHUNK)
-
-
-def _chunks(batches):
-    """Three kinds of rows a chunk: documents (token ids by falling frequency), its vocabulary, and hits by context."""
-    task, number = TaskContext.get().partitionId(), 0
-    held: list = []
-    size = 0
-
-    def flush():
-        nonlocal held, size, number
-        chunk = (task << 24) + number
-        number += 1
-        hashes = np.concatenate([h for _, h, _, _ in held])
-        raws = [r for *_, r in held]
-        first = [0]
-        ids_of, outs, bytes_of, spans = [], [], [], []
-        base = 0
-        for rows, h, (starts, ends, f, sizes), raw in held:
-            ids_of += rows.column(0).to_pylist()
-            outs += rows.column(1).to_pylist()
-            bytes_of += sizes.tolist()
-            first += (f[1:] + first[-1]).tolist()
-            spans.append(np.stack([starts, ends]) + base)
-            base += len(raw)
-        first = np.array(first)
-        spans = np.concatenate(spans, axis=1)
-        raw = np.concatenate(raws)
-        uniq, where, back, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")
-        # id 0 is the end; words follow by falling frequency
-        place = np.empty(len(uniq), dtype=np.int64)
-        place[order] = np.arange(1, len(uniq) + 1)
-        docs = len(first) - 1
-        ids = np.zeros(len(hashes) + docs, dtype=np.int64)
-        ids[np.arange(len(hashes)) + np.repeat(np.arange(docs), np.diff(first))] = place[back] if len(hashes) else 0
-        ends = first + np.arange(docs + 1)
-        train = np.repeat(~np.array(outs, dtype=bool), np.diff(ends))
-        count = np.bincount(ids[train], minlength=len(uniq) + 1)
-        starts_, ends_ = spans[0][where[order]], spans[1][where[order]]
-        width = ends_ - starts_
-        offsets = np.concatenate(([0, 0], np.cumsum(width)))
-        picked = np.repeat(starts_ - offsets[1:-1], width) + np.arange(int(width.sum())) if len(width) else np.zeros(0, np.int64)
-        tokens = pa.Array.from_buffers(pa.binary(), len(uniq) + 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw[picked].tobytes())])
-        yield _rows(chunk=[chunk] * docs, doc_id=ids_of, held_out=outs, n_bytes=bytes_of, ids=[packed(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
-        m = len(uniq) + 1
-        for i in range(0, m, 50_000):
-            part = tokens.slice(i, 50_000)
-            yield _rows(chunk=np.full(len(part), chunk), local=np.arange(i, i + len(part), dtype=np.int32), token=part, n=count[i : i + len(part)])
-        tried, ok = np.zeros(JOINT, dtype=np.int64), np.zeros(JOINT, dtype=np.int64)
-        for i, j in by_texts(ends):
-            span = slice(ends[i], ends[j])
-            has, hit, context = predicted(ids[span], ends[i : j + 1] - ends[i])
-            use = has & train[span]
-            tried += np.bincount(context[use], minlength=JOINT)
-            ok += np.bincount(context[use & hit], minlength=JOINT)
-        on = np.flatnonzero(tried)
-        yield _rows(context=on, n=tried[on], hits=ok[on])
-        held, size = [], 0
-
-    for rows, raw, offsets in tk.pieces(batches, "text"):
-        if held and size + len(raw) > CHUNK:
-            yield from flush()
-        low = tk.lower_ascii(raw)
-        starts, ends, f = tk.words(raw, offsets)
-        held.append((rows, tk.range_hashes(low, starts, ends), (starts, ends, f, np.diff(offsets)), low))
-        size += len(raw)
-    if held:
-        yield from flush()
-
-
-def hit_model(counts: DataFrame) -> np.ndarray:
-    """p_hit of every joint context, from the hits of all training documents (at most JOINT rows)."""
-    tried, hits = np.zeros(JOINT), np.zeros(JOINT)
-    rows = counts.groupBy("context").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).toPandas()
-    at = rows["context"].to_numpy().astype(np.int64)
-    tried[at], hits[at] = rows["n"], rows["hits"]
-    grid_t, grid_h = tried.reshape(16, 16, 16, 16), hits.reshape(16, 16, 16, 16)
-    inputs = []
-    for axes in ((2, 3), (1, 3), (1, 2)):
-        t, h = grid_t.sum(axes, keepdims=True), grid_h.sum(axes, keepdims=True)
-        inputs.append(np.broadcast_to(stretch((h + 0.4) / (t + 4.0)), grid_t.shape).reshape(-1))
-    x = np.stack(inputs)
-    gate = np.arange(JOINT) >> 12
-    w = np.full((16, 3), 0.4)
-    mass = np.maximum(np.bincount(gate, tried, 16), 1)
-    for _ in range(200):
-        err = hits - tried * sigmoid((x * w[gate].T).sum(0))
-        w += 0.02 * np.stack([np.bincount(gate, err * x[k], 16) for k in range(3)], axis=1) / mass[:, None]
-    p = sigmoid((x * w[gate].T).sum(0))
-    return np.clip((hits + 20 * p) / (tried + 20), 1e-6, 1 - 1e-6)
-
-
-def _scored(total: int, distinct: int, p_hit: np.ndarray):
-    a = distinct + 1.0
-
-    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, looked: pa.Table) -> pa.Table:
-        local = looked.column("local").to_numpy()
-        c, q = np.zeros(len(local)), np.zeros(len(local))
-        c[local], q[local] = looked.column("c").to_numpy(), looked.column("q").to_numpy()
-        base_of = np.log10((c + 1) / (total + a))
-        p_of = (c + a * np.exp(q)) / (total + a)
-        ids = [unpacked(b.as_py()) for b in docs.column("ids")]
-        n = np.array([len(i) for i in ids])
-        first = np.concatenate(([0], np.cumsum(n)))
-        known, base, score = (np.zeros(len(n)) for _ in range(3))
-        for i, j in by_texts(first):
-            own, edge = np.concatenate(ids[i:j]).astype(np.int64), first[i : j + 1] - first[i]
-            has, hit, context = predicted(own, edge)
-            trust = np.where(has, p_hit[context], 0.0)
-            p = np.log10(np.where(hit, trust, 0.0) + (1 - trust) * np.maximum(p_of[own], 1e-300))
-            for out, v in ((known, c[own] > 0), (base, base_of[own]), (score, p)):
-                out[i:j] = np.add.reduceat(v.astype(np.float64), edge[:-1])
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known.astype(np.int64)), "train_tokens": pa.array(np.full(len(n), total), pa.int64()), "base_score": base, "score": score, "n_bytes": docs.column("n_bytes")})
-
-    return run
-
-
-_SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-
-
 def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
     """Every document's score, and the base score of smoothed counts. held_out: a boolean column; its rows teach nothing."""
     held_out = (id_text_crc() % 7 == 2) if held_out is None else held_out
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    chunks = written(source.mapInArrow(_chunks, _CHUNK_SQL), "chunks")
-    words = chunks.where("local is not null").select("chunk", "local", "token", "n")
-    counted = written(words.groupBy("token").agg(F.sum("n").alias("c")), "vocabulary")
-    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    tables = bit_tables(counted)
-    w, refined = mixer(counted, tables)
-    p_hit = hit_model(chunks.where("context is not null").select("context", "n", "hits"))
-    spelled = counted.mapInArrow(_spell(tables, w, refined), "token binary, c long, q float")
-    looked = words.select(F.col("chunk").alias("home"), "local", "token").join(spelled, "token").select("home", "local", "c", "q")
-    rows = chunks.where("ids is not null").select("chunk", "doc_id", "held_out", "n_bytes", "ids")
-    scored = rows.groupBy("chunk").cogroup(looked.groupBy("home")).applyInArrow(_scored(total, distinct, p_hit), _SCORED_SQL)
-    bits = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
-    return scored.withColumn("bits_per_byte", bits)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = (int(size) // RANGE).bit_length()
+    chunks = written(source.mapInArrow(_chunks, _CHUNK_SQL), "chunks", every_row=True)
+    hot = hot_contexts(chunks, bits)
+    found = {o: counts_of(chunks, o, bits, hot) for o in (VOCABULARY, ONE, TWO, LAST_SHORT)}
+    replies = None
+    for table, _ in found.values():
+        replies = table if replies is None else replies.unionByName(table)
+    statistics = {o: s for o, (_, s) in found.items()}
+    rows = chunks.select("chunk", "docs", "ids", "sizes", "words")
+    asked = replies.where("chunk >= 0").select(F.col("chunk").alias("home"), "place", "ord", "counts")
+    features = written(rows.groupBy("chunk").cogroup(asked.groupBy("home")).applyInArrow(_features(hot, statistics), _FEATURES_SQL), "features", every_row=True)
+    drop_written(chunks, *(table for table, _ in found.values()))
+    chain = [refined(np.zeros(JOINT), np.zeros(JOINT))] * CHAIN
+    for r in summed_in_two(features.where("part IS NOT NULL"), "part", "counts", _add, "part int, counts binary").collect():
+        chain[r["part"]] = refined(*unpack(r["counts"]))
+    read = features.where("chunk IS NOT NULL")
+    tables = bit_tables(read)
+    words = read.agg(F.coalesce(F.sum("n_spelled"), F.lit(0))).first()[0]
+    w, map_ = mixer(read, tables, words)
+    scored = read.select("docs", "bits", "spelled", "words").mapInArrow(_scored(int(statistics[VOCABULARY][0]), chain, tables, w, map_), _SCORED_SQL)
+    bits_of = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
+    return scored.withColumn("bits_per_byte", bits_of)
