@@ -48,7 +48,7 @@ from quire.llm.boosting import sigmoid
 from quire.llm.common import drop_written, id_text_crc, summed_in_two, written
 
 #: Bytes of text whose contexts are looked up together, and bytes of text that a range of contexts stands for.
-CHUNK, RANGE = 16_000_000, 8_000_000
+CHUNK, RANGE = 5_000_000, 8_000_000
 #: Bits of a context's hash beyond those of its range, and bits of a token's hash in it.
 CONTEXT_BITS, TOKEN_BITS = 33, 31
 #: A context with more than one in 2**HOT tokens is dealt over ranges; it is told from one position in EVERY.
@@ -132,6 +132,37 @@ def spread(starts: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(marks)
 
 
+def order_of(values: np.ndarray) -> np.ndarray:
+    """The stable order of whole numbers >= 0. Numbers and places are sorted as one number where they fit, which is fast."""
+    bits = max(len(values) - 1, 1).bit_length()
+    if len(values) and int(values.max()) < 1 << (63 - bits):
+        return np.sort((values.astype(np.int64) << bits) | np.arange(len(values))) & ((1 << bits) - 1)
+    return np.argsort(values, kind="stable")
+
+
+def pair_order(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The stable order by context, then by token. First by 26 and 18 of their bits; groups that these don't tell apart
+    are put right."""
+    n = len(context)
+    if n > 1 << 20:
+        return np.lexsort((token, context))
+    fine, wide, place = np.uint64(20), np.uint64(38), np.uint64((1 << 20) - 1)
+    key = np.sort((context >> wide << wide) | (token.astype(np.uint64) >> np.uint64(TOKEN_BITS - 18) << fine) | np.arange(n, dtype=np.uint64))
+    order = (key & place).astype(np.int64)
+    c, t = context[order], token[order]
+    wides, fines = runs(key >> wide), runs(key >> fine)
+    wide_of, fine_of = spread(wides, n), spread(fines, n)
+    bad_wide, bad_fine = np.zeros(len(wides), dtype=bool), np.zeros(len(fines), dtype=bool)
+    bad_wide[wide_of[1:][(wide_of[1:] == wide_of[:-1]) & (c[1:] != c[:-1])]] = True
+    bad_fine[fine_of[1:][(fine_of[1:] == fine_of[:-1]) & (t[1:] != t[:-1])]] = True
+    coarse = bad_wide[wide_of]
+    mixed_up = np.flatnonzero(coarse | bad_fine[fine_of])
+    if len(mixed_up):
+        group = np.where(coarse[mixed_up], wides[wide_of[mixed_up]], fines[fine_of[mixed_up]])
+        order[mixed_up] = order[mixed_up][np.lexsort((order[mixed_up], t[mixed_up], c[mixed_up], group))]
+    return order
+
+
 # ---- chunks
 
 _CHUNK = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("hot", pa.binary())])
@@ -162,29 +193,32 @@ class Chunk:
 
     def last_short(self) -> np.ndarray:
         """For each token the place of the last short word before it in its document, or -1."""
-        short = (np.diff(self.offsets) <= SHORT)[self.ids] & (self.ids > 0)
-        at = np.where(short, np.arange(len(self.ids)), -1)
+        short = np.diff(self.offsets) <= SHORT
+        short[0] = False
+        at = np.where(short[self.ids], np.arange(len(self.ids)), -1)
         last = np.full(len(self.ids), -1, dtype=np.int64)
         last[1:] = np.maximum.accumulate(at)[:-1]
         last[last < self.first[self.owner]] = -1
         return last
 
-    def before(self, back: int) -> np.ndarray:
+    def before(self, back: int, at: np.ndarray | None) -> np.ndarray:
         """The hash of the token that many places before, or that of the start."""
+        if at is not None:
+            return np.where(self.place[at] < back, _START, self.hash[self.ids[np.maximum(at - back, 0)]])
         h = np.full(len(self.ids), _START, dtype=np.uint64)
         h[back:] = self.hash[self.ids[:-back]]
         h[self.place < back] = _START
         return h
 
-    def context(self, order: int) -> np.ndarray:
-        """The hash of each token's context; order 0 has an entry for each distinct token."""
+    def context(self, order: int, at: np.ndarray | None = None) -> np.ndarray:
+        """The hash of the context of each token, or of those at some places; order 0 has an entry for each distinct token."""
         if order == VOCABULARY:
             return self.hash
         if order == ONE:
-            return tk.mix(self.before(1) + _SALT[0])
+            return tk.mix(self.before(1, at) + _SALT[0])
         if order == TWO:
-            return tk.mix(self.before(1) * _SALT[1] + self.before(2) * _SALT[2])
-        last = self.last_short()
+            return tk.mix(self.before(1, at) * _SALT[1] + self.before(2, at) * _SALT[2])
+        last = self.last_short() if at is None else self.last_short()[at]
         return tk.mix(np.where(last >= 0, self.hash[self.ids[np.maximum(last, 0)]], _START) + _SALT[3])
 
     def training(self) -> np.ndarray:
@@ -198,8 +232,7 @@ class Entries:
         context, token = chunk.context(order), chunk.other if order == VOCABULARY else chunk.other[chunk.ids]
         if order != VOCABULARY:
             context = hot.salted(order, context, token)
-        top, low = np.uint64(24), np.uint64(TOKEN_BITS - 24)
-        self.order = np.argsort((context >> top << top) | (token.astype(np.uint64) >> low), kind="stable")
+        self.order = pair_order(context, token)
         context, token = context[self.order], token[self.order]
         self.pair = runs(context, token)
         self.pair_of = spread(self.pair, len(context))
@@ -332,9 +365,9 @@ def _chunks(batches):
 
 def _frequent(chunk: Chunk) -> bytes:
     """Of every EVERY-th token the contexts that more than one in 2**(HOT + 2) has, by order: they only steer the dealing."""
-    out = []
+    out, at = [], np.arange(0, len(chunk.ids), EVERY)
     for order in (ONE, TWO, LAST_SHORT):
-        context, n = np.unique(chunk.context(order)[::EVERY], return_counts=True)
+        context, n = np.unique(chunk.context(order, at), return_counts=True)
         often = n > max(1, len(chunk.ids) // EVERY >> (HOT + 2))
         out += [context[often], n[often]]
     return pack(np.array([len(chunk.ids)]), *out)
@@ -488,7 +521,7 @@ def followed(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     prev[1:] = chunk.ids[:-1]
     prev[chunk.place == 0] = -1
     key = chunk.owner * np.int64(len(chunk.hash) + 1) + prev + 1
-    order = np.argsort(key, kind="stable")
+    order = order_of(key)
     last = np.full(n, -1, dtype=np.int64)
     last[order[1:]] = np.where(key[order][1:] == key[order][:-1], order[:-1], -1)
     last[prev < 0] = -1
@@ -500,11 +533,6 @@ def followed(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return last, before
 
 
-def own_counts(by: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each of the sorted places the length of its run."""
-    return np.repeat(np.diff(np.append(starts, len(by))), np.diff(np.append(starts, len(by))))
-
-
 def _others(chunk: Chunk, order: int, hot: Hot, reply: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token, in its context and without its document: its count, the tokens, the distinct tokens."""
     own = Entries(chunk, order, hot)
@@ -515,8 +543,11 @@ def _others(chunk: Chunk, order: int, hot: Hot, reply: list[np.ndarray]) -> tupl
     size = np.diff(np.append(sub, len(owner)))
     at = own.order[sub]
     pair = own.pair_of[sub]
-    key = tk.mix(chunk.context(order)[at] + (chunk.owner[at].astype(np.uint64) + np.uint64(1)) * _C2)
-    by = np.argsort(key)
+    context = own.run_of
+    if len(hot.context[order]):  # the shares of a hot context are one
+        context = np.unique(chunk.context(order, own.order[own.pair[own.run]]), return_inverse=True)[1][own.run_of]
+    key = context[pair] * len(chunk.held) + chunk.owner[at]
+    by = order_of(key)
     group = runs(key[by])
     of = np.empty(len(by), dtype=np.int64)
     of[by] = spread(group, len(by))
@@ -552,7 +583,7 @@ def _features(hot: Hot, statistics: dict[int, np.ndarray]):
         vocabulary = Entries(chunk, VOCABULARY, hot)
         c = np.empty(len(chunk.hash), dtype=np.int64)
         c[vocabulary.order] = reply[VOCABULARY][0].astype(np.int64)[vocabulary.pair_of]
-        by = np.argsort(ids, kind="stable")
+        by = order_of(ids)
         sub = runs(ids[by], owner[by])
         size = np.diff(np.append(sub, len(by)))
         own = np.empty(len(ids), dtype=np.int64)
@@ -719,12 +750,11 @@ def _count(batches):
             raw, size, short, _ = _words(row, _held(row), True)
             for spelled, _ in _steps(raw, size, short):
                 any_row = True
-                for _, bit, at in spelled.bits():
-                    on = bit.astype(bool)
-                    for k, base in enumerate(_ADDRESS[:-1].tolist()):
-                        own, n = at[k] - base, 1 << SLOT_BITS[k]
-                        every[base : base + n] += np.bincount(own, minlength=n)
-                        ones[base : base + n] += np.bincount(own[on], minlength=n)
+                on, places = (np.concatenate(v, axis=-1) for v in zip(*[(bit.astype(bool), at) for _, bit, at in spelled.bits()], strict=True))
+                for k, base in enumerate(_ADDRESS[:-1].tolist()):
+                    own, n = places[k] - base, 1 << SLOT_BITS[k]
+                    every[base : base + n] += np.bincount(own, minlength=n)
+                    ones[base : base + n] += np.bincount(own[on], minlength=n)
     if any_row:
         both = np.concatenate((ones, every))
         parts = [pack(both[i : i + _PART]) for i in range(0, len(both), _PART)]
@@ -741,13 +771,28 @@ def bit_tables(features: DataFrame) -> np.ndarray:
     return out.reshape(2, _TABLE)
 
 
-def _inputs(tables: np.ndarray, at: np.ndarray, b: int, bit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched predictions, one row per order; gate). Where own is 1, one occurrence of bit is taken out of the counts."""
-    one, all_ = np.maximum(tables[0].take(at) - bit * own, 0), np.maximum(tables[1].take(at) - own, 0)
-    zero = np.maximum(all_ - one, 0)
-    x = np.log((one + np.float32(0.1)) / (zero + np.float32(0.1)))
-    x *= all_ / (all_ + np.float32(0.5))
-    return x, b * (len(ORDERS) + 1) + (all_ > 0.5).sum(0)
+def predictions(tables: np.ndarray) -> np.ndarray:
+    """Stretched predictions of all slots in three parts: without one occurrence of 0, without one of 1, and as counted."""
+    out = np.empty((3, _TABLE), dtype=np.float32)
+    for row, (less_one, less_all) in enumerate(((0, 1), (1, 1), (0, 0))):
+        one, all_ = np.maximum(tables[0] - less_one, 0), np.maximum(tables[1] - less_all, 0)
+        zero = np.maximum(all_ - one, 0)
+        out[row] = np.log((one + np.float32(0.1)) / (zero + np.float32(0.1))) * (all_ / (all_ + np.float32(0.5)))
+    return out.ravel()
+
+
+def _inputs(slots: np.ndarray, at: np.ndarray, b: int, bit: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(predictions, one row per order; gate). Where own is true (None: everywhere), the bit's own occurrence is left out."""
+    part = bit.astype(np.int64) if own is None else np.where(own, bit, np.int64(2))
+    x = slots.take(at + part * _TABLE)
+    return x, b * (len(ORDERS) + 1) + np.count_nonzero(x, axis=0)
+
+
+def _mixed(x: np.ndarray, w: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    total = np.zeros(x.shape[1])
+    for k in range(len(x)):
+        total += x[k] * w[:, k].take(gate)
+    return sigmoid(total)
 
 
 def _sharded(shards: int):
@@ -772,7 +817,7 @@ def _sharded(shards: int):
     return run
 
 
-def _learn(tables: np.ndarray):
+def _learn(slots: np.ndarray):
     """Weights and map counts that are learned online from a shard's words, in the order of their bytes."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -791,13 +836,12 @@ def _learn(tables: np.ndarray):
         w = np.full((GATES, len(ORDERS)), 0.3)
         seen = np.zeros((2, 256 * MAP), dtype=np.int64)
         for spelled, _ in _steps(joined_, np.diff(edges), table.column("short").to_numpy()):
-            one = np.ones(len(spelled.code), dtype=np.float32)
             for b, bit, at in spelled.bits():
-                x, gate = _inputs(tables, at, b, bit, one)
+                x, gate = _inputs(slots, at, b, bit, None)
                 p = np.empty(len(bit))
                 for i in range(0, len(bit), ONLINE * 8):
                     cut = slice(i, i + ONLINE * 8)
-                    p[cut] = sigmoid((x[:, cut] * w[gate[cut]].T).sum(0))
+                    p[cut] = _mixed(x[:, cut], w, gate[cut])
                     err, mass = bit[cut] - p[cut], np.bincount(gate[cut], minlength=GATES)
                     for k in range(len(ORDERS)):
                         w[:, k] += np.clip(RATE * 10 * np.bincount(gate[cut], err * x[k, cut], GATES) / np.maximum(mass, 1), -0.1, 0.1)
@@ -812,11 +856,11 @@ def _map_bucket(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(stretch(np.clip(p, 1e-4, 1 - 1e-4)) * 2) + MAP // 2, 0, MAP - 1).astype(np.int64)
 
 
-def mixer(features: DataFrame, tables: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def mixer(features: DataFrame, slots: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(weights of every gate, refined probability per byte before and bucket) of the spelling."""
     shards = min(4096, max(1, -(-words // SHARD)))
     dealt = features.select("docs", "spelled", "words").mapInArrow(_sharded(shards), "shard int, sizes binary, words binary")
-    rows = dealt.groupBy("shard").applyInArrow(_learn(tables), "shard int, n long, weights binary, seen binary")
+    rows = dealt.groupBy("shard").applyInArrow(_learn(slots), "shard int, n long, weights binary, seen binary")
     total, w, seen = 0, np.zeros((GATES, len(ORDERS))), np.zeros((2, 256 * MAP))
     for r in sorted(rows.collect(), key=lambda r: r["shard"]):
         total += r["n"]
@@ -826,14 +870,14 @@ def mixer(features: DataFrame, tables: np.ndarray, words: int) -> tuple[np.ndarr
     return (w / total if total else np.full(w.shape, 0.3)), ((seen[0] + 20 * middle) / (seen[1] + 20)).reshape(256, MAP)
 
 
-def spelling(raw: np.ndarray, size: np.ndarray, short: np.ndarray, own: np.ndarray, tables: np.ndarray, w: np.ndarray, map_: np.ndarray) -> np.ndarray:
-    """The log10 probability of each word's spelling. own: 1 for words that the tables have counted."""
+def spelling(raw: np.ndarray, size: np.ndarray, short: np.ndarray, own: np.ndarray, slots: np.ndarray, w: np.ndarray, map_: np.ndarray) -> np.ndarray:
+    """The log10 probability of each word's spelling. own: whether the tables have counted the word."""
     out = np.zeros(len(size))
     for spelled, cut in _steps(raw, size, short):
-        total, mine = np.zeros(len(spelled.code)), own[cut][spelled.owner].astype(np.float32)
+        total, mine = np.zeros(len(spelled.code)), own[cut][spelled.owner]
         for b, bit, at in spelled.bits():
-            x, gate = _inputs(tables, at, b, bit, mine)
-            p = sigmoid((x * w[gate].T).sum(0))
+            x, gate = _inputs(slots, at, b, bit, mine)
+            p = _mixed(x, w, gate)
             p = np.clip(0.5 * p + 0.5 * map_[spelled.before, _map_bucket(p)], 1e-5, 1 - 1e-5)
             total += np.log10(np.where(bit, p, 1 - p))
         out[cut] = np.add.reduceat(total, spelled.first)
@@ -847,7 +891,7 @@ def read_online(x: np.ndarray, outcome: np.ndarray, owner: np.ndarray, block: np
     """The log10 probability of a bit's outcomes by document; x: stretched probabilities. A document's bias is learned
     after every block of its tokens."""
     out, bias = np.zeros(docs), np.zeros(docs)
-    by = np.argsort(block, kind="stable")
+    by = order_of(block)
     starts = runs(block[by]) if len(by) else np.zeros(0, np.int64)
     x, outcome, owner = x[by], outcome[by], owner[by]
     for a, b in zip(starts.tolist(), np.append(starts[1:], len(by)).tolist() if len(by) else [], strict=True):
@@ -863,7 +907,7 @@ def read_online(x: np.ndarray, outcome: np.ndarray, owner: np.ndarray, block: np
 _SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
-def _scored(train_tokens: int, chain: list[np.ndarray], tables: np.ndarray, w: np.ndarray, map_: np.ndarray):
+def _scored(train_tokens: int, chain: list[np.ndarray], slots: np.ndarray, w: np.ndarray, map_: np.ndarray):
     chain = [stretch(p) for p in chain]
 
     def run(batches):
@@ -880,7 +924,7 @@ def _scored(train_tokens: int, chain: list[np.ndarray], tables: np.ndarray, w: n
                     score += read_online(chain[bit][code], told[at] == bit, owner[at], block[at], docs)
                 raw, size, short, of = _words(row, held.astype(bool), False)
                 if len(size):
-                    score += np.bincount(of, spelling(raw, size, short, held[of] == 0, tables, w, map_), docs)
+                    score += np.bincount(of, spelling(raw, size, short, held[of] == 0, slots, w, map_), docs)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_id.astype(np.uint64).view(np.int64), mask=no_id.astype(bool)), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(n_known.astype(np.int64)),
@@ -913,9 +957,9 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
     for r in summed_in_two(features.where("part IS NOT NULL"), "part", "counts", _add, "part int, counts binary").collect():
         chain[r["part"]] = refined(*unpack(r["counts"]))
     read = features.where("chunk IS NOT NULL")
-    tables = bit_tables(read)
+    slots = predictions(bit_tables(read))
     words = read.agg(F.coalesce(F.sum("n_spelled"), F.lit(0))).first()[0]
-    w, map_ = mixer(read, tables, words)
-    scored = read.select("docs", "bits", "spelled", "words").mapInArrow(_scored(int(statistics[VOCABULARY][0]), chain, tables, w, map_), _SCORED_SQL)
+    w, map_ = mixer(read, slots, words)
+    scored = read.select("docs", "bits", "spelled", "words").mapInArrow(_scored(int(statistics[VOCABULARY][0]), chain, slots, w, map_), _SCORED_SQL)
     bits_of = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
     return scored.withColumn("bits_per_byte", bits_of)
