@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import textkernel as tk
 from quire.llm.boosting import sigmoid
+from quire.llm.common import set_aside
 from quire.llm.toxicity import _core, sampled
 
 #: Labelled rows that a model is fitted on at most.
@@ -164,6 +165,5 @@ def score(docs: DataFrame, model: Ordinal, keep: tuple[str, ...] = ("doc_id",))
 
 def quality_filter(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
     """docs, in their own columns, whose tail probability is least or more."""
-    names = {c: f"_in_{k}" for k, c in enumerate(docs.columns) if c in ("expected_grade", "tail_probability")}
-    own = docs.withColumnsRenamed(names)
-    return score(own, model, tuple(own.columns)).where(F.col("tail_probability") >= least).select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    own, names = set_aside(docs, ("expected_grade", "tail_probability"))
+    return score(own, model, tuple(own.columns)).where(F.col("tail_probability") >= least).select(*[F.col(f"`{names[c]}`").alias(c) for c in docs.columns])

@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from quire.llm import textkernel as tk
 from quire.llm.boosting import Boosted, Isotonic, boost, isotonic, sigmoid
-from quire.llm.common import id_text_crc
+from quire.llm.common import drop_written, id_text_crc, set_aside, written
 
 #: Labelled rows that a model is fitted on at most.
 SAMPLE = 6000
 #: A word joins the lexicon if this share of the toxic sample has it, in so many rows at least, and so many times the share elsewhere.
 LEARNED_SHARE, LEARNED_ROWS, LEARNED_ODDS = 0.03, 4, 12.0
+#: Parts of the sample, by hash of the text, that are scored without their own labels.
+FOLDS = 4
 #: Words between a hit and a second-person word that count as near.
 NEAR = 6
 
@@ -162,48 +164,59 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").drop("doc_id")
 
 
+def telling_words(bags: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Words that toxic rows have far more often than others, with the seed lexicon."""
+    seed = _hash_words(SEED)
+    if not len(y) or y.min() == y.max():
+        return seed
+    words, toxic = np.unique(np.concatenate([b for b, v in zip(bags, y, strict=True) if v]), return_counts=True)
+    others, elsewhere = np.unique(np.concatenate([b for b, v in zip(bags, y, strict=True) if not v]), return_counts=True)
+    plain = np.zeros(len(words))
+    if len(others):
+        found = np.minimum(np.searchsorted(others, words), len(others) - 1)
+        plain = np.where(others[found] == words, elsewhere[found], 0)
+    pos, neg = y.sum(), len(y) - y.sum()
+    telling = (toxic >= max(LEARNED_ROWS, LEARNED_SHARE * pos)) & ((toxic / pos) >= LEARNED_ODDS * (plain + 0.5) / neg)
+    return np.union1d(seed, words[telling])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> Model:
-    sample = sampled(docs, labels, label, limit)
-    seed, second = _hash_words(SEED), _hash_words(SECOND_PERSON)
+    """Lexicon, trees and calibration curve. Equal texts are in one fold, and a fold's scores, on which the curve is
+    fitted, come from a lexicon and trees that have seen none of its labels."""
+    second = _hash_words(SECOND_PERSON)
+    # the sample is bounded, read from the documents once and kept
+    sample = written(sampled(docs, labels, label, limit).select(F.col(label).cast("int").alias("label"), "text", F.xxhash64("text").alias("key")).coalesce(8), "toxic-sample")
 
     def bags(batches):
         for rows, raw, offsets in tk.pieces(batches, "text"):
             h, first = word_keys(raw, offsets)
             bag = [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(label)).cast(pa.int32()), rows.column(rows.schema.get_field_index("text")), pa.array(bag, pa.binary())], ["label", "text", "bag"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(bag, pa.binary())], ["label", "key", "bag"])
 
-    rows = sample.mapInArrow(bags, "label int, text string, bag binary").select("label", "bag", F.xxhash64("text").alias("key")).toPandas()
-    rows = rows.drop_duplicates(["key", "label"]).sort_values("key")
+    rows = sample.mapInArrow(bags, "label int, key long, bag binary").toPandas().drop_duplicates(["key", "label"]).sort_values(["key", "label"])
     y = (rows["label"].to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
-        return Model(seed)
-    kinds = {}
-    for want in (0.0, 1.0):
-        bags_of = [np.frombuffer(b, np.uint64) for b, v in zip(rows["bag"], y, strict=True) if v == want]
-        kinds[want] = np.unique(np.concatenate(bags_of), return_counts=True)
-    words, toxic = kinds[1.0]
-    plain = np.zeros(len(words))
-    if len(kinds[0.0][0]):
-        found = np.minimum(np.searchsorted(kinds[0.0][0], words), len(kinds[0.0][0]) - 1)
-        plain = np.where(kinds[0.0][0][found] == words, kinds[0.0][1][found], 0)
-    pos, neg = y.sum(), len(y) - y.sum()
-    telling = (toxic >= max(LEARNED_ROWS, LEARNED_SHARE * pos)) & ((toxic / pos) >= LEARNED_ODDS * (plain + 0.5) / neg)
-    lexicon = np.union1d(seed, words[telling])
+        drop_written(sample)
+        return Model(_hash_words(SEED))
+    bag_of, fold = [np.frombuffer(b, np.uint64) for b in rows["bag"]], rows["key"].to_numpy() % FOLDS
+    # the last lexicon is that of all rows
+    lexicons = [telling_words([b for b, k in zip(bag_of, fold, strict=True) if k != own], y[fold != own]) for own in range(FOLDS + 1)]
 
     def dense(batches):
         for rows, raw, offsets in tk.pieces(batches, "text"):
-            x = features(raw, offsets, lexicon, second)
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(label)).cast(pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], ["label", "x"])
-
-    rows = sample.mapInArrow(dense, "label int, x binary").toPandas().sort_values(["x", "label"])
-    x = np.stack([np.frombuffer(b) for b in rows["x"]])
-    y = (rows["label"].to_numpy() > 0).astype(float)
-    fold = np.arange(len(y)) % 4
-    held = np.zeros(len(y))
-    for k in range(4):
+            x = np.stack([features(raw, offsets, lexicon, second) for lexicon in lexicons], axis=1)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["label", "key", "x"])
+
+    rows = sample.mapInArrow(dense, "label int, key long, x binary").toPandas().sort_values(["key", "label"])
+    drop_written(sample)
+    x = np.stack([np.frombuffer(b).reshape(FOLDS + 1, -1) for b in rows["x"]])
+    y, fold = (rows["label"].to_numpy() > 0).astype(float), rows["key"].to_numpy() % FOLDS
+    held = np.full(len(y), y.mean())
+    for k in range(FOLDS):
         own = fold == k
-        held[own] = sigmoid(boost(x[~own], y[~own]).raw(x[own])) if len(set(y[~own])) == 2 else y.mean()
-    return Model(lexicon, boost(x, y), isotonic(held, y))
+        if own.any() and len(set(y[~own])) == 2:
+            held[own] = sigmoid(boost(x[~own, k], y[~own]).raw(x[own, k]))
+    return Model(lexicons[FOLDS], boost(x[:, FOLDS], y), isotonic(held, y))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -222,6 +235,5 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 def toxic_filter(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """docs, in their own columns, without those whose score reaches limit."""
-    names = {c: f"_in_{k}" for k, c in enumerate(docs.columns) if c == "score"}
-    own = docs.withColumnsRenamed(names)
-    return score(own, model, tuple(own.columns)).where(F.col("score") < limit).select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    own, names = set_aside(docs, ("score",))
+    return score(own, model, tuple(own.columns)).where(F.col("score") < limit).select(*[F.col(f"`{names[c]}`").alias(c) for c in docs.columns])
