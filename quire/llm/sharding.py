@@ -15,11 +15,12 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import shuffle_partitions
+from quire.llm.common import scratch_path, shuffle_partitions
 
 #: Virtual slots; a power of two far above any shard count in use.
 SLOTS = 4096
@@ -43,15 +44,19 @@ class SlotMap:
         return len(self.shard_of)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.version, self.shards, slot, shard) for slot, shard in enumerate(self.shard_of)]
-        return spark.createDataFrame(rows, "version int, shards int, virtual_slot int, shard int")
+        """A row a slot; the version is in the folder's name."""
+        rows = [(self.shards, slot, shard) for slot, shard in enumerate(self.shard_of)]
+        return spark.createDataFrame(rows, "shards int, virtual_slot int, shard int")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Adds this version beside the earlier ones."""
         self.frame(spark).coalesce(1).write.mode("error").parquet(f"{path.rstrip('/')}/version={self.version}")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, version: int) -> SlotMap:
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+        """A version of the map, or the latest."""
+        if version is None:
+            version = spark.read.parquet(path.rstrip("/")).agg(F.max("version")).first()[0]
         rows = spark.read.parquet(f"{path.rstrip('/')}/version={version}").orderBy("virtual_slot").collect()
         return cls(rows[0]["shards"], tuple(r["shard"] for r in rows), version)
 
@@ -150,9 +155,28 @@ def shard(placed: DataFrame, slot_map: SlotMap, counts: list[int], order: tuple[
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """All documents in shards of near-equal bytes: doc_id, size, text_crc32, virtual_slot, shard, slot, map_version."""
+def current_map(spark: SparkSession, path: str, loads: list[int], shards: int, slack: float = 0.02) -> SlotMap:
+    """The latest map of a folder, after a first one is made where there is none and a next one where it is out of balance."""
+    try:
+        held = SlotMap.load(spark, path)
+    except AnalysisException:  # no such folder yet
+        assign(loads, shards).save(spark, path)
+        held = SlotMap.load(spark, path)
+    fresh = rebalance(held, loads, shards, slack)
+    if fresh.moved or fresh.shards != held.shards:
+        fresh.save(spark, path)
+        held = SlotMap.load(spark, path, fresh.version)
+    return held
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
+    """All documents in shards of near-equal bytes: doc_id, size, text_crc32, virtual_slot, shard, slot, map_version.
+
+    maps: the folder of the map's versions, one in the shared folder if none is given.
+    """
+    spark = docs.sparkSession
     placed = place(docs.select("doc_id", "text"), slots=slots).drop("text")
     loads, counts = slot_loads(placed, slots)
-    parts = min(shuffle_partitions(docs.sparkSession), sum(counts) // ROWS_A_FILE + 1)
-    return shard(placed, assign(loads, shards), counts, ("doc_id", "text_crc32", "size")).coalesce(parts)
+    parts = min(shuffle_partitions(spark), sum(counts) // ROWS_A_FILE + 1)
+    held = current_map(spark, maps or scratch_path(spark, "slot-maps"), loads, shards)
+    return shard(placed, held, counts, ("doc_id", "text_crc32", "size")).coalesce(parts)
