@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import scratch_path, written
 
-#: Pages in one archive file, so that a file is a bounded unit of work for its reader.
-PAGES_A_FILE = 2000
+#: Pages and bytes of payload in one archive file at most, so that a file is a bounded unit of work for its reader.
+PAGES_A_FILE, BYTES_A_FILE = 2000, 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
@@ -86,7 +86,10 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     facts = F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = F.concat(_lines(("WARC-Type", "metadata"), ("WARC-Record-ID", _uuid("metadata")), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields"), ("Content-Length", F.octet_length(facts))), facts)
     value = F.concat_ws(_END, request, response, metadata)
-    rows.select(value.alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", PAGES_A_FILE).text(path)
+    # so many pages that even the largest ones don't fill a file; a page beyond that has a file of its own
+    largest = pages.agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0))).first()[0]
+    pages_a_file = max(1, min(PAGES_A_FILE, BYTES_A_FILE // max(largest, 1)))
+    rows.select(value.alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", pages_a_file).text(path)
 
 
 class _Stream:
