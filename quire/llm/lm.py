@@ -918,7 +918,7 @@ def _scored(train_tokens: int, chain: list[np.ndarray], slots: np.ndarray, w: np
                 n_tokens, docs = n_tokens.astype(np.int64), len(held)
                 owner = np.repeat(np.arange(docs), n_tokens)
                 block = (np.arange(len(owner)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)) // BLOCK
-                score = choice.view(np.float64).copy()
+                score = choice.astype("<u8").view(np.float64).copy()
                 for bit, code in enumerate(codes):
                     at = np.flatnonzero(asked & (1 << bit))
                     score += read_online(chain[bit][code], told[at] == bit, owner[at], block[at], docs)
@@ -928,7 +928,7 @@ def _scored(train_tokens: int, chain: list[np.ndarray], slots: np.ndarray, w: np
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_id.astype(np.uint64).view(np.int64), mask=no_id.astype(bool)), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(n_known.astype(np.int64)),
-                        pa.array(np.full(docs, train_tokens)), pa.array(base.view(np.float64)), pa.array(score), pa.array(n_bytes.astype(np.int64)),
+                        pa.array(np.full(docs, train_tokens)), pa.array(base.astype("<u8").view(np.float64)), pa.array(score), pa.array(n_bytes.astype(np.int64)),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"],
                 )

@@ -176,6 +176,21 @@ def test_rebalancing_moves_few_slots(spark, tmp_path):
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 2) == grown
 
 
+def test_map_versions_are_stored_and_edited(spark, tmp_path, docs):
+    path = str(tmp_path / "maps")
+    first = sharding.shard_documents(docs, 8, 256, path).collect()
+    again = sharding.shard_documents(docs, 8, 256, path).collect()
+    assert {r["map_version"] for r in first + again} == {1}
+    key = lambda rows: {r["doc_id"]: r["shard"] for r in rows}
+    assert key(first) == key(again)
+    # a ninth shard: the next version moves few slots, and the first stays as it was
+    grown = sharding.shard_documents(docs, 9, 256, path).collect()
+    assert {r["map_version"] for r in grown} == {2} and len(set(key(grown).values())) == 9
+    moved = sum(key(first)[i] != s for i, s in key(grown).items())
+    assert 0 < moved < len(first) / 3
+    assert sharding.SlotMap.load(spark, path, 1).shards == 8 and sharding.SlotMap.load(spark, path).version == 2
+
+
 # ---- 3 WARC
 
 
@@ -331,6 +346,66 @@ def test_calibration_meets_the_budget():
     assert mixing.calibrate(tokens, weight, 1.0).tolist() == [1.0] * 50
 
 
+def test_capped_cells_are_raked_with_the_others():
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(50, 200, (4, 3, 2)).astype(float)
+    tokens[0] /= 8  # a rare source that is wanted as much as the others
+    wanted = [np.full(4, 0.25), np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4])]
+    weight, chance, residual = mixing.fit(tokens, wanted, 0.2)
+    assert (weight[0] * 0.2 > 1).any() and chance.max() == 1.0
+    # the source can't give its quarter; it gives all it has and the rest is met
+    assert (chance[0] > 0.999).all() and residual[0] > 0.1 and max(residual[1:]) < 1e-4
+    assert math.isclose((tokens * chance).sum(), 0.2 * tokens.sum(), rel_tol=1e-6)
+    # wanted within what there is: every marginal is met although cells are full
+    tokens[0] *= 4
+    _, chance, residual = mixing.fit(tokens, wanted, 0.45)
+    assert chance.max() == 1.0 and max(residual) < 1e-5
+
+
+def test_mixing_equals_plain_raking(spark, sf_dir, docs):
+    """Weights and probabilities against raking by dictionaries over single documents."""
+    rows = queries.op6_mixing(spark, sf_dir).collect()
+    targets = mixing.production(docs)
+    level = lambda r, k, wanted: r[k] if r[k] in wanted and r[k] != mixing.OTHER else mixing.OTHER
+    cell = {r["doc_id"]: tuple(level(r, k, w) for k, w in targets.marginals()) for r in rows}
+    mass = Counter()
+    for r in rows:
+        mass[cell[r["doc_id"]]] += r["tokens"]
+    total, factor = sum(mass.values()), dict.fromkeys(mass, 1.0)
+    goals = []
+    for axis, (_, wanted) in enumerate(targets.marginals()):
+        there = Counter()
+        for c, m in mass.items():
+            there[c[axis]] += m
+        named = {k: w for k, w in wanted.items() if there[k]}
+        kept = 0.0 if mixing.OTHER in wanted else there[mixing.OTHER] / total
+        goals.append({k: w / sum(named.values()) * (1 - kept) for k, w in named.items()} | ({mixing.OTHER: kept} if kept else {}))
+    for _ in range(300):
+        for axis, goal in enumerate(goals):
+            now = Counter()
+            for c, m in mass.items():
+                now[c[axis]] += m * factor[c] / total
+            for c in factor:
+                factor[c] *= goal.get(c[axis], 0.0) / now[c[axis]] if now[c[axis]] else 0.0
+    for r in rows:
+        if r["tokens"]:
+            assert math.isclose(r["weight"], factor[cell[r["doc_id"]]], rel_tol=1e-5)
+        assert 0 <= r["probability"] <= 1
+    expected = sum(r["tokens"] * r["probability"] for r in rows)
+    assert math.isclose(expected, mixing.SHARE * total, rel_tol=1e-5)
+
+
+def test_columns_of_the_users_stay(spark, docs, labels):
+    import pyspark.sql.functions as F
+
+    own = docs.withColumns({"source_level": F.lit("a"), "_level_lang": F.lit("b"), "Score": F.lit("c"), "_kept_0": F.lit("d"), "tail_probability": F.lit("e"), "_in_5": F.lit("f")})
+    mixed = mixing.mix(own, mixing.PRODUCTION, 0.5).limit(3).collect()
+    assert all((r["source_level"], r["_level_lang"], r["Score"]) == ("a", "b", "c") for r in mixed)
+    for kept in (toxicity.toxic_filter(own, toxicity.fit(docs, labels)), quality.quality_filter(own, quality.fit(docs, labels))):
+        assert kept.columns == own.columns
+        assert all((r["Score"], r["_kept_0"], r["tail_probability"], r["_in_5"]) == ("c", "d", "e", "f") for r in kept.limit(3).collect())
+
+
 def test_mixing_counts_tokens(spark, sf_dir, texts):
     rows = queries.op6_mixing(spark, sf_dir).collect()
     assert {r["doc_id"]: r["tokens"] for r in rows} == {i: len(words(t)) for i, t in texts.items()}
@@ -390,36 +465,8 @@ def test_base_score_is_exact_and_contexts_help(spark, sf_dir, texts):
         assert r["score"] < 0 and r["bits_per_byte"] > 0
     # better than spelling every byte alike, also on documents that taught nothing
     held = [r for r in rows if r["held_out"]]
-    assert sum(r["bits_per_byte"] for r in held) / len(held) < 4
-
-
-def test_predicted_tokens_are_those_after_the_last_occurrence():
-    rng = np.random.default_rng(6)
-    first = np.array([0, 30, 31, 90])
-    ids = rng.integers(0, 5, 90)
-    has, hit, context = lm.predicted(ids, first)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        run, flags = 0, []
-        for t in range(a, b):
-            earlier = [s for s in range(a + 1, t) if ids[s - 1] == ids[t - 1]] if t > a else []
-            assert has[t] == bool(earlier)
-            assert hit[t] == (bool(earlier) and ids[earlier[-1]] == ids[t])
-            assert context[t] >> 12 == min(run, 15)
-            assert context[t] >> 8 & 15 == sum(f << k for k, f in enumerate(flags[::-1][:4]))
-            flags.append(int(hit[t]))
-            run = run + 1 if hit[t] else 0
-
-
-def test_spelling_is_a_distribution():
-    """Over all strings of up to two letters of a tiny alphabet, q sums to less than one."""
-    import pyarrow as pa
-
-    tables = np.zeros((2, lm._TABLE), dtype=np.float32)
-    w, refined = np.full((lm.GATES, len(lm.ORDERS)), 0.3), np.tile(boosting.sigmoid((np.arange(lm.MAP) - lm.MAP // 2) / 2), (256, 1))
-    strings = [bytes([a]) for a in range(256) if a != 32] + [bytes([a, b]) for a in range(97, 123) for b in range(97, 123)]
-    batch = pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), pa.array([1] * len(strings))], ["token", "c"])
-    q = next(lm._spell(tables, w, refined)([batch])).column(2).to_numpy()
-    assert np.exp(q).sum() < 1
+    assert sum(r["bits_per_byte"] for r in held) / len(held) < 3
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
 # ---- 10 fingerprints
