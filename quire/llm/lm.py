@@ -4,17 +4,17 @@ A text is a sequence of tokens: its words (A-Z lower-cased), then one end. Every
 the model's log10 probability of a text is the sum over its bits and choices:
 
 1. repeat: is it what followed the last occurrence of the token before, in the same document?
-2. two, one, short: has it been seen after the two tokens before, after the token before, after the last short word
-   (SHORT bytes at most)? If so the choice is (n - D) / (N - D * T): n its count in that context, N and T the context's
-   tokens and distinct tokens, D the order's absolute discount.
+2. two, one: has it been seen after the two tokens before, after the token before? If so the choice is
+   (n - D) / (N - D * T): n its count in that context, N and T the context's tokens and distinct tokens, D the order's
+   absolute discount.
 3. known: does the corpus know it? If so the choice is the discounted share of its count.
 4. again: is it one of the unknown words that the document had before? If so all of them are alike.
 5. Otherwise it is spelled bit by bit, ending in a space.
 
 Each bit of 1 to 4 is mixed from three hashed-context predictors by weights that a gate selects, refined by the counts
 of the joint context, and shifted by a bias that is learned online while the document is read. The bits of a spelling are
-mixed from predictors of orders 1, 2, 3, 4 and 6 and one of the last short word with two letters; their weights are
-learned online and an adaptive map refines the mix by the byte before.
+mixed from predictors of orders 1, 2, 3, 4 and 6 and one of the last short word (SHORT bytes at most) with two letters;
+their weights are learned online and an adaptive map refines the mix by the byte before.
 
 What the corpus teaches are exact counts of tokens and of tokens in contexts over all training documents; they grow with
 the corpus and stay in the shared folder. A training document is scored by what the others teach: its own counts are
@@ -55,11 +55,11 @@ CONTEXT_BITS, TOKEN_BITS = 33, 31
 HOT, EVERY = 14, 16
 #: Bytes of a short word.
 SHORT = 3
-#: Orders that are counted: 0 the token itself, then contexts of one token, two, and the last short word.
-VOCABULARY, ONE, TWO, LAST_SHORT = 0, 1, 2, 3
+#: Orders that are counted: 0 the token itself, then contexts of one token and of two.
+VOCABULARY, ONE, TWO = 0, 1, 2
 #: The chain's bits in the order they are asked.
-REPEAT, SEEN_TWO, SEEN_ONE, SEEN_SHORT, KNOWN, AGAIN = range(6)
-CHAIN = 6
+REPEAT, SEEN_TWO, SEEN_ONE, KNOWN, AGAIN = range(5)
+CHAIN = 5
 #: A bit's joint context: four values below 16, the first of which is the gate.
 JOINT = 16**4
 #: The online bias: tokens between updates, rate, and how much it is drawn to nothing.
@@ -216,10 +216,12 @@ class Chunk:
             return self.hash
         if order == ONE:
             return tk.mix(self.before(1, at) + _SALT[0])
-        if order == TWO:
-            return tk.mix(self.before(1, at) * _SALT[1] + self.before(2, at) * _SALT[2])
-        last = self.last_short() if at is None else self.last_short()[at]
-        return tk.mix(np.where(last >= 0, self.hash[self.ids[np.maximum(last, 0)]], _START) + _SALT[3])
+        return tk.mix(self.before(1, at) * _SALT[1] + self.before(2, at) * _SALT[2])
+
+    def short_codes(self, at: np.ndarray) -> np.ndarray:
+        """16 bits of the hash of the last short word before each place."""
+        last = self.last_short()[at]
+        return tk.mix(np.where(last >= 0, self.hash[self.ids[np.maximum(last, 0)]], _START) + _SALT[3]) & np.uint64(0xFFFF)
 
     def training(self) -> np.ndarray:
         return ~self.held[self.owner]
@@ -256,7 +258,7 @@ class Hot:
 
     def __init__(self, bits: int):
         self.bits = bits
-        self.context = {o: np.zeros(0, np.uint64) for o in (ONE, TWO, LAST_SHORT)}
+        self.context = {o: np.zeros(0, np.uint64) for o in (ONE, TWO)}
         self.shares = dict.fromkeys(self.context, np.zeros(0, np.uint64))
         self.totals: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
@@ -332,7 +334,11 @@ def _chunks(batches):
             base += len(raw)
         first, spans = np.array(first), np.concatenate(spans, axis=1)
         raw = np.concatenate([r for *_, r in held])
-        uniq, where, back, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        by = pair_order(hashes, np.zeros(len(hashes), np.uint32))
+        starts = runs(hashes[by])
+        uniq, where, n = hashes[by[starts]], by[starts], np.diff(np.append(starts, len(by)))
+        back = np.empty(len(by), dtype=np.int64)
+        back[by] = spread(starts, len(by))
         order = np.lexsort((uniq, -n))
         # id 0 is the end; words follow by falling frequency
         place = np.empty(len(uniq), dtype=np.int64)
@@ -366,7 +372,7 @@ def _chunks(batches):
 def _frequent(chunk: Chunk) -> bytes:
     """Of every EVERY-th token the contexts that more than one in 2**(HOT + 2) has, by order: they only steer the dealing."""
     out, at = [], np.arange(0, len(chunk.ids), EVERY)
-    for order in (ONE, TWO, LAST_SHORT):
+    for order in (ONE, TWO):
         context, n = np.unique(chunk.context(order, at), return_counts=True)
         often = n > max(1, len(chunk.ids) // EVERY >> (HOT + 2))
         out += [context[often], n[often]]
@@ -379,7 +385,7 @@ def hot_contexts(chunks: DataFrame, bits: int) -> Hot:
     for r in chunks.select("hot").toLocalIterator():
         (n,), *rest = unpack(r["hot"])
         total += int(n)
-        for i, order in enumerate((ONE, TWO, LAST_SHORT)):
+        for i, order in enumerate((ONE, TWO)):
             held = found.setdefault(order, [np.zeros(0, np.uint64), np.zeros(0)])
             context, back = np.unique(np.concatenate((held[0], rest[2 * i].astype(np.uint64))), return_inverse=True)
             found[order] = [context, np.bincount(back, np.concatenate((held[1], rest[2 * i + 1])))]
@@ -489,9 +495,9 @@ _FEATURES = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("bits", pa
 _FEATURES_SQL = "chunk long, docs binary, bits binary, spelled binary, words binary, n_spelled long, part int, counts binary"
 
 
-def bucket(v: np.ndarray, step: int = 1) -> np.ndarray:
-    """Number of binary digits, in steps, 15 at most."""
-    return np.minimum((np.frexp(v.astype(np.float64))[1] + step - 1) // step, 15).astype(np.int64)
+def bucket(v: np.ndarray) -> np.ndarray:
+    """Number of binary digits, 15 at most."""
+    return np.minimum(np.frexp(v.astype(np.float64))[1], 15).astype(np.int64)
 
 
 def share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -533,32 +539,42 @@ def followed(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return last, before
 
 
-def _others(chunk: Chunk, order: int, hot: Hot, reply: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token, in its context and without its document: its count, the tokens, the distinct tokens."""
-    own = Entries(chunk, order, hot)
-    n, tokens, distinct = (v.astype(np.int64) for v in reply)
-    hot.whole(order, own.context[own.run], tokens, distinct)
-    owner = chunk.owner[own.order]
-    sub = runs(own.pair_of, owner)
-    size = np.diff(np.append(sub, len(owner)))
-    at = own.order[sub]
-    pair = own.pair_of[sub]
-    context = own.run_of
-    if len(hot.context[order]):  # the shares of a hot context are one
-        context = np.unique(chunk.context(order, own.order[own.pair[own.run]]), return_inverse=True)[1][own.run_of]
-    key = context[pair] * len(chunk.held) + chunk.owner[at]
-    by = order_of(key)
-    group = runs(key[by])
-    of = np.empty(len(by), dtype=np.int64)
-    of[by] = spread(group, len(by))
-    in_document, only_here = np.add.reduceat(size[by], group)[of], np.add.reduceat((n[pair] == size)[by].astype(np.int64), group)[of]
-    training = ~chunk.held[chunk.owner[at]]
-    out = []
-    for all_, mine in ((n[pair], size), (tokens[own.run_of[pair]], in_document), (distinct[own.run_of[pair]], only_here)):
-        v = np.empty(len(owner), dtype=np.int64)
-        v[own.order] = np.repeat(all_ - np.where(training, mine, 0), size)
-        out.append(v)
-    return tuple(out)
+class Others:
+    """What the other documents say of a chunk's tokens in their contexts; equal ones of a document share an entry.
+
+    entry: the entry of each token; n, tokens, distinct: of each entry the token's count in its context, all tokens of the
+    context and its distinct tokens, all without the document's own.
+    """
+
+    def __init__(self, chunk: Chunk, order: int, hot: Hot, reply: list[np.ndarray], less: float):
+        own = Entries(chunk, order, hot)
+        n, tokens, distinct = (v.astype(np.int64) for v in reply)
+        hot.whole(order, own.context[own.run], tokens, distinct)
+        owner = chunk.owner[own.order]
+        sub = runs(own.pair_of, owner)
+        size = np.diff(np.append(sub, len(owner)))
+        pair, doc = own.pair_of[sub], owner[sub]
+        context = own.run_of[pair]
+        same = context
+        if len(hot.context[order]):  # the shares of a hot context are one
+            same = np.unique(chunk.context(order, own.order[own.pair[own.run]]), return_inverse=True)[1][context]
+        by = order_of(same * len(chunk.held) + doc)
+        group = runs(same[by], doc[by])
+        of = np.empty(len(by), dtype=np.int64)
+        of[by] = spread(group, len(by))
+        held, all_ = chunk.held[doc], n[pair]
+        self.entry = np.empty(len(owner), dtype=np.int64)
+        self.entry[own.order] = np.repeat(np.arange(len(sub)), size)
+        self.n = all_ - np.where(held, 0, size)
+        self.tokens = tokens[context] - np.where(held, 0, np.add.reduceat(size[by], group)[of])
+        self.distinct = distinct[context] - np.where(held, 0, np.add.reduceat((all_ == size)[by].astype(np.int64), group)[of])
+        self.less = less
+        self.ratio = share(self.distinct, self.tokens)
+        self.code = joined(bucket(self.tokens), self.ratio)
+
+    def choice(self, at: np.ndarray) -> np.ndarray:
+        e = self.entry[at]
+        return np.log10((self.n[e] - self.less) / (self.tokens[e] - self.less * self.distinct[e]))
 
 
 def discount(statistics: np.ndarray) -> float:
@@ -621,19 +637,12 @@ def _features(hot: Hot, statistics: dict[int, np.ndarray]):
 
         last, before = followed(chunk)
         ask(REPEAT, last >= 0, (last >= 0) & (ids[last] == ids), lambda at, h: joined(np.minimum(before[at], 15), h, bucket(prior[at]), bucket(known[last[at]])))
-        seen = {o: _others(chunk, o, hot, reply[o]) for o in (TWO, ONE, LAST_SHORT)}
-        ratio = {o: share(t, n) for o, (_, n, t) in seen.items()}
-        inputs = {
-            SEEN_TWO: (TWO, lambda at, h: joined(bucket(seen[TWO][1][at]), ratio[TWO][at], h, ratio[ONE][at])),
-            SEEN_ONE: (ONE, lambda at, h: joined(bucket(seen[ONE][1][at]), ratio[ONE][at], h, ratio[LAST_SHORT][at])),
-            SEEN_SHORT: (LAST_SHORT, lambda at, h: joined(bucket(seen[LAST_SHORT][1][at], 2), ratio[LAST_SHORT][at], h, bucket(prior[at]))),
-        }
-        for bit, (order, code) in inputs.items():
-            n, all_, kinds_here = seen[order]
-            hit = ask(bit, all_ > 0, n > 0, code)
-            choice[hit] = np.log10((n[hit] - less[order]) / (all_[hit] - less[order] * kinds_here[hit]))
-        short = bucket(seen[LAST_SHORT][1], 2)
-        hit = ask(KNOWN, pending, ~unknown, lambda at, h: joined(h, short[at], bucket(prior[at]), 15 * so_far[at] // np.maximum(place[at], 1)))
+        one, two = (Others(chunk, o, hot, reply[o], less[o]) for o in (ONE, TWO))
+        ratio = {o: seen.ratio[seen.entry] for o, seen in ((ONE, one), (TWO, two))}
+        for bit, seen, other in ((SEEN_TWO, two, ratio[ONE]), (SEEN_ONE, one, ratio[TWO])):
+            hit = ask(bit, (seen.tokens > 0)[seen.entry], (seen.n > 0)[seen.entry], lambda at, h, seen=seen, other=other: joined(seen.code[seen.entry[at]], h, other[at]))
+            choice[hit] = seen.choice(hit)
+        hit = ask(KNOWN, pending, ~unknown, lambda at, h: joined(h, ratio[ONE][at], bucket(prior[at]), 15 * so_far[at] // np.maximum(place[at], 1)))
         choice[hit] = np.log10((known[hit] - less[VOCABULARY]) / (others[owner[hit]] - less[VOCABULARY] * kinds[owner[hit]]))
         hit = ask(AGAIN, so_far > 0, ~first_here, lambda at, h: joined(bucket(so_far[at]), h, bucket(place[at]), bucket(prior[at])))
         choice[hit] = -np.log10(so_far[hit])
@@ -645,7 +654,7 @@ def _features(hot: Hot, statistics: dict[int, np.ndarray]):
         width = np.diff(chunk.offsets)[ids[spelled]]
         offsets = np.concatenate(([0], np.cumsum(width)))
         raw = chunk.raw[np.repeat(chunk.offsets[:-1][ids[spelled]] - offsets[:-1], width) + np.arange(int(offsets[-1]))]
-        words = [pack(owner[spelled], width, chunk.context(LAST_SHORT)[spelled] & np.uint64(0xFFFF)), pa.compress(raw.tobytes(), codec="zstd", asbytes=True)]
+        words = [pack(owner[spelled], width, chunk.short_codes(spelled)), pa.compress(raw.tobytes(), codec="zstd", asbytes=True)]
         n_spelled = int(training[spelled].sum())
         out = [{"chunk": row["chunk"], "docs": rows, "bits": pack(told, asked, *codes), "spelled": words[0], "words": words[1], "n_spelled": n_spelled}]
         for bit, code in enumerate(codes):
@@ -744,19 +753,19 @@ def _held(row: dict) -> np.ndarray:
 
 def _count(batches):
     """The task's part of all tables: ones, then all, as counts of bits over the spelled words of training documents."""
-    ones, every, any_row = np.zeros(_TABLE, np.int64), np.zeros(_TABLE, np.int64), False
+    seen, any_row = np.zeros(2 * _TABLE, np.int64), False
     for batch in batches:
         for row in batch.to_pylist():
             raw, size, short, _ = _words(row, _held(row), True)
             for spelled, _ in _steps(raw, size, short):
                 any_row = True
-                on, places = (np.concatenate(v, axis=-1) for v in zip(*[(bit.astype(bool), at) for _, bit, at in spelled.bits()], strict=True))
-                for k, base in enumerate(_ADDRESS[:-1].tolist()):
-                    own, n = places[k] - base, 1 << SLOT_BITS[k]
-                    every[base : base + n] += np.bincount(own, minlength=n)
-                    ones[base : base + n] += np.bincount(own[on], minlength=n)
+                places = np.concatenate([at * 2 + bit for _, bit, at in spelled.bits()], axis=1)
+                for k, base in enumerate((2 * _ADDRESS[:-1]).tolist()):
+                    n = 2 << SLOT_BITS[k]
+                    seen[base : base + n] += np.bincount(places[k] - base, minlength=n)
     if any_row:
-        both = np.concatenate((ones, every))
+        # zeros and ones lie side by side
+        both = np.concatenate((seen[1::2], seen[::2] + seen[1::2]))
         parts = [pack(both[i : i + _PART]) for i in range(0, len(both), _PART)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
 
@@ -944,7 +953,7 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
     bits = (int(size) // RANGE).bit_length()
     chunks = written(source.mapInArrow(_chunks, _CHUNK_SQL), "chunks", every_row=True)
     hot = hot_contexts(chunks, bits)
-    found = {o: counts_of(chunks, o, bits, hot) for o in (VOCABULARY, ONE, TWO, LAST_SHORT)}
+    found = {o: counts_of(chunks, o, bits, hot) for o in (VOCABULARY, ONE, TWO)}
     replies = None
     for table, _ in found.values():
         replies = table if replies is None else replies.unionByName(table)

@@ -16,8 +16,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def digits(v: int, step: int = 1) -> int:
-    return min((int(v).bit_length() + step - 1) // step, 15)
+def digits(v: int) -> int:
+    return min(int(v).bit_length(), 15)
 
 
 def ratio(t: int, n: int) -> int:
@@ -35,14 +35,14 @@ class Plain:
         short = "start"
         for t, w in enumerate(doc):
             one = doc[t - 1] if t else "start"
-            yield t, w, {lm.TWO: (one, doc[t - 2] if t > 1 else "start", 2), lm.ONE: (one, 1), lm.LAST_SHORT: (short, 3)}
+            yield t, w, {lm.TWO: (one, doc[t - 2] if t > 1 else "start", 2), lm.ONE: (one, 1)}, short
             if w is not None and len(w.encode()) <= lm.SHORT:
                 short = w
 
     def counted(self, docs: list[list]) -> tuple[Counter, dict]:
         words, after = Counter(), defaultdict(Counter)
         for d in docs:
-            for _, w, contexts in self.contexts(d):
+            for _, w, contexts, _ in self.contexts(d):
                 words[w] += 1
                 for c in contexts.values():
                     after[c][w] += 1
@@ -50,10 +50,10 @@ class Plain:
 
     def discounts(self) -> dict[int, float]:
         words, after = self.counted(self.training)
-        pairs = {o: Counter() for o in (lm.ONE, lm.TWO, lm.LAST_SHORT)}
+        pairs = {o: Counter() for o in (lm.ONE, lm.TWO)}
         for c, found in after.items():
             for n in found.values():
-                pairs[{2: lm.TWO, 1: lm.ONE, 3: lm.LAST_SHORT}[c[-1]]][n] += 1
+                pairs[c[-1]][n] += 1
         pairs[lm.VOCABULARY] = Counter(words.values())
         return {o: min(max((p[1] + 0.5) / (p[1] + 2 * p[2] + 1), 0.1), 0.9) for o, p in pairs.items()}
 
@@ -73,7 +73,7 @@ class Plain:
         novel: list = []
         last_of: dict = {}
         run = 0
-        for t, w, contexts in self.contexts(doc):
+        for t, w, contexts, short in self.contexts(doc):
             one = doc[t - 1] if t else None
             prior = words[one] if t else 0
             n = {o: sum(after[c].values()) for o, c in contexts.items()}
@@ -98,18 +98,17 @@ class Plain:
                     run = 0
                 codes = {
                     lm.SEEN_TWO: (lm.TWO, lambda h: (digits(n[lm.TWO]), ratio(kinds_of[lm.TWO], n[lm.TWO]), h, ratio(kinds_of[lm.ONE], n[lm.ONE]))),
-                    lm.SEEN_ONE: (lm.ONE, lambda h: (digits(n[lm.ONE]), ratio(kinds_of[lm.ONE], n[lm.ONE]), h, ratio(kinds_of[lm.LAST_SHORT], n[lm.LAST_SHORT]))),
-                    lm.SEEN_SHORT: (lm.LAST_SHORT, lambda h: (digits(n[lm.LAST_SHORT], 2), ratio(kinds_of[lm.LAST_SHORT], n[lm.LAST_SHORT]), h, digits(prior))),
+                    lm.SEEN_ONE: (lm.ONE, lambda h: (digits(n[lm.ONE]), ratio(kinds_of[lm.ONE], n[lm.ONE]), h, ratio(kinds_of[lm.TWO], n[lm.TWO]))),
                 }
                 for bit, (o, code) in codes.items():
                     own = after[contexts[o]][w]
                     if n[o] and ask(bit, own > 0, code):
                         return math.log10((own - less[o]) / (n[o] - less[o] * kinds_of[o]))
-                if ask(lm.KNOWN, words[w] > 0, lambda h: (h, digits(n[lm.LAST_SHORT], 2), digits(prior), 15 * len(novel) // max(t, 1))):
+                if ask(lm.KNOWN, words[w] > 0, lambda h: (h, ratio(kinds_of[lm.ONE], n[lm.ONE]), digits(prior), 15 * len(novel) // max(t, 1))):
                     return math.log10((words[w] - less[lm.VOCABULARY]) / (total - less[lm.VOCABULARY] * kinds))
                 if novel and ask(lm.AGAIN, w in novel, lambda h: (digits(len(novel)), h, digits(t), digits(prior))):
                     return -math.log10(len(novel))
-                spelled.append((w, contexts[lm.LAST_SHORT][0]))
+                spelled.append((w, short))
                 return 0.0
 
             choice += tell()
