@@ -30,6 +30,8 @@ from quire.llm.common import scratch_path, written
 
 #: Pages and bytes of payload in one archive file at most, so that a file is a bounded unit of work for its reader.
 PAGES_A_FILE, BYTES_A_FILE = 2000, 256 << 20
+#: Bytes of payload that a task writes at least, so that small inputs don't end in many tiny files.
+BYTES_A_TASK = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
@@ -87,9 +89,10 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     metadata = F.concat(_lines(("WARC-Type", "metadata"), ("WARC-Record-ID", _uuid("metadata")), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields"), ("Content-Length", F.octet_length(facts))), facts)
     value = F.concat_ws(_END, request, response, metadata)
     # so many pages that even the largest ones don't fill a file; a page beyond that has a file of its own
-    largest = pages.agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0))).first()[0]
+    size = F.octet_length("html").cast("long")
+    largest, total = pages.agg(F.coalesce(F.max(size), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
     pages_a_file = max(1, min(PAGES_A_FILE, BYTES_A_FILE // max(largest, 1)))
-    rows.select(value.alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", pages_a_file).text(path)
+    rows.select(value.alias("value")).coalesce(total // BYTES_A_TASK + 1).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", pages_a_file).text(path)
 
 
 class _Stream:
