@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +16,7 @@ from quire.functions.text import ABBREVIATIONS, ATTACHING, CLOSERS, TERMINATORS
 
 #: Matches in a row that make an anchor.
 ANCHOR = 5
+ENDS = frozenset(TERMINATORS)
 
 
 def _with_anchors(rows: DataFrame, keys: list[str], order: list[str], match: Column) -> DataFrame:
@@ -30,11 +34,6 @@ def _with_anchors(rows: DataFrame, keys: list[str], order: list[str], match: Col
     return marked.withColumns({"lead_end": F.min(inside).over(whole), "trail_start": F.max(inside).over(whole) + 1}).drop("_m", "_g", "_a")
 
 
-def anchor_bounds(rows: DataFrame, keys: list[str], order: list[str], match: Column) -> DataFrame:
-    """lead_end and trail_start of each key that has an anchor."""
-    return _with_anchors(rows, keys, order, match).groupBy(*keys).agg(F.min("lead_end").alias("lead_end"), F.min("trail_start").alias("trail_start")).where("lead_end IS NOT NULL")
-
-
 def classify_regions(rows: DataFrame, keys: list[str], order: list[str], match: Column) -> DataFrame:
     """rows with their index and region; without a usable pair of anchors all is core."""
     placed = _with_anchors(rows, keys, order, match)
@@ -170,8 +169,8 @@ def coalesce_tokens(tokens, low: int, high: int) -> list[tuple[float, float, str
         bare = text.lstrip(" ")
         if not bare:
             continue
-        attached = all(c in ATTACHING for c in bare)
-        fresh = not words or (not attached and (text[0] == " " or (bare[0].isalpha() and words[-1][2].rstrip(CLOSERS)[-1:] in tuple(TERMINATORS))))
+        attached = not bare.strip(ATTACHING)
+        fresh = not words or (not attached and (text[0] == " " or (bare[0].isalpha() and words[-1][2].rstrip(CLOSERS)[-1:] in ENDS)))
         if fresh:
             words.append([t0, t1, bare])
         else:
@@ -186,22 +185,46 @@ def coalesce_tokens(tokens, low: int, high: int) -> list[tuple[float, float, str
     return out
 
 
+def lists_of(column: pa.ListArray) -> Iterator[list]:
+    """The lists of a column, null ones empty."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+    start = 0
+    for end in ends.tolist():
+        yield values[start:end].tolist()
+        start = end
+
+
 def words_of_tokens(segments: DataFrame, keys: list[str]) -> DataFrame:
     """keys, word_ord, start_s, end_s, text: segments have tokens (array of text, t0_cs, t1_cs), t0_cs and t1_cs."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.select(*keys).schema)
-    columns = [*keys, "word_ord", "start_s", "end_s", "text"]
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                *own, tokens, low, high = row
-                triples = ((t["text"], t["t0_cs"], t["t1_cs"]) for t in (tokens if tokens is not None else ()))
-                for k, (s, e, w) in enumerate(coalesce_tokens(triples, low, high)):
-                    out.append((*own, k, s, e, w))
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            yield pd.DataFrame(out, columns=columns)
-
-    return segments.select(*keys, "tokens", "t0_cs", "t1_cs").mapInPandas(run, f"{fields}, word_ord int, start_s double, end_s double, text string")
+    tokens = lambda c: F.transform("tokens", lambda t: t[c]).alias(c)
+
+    def given(batch: pa.RecordBatch, rows: list[int], sizes: list[int], words: list[tuple]) -> pa.RecordBatch:
+        owner = pa.array(np.repeat(np.array(rows, np.int64), sizes))
+        order = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        start, end, text = zip(*words, strict=True)
+        columns = [batch.column(k).take(owner) for k in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(order, pa.int32()), pa.array(start, pa.float64()), pa.array(end, pa.float64()), pa.array(text, pa.string())], [*keys, "word_ord", "start_s", "end_s", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            sizes: list[int] = []
+            words: list[tuple] = []
+            low, high = (batch.column(len(keys) + k).to_pylist() for k in (3, 4))
+            parts = [lists_of(batch.column(len(keys) + k)) for k in range(3)]
+            for k in range(batch.num_rows):
+                own = coalesce_tokens(zip(*(next(c) for c in parts), strict=True), low[k], high[k])
+                if own:
+                    rows.append(k)
+                    sizes.append(len(own))
+                    words += own
+                if len(words) > 50_000:
+                    yield given(batch, rows, sizes, words)
+                    rows, sizes, words = [], [], []
+            if words:
+                yield given(batch, rows, sizes, words)
+
+    flat = segments.select(*keys, tokens("text"), tokens("t0_cs"), tokens("t1_cs"), F.col("t0_cs").alias("_low"), F.col("t1_cs").alias("_high"))
+    return flat.mapInArrow(run, f"{fields}, word_ord int, start_s double, end_s double, text string")

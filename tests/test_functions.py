@@ -249,3 +249,72 @@ def test_reports(spark):
     got = {r["book_id"]: json.loads(r["json"]) for r in package.report_json(summary, issues, "book_id").collect()}
     assert [i["severity"] for i in got["b"]["issues"]] == ["fatal", "warning"] and got["c"] == {"fatals": 0, "issues": []}
     assert sorted(r[0] for r in issues.select(package.report_text()).collect()) == ["FATAL - n (p:1:2)", "WARNING x m"]
+
+
+def plain_edits(a: list, b: list) -> list:
+    """The greedy script with a copy of the whole frontier kept for every step."""
+    trace, reach, d = [], {1: 0}, 0
+    while True:
+        trace.append(dict(reach))
+        for k in range(-d, d + 1, 2):
+            i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
+            while i < len(a) and i - k < len(b) and a[i] == b[i - k]:
+                i += 1
+            reach[k] = i
+            if i >= len(a) and i - k >= len(b):
+                break
+        else:
+            d += 1
+            continue
+        break
+    out, i, j = [], len(a), len(b)
+    for step in range(d, -1, -1):
+        before, k = trace[step], i - j
+        down = k == -step or (k != step and before[k - 1] < before[k + 1])
+        i0 = before[k + 1 if down else k - 1] if step else 0
+        j0 = i0 - (k + 1 if down else k - 1) if step else 0
+        while i > i0 + (step > 0 and not down) and j > j0 + (step > 0 and down):
+            i, j = i - 1, j - 1
+            out.append(("keep", i, j))
+        if step:
+            out.append(("insert" if down else "delete", i0, j0))
+            i, j = i0, j0
+    return out[::-1]
+
+
+def test_scripts_are_shortest_whatever_is_kept(monkeypatch):
+    import random
+
+    def least(a, b):  # edits without replacement
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last if x == y else 1 + min(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(5)
+    for kept in (1, 2, 7, 256):
+        monkeypatch.setattr(alignment, "KEPT", kept)
+        for _ in range(120):
+            a, b = ([rng.choice("abcd") for _ in range(rng.randrange(25))] for _ in range(2))
+            script = alignment.shortest_edits(a, b)
+            assert sum(op != "keep" for op, *_ in script) == least(a, b)
+            assert [a[i] for op, i, _ in script if op != "insert"] == a and [b[j] for op, _, j in script if op != "delete"] == b
+            assert all(a[i] == b[j] for op, i, j in script if op == "keep")
+            if (not a or not b or a[0] != b[0]) and (not a or not b or a[-1] != b[-1]):
+                assert script == plain_edits(a, b)
+
+
+def test_long_sections_take_little_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(6)
+    a = [rng.randrange(1000) for _ in range(2500)]
+    b = [x if rng.random() > 0.25 else rng.randrange(1000) for x in a]
+    tracemalloc.start()
+    alignment.shortest_edits(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000
