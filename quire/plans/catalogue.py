@@ -129,8 +129,11 @@ _CORE = "regexp_replace(text, '[\"''\\)\\]]+$', '')"
 _SHORT = " OR ".join(f"ends_with(lower(regexp_extract({_CORE}, '([\\p{{L}}.]*)\\.$', 1)), '{a}')" for a in text.ABBREVIATIONS)
 
 
+_ENDS = f"coalesce(regexp_matches({_CORE}, '[!?…]$') OR (regexp_matches({_CORE}, '\\.$') AND NOT regexp_matches({_CORE}, '[0-9]\\.$') AND NOT ({_SHORT})), false)"
+
+
 @query(
-    f"""SELECT conv_id, turn, coalesce(regexp_matches({_CORE}, '[!?…]$') OR (regexp_matches({_CORE}, '\\.$') AND NOT regexp_matches({_CORE}, '[0-9]\\.$') AND NOT ({_SHORT})), false) AS ends,
+    f"""SELECT conv_id, turn, {_ENDS} AS ends,
   md5(CASE WHEN regexp_matches(left(text, 1), '^\\p{{Ll}}') THEN upper(left(text, 1)) || substr(text, 2) ELSE text END) AS capital_md5 FROM conversations"""
 )
 def sentence_terminator(spark, sf_dir):
@@ -405,7 +408,28 @@ def line_offsets(spark, sf_dir):
     return lines.select("doc_id", "line_ord", "line_start", "line_end", sequences.candidate_heading(F.col("line"), F.lit(False)).alias("heading"))
 
 
-@query()
+# Segments of a conversation (its turns cut behind the signs that end sentences), and paragraphs merged from them one by
+# one: each step of the recursion adds the next segment of every conversation.
+_MERGED = f"""WITH RECURSIVE q AS (SELECT conv_id, turn, role, string_split(regexp_replace(text, '([.!?…])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM conversations),
+u AS (SELECT conv_id, turn, role, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS part FROM q),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) AS i FROM (SELECT conv_id, turn, part, role, {_TRIM.format('t')} AS t FROM u) WHERE t <> ''),
+e AS (SELECT *, {_ENDS.replace('text', 't')} AS ends FROM g),
+r AS (
+  SELECT conv_id, i, 0 AS para, t AS text, ends::INT AS sentences, role, false AS shut FROM e WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, para, text, sentences, role, false FROM (
+    SELECT e.conv_id, e.i, CASE WHEN n THEN r.para + 1 ELSE r.para END AS para, CASE WHEN n THEN e.t ELSE r.text || ' ' || e.t END AS text, CASE WHEN n THEN e.ends::INT ELSE r.sentences + e.ends::INT END AS sentences, e.role
+    FROM (SELECT *, (ends AND sentences >= 3 AND strlen(text) >= 300) OR sentences >= 6 OR strlen(text) >= 600 AS shut_now FROM (SELECT r.*, ends FROM r JOIN (SELECT conv_id, i, ends FROM e) USING (conv_id, i))) r
+    JOIN e ON e.conv_id = r.conv_id AND e.i = r.i + 1, LATERAL (SELECT r.shut_now OR e.role <> r.role AS n)
+  )
+),
+p AS (SELECT r.conv_id, r.para, min_by(e.turn * 30.0::DOUBLE + e.part * 0.25::DOUBLE, r.i) AS start_s, max_by(e.turn * 30.0::DOUBLE + e.part * 0.25::DOUBLE + 0.25, r.i) AS end_s, max_by(r.text, r.i) AS text, any_value(r.role) AS audio_src, count(*) AS segments
+  FROM r JOIN e USING (conv_id, i) GROUP BY r.conv_id, r.para),
+m AS (SELECT conv_id, para::INT AS para_ord, start_s, end_s, CASE WHEN regexp_matches(left(text, 1), '^\\p{{Ll}}') THEN upper(left(text, 1)) || substr(text, 2) ELSE text END AS text, audio_src, segments::INT AS segments FROM p)
+"""
+
+
+@query(f"{_MERGED} SELECT * FROM m")
 def paragraph_merge(spark, sf_dir):
     """Turns merged into paragraphs; a change of role is a change of audio file."""
     c = _t(spark, sf_dir, "conversations")
@@ -423,7 +447,24 @@ def _tokens(spark, sf_dir) -> DataFrame:
     return lines.select("doc_id", "line_ord", timed.alias("tokens"), F.lit(10).cast("long").alias("t0_cs"), (F.size(pieces) * 7 - 3).cast("long").alias("t1_cs"))
 
 
-@query()
+_LIST = "'" + text.char_class(text.CLOSERS).replace("'", "''") + "'"
+# Pieces of every line with their times, the words that they start, and the words' bounds. A piece with a blank before it
+# starts a word wherever its signs don't attach; within one, a letter behind the end of a sentence starts another.
+_PIECES = f"""WITH l AS (SELECT doc_id, unnest(string_split(b, chr(10))) AS line, generate_subscripts(string_split(b, chr(10)), 1) - 1 AS line_ord FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\n$', '') AS b FROM documents)),
+w AS (SELECT doc_id, line_ord, unnest({_WORDS.format('line')}) AS w, generate_subscripts({_WORDS.format('line')}, 1) AS k FROM l),
+c AS (SELECT doc_id, line_ord, k, unnest(range(1, greatest(length(w), 1) + 1, 4)) AS o, w FROM w),
+p AS (SELECT doc_id, line_ord, row_number() OVER s - 1 AS i, count(*) OVER (PARTITION BY doc_id, line_ord) AS n, CASE WHEN o = 1 THEN ' ' ELSE '' END || substr(w, o, 4) AS t FROM c WINDOW s AS (PARTITION BY doc_id, line_ord ORDER BY k, o)),
+f AS (SELECT doc_id, line_ord, i, n, t, ltrim(t, ' ') AS bare, i * 7 AS t0, i * 7 + length(t) AS t1 FROM p WHERE left(t, 1) NOT IN ('[', '<') AND ltrim(t, ' ') <> ''),
+a AS (SELECT *, regexp_full_match(bare, '[{text.char_class(text.ATTACHING).replace("'", "''")}]+') AS attached, nullif(right(regexp_replace(bare, '[{text.char_class(text.CLOSERS).replace("'", "''")}]+$', ''), 1), '') AS tail, row_number() OVER (PARTITION BY doc_id, line_ord ORDER BY i) = 1 AS first FROM f),
+h AS (SELECT *, sum((first OR (NOT attached AND left(t, 1) = ' '))::INT) OVER (PARTITION BY doc_id, line_ord ORDER BY i) AS hard FROM a),
+x AS (SELECT *, last_value(tail IGNORE NULLS) OVER (PARTITION BY doc_id, line_ord, hard ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h),
+s AS (SELECT *, sum((first OR (NOT attached AND (left(t, 1) = ' ' OR (regexp_matches(bare, '^\\p{{L}}') AND coalesce(before IN ('.', '!', '?', '…'), false)))))::INT) OVER (PARTITION BY doc_id, line_ord ORDER BY i) - 1 AS word_ord FROM x),
+g AS (SELECT doc_id, line_ord, word_ord, min(t0) / 100.0::DOUBLE AS t0, max(t1) / 100.0::DOUBLE AS t1, string_agg(bare, '' ORDER BY i) AS text, 0.1::DOUBLE AS lo, (any_value(n) * 7 - 3) / 100.0::DOUBLE AS hi FROM s GROUP BY 1, 2, 3),
+v AS (SELECT doc_id, line_ord::INT AS line_ord, word_ord::INT AS word_ord, greatest(t0, lo) AS start_s, CASE WHEN least(t1, hi) <= greatest(t0, lo) THEN least(greatest(t0, lo) + 0.05, hi) ELSE least(t1, hi) END AS end_s, text FROM g)
+"""
+
+
+@query(f"{_PIECES} SELECT * FROM v")
 def token_coalesce(spark, sf_dir):
     """Subword pieces put together to words, held within their segment's bounds."""
     return sequences.words_of_tokens(_tokens(spark, sf_dir), ["doc_id", "line_ord"])
@@ -468,12 +509,34 @@ def fuzzy_pairs_whole(spark, sf_dir):
     return pairs.withColumn("score", F.round("score", 9))
 
 
-@query()
+# DuckDB compares bytes: letters of two bytes become signs of one, each its own.
+_LETTERS = "äöüßéèêëàâçíîïóôñúùûáì"
+_ONE_BYTE = "translate({0}, '" + _LETTERS + "', " + " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 14 + len(_LETTERS) - 8)]) + ")"
+# Lines with their bytes' places, headings (every line of 120 bytes at most, a letter changed), and for heading after
+# heading of each document the best line from the end of the last match on.
+_MATCHED = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(regexp_replace(coalesce(text, ''), '\\n$', ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_ord FROM d),
+o AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_ord) AS b FROM l),
+c AS (SELECT doc_id, line_ord, b - strlen(line) - 1 AS a, least(b, strlen(text)) AS b, {_heading_sql('line')} AS name FROM o JOIN d USING (doc_id) WHERE strlen({_TRIM.format('line')}) <= 120 AND {_TRIM.format('line')} <> ''),
+h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_ord) - 1 AS i, {_heading_sql("'1. ' || regexp_replace(line, 'e([^e]*)$', 'a' || chr(92) || '1')")} AS target FROM l WHERE strlen(line) <= 120),
+r AS (
+  SELECT doc_id, -1::BIGINT AS i, 0::HUGEINT AS pos, NULL::HUGEINT AS a FROM d
+  UNION ALL
+  SELECT r.doc_id, r.i + 1, coalesce(any_value(m.b), any_value(r.pos)), any_value(m.a)
+  FROM r JOIN h ON h.doc_id = r.doc_id AND h.i = r.i + 1
+  LEFT JOIN LATERAL (SELECT arg_max(c.b, (s, -c.a)) AS b, arg_max(c.a, (s, -c.a)) AS a FROM (SELECT c.*, jaro_winkler_similarity({_ONE_BYTE.format('h.target')}, {_ONE_BYTE.format('c.name')}) AS s FROM c WHERE c.doc_id = h.doc_id AND c.a >= r.pos AND c.name <> '' AND c.a <= r.pos + 200000) c WHERE s >= 0.85) m ON true
+  GROUP BY r.doc_id, r.i
+),
+f AS (SELECT doc_id, i, pos AS b, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM r WHERE a IS NOT NULL)
+"""
+
+
+@query(f"{_MATCHED} SELECT doc_id, i::INT AS section_idx, {_TRIM.format('decode(encode(text)[b + 1 : coalesce(e, strlen(text))])')} AS text FROM f JOIN d USING (doc_id) WHERE coalesce(e, strlen(text)) > b")
 def section_match(spark, sf_dir):
     """Sections of each document found by headings that are its lines with a letter changed."""
     lines = sequences.text_lines(_t(spark, sf_dir, "documents"), "doc_id", "text")
     w = F.collect_list(F.struct("line_ord", "line"))
-    named = F.transform(F.filter(F.sort_array(F.col("l")), lambda x: (x["line_ord"] % 3 == 0) & (F.octet_length(x["line"]) <= 120)), lambda x: F.concat(F.lit("1. "), F.regexp_replace(x["line"], "e([^e]*)$", "a$1")))
+    named = F.transform(F.filter(F.sort_array(F.col("l")), lambda x: F.octet_length(x["line"]) <= 120), lambda x: F.concat(F.lit("1. "), F.regexp_replace(x["line"], "e([^e]*)$", "a$1")))
     books = lines.groupBy("doc_id").agg(w.alias("l")).select("doc_id", named.alias("headings")).join(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return alignment.split_sections(books, "doc_id")
 
@@ -538,13 +601,25 @@ def trim_log(spark, sf_dir):
 # ---- rendering
 
 
-@query()
+_PAD = "CASE WHEN {0} < 1000 THEN lpad(({0})::VARCHAR, 3, '0') ELSE ({0})::VARCHAR END"
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_PARA_ID = "'tx-' || " + _PAD.format("conv_id") + " || '-' || " + _PAD.format("para_ord + 1")
+
+
+@query(f"""{_MERGED} SELECT conv_id, para_ord, {_PARA_ID} AS id, '<p id="' || {_PARA_ID} || '">' || {_ESCAPED.format('text')} || '</p>' AS xhtml FROM m""")
 def render_paragraphs(spark, sf_dir):
     """A section's paragraphs as XHTML."""
     return package.render_paragraphs(paragraph_merge(spark, sf_dir), "conv_id")
 
 
-@query()
+_WORD_ID = "'w-' || " + _PAD.format("doc_id") + " || '-' || " + _PAD.format("line_ord + 1") + " || '-' || " + _PAD.format("word_ord + 1")
+_SMIL = "(k{0} // 3600000)::VARCHAR || ':' || lpad((k{0} // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((k{0} // 1000 % 60)::VARCHAR, 2, '0') || CASE WHEN k{0} % 1000 = 0 THEN '' ELSE '.' || lpad((k{0} % 1000)::VARCHAR, 3, '0') END"
+
+
+@query(
+    f"""{_PIECES}, z AS (SELECT *, round(least(greatest(start_s, 0.0), 3600000.0) * 1000)::BIGINT AS k0, round(least(greatest(end_s, 0.0), 3600000.0) * 1000)::BIGINT AS k1 FROM v WHERE round(end_s * 1000) > round(start_s * 1000))
+SELECT doc_id, line_ord AS para_ord, word_ord, {_WORD_ID} AS par_id, 'content/section-' || {_PAD.format('doc_id')} || '.xhtml#' || {_WORD_ID} AS text_src, 'a.mp3' AS audio_src, {_SMIL.format(0)} AS clip_begin, {_SMIL.format(1)} AS clip_end FROM z"""
+)
 def overlay_pars(spark, sf_dir):
     """Overlay pars of words that last at least a millisecond."""
     words = token_coalesce(spark, sf_dir).withColumnRenamed("line_ord", "para_ord")
