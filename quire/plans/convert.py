@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions import clock, text
 from quire.operators import aggregates, joins
@@ -27,22 +28,32 @@ def section_overlays(tables: dict[str, DataFrame]) -> DataFrame:
     return zipped.join(audio, ["book_id", "section_idx", "par_ord"]).select("book_id", "section_idx", "k", F.coalesce("anchor", F.lit("")).alias("anchor"), "src", "clip_begin", "clip_end")
 
 
+def _document_names(refs: DataFrame) -> DataFrame:
+    """section_refs with name: that of the section's SMIL file, numbered where an earlier section has the same."""
+    stem = F.regexp_replace("src", "(?i)\\.smil$", "")
+    again = F.row_number().over(Window.partitionBy("book_id", F.lower(stem)).orderBy("section_idx"))
+    return refs.withColumn("name", F.when(again == 1, stem).otherwise(F.concat(stem, F.lit("-"), F.col("section_idx").cast("string"))))
+
+
 def sections(tables: dict[str, DataFrame]) -> DataFrame:
-    """book_id, section_idx, title, body, smil, seconds of every section."""
-    refs = tables["section_refs"]
+    """book_id, section_idx, name, title, body, smil, seconds of every section."""
+    refs = _document_names(tables["section_refs"])
     nav = tables["nav_items"].withColumn("src", F.substring_index("href", "#", 1))
     level = F.coalesce(F.col("level"), F.lit(0)).cast("string")
-    markup = F.when(F.col("kind") == "heading", F.concat(F.lit("<h"), level, F.lit(' id="'), F.regexp_extract("href", "#(.*)$", 1), F.lit('">'), text.escape_text(text.heading_label(F.col("text"), F.col("item_id"))), F.lit("</h"), level, F.lit(">"))).otherwise(F.concat(F.lit('<span id="'), F.regexp_extract("href", "#(.*)$", 1), F.lit('">'), text.escape_text(F.col("text")), F.lit("</span>")))
+    ident = F.concat(F.lit(' id="'), text.escape_attr(F.regexp_extract("href", "#(.*)$", 1)), F.lit('">'))
+    markup = F.when(F.col("kind") == "heading", F.concat(F.lit("<h"), level, ident, text.escape_text(text.heading_label(F.col("text"), F.col("item_id"))), F.lit("</h"), level, F.lit(">"))).otherwise(F.concat(F.lit("<span"), ident, text.escape_text(F.col("text")), F.lit("</span>")))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("ord", "x"))), lambda v: v["x"])
     bodies = nav.withColumn("x", markup).groupBy("book_id", "src").agg(F.array_join(listed, "").alias("body"))
     body = F.coalesce("body", F.concat(F.lit("<h1>"), text.escape_text(F.col("title")), F.lit("</h1>")))
-    pars = section_overlays(tables).withColumns({"para_ord": F.lit(0), "word_ord": F.col("k"), "_key": F.concat_ws("\x00", "book_id", F.col("section_idx").cast("string"))})
-    pars = pars.withColumns({"par_id": package.numbered("p", F.col("section_idx"), F.col("k")), "text_src": text.overlay_text_source(F.concat(F.lit("content/"), package.numbered("section", F.col("section_idx")), F.lit(".xhtml")), F.col("anchor")), "audio_src": F.concat(F.lit("audio/"), "src"), "_b": clock.format_smil_clock(F.col("clip_begin")), "_e": clock.format_smil_clock(F.col("clip_end"))})
+    pars = section_overlays(tables).join(refs.select("book_id", "section_idx", "name"), ["book_id", "section_idx"])
+    pars = pars.withColumns({"para_ord": F.lit(0), "word_ord": F.col("k"), "_key": F.concat_ws("\x00", "book_id", F.col("section_idx").cast("string"))})
+    document = F.concat(F.lit("content/"), text.escape_attr(F.col("name")), F.lit(".xhtml"))
+    pars = pars.withColumns({"par_id": package.numbered("p", F.col("section_idx"), F.col("k")), "text_src": text.overlay_text_source(document, text.escape_attr(F.col("anchor"))), "audio_src": F.concat(F.lit("audio/"), "src"), "_b": clock.format_smil_clock(F.col("clip_begin")), "_e": clock.format_smil_clock(F.col("clip_end"))})
     smil = package.overlay_smil(pars.drop("clip_begin", "clip_end").withColumnsRenamed({"_b": "clip_begin", "_e": "clip_end"}), "_key")
     keys = pars.groupBy("_key", "book_id", "section_idx").agg(F.sum(aggregates.clip_seconds(F.col("clip_begin"), F.col("clip_end"))).alias("seconds"))
     overlays = keys.join(smil, "_key").drop("_key")
     rows = refs.join(bodies, ["book_id", "src"], "left").join(overlays, ["book_id", "section_idx"], "left")
-    return rows.select("book_id", "section_idx", "title", body.alias("body"), "smil", F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
+    return rows.select("book_id", "section_idx", "name", "title", body.alias("body"), "smil", F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
 
 
 def _heard_files(spark: SparkSession, root: str, heard: DataFrame) -> DataFrame:
@@ -58,16 +69,32 @@ def convert(spark: SparkSession, root: str, covers: DataFrame | None = None, rig
     (JPEG or PNG bytes). rights: said instead of the books' own. modified: the packages' time, else that of the call.
     """
     tables = daisy.load(spark, root)
+    return packages(tables, _heard_files(spark, root, heard_files(tables)), sections(tables), covers, rights, modified)
+
+
+def heard_files(tables: dict[str, DataFrame]) -> DataFrame:
+    """book_id, src and the place where each source is first heard."""
+    return aggregates.first_seen(tables["clips"].withColumn("place", F.col("section_idx").cast("long") * 1_000_000_000 + F.col("clip_ord")), ["book_id"], "src", "place")
+
+
+def packages(tables: dict[str, DataFrame], files: DataFrame, parts: DataFrame, covers: DataFrame | None = None, rights: str | None = None, modified: str | None = None) -> DataFrame:
+    """convert() of books that are tables; files: book_id, src and content of their audio; parts: as of sections().
+
+    Documents are named like their SMIL files, so that navigation and overlays point at what is there; navigation items
+    of files that are no section are left out.
+    """
+    spark = files.sparkSession
     modified = modified or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     daisy_urn = F.concat(F.lit("urn:dpub:daisy:"), "identifier")
     own_rights = F.lit(rights) if rights is not None else F.get(F.map_values(F.map_filter("other", lambda k, _: F.lower(k) == "dc:rights")), F.lit(0))
     book = tables["books"].select("book_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), F.coalesce(F.nullif("language", F.lit("")), F.lit("en")).alias("lang"), F.coalesce(F.when(F.col("identifier").startswith("urn:"), F.col("identifier")).otherwise(daisy_urn), F.concat(F.lit("urn:book:"), F.sha1(F.col("book_id").cast("binary")))).alias("identifier"), "creator", "publisher", "date", daisy_urn.alias("source"), own_rights.alias("rights"), "narrator", F.col("multimedia_type").alias("multimedia"), "error")
-    own = sections(tables).join(book.select("book_id", "lang"), "book_id").withColumn("xhtml", package.content_xhtml("title", "body", "lang"))
-    packed = own.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("section_idx", "xhtml", "smil", "seconds"))).alias("sections"))
-    headings = tables["nav_items"].where("kind = 'heading'").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("ord", "level", text.escape_text(text.heading_label(F.col("text"), F.col("item_id"))).alias("label"), text.escape_attr(text.rewrite_href(F.col("href"))).alias("href")))).alias("headings"))
-    pages = tables["nav_items"].where("kind = 'page'").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("ord", text.escape_text(F.col("text")).alias("label"), text.escape_attr(text.rewrite_href(F.col("href"))).alias("href")))).alias("pages"))
-    heard = aggregates.first_seen(tables["clips"].withColumn("place", F.col("section_idx").cast("long") * 1_000_000_000 + F.col("clip_ord")), ["book_id"], "src", "place")
-    audio = heard.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("first_seen", "src", F.concat(F.lit("audio/"), "src").alias("href"), text.media_type(F.col("src")).alias("media_type")))).alias("audio"))
+    own = parts.join(book.select("book_id", "lang"), "book_id").withColumn("xhtml", package.content_xhtml("title", "body", "lang"))
+    packed = own.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("section_idx", "name", "xhtml", "smil", "seconds"))).alias("sections"))
+    known = tables["section_refs"].select("book_id", F.col("src").alias("_src")).distinct()
+    nav = tables["nav_items"].withColumn("_src", F.substring_index("href", "#", 1)).join(known, ["book_id", "_src"], "left_semi")
+    headings = nav.where("kind = 'heading'").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("ord", "level", text.escape_text(text.heading_label(F.col("text"), F.col("item_id"))).alias("label"), text.escape_attr(text.rewrite_href(F.col("href"))).alias("href")))).alias("headings"))
+    pages = nav.where("kind = 'page'").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("ord", text.escape_text(F.col("text")).alias("label"), text.escape_attr(text.rewrite_href(F.col("href"))).alias("href")))).alias("pages"))
+    audio = heard_files(tables).groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("first_seen", "src", F.concat(F.lit("audio/"), "src").alias("href"), text.media_type(F.col("src")).alias("media_type")))).alias("audio"))
     total = tables["clips"].groupBy("book_id").agg(F.sum(aggregates.clip_seconds(F.col("clip_begin"), F.col("clip_end"))).alias("total"))
     covers = spark.createDataFrame([], "book_id string, cover binary") if covers is None else covers.select("book_id", "cover")
     rows = book
@@ -95,7 +122,6 @@ def convert(spark: SparkSession, root: str, covers: DataFrame | None = None, rig
             out.append((r.book_id, "error" if error else "ok", error, len(parts), float(sum(p["seconds"] for p in parts)), data, [a["src"] for a in sounds if a["content"] is None]))
         return pd.DataFrame(out, columns=["input", "status", "error", "n_sections", "seconds", "epub", "missing_audio"])
 
-    files = _heard_files(spark, root, heard)
     return rows.groupBy("book_id").cogroup(files.groupBy("book_id")).applyInPandas(run, "input string, status string, error string, n_sections int, seconds double, epub binary, missing_audio array<string>")
 
 

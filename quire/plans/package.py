@@ -34,13 +34,17 @@ def render_paragraphs(paragraphs: DataFrame, section: str) -> DataFrame:
     return paragraphs.select(section, "para_ord", ident.alias("id"), body.alias("xhtml"))
 
 
-def overlay_pars(words: DataFrame, section: str, audio: str | Column) -> DataFrame:
-    """A par per word whose clip has a length of whole milliseconds; a paragraph that keeps no word has no wrapper."""
+def overlay_pars(words: DataFrame, section: str, audio: str | Column, document: Column | None = None) -> DataFrame:
+    """A par per word whose clip has a length of whole milliseconds; a paragraph that keeps no word has no wrapper.
+
+    document: the content document that the words are in, section-<number> if none is given.
+    """
     ms = lambda c: F.round(F.col(c) * 1000)
     kept = words.where(ms("end_s") > ms("start_s"))
     ident = numbered("w", F.col(section), F.col("para_ord") + 1, F.col("word_ord") + 1)
     source = F.lit(audio) if isinstance(audio, str) else audio
-    return kept.select(section, "para_ord", "word_ord", ident.alias("par_id"), F.concat(F.lit("content/"), numbered("section", F.col(section)), F.lit(".xhtml#"), ident).alias("text_src"), source.alias("audio_src"), clock.format_smil_clock(F.col("start_s")).alias("clip_begin"), clock.format_smil_clock(F.col("end_s")).alias("clip_end"))
+    document = numbered("section", F.col(section)) if document is None else document
+    return kept.select(section, "para_ord", "word_ord", ident.alias("par_id"), F.concat(F.lit("content/"), document, F.lit(".xhtml#"), ident).alias("text_src"), source.alias("audio_src"), clock.format_smil_clock(F.col("start_s")).alias("clip_begin"), clock.format_smil_clock(F.col("end_s")).alias("clip_end"))
 
 
 def overlay_smil(pars: DataFrame, section: str) -> DataFrame:
@@ -70,6 +74,11 @@ def cover_kind(cover: bytes) -> tuple[str, str]:
     raise ValueError("the cover is neither JPEG nor PNG")
 
 
+def document_name(section: dict, number: int) -> str:
+    """The name of a section's documents in the package, without extension."""
+    return section.get("name") or f"section-{number:03d}"
+
+
 def opf(book: dict, sections: list[dict], audio: list[dict], cover: bytes | None = None) -> str:
     """The package document: metadata, manifest and spine in order, with durations where there are overlays.
 
@@ -90,9 +99,9 @@ def opf(book: dict, sections: list[dict], audio: list[dict], cover: bytes | None
     spine, total = [], 0.0
     for k, s in enumerate(sections, 1):
         over = f' media-overlay="mo-{k:03d}"' if s.get("smil") else ""
-        items.append(f'<item id="s-{k:03d}" href="content/section-{k:03d}.xhtml" media-type="application/xhtml+xml"{over}/>')
+        items.append(f'<item id="s-{k:03d}" href="content/{esc(document_name(s, k))}.xhtml" media-type="application/xhtml+xml"{over}/>')
         if s.get("smil"):
-            items.append(f'<item id="mo-{k:03d}" href="overlays/section-{k:03d}.smil" media-type="application/smil+xml"/>')
+            items.append(f'<item id="mo-{k:03d}" href="overlays/{esc(document_name(s, k))}.smil" media-type="application/smil+xml"/>')
             meta.append(f'<meta property="media:duration" refines="#mo-{k:03d}">{s["seconds"]:.3f}s</meta>')
             total += s["seconds"]
         spine.append(f'<itemref idref="s-{k:03d}"/>')
@@ -120,10 +129,10 @@ def epub(book: dict, sections: list[dict], headings, pages, audio: list[dict], c
         z.writestr("OEBPS/package.opf", opf(book, sections, audio, cover))
         z.writestr("OEBPS/nav.xhtml", nav_xhtml(headings, pages))
         for k, s in enumerate(sections, 1):
-            z.writestr(f"OEBPS/content/section-{k:03d}.xhtml", s["xhtml"])
+            z.writestr(f"OEBPS/content/{document_name(s, k)}.xhtml", s["xhtml"])
         for k, s in enumerate(sections, 1):
             if s.get("smil"):
-                z.writestr(f"OEBPS/overlays/section-{k:03d}.smil", s["smil"])
+                z.writestr(f"OEBPS/overlays/{document_name(s, k)}.smil", s["smil"])
         for a in audio:
             if a.get("content") is not None:
                 z.writestr(zipfile.ZipInfo(f"OEBPS/{a['href']}"), a["content"], zipfile.ZIP_STORED)

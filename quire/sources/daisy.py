@@ -188,9 +188,13 @@ def smil_rows(files: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of all books under root: books, nav_items, section_refs, smil_nodes, smil_meta, clips."""
+    return tables_of(scan(spark, root))
+
+
+def tables_of(files: DataFrame) -> dict[str, DataFrame]:
+    """load() for files that are rows: path, dir, name, content."""
     from quire.functions.clock import parse_clock_value
 
-    files = scan(spark, root)
     ncc = navigation_files(files)
     rows = ncc_rows(ncc)
     parsed = smil_rows(files)

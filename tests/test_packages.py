@@ -64,3 +64,25 @@ def test_master_and_metas_round_trip():
         assert (again.meta, again.refs, again.nodes) == (parsed.meta, parsed.refs, parsed.nodes)
     odd = [("i&1", 'a "title" <x>', "é.smil")]
     assert daisy.parse_smil(daisy.write_master(odd, [("n", "a & 'b'")])).refs == odd
+
+
+def test_every_reference_is_in_the_package(spark, tmp_path):
+    import posixpath
+    import re
+
+    rows = convert.convert(spark, _library(tmp_path)).collect()
+    for r in rows:
+        z = zipfile.ZipFile(io.BytesIO(bytes(r["epub"])))
+        names = set(z.namelist())
+        lost = {f"OEBPS/audio/{a}" for a in r["missing_audio"]}
+        opf = z.read("OEBPS/package.opf").decode()
+        hrefs = re.findall(r'<item [^>]*href="([^"]*)"', opf)
+        assert len(hrefs) > 5 and {f"OEBPS/{h}" for h in hrefs} - lost <= names
+        for name in names:
+            if name.endswith((".xhtml", ".smil")):
+                for target in re.findall(r'(?:href|src)="([^"]*)"', z.read(name).decode()):
+                    file, _, anchor = target.partition("#")
+                    file = posixpath.normpath(posixpath.join(posixpath.dirname(name), file))
+                    assert file in names | lost, (name, target)
+                    assert not anchor or f'id="{anchor}"' in z.read(file).decode(), (name, target)
+        assert re.search(r'dcterms:modified">\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ<', opf)

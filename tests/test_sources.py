@@ -67,12 +67,12 @@ def test_convert(spark):
     z = zipfile.ZipFile(io.BytesIO(bytes(good["epub"])))
     first = z.infolist()[0]
     assert first.filename == "mimetype" and first.compress_type == zipfile.ZIP_STORED
-    assert {"META-INF/container.xml", "OEBPS/package.opf", "OEBPS/nav.xhtml", "OEBPS/content/section-001.xhtml", "OEBPS/overlays/section-002.smil"} <= set(z.namelist())
+    assert {"META-INF/container.xml", "OEBPS/package.opf", "OEBPS/nav.xhtml", "OEBPS/content/01.xhtml", "OEBPS/overlays/02.smil"} <= set(z.namelist())
     opf = z.read("OEBPS/package.opf").decode()
     assert "<dc:title>The Harbour</dc:title>" in opf and 'media-type="audio/mpeg"' in opf
     nav = z.read("OEBPS/nav.xhtml").decode()
     assert "Boats &amp; Nets" in nav and "Heading h3" in nav and "page-list" in nav
-    over = z.read("OEBPS/overlays/section-001.smil").decode()
+    over = z.read("OEBPS/overlays/01.smil").decode()
     # the second par has no audio and gives none; bare audio gives none either
     assert over.count("<par ") == 1 and 'clipEnd="0:00:02"' in over
 
