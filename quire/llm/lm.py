@@ -48,7 +48,7 @@ from quire.llm.boosting import sigmoid
 from quire.llm.common import drop_written, id_text_crc, summed_in_two, written
 
 #: Bytes of text whose contexts are looked up together, and bytes of text that a range of contexts stands for.
-CHUNK, RANGE = 5_000_000, 8_000_000
+CHUNK, RANGE = 4_000_000, 12_000_000
 #: Bits of a context's hash beyond those of its range, and bits of a token's hash in it.
 CONTEXT_BITS, TOKEN_BITS = 33, 31
 #: A context with more than one in 2**HOT tokens is dealt over ranges; it is told from one position in EVERY.
@@ -497,26 +497,28 @@ _FEATURES_SQL = "chunk long, docs binary, bits binary, spelled binary, words bin
 
 def bucket(v: np.ndarray) -> np.ndarray:
     """Number of binary digits, 15 at most."""
-    return np.minimum(np.frexp(v.astype(np.float64))[1], 15).astype(np.int64)
+    return np.minimum(np.frexp(v.astype(np.float64))[1], 15).astype(np.uint16)
 
 
 def share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a / b in sixteenths, 15 where b is 0."""
-    return np.where(b > 0, 15 * a // np.maximum(b, 1), 15)
+    """a / b in fifteenths, rounded down; 15 where b is 0."""
+    return np.where(b > 0, 15 * a / np.maximum(b, 1), 15).astype(np.uint16)
 
 
 def joined(*values: np.ndarray) -> np.ndarray:
-    code = values[0]
+    """Values below 16 as one number of 16 bits."""
+    code = values[0].astype(np.uint16)
     for v in values[1:]:
-        code = code * 16 + v
+        code = code * np.uint16(16) + v.astype(np.uint16)
     return code
 
 
 def history(outcome: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """The last four outcomes within the document before each."""
-    out = np.zeros(len(outcome), dtype=np.int64)
+    out = np.zeros(len(outcome), dtype=np.uint8)
+    seen = outcome.view(np.uint8)
     for k in range(1, 5):
-        out[k:] += np.where(owner[k:] == owner[:-k], outcome[:-k].astype(np.int64) << (k - 1), 0)
+        out[k:] |= (seen[:-k] & (owner[k:] == owner[:-k]).view(np.uint8)) << np.uint8(k - 1)
     return out
 
 
@@ -623,14 +625,15 @@ def _features(hot: Hot, statistics: dict[int, np.ndarray]):
         told = np.full(len(ids), CHAIN, dtype=np.uint8)
         asked = np.zeros(len(ids), dtype=np.uint8)
         codes = []
-        pending = np.ones(len(ids), dtype=bool)
+        pending, short_owner = np.ones(len(ids), dtype=bool), owner.astype(np.int32)
 
         def ask(bit: int, use: np.ndarray, outcome: np.ndarray, code) -> np.ndarray:
             """Asks a bit of some tokens that are not told yet; returns the places where it is one."""
             at = np.flatnonzero(use & pending)
-            codes.append(code(at, history(outcome[at], owner[at])).astype(np.int64))
+            one = outcome[at]
+            codes.append(code(at, history(one, short_owner[at])))
             asked[at] |= 1 << bit
-            hit = at[outcome[at]]
+            hit = at[one]
             told[hit] = bit
             pending[hit] = False
             return hit
@@ -642,7 +645,7 @@ def _features(hot: Hot, statistics: dict[int, np.ndarray]):
         for bit, seen, other in ((SEEN_TWO, two, ratio[ONE]), (SEEN_ONE, one, ratio[TWO])):
             hit = ask(bit, (seen.tokens > 0)[seen.entry], (seen.n > 0)[seen.entry], lambda at, h, seen=seen, other=other: joined(seen.code[seen.entry[at]], h, other[at]))
             choice[hit] = seen.choice(hit)
-        hit = ask(KNOWN, pending, ~unknown, lambda at, h: joined(h, ratio[ONE][at], bucket(prior[at]), 15 * so_far[at] // np.maximum(place[at], 1)))
+        hit = ask(KNOWN, pending, ~unknown, lambda at, h: joined(h, ratio[ONE][at], bucket(prior[at]), share(so_far[at], np.maximum(place[at], 1))))
         choice[hit] = np.log10((known[hit] - less[VOCABULARY]) / (others[owner[hit]] - less[VOCABULARY] * kinds[owner[hit]]))
         hit = ask(AGAIN, so_far > 0, ~first_here, lambda at, h: joined(bucket(so_far[at]), h, bucket(place[at]), bucket(prior[at])))
         choice[hit] = -np.log10(so_far[hit])
@@ -724,8 +727,8 @@ class Spelled:
     def bits(self):
         """For each bit of a byte, most telling first: (number, values, addresses with a row per order)."""
         for b in range(8):
-            node = (self.code.astype(np.uint64) | np.uint64(256)) >> np.uint64(8 - b)
-            at = np.stack([(((h ^ (node * _C1)) * _C2) >> np.uint64(64 - bits)).view(np.int64) + base for h, bits, base in zip(self.context, SLOT_BITS, _ADDRESS[:-1].tolist(), strict=True)])
+            node = ((self.code.astype(np.uint64) | np.uint64(256)) >> np.uint64(8 - b)) * _C1
+            at = np.stack([(((h ^ node) * _C2) >> np.uint64(64 - bits)).view(np.int64) + base for h, bits, base in zip(self.context, SLOT_BITS, _ADDRESS[:-1].tolist(), strict=True)])
             yield b, (self.code >> np.uint8(7 - b)) & np.uint8(1), at
 
 
@@ -798,10 +801,11 @@ def _inputs(slots: np.ndarray, at: np.ndarray, b: int, bit: np.ndarray, own: np.
 
 
 def _mixed(x: np.ndarray, w: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    total = np.zeros(x.shape[1])
-    for k in range(len(x)):
+    """The predictions mixed by the gates' weights, still stretched."""
+    total = x[0] * w[:, 0].take(gate)
+    for k in range(1, len(x)):
         total += x[k] * w[:, k].take(gate)
-    return sigmoid(total)
+    return total
 
 
 def _sharded(shards: int):
@@ -847,22 +851,22 @@ def _learn(slots: np.ndarray):
         for spelled, _ in _steps(joined_, np.diff(edges), table.column("short").to_numpy()):
             for b, bit, at in spelled.bits():
                 x, gate = _inputs(slots, at, b, bit, None)
-                p = np.empty(len(bit))
+                mixed = np.empty(len(bit))
                 for i in range(0, len(bit), ONLINE * 8):
                     cut = slice(i, i + ONLINE * 8)
-                    p[cut] = _mixed(x[:, cut], w, gate[cut])
-                    err, mass = bit[cut] - p[cut], np.bincount(gate[cut], minlength=GATES)
+                    mixed[cut] = _mixed(x[:, cut], w, gate[cut])
+                    err, mass = bit[cut] - sigmoid(mixed[cut]), np.bincount(gate[cut], minlength=GATES)
                     for k in range(len(ORDERS)):
                         w[:, k] += np.clip(RATE * 10 * np.bincount(gate[cut], err * x[k, cut], GATES) / np.maximum(mass, 1), -0.1, 0.1)
-                place = spelled.before.astype(np.int64) * MAP + _map_bucket(p)
+                place = spelled.before.astype(np.int64) * MAP + _map_bucket(mixed)
                 seen += np.stack([np.bincount(place, bit, 256 * MAP).astype(np.int64), np.bincount(place, minlength=256 * MAP)])
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([len(size)], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([pack(*seen)], pa.binary())], ["shard", "n", "weights", "seen"])
 
     return run
 
 
-def _map_bucket(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(stretch(np.clip(p, 1e-4, 1 - 1e-4)) * 2) + MAP // 2, 0, MAP - 1).astype(np.int64)
+def _map_bucket(mixed: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(mixed * 2) + MAP // 2, 0, MAP - 1).astype(np.int64)
 
 
 def mixer(features: DataFrame, slots: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -886,8 +890,8 @@ def spelling(raw: np.ndarray, size: np.ndarray, short: np.ndarray, own: np.ndarr
         total, mine = np.zeros(len(spelled.code)), own[cut][spelled.owner]
         for b, bit, at in spelled.bits():
             x, gate = _inputs(slots, at, b, bit, mine)
-            p = _mixed(x, w, gate)
-            p = np.clip(0.5 * p + 0.5 * map_[spelled.before, _map_bucket(p)], 1e-5, 1 - 1e-5)
+            mixed = _mixed(x, w, gate)
+            p = np.clip(0.5 * sigmoid(mixed) + 0.5 * map_.ravel().take(spelled.before.astype(np.int64) * MAP + _map_bucket(mixed)), 1e-5, 1 - 1e-5)
             total += np.log10(np.where(bit, p, 1 - p))
         out[cut] = np.add.reduceat(total, spelled.first)
     return out
