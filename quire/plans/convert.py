@@ -125,6 +125,14 @@ def packages(tables: dict[str, DataFrame], files: DataFrame, parts: DataFrame, c
     return rows.groupBy("book_id").cogroup(files.groupBy("book_id")).applyInPandas(run, "input string, status string, error string, n_sections int, seconds double, epub binary, missing_audio array<string>")
 
 
+def summary_lines(entries: DataFrame) -> DataFrame:
+    """input and json: a row an entry, and one of the totals (without input), so that no row grows with the batch."""
+    ok = F.col("status") == "ok"
+    totals = entries.agg(F.count("*").alias("total"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"))
+    lines = entries.select("input", F.to_json(F.struct("input", "status", "error")).alias("json"))
+    return lines.unionByName(totals.select(F.lit("").alias("input"), F.to_json(F.struct("total", "ok", "failed")).alias("json")))
+
+
 def summary(entries: DataFrame) -> DataFrame:
     """The batch's totals and entries as JSON, a row."""
     listed = F.sort_array(F.collect_list(F.struct("input", "status", "error", "seconds")))

@@ -34,14 +34,14 @@ def render_paragraphs(paragraphs: DataFrame, section: str) -> DataFrame:
     return paragraphs.select(section, "para_ord", ident.alias("id"), body.alias("xhtml"))
 
 
-def overlay_pars(words: DataFrame, section: str, audio: str | Column, document: Column | None = None) -> DataFrame:
+def overlay_pars(words: DataFrame, section: str, audio: str | Column, document: Column | None = None, ident: Column | None = None) -> DataFrame:
     """A par per word whose clip has a length of whole milliseconds; a paragraph that keeps no word has no wrapper.
 
-    document: the content document that the words are in, section-<number> if none is given.
+    document: the content document that the words are in, and ident: their ids; by the section's number if not given.
     """
     ms = lambda c: F.round(F.col(c) * 1000)
     kept = words.where(ms("end_s") > ms("start_s"))
-    ident = numbered("w", F.col(section), F.col("para_ord") + 1, F.col("word_ord") + 1)
+    ident = numbered("w", F.col(section), F.col("para_ord") + 1, F.col("word_ord") + 1) if ident is None else ident
     source = F.lit(audio) if isinstance(audio, str) else audio
     document = numbered("section", F.col(section)) if document is None else document
     return kept.select(section, "para_ord", "word_ord", ident.alias("par_id"), F.concat(F.lit("content/"), document, F.lit(".xhtml#"), ident).alias("text_src"), source.alias("audio_src"), clock.format_smil_clock(F.col("start_s")).alias("clip_begin"), clock.format_smil_clock(F.col("end_s")).alias("clip_end"))

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import text
-from quire.operators import aggregates
-from quire.plans import convert, package
-from quire.plans.catalogue import _ESCAPED, _PAD, _t, query
+from quire.operators import aggregates, tree
+from quire.plans import convert, package, transcribed
+from quire.plans.catalogue import _PAD, _TRIM, _t, query
 from quire.sources import daisy, texts
 
 
@@ -255,3 +255,214 @@ def package_status(spark, sf_dir):
     """A row a book: whether it became a package, its sections and seconds, and the audio that it lacks."""
     p = _packages(spark, sf_dir)
     return p.select("input", "status", "n_sections", F.round("seconds", 6).alias("seconds"), F.array_join("missing_audio", ",").alias("missing"))
+
+
+# ---- spoken sections
+
+
+def _spoken(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Transcripts of two sections in three, a segment for each par with audio; one in three has its true text too."""
+    lines = _t(spark, sf_dir, "lineitem").withColumn("j", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))).select(F.col("l_orderkey").alias("o"), "j", F.col("l_returnflag").alias("f"))
+    own = _sections(spark, sf_dir).where("o % 3 <> 2 AND o % 97 <> 0").select(F.concat(F.lit("lib/"), _s("c")).alias("book_id"), F.col("k").alias("section_idx"), "o")
+    said = F.concat(F.lit("Word"), _s("j"), F.lit(" of "), "f", F.lit("."))
+    rows = own.join(lines.where("j % 3 <> 0"), "o").withColumn("said", said)
+    segments = rows.select("book_id", "section_idx", F.col("j").alias("seg_ord"), (F.col("j") * 2.0).alias("start_s"), (F.col("j") * 2 + 1.25).alias("end_s"), F.col("said").alias("text"), F.lit("spoken.mp3").alias("audio_src"))
+    words = rows.select("book_id", "section_idx", "o", F.col("j").alias("seg_ord"), F.posexplode(F.split("said", " ")).alias("word_ord", "text"))
+    begin = F.col("seg_ord") * 2 + F.when((F.col("o") % 15) == 10, 0.0).otherwise(F.col("word_ord") * 0.5)
+    words = words.select("book_id", "section_idx", "seg_ord", "word_ord", begin.alias("start_s"), F.when((F.col("o") % 15) == 10, begin).otherwise(begin + 0.25).alias("end_s"), "text")
+    n = F.row_number().over(Window.partitionBy("o").orderBy("j"))
+    truths = _joined(rows.where("o % 3 = 0").withColumn("_n", n), "o", "_n", F.concat(F.when(F.col("_n") == 1, "").when(F.col("_n") % 2 == 1, "\n\n").otherwise(" "), "said"))
+    return segments, words, truths.join(own, "o").select("book_id", "section_idx", F.col("inner").alias("text"))
+
+
+_SPOKEN = f"""{_DOCUMENTS},
+sg AS (SELECT p.book_id, p.k AS section_idx, p.o, p.j, 'Word' || j || ' of ' || f || '.' AS said, row_number() OVER (PARTITION BY p.book_id, p.o ORDER BY j) - 1 AS n FROM p WHERE NOT mute AND o % 3 <> 2),
+sw AS (SELECT *, unnest(string_split(said, ' ')) AS w, generate_subscripts(string_split(said, ' '), 1) - 1 AS i, CASE WHEN o % 3 = 0 THEN n // 2 ELSE n // 6 END AS pp FROM sg),
+st AS (SELECT *, j * 2 + CASE WHEN o % 15 = 10 THEN 0.0 ELSE i * 0.5 END::DOUBLE AS a, j * 2 + CASE WHEN o % 15 = 10 THEN 0.0 ELSE i * 0.5 + 0.25 END::DOUBLE AS b, row_number() OVER (PARTITION BY book_id, o, pp ORDER BY j, i) AS q FROM sw),
+si AS (SELECT *, 'w-' || {_PAD.format('section_idx')} || '-' || {_PAD.format('pp + 1')} || '-' || {_PAD.format('q')} AS wid, round(a * 1000)::BIGINT AS x0, round(b * 1000)::BIGINT AS x1 FROM st),
+sp AS (SELECT book_id, section_idx, o, pp, '<p id="tx-' || {_PAD.format('section_idx')} || '-' || {_PAD.format('pp + 1')} || '">' || string_agg('<span id="' || wid || '">' || w || '</span>', ' ' ORDER BY q) || '</p>' AS x,
+  '<seq>' || string_agg('<par id="' || wid || '"><text src="../content/' || o || '.xhtml#' || wid || '"/><audio src="../audio/spoken.mp3" clipBegin="' || {_CLOCK.format(0)} || '" clipEnd="' || {_CLOCK.format(1)} || '"/></par>', '' ORDER BY q) FILTER (WHERE x1 > x0) || '</seq>' AS y, sum(b - a) AS t FROM si GROUP BY 1, 2, 3, 4),
+ss AS (SELECT book_id, section_idx, string_agg(x, '' ORDER BY pp) AS x, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<smil xmlns="http://www.w3.org/ns/SMIL" version="3.0"><body>' || string_agg(y, '' ORDER BY pp) || '</body></smil>' AS y, sum(t) AS t FROM sp GROUP BY 1, 2)
+"""
+
+
+@query(f"{_SPOKEN} SELECT dc.book_id, dc.section_idx::INT AS section_idx, body || coalesce(x, '') AS body, coalesce(y, smil) AS smil, round(CASE WHEN y IS NULL THEN seconds ELSE t END, 6) AS seconds FROM dc LEFT JOIN ss USING (book_id, section_idx)")
+def spoken_sections(spark, sf_dir):
+    """Sections with their spoken text: by the true text, by merged segments, or as they were."""
+    parts = convert.sections(_tables(spark, sf_dir))
+    out = transcribed.with_transcripts(parts, *_spoken(spark, sf_dir))
+    return out.select("book_id", "section_idx", "body", "smil", F.round("seconds", 6).alias("seconds"))
+
+
+# ---- trees, writers and reports of the library
+
+
+@query(
+    f"""{_PACKAGED}, x AS (SELECT m.book_id, m.k, m.o, CASE WHEN m.k < 6 THEN m.k ELSE m.k % 6 + 1 END AS d FROM m JOIN fine USING (book_id)),
+y AS (SELECT *, lag(d) OVER (PARTITION BY book_id ORDER BY k) AS before, lead(k) OVER (PARTITION BY book_id ORDER BY k) IS NULL AS last FROM x),
+li AS (SELECT book_id, string_agg(CASE WHEN before IS NULL OR d > before THEN '<ol>' ELSE '</li>' || repeat('</ol></li>', (before - d)::INT) END || '<li><a href="content/' || o || '.xhtml#t' || o || '">Part ' || k || ' &amp; more</a>' || CASE WHEN last THEN repeat('</li></ol>', d::INT) ELSE '' END, '' ORDER BY k) AS toc,
+  string_agg('<li><a href="content/' || o || '.xhtml#q' || o || '">' || k || '</a></li>', '' ORDER BY k) FILTER (WHERE o % 2 = 1) AS pages FROM y GROUP BY 1)
+SELECT book_id, md5('<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>Contents</title></head><body><nav epub:type="toc">' || toc || '</nav>' || CASE WHEN pages IS NULL THEN '' ELSE '<nav epub:type="page-list"><ol>' || pages || '</ol></nav>' END || '</body></html>') AS nav_md5 FROM li"""
+)
+def package_navigation(spark, sf_dir):
+    """The digest of every package's nested table of contents and page list."""
+    return _entries(_packages(spark, sf_dir)).where("entry = 'OEBPS/nav.xhtml'").select("book_id", F.col("md5").alias("nav_md5"))
+
+
+@query(
+    f"""{_SHELF}, r AS (SELECT 'lib/' || s.c AS dir, s.o || '.smil' AS name, s.k, s.o, (SELECT count(*) FROM i WHERE i.o = s.o) AS n, coalesce((SELECT string_agg('<par id="p' || j || '" endsync="last"><text id="t' || j || '" src="c.html#x' || j || '"/>' || CASE WHEN j % 3 = 0 THEN '' ELSE '<seq><audio src="' || f || '.mp3" clip-begin="npt=' || j * 2 || '.000s" clip-end="npt=' || j * 2 || '.500s"/><audio src="' || f || '.mp3" clip-begin="npt=' || j * 2 || '.500s" clip-end="npt=' || j * 2 + 1 || '.250s"/></seq>' END || '</par>', '' ORDER BY j) FROM i WHERE i.o = s.o), '') AS pars FROM s JOIN b USING (c) WHERE s.o % 97 <> 0),
+h AS (SELECT '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<smil><head>' AS head)
+SELECT dir, name, md5(head || '<meta name="ncc:totalElapsedTime" content="' || k || '"/></head><body><seq id="q' || o || '" dur="' || n || 's">' || pars || '<audio src="bare.mp3" clip-begin="0:00:01" clip-end="0:00:02"/></seq></body></smil>') AS md5 FROM r, h
+UNION ALL SELECT book_id, 'master.smil', md5(head || '<meta name="dc:title" content="M ' || c || '"/><meta name="dc:title" content="second"/></head><body>' || coalesce((SELECT string_agg('<ref title="Part ' || k || '" src="' || o || '.smil" id="r' || o || '"/>', '' ORDER BY k) FROM s WHERE s.c = b.c), '') || '</body></smil>') FROM b, h WHERE has_master"""
+)
+def smil_written(spark, sf_dir):
+    """Master and section files written from their parsed rows."""
+    return daisy.written_smil(daisy.smil_rows(library(spark, sf_dir))).select("dir", "name", F.md5("content").alias("md5"))
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT p_brand, p_size % 6 + 1 AS level, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS ord FROM part),
+t AS (SELECT p.*, (SELECT max(q.ord) FROM p q WHERE q.p_brand = p.p_brand AND q.ord < p.ord AND q.level < p.level) AS up FROM p),
+r AS (SELECT p_brand, ord, ord::VARCHAR AS path, 1 AS depth FROM t WHERE up IS NULL UNION ALL SELECT t.p_brand, t.ord, r.path || '/' || t.ord, r.depth + 1 FROM r JOIN t ON t.p_brand = r.p_brand AND t.up = r.ord)
+SELECT p_brand, ord::INT AS ord, path, depth FROM r"""
+)
+def heading_paths(spark, sf_dir):
+    """The way from the root to every heading."""
+    parts = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_size") % 6 + 1).alias("level"))
+    return tree.with_paths(tree.heading_parents(parts, ["p_brand"], "p_partkey", "level"), "p_brand").select("p_brand", "ord", "path", "depth")
+
+
+@query(
+    f"""{_SHELF}, t AS (SELECT g.book_id, CASE WHEN c % 3 = 0 THEN c % 9 * 1.0::DOUBLE END AS said, coalesce((SELECT sum(greatest(clip_end - clip_begin, 0)) FROM clips WHERE clips.book_id = g.book_id), 0.0) AS own FROM g WHERE has_master AND n > 0)
+SELECT book_id, CASE WHEN coalesce(said, own) > 0 THEN round(coalesce(said, own), 6) END AS seconds FROM t"""
+)
+def overlay_durations(spark, sf_dir):
+    """A package's length: the one that is said, else that of its parts, nothing unless it is above 0."""
+    tables = _tables(spark, sf_dir)
+    books = tables["section_refs"].select("book_id").distinct()
+    parts = books.join(tables["clips"], "book_id", "left").withColumn("c", F.substring("book_id", 5, 20).cast("long"))
+    said = F.max(F.when(F.col("c") % 3 == 0, (F.col("c") % 9).cast("double")))
+    own = F.coalesce(aggregates.clip_seconds(F.col("clip_begin"), F.col("clip_end")), F.lit(0.0))
+    return parts.groupBy("book_id").agg(F.round(aggregates.overlay_duration(said, own), 6).alias("seconds"))
+
+
+@query(
+    f"""{_PACKAGED}, bl AS (SELECT g.book_id AS input, f.book_id IS NOT NULL AS ok, g.error FROM g LEFT JOIN fine f USING (book_id))
+SELECT '' AS input, '{{"total":' || count(*) || ',"ok":' || count(*) FILTER (WHERE ok) || ',"failed":' || count(*) FILTER (WHERE NOT ok) || '}}' AS json FROM bl
+UNION ALL SELECT input, '{{"input":"' || input || '","status":"' || CASE WHEN ok THEN 'ok"' ELSE 'error","error":"' || coalesce(error, 'no sections') || '"' END || '}}' FROM bl"""
+)
+def batch_lines(spark, sf_dir):
+    """A batch's totals and a line for each of its entries, as JSON."""
+    return convert.summary_lines(_packages(spark, sf_dir))
+
+
+# ---- texts and reports
+
+
+_BOOK_TEXT = "CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') WHEN doc_id % 7 = 1 THEN '{\"content\": [' || doc_id END"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents WHERE doc_id % 7 > 1),
+c AS (SELECT doc_id, i, CASE WHEN doc_id % 3 = 0 THEN '' WHEN i % 2 = 0 THEN ' Chapter ' || chr(10) || i ELSE '' END AS t, {_TRIM.format("translate(line, chr(160) || chr(8201) || chr(8202), '   ')")} AS b FROM l),
+n AS (SELECT doc_id, bool_or(t <> '') AS named, string_agg('# ' || CASE WHEN t = '' THEN left(b, 80) ELSE 'Chapter ' || i END || chr(10) || chr(10) || b, chr(10) || chr(10) ORDER BY i) AS a, string_agg(b, chr(10) || chr(10) ORDER BY i) FILTER (WHERE b <> '') AS p FROM c GROUP BY 1)
+SELECT doc_id, md5(CASE WHEN doc_id % 7 <= 1 THEN {_BOOK_TEXT} WHEN named THEN a ELSE coalesce(p, '') END) AS markdown_md5 FROM documents LEFT JOIN n USING (doc_id)"""
+)
+def json_books(spark, sf_dir):
+    """JSON books as markdown: chapters with titles, with some, or with none; plain texts and broken JSON as they are."""
+    d = _t(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    chapters = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(F.when((k % 3 == 0) | (i % 2 == 0), F.lit(None)).otherwise(F.concat(F.lit(" Chapter \n"), (i + 1).cast("string"))).alias("chapter-title"), x.alias("chapter-content")))
+    raw = F.when(k % 7 == 0, F.coalesce("text", F.lit(""))).when(k % 7 == 1, F.concat(F.lit('{"content": ['), k.cast("string"))).otherwise(F.to_json(F.struct(chapters.alias("content"))))
+    return d.select("doc_id", F.md5(texts.json_book(raw)).alias("markdown_md5"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, string_agg(text, '|' ORDER BY turn, role, text) AS body, count(*) AS n FROM conversations GROUP BY 1)
+SELECT 'k' || conv_id AS cache_key, conv_id % 5 <> 0 AND conv_id % 7 <> 0 AS hit, CASE WHEN conv_id % 5 <> 0 AND conv_id % 7 <> 0 THEN n END::INT AS segments, CASE WHEN conv_id % 5 <> 0 AND conv_id % 7 <> 0 THEN md5(body) END AS text_md5 FROM t"""
+)
+def cached_transcripts(spark, sf_dir):
+    """Transcripts that a cache knows, and those that must be made: its entries are of this version, of another, or broken."""
+    c = _t(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["turn"].cast("double").alias("start"), (x["turn"] + 1).cast("double").alias("end"), x["text"].alias("text"), F.array().cast("array<struct<start: double, end: double, text: string>>").alias("words")))
+    rows = c.groupBy("conv_id").agg(listed.alias("segments")).select("conv_id", F.concat(F.lit("k"), _s("conv_id")).alias("cache_key"), F.lit("a").alias("audio_sha256"), F.lit("m").alias("model_sha256"), F.lit("en").alias("language"), "segments")
+    entries = texts.cache_json(rows).withColumn("i", F.substring("cache_key", 2, 20).cast("long"))
+    stored = F.when(F.col("i") % 7 == 0, F.substring(F.col("json"), 1, 40)).when(F.col("i") % 5 == 0, F.replace("json", F.lit('"schema_version":1'), F.lit('"schema_version":2'))).otherwise(F.col("json"))
+    cache = texts.cached(entries.select(stored.alias("json")))
+    hits = cache.select("cache_key", F.lit(True).alias("hit"), F.size("segments").alias("segments"), F.md5(F.array_join(F.transform("segments", lambda s: s["text"]), "|")).alias("text_md5"))
+    missing = texts.cache_misses(rows.select("cache_key"), cache).select("cache_key", F.lit(False).alias("hit"), F.lit(None).cast("int").alias("segments"), F.lit(None).cast("string").alias("text_md5"))
+    return hits.unionByName(missing)
+
+
+def _checker_reports(spark, sf_dir) -> DataFrame:
+    """book_id and json: a checker's report for each user, an issue an event."""
+    e = _t(spark, sf_dir, "events").where("event_id % 4 <> 3")
+    place = F.when(F.col("event_id") % 4 == 0, F.array(F.struct(F.lit("p.xhtml").alias("path"), F.col("event_id").alias("line"), F.lit(2).alias("column")), F.struct(F.lit("q").alias("path"), F.lit(1).cast("long").alias("line"), F.lit(1).alias("column")))).when(F.col("event_id") % 4 == 1, F.array(F.struct(F.lit("r.opf").alias("path"), F.lit(-1).cast("long").alias("line"), F.lit(-1).alias("column"))))
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "click", "Warning").when(F.col("event_type") == "purchase", "FATAL").when(F.col("event_type") == "view", "INFO").otherwise("odd")
+    messages = F.sort_array(F.collect_list(F.struct(F.concat(F.lit("E-"), _s(F.col("event_id"))).alias("ID"), level.alias("severity"), F.concat(F.lit('says "'), "event_type", F.lit('"')).alias("message"), place.alias("locations"))))
+    return e.groupBy(F.col("user_id").alias("book_id")).agg(F.to_json(F.struct(messages.alias("messages"))).alias("json"))
+
+
+_ISSUES = """WITH n AS (SELECT user_id AS book_id, 'epubcheck' AS backend, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning' WHEN 'purchase' THEN 'fatal' WHEN 'view' THEN 'info' ELSE 'error' END AS severity, 'E-' || event_id AS issue_id,
+  'says "' || event_type || '"' AS message, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id > 0 THEN 'p.xhtml:' || event_id || ':2' ELSE 'p.xhtml' END WHEN 1 THEN 'r.opf' END AS location FROM events WHERE event_id % 4 <> 3)"""
+
+
+@query(f"{_ISSUES} SELECT *, upper(severity) || ' ' || issue_id || ' ' || message || CASE WHEN location IS NULL THEN '' ELSE ' (' || location || ')' END AS line FROM n")
+def checker_issues(spark, sf_dir):
+    """Issues of checker reports with the first place of each, and as lines of text."""
+    return texts.epubcheck_issues(_checker_reports(spark, sf_dir)).withColumn("line", package.report_text())
+
+
+@query(
+    f"""{_ISSUES}, s AS (SELECT book_id, count(*) FILTER (WHERE severity = 'fatal') AS fatals, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos,
+  string_agg('{{"severity":"' || severity || '","backend":"epubcheck","id":"' || issue_id || '","message":"' || replace(message, '"', chr(92) || '"') || '"' || CASE WHEN location IS NULL THEN '' ELSE ',"location":"' || location || '"' END || '}}', ',' ORDER BY list_position(['fatal', 'error', 'warning', 'info', 'usage'], severity), message, issue_id) AS issues FROM n GROUP BY 1)
+SELECT book_id, '{{"fatals":' || fatals || ',"errors":' || errors || ',"warnings":' || warnings || ',"infos":' || infos || ',"clean":' || (fatals + errors = 0) || ',"issues":[' || issues || ']}}' AS json FROM s"""
+)
+def checker_reports(spark, sf_dir):
+    """Whole reports as JSON: counters, whether clean, and the issues by severity."""
+    issues = texts.epubcheck_issues(_checker_reports(spark, sf_dir))
+    return package.report_json(aggregates.issue_summary(issues, ["book_id"], F.col("severity")), issues, "book_id")
+
+
+@query(
+    """WITH e AS (SELECT *, event_id % 5 AS m FROM events)
+SELECT user_id AS book_id, 'ace' AS backend, CASE WHEN m IN (0, 1) THEN 'error' ELSE 'warning' END AS severity, 'rule-' || event_type AS issue_id, 'event ' || event_id AS message, 'c' || event_id % 3 || '.xhtml' AS location FROM e WHERE m < 3"""
+)
+def accessibility_issues(spark, sf_dir):
+    """Failed and undecided checks of accessibility reports."""
+    e = _t(spark, sf_dir, "events")
+    i = F.col("event_id")
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("fail", "earl:failed", "earl:cantTell", "pass", "inapplicable")]), (i % 5 + 1).cast("int"))
+    check = F.struct(F.struct(F.concat(F.lit("rule-"), "event_type").alias("dct:title")).alias("earl:test"), F.struct(outcome.alias("earl:outcome"), F.concat(F.lit("event "), _s(i)).alias("dct:description")).alias("earl:result"))
+    subject = F.struct(F.concat(F.lit("c"), _s(i % 3), F.lit(".xhtml")).alias("url"))
+    grouped = e.groupBy("user_id", (i % 3).alias("s")).agg(F.min(subject).alias("earl:testSubject"), F.collect_list(check).alias("assertions"))
+    reports = grouped.groupBy(F.col("user_id").alias("book_id")).agg(F.collect_list(F.struct("earl:testSubject", "assertions")).alias("assertions"))
+    return texts.ace_issues(reports.select("book_id", F.to_json(F.struct("assertions")).alias("json")))
+
+
+@query(
+    """WITH k AS (SELECT s_nationkey AS book_id, s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN 'isbn' ELSE 'title' END AS way, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 6 = 0 ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier),
+u AS (SELECT *, CASE WHEN s_suppkey % 4 <> 1 THEN s_suppkey END AS cover_id FROM k),
+f AS (SELECT * FROM u WHERE cover_id IS NOT NULL AND (way = 'isbn' OR (s_suppkey % 3 <> 2 AND s_suppkey % 2 = 0)))
+SELECT book_id, arg_min(cover_id, (way <> 'isbn', rank)) AS cover_id FROM f GROUP BY 1"""
+)
+def cover_pick(spark, sf_dir):
+    """The cover that a book's ISBN finds, else the first by title with the language and the author's last name."""
+    s = _t(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    by = F.when(k % 6 == 0, "isbn").otherwise("title")
+    w = Window.partitionBy("s_nationkey", by).orderBy(F.desc("s_acctbal"), "s_suppkey")
+    language = F.when(k % 3 == 0, F.array(F.lit("fre"), F.lit("eng"))).when(k % 3 == 1, F.array(F.lit("en"))).otherwise(F.array(F.lit("ger")))
+    author = F.when(k % 2 == 0, F.array(F.lit("X. Y."), F.lit("Ann LAKE"))).otherwise(F.array(F.lit("Bo Sea")))
+    rows = s.select(F.col("s_nationkey").alias("book_id"), by.alias("by"), F.row_number().over(w).alias("rank"), F.when(k % 4 != 1, k).alias("cover_id"), language.alias("language"), author.alias("author_name"))
+    return texts.cover_choice(rows, F.lit("eng"), F.lit("Ann Lake"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' END AS kind, c_custkey % 4 < 2 AS usable FROM customer")
+def cover_kinds(spark, sf_dir):
+    """Kinds of images by their first bytes."""
+    k = F.col("c_custkey")
+    body = F.encode("c_name", "UTF-8")
+    head = F.when(k % 4 == 0, F.lit(b"\xff\xd8\xff")).when(k % 4 == 1, F.lit(b"\x89PNG\r\n\x1a\n")).when(k % 4 == 2, F.lit(b"\x89PNG\r\n")).otherwise(F.lit(b""))
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", text.image_kind(F.concat(head, body)).alias("kind"))
+    return rows.withColumn("usable", F.col("kind").isNotNull())

@@ -267,3 +267,22 @@ def write_smil(nodes: list[dict], metas: list[tuple[str, str]] = ()) -> str:
         return f"<{n['kind']}{attrs}>{inner}</{n['kind']}>" if n["kind"] in ("seq", "par") else f"<{n['kind']}{attrs}/>"
 
     return '<?xml version="1.0" encoding="utf-8"?>\n<smil>' + _head(metas) + "<body>" + "".join(map(one, children.get(None, []))) + "</body></smil>"
+
+
+def written_smil(rows: DataFrame) -> DataFrame:
+    """dir, name and content of every SMIL file whose rows (smil_rows) are given: master files by their refs."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ord")
+        plain = lambda v: None if pd.isna(v) else v
+        metas = [(r.id, r.title) for r in frame[frame["kind"] == "meta"].itertuples()]
+        refs = [(r.id, r.title, r.src) for r in frame[frame["kind"] == "ref"].itertuples()]
+        nodes = frame[~frame["kind"].isin(["meta", "ref"])]
+        folder, name = frame["dir"].iloc[0], frame["name"].iloc[0]
+        if name.lower() == "master.smil":
+            content = write_master(refs, metas)
+        else:
+            content = write_smil([{"node_id": int(r.ord), "parent_id": None if pd.isna(r.parent_id) else int(r.parent_id), "kind": r.kind} | {k: plain(getattr(r, k)) for k in ("id", "src", "dur", "endsync", "clip_begin", "clip_end")} for r in nodes.itertuples()], metas)
+        return pd.DataFrame([(folder, name, content)], columns=["dir", "name", "content"])
+
+    return rows.groupBy("dir", "name").applyInPandas(run, "dir string, name string, content string")

@@ -38,8 +38,26 @@ def json_book(c):
 
 
 def transcript_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Cached transcripts of this version; broken files and other versions are misses."""
-    return spark.read.schema(_CACHE).option("mode", "DROPMALFORMED").option("multiLine", True).json(path).where(F.col("schema_version") == VERSION)
+    """Cached transcripts of this version under path; broken entries and other versions are misses."""
+    return cached(spark.read.option("wholetext", True).text(path).select(F.col("value").alias("json")))
+
+
+def cached(files: DataFrame) -> DataFrame:
+    """transcript_cache() of files that are rows: json, one entry or an entry a line."""
+    whole = F.from_json("json", _CACHE)["cache_key"].isNotNull()
+    entry = files.select(F.explode(F.when(whole, F.array("json")).otherwise(F.split("json", "\n"))).alias("json"))
+    return entry.select(F.from_json("json", _CACHE).alias("e")).select("e.*").where((F.col("schema_version") == VERSION) & F.col("cache_key").isNotNull())
+
+
+def cache_json(transcripts: DataFrame) -> DataFrame:
+    """cache_key and json, the entry of each transcript: cache_key, audio_sha256, model_sha256, language, segments."""
+    fields = ["cache_key", "audio_sha256", "model_sha256", "language", "segments"]
+    return transcripts.select("cache_key", F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), *fields)).alias("json"))
+
+
+def append_cache(transcripts: DataFrame, path: str) -> None:
+    """Adds entries to a cache, a line each; a task's entries appear when its file is whole."""
+    cache_json(transcripts).select("json").write.mode("append").text(path)
 
 
 def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
@@ -64,9 +82,13 @@ def ace_issues(reports: DataFrame) -> DataFrame:
 
 
 def cover_choice(candidates: DataFrame, want_language, author):
-    """The first candidate of each book, by rank, that has a cover, the language, and the author's last name."""
+    """The cover of each book: the first that its ISBN finds, else the first by title that has the language and the
+    author's last name. candidates: book_id, by (isbn or title), rank, cover_id, language and author_name (arrays).
+    """
     from quire.functions.language import language_matches
 
     name = F.lower(text.last_name(author))
-    fits = F.col("cover_id").isNotNull() & language_matches(F.col("language"), want_language) & F.exists("author_name", lambda a: F.lower(a).contains(name))
-    return candidates.where(fits).groupBy("book_id").agg(F.min_by("cover_id", "rank").alias("cover_id"))
+    fits = language_matches(F.col("language"), want_language) & F.exists("author_name", lambda a: F.lower(a).contains(name))
+    by_isbn = F.col("by") == "isbn"
+    usable = candidates.where(F.col("cover_id").isNotNull() & (by_isbn | fits))
+    return usable.groupBy("book_id").agg(F.min_by("cover_id", F.struct(~by_isbn, "rank")).alias("cover_id"))

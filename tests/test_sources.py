@@ -121,6 +121,17 @@ def test_cache(spark, tmp_path):
 def test_cover_choice(spark):
     from pyspark.sql import functions as F
 
-    rows = [("b", 1, None, ["eng"], ["Ann Sea"]), ("b", 2, 7, ["fre"], ["Ann Sea"]), ("b", 3, 8, ["eng"], ["Bo Lake"]), ("b", 4, 9, ["eng"], ["A. SEA"])]
-    candidates = spark.createDataFrame(rows, "book_id string, rank int, cover_id int, language array<string>, author_name array<string>")
-    assert texts.cover_choice(candidates, F.lit("en"), F.lit("Ann Sea")).first()["cover_id"] == 9
+    rows = [("b", "title", 1, None, ["eng"], ["Ann Sea"]), ("b", "title", 2, 7, ["fre"], ["Ann Sea"]), ("b", "title", 3, 8, ["eng"], ["Bo Lake"]), ("b", "title", 4, 9, ["eng"], ["A. SEA"])]
+    # what an ISBN finds needs neither language nor author
+    rows += [("c", "isbn", 1, None, None, None), ("c", "isbn", 2, 5, ["fre"], ["Bo Lake"]), ("c", "title", 1, 6, ["eng"], ["Ann Sea"])]
+    candidates = spark.createDataFrame(rows, "book_id string, by string, rank int, cover_id int, language array<string>, author_name array<string>")
+    assert {r["book_id"]: r["cover_id"] for r in texts.cover_choice(candidates, F.lit("en"), F.lit("Ann Sea")).collect()} == {"b": 9, "c": 5}
+
+
+def test_cache_grows(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    schema = "cache_key string, audio_sha256 string, model_sha256 string, language string, segments array<struct<start: double, end: double, text: string, words: array<struct<start: double, end: double, text: string>>>>"
+    for key in ("k", "l"):
+        texts.append_cache(spark.createDataFrame([(key, "x", "y", "en", [(0.0, 1.5, "a\nb", [(0.0, 1.5, "a")])])], schema), path)
+    rows = {r["cache_key"]: r for r in texts.transcript_cache(spark, path).collect()}
+    assert set(rows) == {"k", "l"} and rows["k"]["segments"][0]["text"] == "a\nb" and rows["l"]["segments"][0]["words"][0]["end"] == 1.5
