@@ -13,7 +13,7 @@ the model's log10 probability of a text is the sum over its bits and choices:
 
 Each bit of 1 to 4 is mixed from three hashed-context predictors by weights that a gate selects, refined by the counts
 of the joint context, and shifted by a bias that is learned online while the document is read. The bits of a spelling are
-mixed from predictors of orders 1, 2, 3, 4 and 6 and one of the last short word (SHORT bytes at most) with two letters;
+mixed from predictors of orders 1 to 4 and one of the last short word (SHORT bytes at most) with two letters;
 their weights are learned online and an adaptive map refines the mix by the byte before.
 
 What the corpus teaches are exact counts of tokens and of tokens in contexts over all training documents; they grow with
@@ -62,11 +62,13 @@ REPEAT, SEEN_TWO, SEEN_ONE, KNOWN, AGAIN = range(5)
 CHAIN = 5
 #: A bit's joint context: four values below 16, the first of which is the gate.
 JOINT = 16**4
+#: Tokens whose bits are put together at once.
+TOLD = 1 << 16
 #: The online bias: tokens between updates, rate, and how much it is drawn to nothing.
 BLOCK, BIAS_RATE, BIAS_HOLD = 32, 0.02, 0.98
 
 #: Orders of the spelling's predictors (0: the last short word with two letters) and the bits of their tables' addresses.
-ORDERS, SLOT_BITS = (1, 2, 3, 4, 6, 0), (16, 18, 18, 19, 19, 19)
+ORDERS, SLOT_BITS = (1, 2, 3, 4, 0), (16, 18, 18, 19, 19)
 _ADDRESS = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS])))
 _TABLE = int(_ADDRESS[-1])
 _PART = 1 << 17
@@ -175,17 +177,26 @@ class Chunk:
     def __init__(self, docs: bytes, ids: bytes, sizes: bytes, words: bytes):
         self.doc_id, self.no_id, held, self.n_bytes, tokens = unpack(docs)
         self.held = held.astype(bool)
-        (ids,) = unpack(ids)
-        self.ids = ids.astype(np.int64)
-        self.first = np.concatenate(([0], np.cumsum(tokens.astype(np.int64))))
         (width,) = unpack(sizes)
         self.offsets = np.concatenate(([0], np.cumsum(width.astype(np.int64))))
         self.raw = np.frombuffer(pa.decompress(memoryview(words), int(self.offsets[-1]), codec="zstd", asbytes=True), np.uint8) if self.offsets[-1] else np.zeros(0, np.uint8)
         self.hash = tk.range_hashes(self.raw, self.offsets[:-1], self.offsets[1:])
         self.hash[0] = _END
         self.other = (tk.range_hashes(_OTHER[self.raw], self.offsets[:-1], self.offsets[1:]) >> np.uint64(64 - TOKEN_BITS)).astype(np.uint32)
-        self.owner = np.repeat(np.arange(len(self.held)), np.diff(self.first))
-        self.place = np.arange(len(self.ids)) - self.first[self.owner]
+        self._lay(unpack(ids)[0].astype(np.int64), tokens.astype(np.int64))
+
+    def _lay(self, ids: np.ndarray, tokens: np.ndarray) -> None:
+        self.ids, self.first = ids, np.concatenate(([0], np.cumsum(tokens)))
+        self.owner = np.repeat(np.arange(len(tokens)), tokens)
+        self.place = np.arange(len(ids)) - self.first[self.owner]
+
+    @classmethod
+    def unpacked(cls, ids: np.ndarray, tokens: np.ndarray, hashes: np.ndarray) -> Chunk:
+        """A chunk that knows its tokens' hashes alone."""
+        self = cls.__new__(cls)
+        self.hash = hashes
+        self._lay(ids, tokens)
+        return self
 
     @classmethod
     def of(cls, row: dict) -> Chunk:
@@ -354,7 +365,7 @@ def _chunks(batches):
         id_of = pa.concat_arrays([a.cast(pa.int64()) for a in doc_ids])
         rows = pack(id_of.fill_null(0).to_numpy().view(np.uint64), id_of.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), np.concatenate([o.to_numpy(zero_copy_only=False) for o in outs]).astype(np.uint8), np.concatenate(n_bytes), np.diff(first) + 1)
         row = {"docs": rows, "ids": pack(ids), "sizes": pack(np.concatenate(([0], width))), "words": pa.compress(raw[picked].tobytes(), codec="zstd", asbytes=True)}
-        row |= {"chunk": (task << 24) + number, "hot": _frequent(Chunk.of(row))}
+        row |= {"chunk": (task << 24) + number, "hot": _frequent(Chunk.unpacked(ids, np.diff(first) + 1, np.concatenate(([_END], uniq[order]))))}
         yield pa.RecordBatch.from_pylist([row], schema=_CHUNK)
         held, size, number = [], 0, number + 1
 
@@ -403,37 +414,40 @@ _REPLY = pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("ord", pa.int
 STATISTICS, SHARES = -1, -2
 
 
-def _keys(order: int, bits: int, hot: Hot):
-    """A chunk's pairs of an order, a row for each range."""
+def _keys(orders: tuple[int, ...], bits: int, hot: Hot):
+    """A chunk's pairs of some orders, a row for each range."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.of(row)
-                own = Entries(chunk, order, hot)
-                training = np.bincount(chunk.ids, chunk.training(), len(chunk.hash))[own.order] if order == VOCABULARY else chunk.training()[own.order]
-                n = np.add.reduceat(training.astype(np.int64), own.pair)
-                places, edges = own.ranges(bits)
-                within = own.within(bits)
-                at = np.searchsorted(own.run, edges)
-                sizes = np.diff(np.append(own.run, len(own.context)))
-                blobs = []
-                for i in range(len(places)):
-                    a, b, c, d = edges[i], edges[i + 1], at[i], at[i + 1]
-                    first = within[own.run[c:d]]
-                    blobs.append(pack(np.diff(first, prepend=np.uint64(0)), sizes[c:d], own.token[a:b], n[a:b]))
-                for i in range(0, len(places), 64):
-                    m = len(places[i : i + 64])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, row["chunk"])), pa.array(places[i : i + 64]), pa.array(np.full(m, order, np.int32)), pa.array(blobs[i : i + 64], pa.binary())], schema=_REPLY)
+                for order in orders:
+                    yield from asked(row["chunk"], chunk, order)
+
+    def asked(number: int, chunk: Chunk, order: int):
+        own = Entries(chunk, order, hot)
+        training = np.bincount(chunk.ids, chunk.training(), len(chunk.hash))[own.order] if order == VOCABULARY else chunk.training()[own.order]
+        n = np.add.reduceat(training.astype(np.int64), own.pair)
+        places, edges = own.ranges(bits)
+        within = own.within(bits)
+        at = np.searchsorted(own.run, edges)
+        sizes = np.diff(np.append(own.run, len(own.context)))
+        blobs = []
+        for i in range(len(places)):
+            a, b, c, d = edges[i], edges[i + 1], at[i], at[i + 1]
+            blobs.append(pack(np.diff(within[own.run[c:d]], prepend=np.uint64(0)), sizes[c:d], own.token[a:b], n[a:b]))
+        for i in range(0, len(places), 64):
+            m = len(places[i : i + 64])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.array(places[i : i + 64]), pa.array(np.full(m, order, np.int32)), pa.array(blobs[i : i + 64], pa.binary())], schema=_REPLY)
 
     return run
 
 
-def _counted(bits: int, order: int, hot_keys: np.ndarray):
-    """The counts of all pairs of a range, as replies to the chunks that asked."""
+def _counted(bits: int, hot_keys: dict[int, np.ndarray]):
+    """The counts of all pairs of an order's range, as replies to the chunks that asked."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, asked, parts = key[0].as_py(), [], []
+        place, order, asked, parts = key[0].as_py(), key[1].as_py(), [], []
         for batch in batches:
             asked += batch.column("chunk").to_pylist()
             parts += [unpack(b.as_py()) for b in batch.column("counts")]
@@ -458,9 +472,9 @@ def _counted(bits: int, order: int, hot_keys: np.ndarray):
             a += m
         asked.append(STATISTICS)
         out.append(pack(np.array([n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum()])))
-        if len(hot_keys):
+        if len(hot_keys.get(order, ())):
             whole = (np.uint64(place) << np.uint64(CONTEXT_BITS)) | own[run_] if bits else own[run_]
-            mine = np.isin(whole, hot_keys)
+            mine = np.isin(whole, hot_keys[order])
             if mine.any():
                 asked.append(SHARES)
                 out.append(pack(whole[mine], tokens[mine], distinct[mine]))
@@ -471,21 +485,22 @@ def _counted(bits: int, order: int, hot_keys: np.ndarray):
     return run
 
 
-def counts_of(chunks: DataFrame, order: int, bits: int, hot: Hot) -> tuple[DataFrame, np.ndarray]:
-    """(replies to all chunks, statistics of the order: tokens, distinct pairs, pairs counted once, twice)."""
-    keys = np.zeros(0, np.uint64) if order == VOCABULARY else np.sort(hot.key(hot.salts(order)[0]))
-    asked = chunks.select("chunk", "docs", "ids", "sizes", "words").mapInArrow(_keys(order, bits, hot), _REPLY_SQL)
-    replies = written(asked.groupBy("place").applyInArrow(_counted(bits, order, keys), _REPLY_SQL), f"counts-{order}")
-    total, shares = np.zeros(4, dtype=np.int64), [[], [], []]
-    for r in replies.where("chunk < 0").select("chunk", "counts").toLocalIterator():
+def counts_of(chunks: DataFrame, orders: tuple[int, ...], bits: int, hot: Hot) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """(replies to all chunks, by order its statistics: tokens, distinct pairs, pairs counted once, twice)."""
+    keys = {o: np.sort(hot.key(hot.salts(o)[0])) for o in orders if o != VOCABULARY}
+    asked = chunks.select("chunk", "docs", "ids", "sizes", "words").mapInArrow(_keys(orders, bits, hot), _REPLY_SQL)
+    replies = written(asked.groupBy("place", "ord").applyInArrow(_counted(bits, keys), _REPLY_SQL), "counts")
+    total = {o: np.zeros(4, dtype=np.int64) for o in orders}
+    shares: dict[int, list] = {o: [[], [], []] for o in keys}
+    for r in replies.where("chunk < 0").select("chunk", "ord", "counts").toLocalIterator():
         found = unpack(r["counts"])
         if r["chunk"] == STATISTICS:
-            total += found[0].astype(np.int64)
+            total[r["ord"]] += found[0].astype(np.int64)
         else:
-            for held, v in zip(shares, found, strict=True):
+            for held, v in zip(shares[r["ord"]], found, strict=True):
                 held.append(v)
-    if order != VOCABULARY:
-        hot.sum(order, *(np.concatenate(s) if s else np.zeros(0, np.uint64) for s in shares))
+    for o, parts in shares.items():
+        hot.sum(o, *(np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts))
     return replies, total
 
 
@@ -573,9 +588,10 @@ class Others:
         self.less = less
         self.ratio = share(self.distinct, self.tokens)
         self.code = joined(bucket(self.tokens), self.ratio)
+        self.heard, self.seen = self.tokens > 0, self.n > 0
 
-    def choice(self, at: np.ndarray) -> np.ndarray:
-        e = self.entry[at]
+    def choice(self, e: np.ndarray) -> np.ndarray:
+        """The log10 probabilities of some entries' tokens among those seen in their contexts."""
         return np.log10((self.n[e] - self.less) / (self.tokens[e] - self.less * self.distinct[e]))
 
 
@@ -621,46 +637,59 @@ def _features(hot: Hot, statistics: dict[int, np.ndarray]):
         prior = np.zeros(len(ids), dtype=np.int64)
         prior[1:] = known[:-1]
         prior[place == 0] = 0
+        last, before = followed(chunk)
+        one, two = (Others(chunk, o, hot, reply[o], less[o]) for o in (ONE, TWO))
         choice = np.zeros(len(ids))
         told = np.full(len(ids), CHAIN, dtype=np.uint8)
         asked = np.zeros(len(ids), dtype=np.uint8)
-        codes = []
-        pending, short_owner = np.ones(len(ids), dtype=bool), owner.astype(np.int32)
-
-        def ask(bit: int, use: np.ndarray, outcome: np.ndarray, code) -> np.ndarray:
-            """Asks a bit of some tokens that are not told yet; returns the places where it is one."""
-            at = np.flatnonzero(use & pending)
-            one = outcome[at]
-            codes.append(code(at, history(one, short_owner[at])))
-            asked[at] |= 1 << bit
-            hit = at[one]
-            told[hit] = bit
-            pending[hit] = False
-            return hit
-
-        last, before = followed(chunk)
-        ask(REPEAT, last >= 0, (last >= 0) & (ids[last] == ids), lambda at, h: joined(np.minimum(before[at], 15), h, bucket(prior[at]), bucket(known[last[at]])))
-        one, two = (Others(chunk, o, hot, reply[o], less[o]) for o in (ONE, TWO))
-        ratio = {o: seen.ratio[seen.entry] for o, seen in ((ONE, one), (TWO, two))}
-        for bit, seen, other in ((SEEN_TWO, two, ratio[ONE]), (SEEN_ONE, one, ratio[TWO])):
-            hit = ask(bit, (seen.tokens > 0)[seen.entry], (seen.n > 0)[seen.entry], lambda at, h, seen=seen, other=other: joined(seen.code[seen.entry[at]], h, other[at]))
-            choice[hit] = seen.choice(hit)
-        hit = ask(KNOWN, pending, ~unknown, lambda at, h: joined(h, ratio[ONE][at], bucket(prior[at]), share(so_far[at], np.maximum(place[at], 1))))
-        choice[hit] = np.log10((known[hit] - less[VOCABULARY]) / (others[owner[hit]] - less[VOCABULARY] * kinds[owner[hit]]))
-        hit = ask(AGAIN, so_far > 0, ~first_here, lambda at, h: joined(bucket(so_far[at]), h, bucket(place[at]), bucket(prior[at])))
-        choice[hit] = -np.log10(so_far[hit])
+        codes: list[list[np.ndarray]] = [[] for _ in range(CHAIN)]
+
+        def tell(cut: slice) -> None:
+            """The bits of some documents' tokens, few enough to stay in the processor's cache."""
+            here, owner_, known_, prior_, place_, last_, before_, so_far_, first_ = (v[cut] for v in (ids, owner32, known, prior, place, last, before, so_far, first_here))
+            entry = {ONE: one.entry[cut], TWO: two.entry[cut]}
+            ratio = {ONE: one.ratio[entry[ONE]], TWO: two.ratio[entry[TWO]]}
+            choice_, told_, asked_ = choice[cut], told[cut], asked[cut]
+            pending = np.ones(len(here), dtype=bool)
+
+            def ask(bit: int, use: np.ndarray, outcome: np.ndarray, code) -> np.ndarray:
+                """Asks a bit of the tokens that are not told yet; returns the places where it is one."""
+                at = np.flatnonzero(use & pending)
+                yes = outcome[at]
+                codes[bit].append(code(at, history(yes, owner_[at])))
+                asked_[at] |= 1 << bit
+                hit = at[yes]
+                told_[hit] = bit
+                pending[hit] = False
+                return hit
+
+            guess = last_ >= 0
+            ask(REPEAT, guess, guess & (ids[last_] == here), lambda at, h: joined(np.minimum(before_[at], 15), h, bucket(prior_[at]), bucket(known[last_[at]])))
+            for bit, seen, order, other in ((SEEN_TWO, two, TWO, ONE), (SEEN_ONE, one, ONE, TWO)):
+                own, beside = entry[order], ratio[other]
+                hit = ask(bit, seen.heard[own], seen.seen[own], lambda at, h, seen=seen, own=own, beside=beside: joined(seen.code[own[at]], h, beside[at]))
+                choice_[hit] = seen.choice(own[hit])
+            hit = ask(KNOWN, pending, known_ > 0, lambda at, h: joined(h, ratio[ONE][at], bucket(prior_[at]), share(so_far_[at], np.maximum(place_[at], 1))))
+            choice_[hit] = np.log10((known_[hit] - less[VOCABULARY]) / (others[owner_[hit]] - less[VOCABULARY] * kinds[owner_[hit]]))
+            hit = ask(AGAIN, so_far_ > 0, ~first_, lambda at, h: joined(bucket(so_far_[at]), h, bucket(place_[at]), bucket(prior_[at])))
+            choice_[hit] = -np.log10(so_far_[hit])
+
+        owner32 = owner.astype(np.int32)
+        for a, b in tk.slices(n_tokens, TOLD):
+            tell(slice(chunk.first[a], chunk.first[b]))
         base = np.log10((c + 1.0) / (tokens + distinct + 1.0))[ids]
         cut = chunk.first[:-1]
         sums = [np.add.reduceat(v, cut).astype(np.float64).view(np.uint64) for v in (choice, base)]
         rows = pack(chunk.doc_id, chunk.no_id, chunk.held, chunk.n_bytes, n_tokens, np.add.reduceat((c[ids] > 0).astype(np.int64), cut), *sums)
+        every = [np.concatenate(own) for own in codes]
         spelled = np.flatnonzero(told == CHAIN)
         width = np.diff(chunk.offsets)[ids[spelled]]
         offsets = np.concatenate(([0], np.cumsum(width)))
         raw = chunk.raw[np.repeat(chunk.offsets[:-1][ids[spelled]] - offsets[:-1], width) + np.arange(int(offsets[-1]))]
         words = [pack(owner[spelled], width, chunk.short_codes(spelled)), pa.compress(raw.tobytes(), codec="zstd", asbytes=True)]
         n_spelled = int(training[spelled].sum())
-        out = [{"chunk": row["chunk"], "docs": rows, "bits": pack(told, asked, *codes), "spelled": words[0], "words": words[1], "n_spelled": n_spelled}]
-        for bit, code in enumerate(codes):
+        out = [{"chunk": row["chunk"], "docs": rows, "bits": pack(told, asked, *every), "spelled": words[0], "words": words[1], "n_spelled": n_spelled}]
+        for bit, code in enumerate(every):
             at = np.flatnonzero(asked & (1 << bit))
             use = training[at]
             out.append({"part": bit, "counts": pack(*(np.bincount(v, minlength=JOINT) for v in (code[use], code[use & (told[at] == bit)])))})
@@ -957,22 +986,21 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
     bits = (int(size) // RANGE).bit_length()
     chunks = written(source.mapInArrow(_chunks, _CHUNK_SQL), "chunks", every_row=True)
     hot = hot_contexts(chunks, bits)
-    found = {o: counts_of(chunks, o, bits, hot) for o in (VOCABULARY, ONE, TWO)}
-    replies = None
-    for table, _ in found.values():
-        replies = table if replies is None else replies.unionByName(table)
-    statistics = {o: s for o, (_, s) in found.items()}
+    # tokens apart from their contexts, so that fewer shuffled bytes lie on disks at once
+    words, statistics = counts_of(chunks, (VOCABULARY,), bits, hot)
+    contexts, more = counts_of(chunks, (ONE, TWO), bits, hot)
+    statistics |= more
+    replies = words.unionByName(contexts)
     rows = chunks.select("chunk", "docs", "ids", "sizes", "words")
     asked = replies.where("chunk >= 0").select(F.col("chunk").alias("home"), "place", "ord", "counts")
     features = written(rows.groupBy("chunk").cogroup(asked.groupBy("home")).applyInArrow(_features(hot, statistics), _FEATURES_SQL), "features", every_row=True)
-    drop_written(chunks, *(table for table, _ in found.values()))
+    drop_written(chunks, words, contexts)
     chain = [refined(np.zeros(JOINT), np.zeros(JOINT))] * CHAIN
     for r in summed_in_two(features.where("part IS NOT NULL"), "part", "counts", _add, "part int, counts binary").collect():
         chain[r["part"]] = refined(*unpack(r["counts"]))
     read = features.where("chunk IS NOT NULL")
     slots = predictions(bit_tables(read))
-    words = read.agg(F.coalesce(F.sum("n_spelled"), F.lit(0))).first()[0]
-    w, map_ = mixer(read, slots, words)
+    w, map_ = mixer(read, slots, read.agg(F.coalesce(F.sum("n_spelled"), F.lit(0))).first()[0])
     scored = read.select("docs", "bits", "spelled", "words").mapInArrow(_scored(int(statistics[VOCABULARY][0]), chain, slots, w, map_), _SCORED_SQL)
     bits_of = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
     return scored.withColumn("bits_per_byte", bits_of)
