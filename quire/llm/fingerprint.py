@@ -8,8 +8,12 @@ different lengths thus sample the same steps wherever both go. Likeness is the s
 
 Near duplicates come from several such walks, whose slots are each a band of its own that keeps a longer gram. Texts that agree in a band are candidates, and a bounded edit distance over the whole texts verifies them.
 
-Kernel: one lane per text in numpy, all lanes at the same step; a step costs three vector operations. Memory is bounded by
-STEP_BYTES of text (or one text). Defined results: a null text is empty; an empty text has the all-zero fingerprint,
+Texts longer than SEGMENT characters are walked in segments of that length, each from its first character, and every slot
+samples the segment that a hash of slot and segment picks, so that another segment changes few slots. An edit moves the
+later segments' edges by a few characters, after which their walks fall back into step.
+
+Kernel: one lane per segment in numpy, all lanes at the same step; a step costs three vector operations, and there are a
+few steps for each character of a segment, whatever a text's length. Memory is bounded by STEP_BYTES of text (or one text). Defined results: a null text is empty; an empty text has the all-zero fingerprint,
 and two empty ones are alike (1.0); rows without an id come last in the order; equal ids are ordered by their texts;
 a single document is its own neighbour; other columns are ignored.
 """
@@ -36,6 +40,9 @@ NEAR_WALKS, NEAR_SLOTS, NEAR_GRAM = 4, 64, 8
 STEP_BYTES = 12_000_000
 NEAR_STEP = 4_000_000
 
+#: Characters that one walk takes in.
+SEGMENT = 8192
+
 _PERIOD = 4096
 _BLOCK = 8192
 
@@ -71,39 +78,65 @@ def _events(until: int, cache: dict = _CACHE) -> dict[int, np.ndarray]:
     return cache["events"]
 
 
+class _Walk:
+    """Texts laid end to end as classes of characters 1..255, with zeros behind each that hold its walk at the end."""
+
+    def __init__(self, chars: list[np.ndarray], slots: int, behind: int):
+        if _CACHE["bits"] is None:
+            _CACHE["bits"] = _bits()
+        length = np.array([len(c) for c in chars], dtype=np.int64)
+        begin = np.cumsum(length + behind) - length - behind
+        self.flat = np.zeros(int((length + behind).sum()), dtype=np.uint8)
+        for c, b in zip(chars, begin.tolist(), strict=True):
+            self.flat[b : b + len(c)] = (c * np.uint32(0x9E3779B1) >> np.uint32(13)) % np.uint32(255) + np.uint32(1)
+        segments = -(-length // SEGMENT)
+        self.text = np.repeat(np.arange(len(chars)), segments)
+        self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(segments) - segments, segments)
+        self.at = begin[self.text] + self.number * SEGMENT
+        self.end = np.minimum(self.at + SEGMENT, (begin + length)[self.text])
+        self.pick = None
+        if (segments > 1).any():
+            self.pick = np.zeros((len(chars), slots), dtype=np.int64)
+            slot = np.arange(slots, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+            for k in np.flatnonzero(segments > 1).tolist():
+                self.pick[k] = tk.mix(slot + np.arange(segments[k], dtype=np.uint64)[None, :]).argmin(1)
+
+    def steps(self, cache: dict, shift: int = 0):
+        """(step, places of the pointers, segments, slots) at each step that is a new minimum of some slots."""
+        bits, lane = _CACHE["bits"], np.argsort(self.at - self.end, kind="stable")
+        at, end, step = self.at[lane], self.end[lane], 0
+        while len(lane):
+            events = _events(step + 256, cache)
+            for j in range(step, step + 256):
+                if j in events:
+                    on = at < end
+                    yield j, at[on], lane[on], np.array(events[j])
+                at += bits[(j + shift) % _PERIOD].take(self.flat.take(at))
+            step += 256
+            on = at < end
+            if on.sum() < 0.9 * len(lane):
+                lane, at, end = lane[on], at[on], end[on]
+
+    def put(self, out: np.ndarray, lane: np.ndarray, slots: np.ndarray, value: np.ndarray) -> None:
+        """Writes the lanes' values into the slots that sample their segments."""
+        text = self.text[lane]
+        if self.pick is None:
+            out[text[:, None], slots[None, :]] = value[:, None]
+            return
+        row, column = np.nonzero(self.pick[text][:, slots] == self.number[lane][:, None])
+        out[text[row], slots[column]] = value[row]
+
+
 def fingerprints(chars: list[np.ndarray]) -> np.ndarray:
     """SLOTS bytes for each text, given as code points."""
-    count = len(chars)
-    out = np.zeros((count, SLOTS), dtype=np.uint8)
-    if not count:
+    out = np.zeros((len(chars), SLOTS), dtype=np.uint8)
+    if not len(chars):
         return out
-    if _CACHE["bits"] is None:
-        _CACHE["bits"] = _bits()
-    bits = _CACHE["bits"]
-    # classes 1..255 of characters; four zeros after each text hold its walk at the end
-    length = np.array([len(c) for c in chars])
-    begin = np.concatenate(([0], np.cumsum(length + 4)[:-1]))
-    flat = np.zeros(int((length + 4).sum()), dtype=np.uint8)
-    for c, b in zip(chars, begin.tolist(), strict=True):
-        flat[b : b + len(c)] = (c * np.uint32(0x9E3779B1) >> np.uint32(13)) % np.uint32(255) + np.uint32(1)
-    lane = np.flatnonzero(length)
-    lane = lane[np.argsort(-length[lane], kind="stable")]
-    at, end = begin[lane].copy(), (begin + length)[lane]
-    step = 0
-    while len(lane):
-        events = _events(step + 256)
-        for j in range(step, step + 256):
-            if j in events:
-                on = at < end
-                p = at[on]
-                gram = flat[p].astype(np.uint64) | flat[p + 1].astype(np.uint64) << np.uint64(8) | flat[p + 2].astype(np.uint64) << np.uint64(16) | flat[p + 3].astype(np.uint64) << np.uint64(24)
-                value = (tk.mix(gram + np.uint64(1)) >> np.uint64(56)).astype(np.uint8)
-                out[lane[on][:, None], np.array(events[j])[None, :]] = np.maximum(value, 1)[:, None]
-            at += bits[j % _PERIOD].take(flat.take(at))
-        step += 256
-        on = at < end
-        if on.sum() < 0.9 * len(lane):
-            lane, at, end = lane[on], at[on], end[on]
+    walk = _Walk(chars, SLOTS, 4)
+    flat = walk.flat
+    for _, p, lane, slots in walk.steps(_CACHE):
+        gram = flat[p].astype(np.uint64) | flat[p + 1].astype(np.uint64) << np.uint64(8) | flat[p + 2].astype(np.uint64) << np.uint64(16) | flat[p + 3].astype(np.uint64) << np.uint64(24)
+        walk.put(out, lane, slots, np.maximum((tk.mix(gram + np.uint64(1)) >> np.uint64(56)).astype(np.uint8), 1))
     return out
 
 
@@ -293,32 +326,15 @@ def near_keys(chars: list[np.ndarray]) -> list[np.ndarray]:
     that lose their step at an edit do so apart from each other, so some walks find more than as many slots of one.
     """
     found = np.zeros((len(chars), NEAR_WALKS, NEAR_SLOTS), dtype=np.uint64)
-    if _CACHE["bits"] is None:
-        _CACHE["bits"] = _bits()
-    bits = _CACHE["bits"]
-    length = np.array([len(c) for c in chars], dtype=np.int64)
-    begin = np.cumsum(length + NEAR_GRAM) - length - NEAR_GRAM
-    flat = np.zeros(int((length + NEAR_GRAM).sum()), dtype=np.uint8)
-    for c, b in zip(chars, begin.tolist(), strict=True):
-        flat[b : b + len(c)] = (c * np.uint32(0x9E3779B1) >> np.uint32(13)) % np.uint32(255) + np.uint32(1)
+    if not len(chars):
+        return []
+    walked = _Walk(chars, NEAR_SLOTS, NEAR_GRAM)
     for walk in range(NEAR_WALKS):
-        lane = np.flatnonzero(length)
-        at, end = begin[lane].copy(), (begin + length)[lane]
-        step = 0
-        while len(lane):
-            events = _events(step + 256, _NEAR)
-            for j in range(step, step + 256):
-                if j in events:
-                    on = at < end
-                    p = at[on]
-                    gram = np.full(len(p), j * NEAR_WALKS + walk, dtype=np.uint64)
-                    for i in range(NEAR_GRAM):
-                        gram = tk.mix(gram * np.uint64(257) + flat[p + i])
-                    found[lane[on][:, None], walk, np.array(events[j])[None, :]] = gram[:, None]
-                at += bits[(j + walk * (_PERIOD // NEAR_WALKS)) % _PERIOD].take(flat.take(at))
-            step += 256
-            on = at < end
-            lane, at, end = lane[on], at[on], end[on]
+        for j, p, lane, slots in walked.steps(_NEAR, walk * (_PERIOD // NEAR_WALKS)):
+            gram = np.full(len(p), j * NEAR_WALKS + walk, dtype=np.uint64)
+            for i in range(NEAR_GRAM):
+                gram = tk.mix(gram * np.uint64(257) + walked.flat[p + i])
+            walked.put(found[:, walk], lane, slots, gram)
     return [np.unique(r[r != 0]) for r in found]
 
 

@@ -500,6 +500,56 @@ def test_small_edits_keep_fingerprints_near():
     assert (a == b).mean() > 0.7 > 0.1 > (a == c).mean()
 
 
+def plain_fingerprint(text: str) -> bytes:
+    """A slot is the hashed gram under the pointer at the reached step with the least hash, in the segment it samples."""
+    mix = lambda v: int(tk.mix(np.array([v % 2**64], np.uint64))[0])
+    classes = [((ord(c) * 0x9E3779B1 % 2**32) >> 13) % 255 + 1 for c in text]
+    bits, out = fingerprint._bits(), []
+    parts = [classes[i : i + fingerprint.SEGMENT] for i in range(0, len(classes), fingerprint.SEGMENT)]
+    for slot in range(fingerprint.SLOTS):
+        if not parts:
+            out.append(0)
+            continue
+        number = min(range(len(parts)), key=lambda s: mix(slot * 0x9E3779B97F4A7C15 + s)) if len(parts) > 1 else 0
+        at, step, least = 0, 0, None
+        while at < len(parts[number]):
+            h = mix(step * fingerprint.SLOTS + slot + 0x14057B7EF767814F)
+            if least is None or h < least:
+                here = number * fingerprint.SEGMENT + at
+                gram = sum(c << 8 * k for k, c in enumerate((classes + [0] * 4)[here : here + 4]))
+                least, value = h, max(mix(gram + 1) >> 56, 1)
+            at += bits[step % fingerprint._PERIOD, parts[number][at]]
+            step += 1
+        out.append(value)
+    return bytes(out)
+
+
+def test_fingerprints_equal_plain_walks(monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    monkeypatch.setattr(fingerprint, "SEGMENT", 40)
+    texts = ["", "a", "äöü", *("".join(rng.choice("abcde ") for _ in range(n)) for n in (39, 40, 41, 100))]
+    got = fingerprint.fingerprints([fingerprint.code_points(t.encode()) for t in texts])
+    assert [g.tobytes() for g in got] == [plain_fingerprint(t) for t in texts]
+
+
+def test_long_texts_are_walked_in_segments():
+    import random
+    import time
+
+    rng = random.Random(10)
+    text = "".join(rng.choices("abcdefgh ", k=400_000))
+    changed = text[:1000] + "xyz" + text[1000:200_000] + text[200_005:]
+    other = "".join(rng.choices("abcdefgh ", k=400_000))
+    began = time.process_time()
+    a, b, c = fingerprint.fingerprints([fingerprint.code_points(t.encode()) for t in (text, changed, other)])
+    assert time.process_time() - began < 5
+    assert (a == b).mean() > 0.7 > 0.1 > (a == c).mean()
+    own, near = fingerprint.near_keys([fingerprint.code_points(t.encode()) for t in (text, changed)])
+    assert len(np.intersect1d(own, near)) > 20
+
+
 def test_edit_distance_within():
     def full(a, b):
         row = list(range(len(b) + 1))
