@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkernel as tk
-from quire.llm.common import written
+from quire.llm.common import shuffle_partitions, written
 
 #: Samples in a row of an image.
 ROW = 192
@@ -216,7 +216,8 @@ def document_media(docs: DataFrame) -> DataFrame:
     """Stores each document's text as an image, reads the store back, and joins features through interleaved pages."""
     stored = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store, "doc_id long, n_bytes long, html string, digest string, media binary"), "media")
     seen = stored.where("media is not null").select("digest", "media").mapInArrow(_features, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    store = seen.dropDuplicates(["digest"])
+    # a table of its own, so that the join below meets plain shuffles of both sides and may split a digest of many rows
+    store = written(seen.dropDuplicates(["digest"]).coalesce(max(1, shuffle_partitions(docs.sparkSession) // 8)), "media-store")
     pages = resolve(interleave(stored, "html", ("doc_id", "n_bytes")), store, ("doc_id", "n_bytes"))
     image = F.expr("filter(items, x -> x.kind = 'media')[0].media")
     return pages.withColumn("image", image).select("doc_id", "n_bytes", "image.payload_bytes", "image.payload_sha256", "image.tail_crc32", "image.media_bytes", "image.media_sha256", "image.feature")
