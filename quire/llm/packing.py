@@ -10,7 +10,7 @@ Pieces are dealt by hash into groups of about GROUP; each group is packed alone,
 small rows (no text) and groups are packed side by side. A source or cluster of any size is spread over all groups.
 
 Defined results: a null or empty text is one piece of 0 tokens and takes room in no bin, but respects conflicts; a null
-source conflicts with nothing; a null cluster likewise; pieces of one document don't share a bin; repeated rows are in
+source conflicts with nothing; a null cluster is that of the equal texts; pieces of one document don't share a bin; repeated rows are in
 one cluster (equal texts); an empty table gives no rows; other columns are ignored.
 """
 
@@ -77,9 +77,13 @@ class Packer:
         return at, offset
 
 
-def pieces_of(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, tokens, source, cluster: no text goes on."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), token_count().alias("all"))
+def pieces_of(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None) -> DataFrame:
+    """doc_id, piece, start, tokens, source, cluster: no text goes on. cluster: a column that names duplicate clusters;
+    without it, and where it is null, equal texts are a cluster."""
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    if cluster is not None:
+        own = F.when(F.col(cluster).isNotNull(), F.xxhash64(F.col(cluster).cast("string"))).otherwise(own)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), own.alias("cluster"), token_count().alias("all"))
     number = F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("all") - 1, F.lit(0).cast("long")), F.lit(capacity).cast("long"))).alias("piece", "start")
     return rows.select("*", number).select("doc_id", "piece", "start", F.least(F.col("all") - F.col("start"), F.lit(capacity)).cast("long").alias("tokens"), "source", "cluster")
 
@@ -105,9 +109,9 @@ def _pack(capacity: int):
 _PACKED = "doc_id long, piece int, start long, tokens long, source string, bin_id long, bin_offset long"
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """A row per piece: which bin it is in, and from which of the bin's tokens on."""
-    pieces = pieces_of(docs, capacity)
+def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster: str | None = None) -> DataFrame:
+    """A row per piece: which bin it is in, and from which of the bin's tokens on. cluster: as of pieces_of()."""
+    pieces = pieces_of(docs, capacity, cluster)
     groups = max(1, round(pieces.count() / group))
     dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(groups)).cast("int"))
     return dealt.groupBy("bin_group").applyInArrow(_pack(capacity), _PACKED)

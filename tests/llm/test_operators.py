@@ -440,6 +440,26 @@ def test_packing(spark, sf_dir, texts):
         assert max(same.values()) == 1
 
 
+def test_packing_equals_a_plain_search(spark, docs):
+    """Replays the bins: every piece is in the tightest compatible bin of its time, and opens one only where none is."""
+    import pyspark.sql.functions as F
+
+    named = docs.withColumn("group", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 40))
+    rows = packing.pack(named, 512, 10**9, "group").collect()
+    # any order of names does for equal clusters, so conflicts are told from the pieces' own rows
+    order = {(r["doc_id"], r["piece"]): (-r["tokens"], r["cluster"], r["doc_id"], r["piece"]) for r in packing.pieces_of(named, 512, "group").collect()}
+    bins: dict = {}
+    for r in sorted(rows, key=lambda r: order[r["doc_id"], r["piece"]]):
+        cluster = order[r["doc_id"], r["piece"]][1]
+        fits = {b: 512 - sum(s for s, *_ in held) for b, held in bins.items() if 512 - sum(s for s, *_ in held) >= r["tokens"] and all(c != cluster for *_, c in held) and sum(s == r["source"] for _, s, _ in held) < packing.LANES}
+        if fits:
+            assert fits.get(r["bin_id"]) == min(fits.values())
+        else:
+            assert r["bin_id"] not in bins
+        bins.setdefault(r["bin_id"], []).append((r["tokens"], r["source"], cluster))
+    assert len(bins) > 20
+
+
 def test_packer_takes_the_tightest_compatible_bin():
     p = packing.Packer(100)
     assert p.add(60, 0, 1) == (0, 0) and p.add(70, 4, 1) == (1, 0)
