@@ -36,14 +36,14 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def written(df: DataFrame, label: str, every_row: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives the loss of any executor.
 
-    every_row: rows hold megabytes, so that pages and row groups must be measured after each.
+    every_row: rows hold megabytes that are compressed already, so that pages and row groups must be measured after each.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     # no marker file: the table is read by its path in this session alone
     writer = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
     if every_row:
-        writer = writer.option("parquet.page.size.row.check.min", "1").option("parquet.block.size.row.check.min", "1").option("parquet.block.size", str(32 << 20))
+        writer = writer.option("compression", "uncompressed").option("parquet.page.size.row.check.min", "1").option("parquet.block.size.row.check.min", "1").option("parquet.block.size", str(32 << 20))
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:

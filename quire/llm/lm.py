@@ -129,9 +129,7 @@ def runs(*keys: np.ndarray) -> np.ndarray:
 
 def spread(starts: np.ndarray, n: int) -> np.ndarray:
     """The number of its run for each of n places."""
-    marks = np.zeros(n, dtype=np.int64)
-    marks[starts[1:]] = 1
-    return np.cumsum(marks)
+    return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
 
 
 def order_of(values: np.ndarray) -> np.ndarray:
@@ -489,7 +487,7 @@ def counts_of(chunks: DataFrame, orders: tuple[int, ...], bits: int, hot: Hot) -
     """(replies to all chunks, by order its statistics: tokens, distinct pairs, pairs counted once, twice)."""
     keys = {o: np.sort(hot.key(hot.salts(o)[0])) for o in orders if o != VOCABULARY}
     asked = chunks.select("chunk", "docs", "ids", "sizes", "words").mapInArrow(_keys(orders, bits, hot), _REPLY_SQL)
-    replies = written(asked.groupBy("place", "ord").applyInArrow(_counted(bits, keys), _REPLY_SQL), "counts")
+    replies = written(asked.groupBy("place", "ord").applyInArrow(_counted(bits, keys), _REPLY_SQL), "counts", every_row=True)
     total = {o: np.zeros(4, dtype=np.int64) for o in orders}
     shares: dict[int, list] = {o: [[], [], []] for o in keys}
     for r in replies.where("chunk < 0").select("chunk", "ord", "counts").toLocalIterator():
@@ -880,7 +878,7 @@ def _learn(slots: np.ndarray):
         for spelled, _ in _steps(joined_, np.diff(edges), table.column("short").to_numpy()):
             for b, bit, at in spelled.bits():
                 x, gate = _inputs(slots, at, b, bit, None)
-                mixed = np.empty(len(bit))
+                mixed = np.empty(len(bit), dtype=np.float32)
                 for i in range(0, len(bit), ONLINE * 8):
                     cut = slice(i, i + ONLINE * 8)
                     mixed[cut] = _mixed(x[:, cut], w, gate[cut])
@@ -914,14 +912,14 @@ def mixer(features: DataFrame, slots: np.ndarray, words: int) -> tuple[np.ndarra
 
 def spelling(raw: np.ndarray, size: np.ndarray, short: np.ndarray, own: np.ndarray, slots: np.ndarray, w: np.ndarray, map_: np.ndarray) -> np.ndarray:
     """The log10 probability of each word's spelling. own: whether the tables have counted the word."""
-    out = np.zeros(len(size))
+    out, narrow = np.zeros(len(size)), map_.ravel().astype(np.float32)
     for spelled, cut in _steps(raw, size, short):
         total, mine = np.zeros(len(spelled.code)), own[cut][spelled.owner]
         for b, bit, at in spelled.bits():
             x, gate = _inputs(slots, at, b, bit, mine)
             mixed = _mixed(x, w, gate)
-            p = np.clip(0.5 * sigmoid(mixed) + 0.5 * map_.ravel().take(spelled.before.astype(np.int64) * MAP + _map_bucket(mixed)), 1e-5, 1 - 1e-5)
-            total += np.log10(np.where(bit, p, 1 - p))
+            p = np.clip(0.5 * sigmoid(mixed) + 0.5 * narrow.take(spelled.before.astype(np.int64) * MAP + _map_bucket(mixed)), 1e-5, 1 - 1e-5)
+            total += np.log10(np.where(bit, p, 1 - p), dtype=np.float32)
         out[cut] = np.add.reduceat(total, spelled.first)
     return out
 
@@ -986,15 +984,14 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
     bits = (int(size) // RANGE).bit_length()
     chunks = written(source.mapInArrow(_chunks, _CHUNK_SQL), "chunks", every_row=True)
     hot = hot_contexts(chunks, bits)
-    # tokens apart from their contexts, so that fewer shuffled bytes lie on disks at once
-    words, statistics = counts_of(chunks, (VOCABULARY,), bits, hot)
-    contexts, more = counts_of(chunks, (ONE, TWO), bits, hot)
-    statistics |= more
-    replies = words.unionByName(contexts)
+    # an order at a time, so that fewer shuffled bytes lie on disks at once
+    found = [counts_of(chunks, orders, bits, hot) for orders in ((VOCABULARY, ONE), (TWO,))]
+    statistics = {o: s for _, by_order in found for o, s in by_order.items()}
+    replies = found[0][0].unionByName(found[1][0])
     rows = chunks.select("chunk", "docs", "ids", "sizes", "words")
     asked = replies.where("chunk >= 0").select(F.col("chunk").alias("home"), "place", "ord", "counts")
     features = written(rows.groupBy("chunk").cogroup(asked.groupBy("home")).applyInArrow(_features(hot, statistics), _FEATURES_SQL), "features", every_row=True)
-    drop_written(chunks, words, contexts)
+    drop_written(chunks, *(table for table, _ in found))
     chain = [refined(np.zeros(JOINT), np.zeros(JOINT))] * CHAIN
     for r in summed_in_two(features.where("part IS NOT NULL"), "part", "counts", _add, "part int, counts binary").collect():
         chain[r["part"]] = refined(*unpack(r["counts"]))
