@@ -6,7 +6,8 @@ form, so copies share one entry. Resolving explodes the references with their po
 digest, and nests them again in order: positions and captions stay aligned, and a reference without a payload stays
 with nulls.
 
-Texts become media as 8-bit greyscale PNG images of 192 samples a row, losslessly.
+Texts become media as 8-bit greyscale images (binary PGM) of 192 samples a row, losslessly; the store's columns are
+compressed by Parquet.
 
 Defined results: null html or text is empty; a null or empty text is stored as one row of padding; equal texts have
 equal media; a store may hold a digest more than once (tasks don't see each other's) and is made distinct when read;
@@ -16,7 +17,6 @@ rows without an id or with equal ids are kept apart; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import struct
 import zlib
 from html.parser import HTMLParser
 
@@ -31,52 +31,28 @@ from quire.llm.common import shuffle_partitions, written
 #: Samples in a row of an image.
 ROW = 192
 PAD = 32
-_MAGIC = b"\x89PNG\r\n\x1a\n"
 _MEDIA = {"img": "src", "audio": "src", "video": "src", "source": "src", "embed": "src"}
 _BLOCK = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "br", "tr", "td", "table", "article", "section", "figure", "figcaption", "blockquote", "pre", "nav", "header", "footer"}
 _SILENT = {"script", "style", "head", "title", "template", "noscript"}
 
 
-def _chunk(kind: bytes, data: bytes) -> bytes:
-    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-
-
 def padded(data: bytes) -> bytes:
     """data and as many bytes 32 as make a positive multiple of ROW."""
     return data + bytes([PAD]) * (max(ROW, -(-len(data) // ROW) * ROW) - len(data))
 
 
-def encode_png(payload: bytes) -> bytes:
-    """8-bit greyscale, ROW samples a row, no row filter."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    lines = np.zeros((len(rows), ROW + 1), dtype=np.uint8)
-    lines[:, 1:] = rows
-    return _MAGIC + _chunk(b"IHDR", struct.pack(">IIBBBBB", ROW, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
-
-
-def decode_png(media: bytes) -> tuple[int, int, bytes]:
-    """(width, height, samples) of an image that encode_png can have made; checksums are checked."""
-    if media[:8] != _MAGIC:
-        raise ValueError("not a PNG")
-    at, data, size = 8, [], None
-    while at < len(media):
-        (n,), kind = struct.unpack(">I", media[at : at + 4]), media[at + 4 : at + 8]
-        body = media[at + 8 : at + 8 + n]
-        if zlib.crc32(kind + body) != struct.unpack(">I", media[at + 8 + n : at + 12 + n])[0]:
-            raise ValueError("a chunk's checksum is wrong")
-        if kind == b"IHDR":
-            width, height, *form = struct.unpack(">IIBBBBB", body)
-            if form != [8, 0, 0, 0, 0]:
-                raise ValueError("not 8-bit greyscale")
-            size = width, height
-        elif kind == b"IDAT":
-            data.append(body)
-        at += 12 + n
-    width, height = size
-    lines = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, width + 1)
-    if lines[:, 0].any():
-        raise ValueError("filtered rows")
-    return width, height, lines[:, 1:].tobytes()
+def encode_image(payload: bytes) -> bytes:
+    """8-bit greyscale samples as binary PGM, ROW in a row."""
+    return b"P5\n%d %d\n255\n" % (ROW, len(payload) // ROW) + payload
+
+
+def decode_image(media: bytes) -> tuple[int, int, bytes]:
+    """(width, height, samples) of a binary PGM of 8-bit samples without comments."""
+    magic, size, top, payload = media.split(b"\n", 3)
+    width, height = map(int, size.split())
+    if magic != b"P5" or top != b"255" or len(payload) != width * height:
+        raise ValueError("not a whole 8-bit PGM")
+    return width, height, payload
 
 
 class _Sequence(HTMLParser):
@@ -185,7 +161,7 @@ def _store(batches):
         out = []
         for k, i in enumerate(ids):
             text = data[offsets[k] : offsets[k + 1]]
-            media = encode_png(padded(text))
+            media = encode_image(padded(text))
             digest = hashlib.sha256(media)
             html = f'<article><h1>Document {i}</h1><figure><img src="media:sha256:{digest.hexdigest()}"><figcaption>{len(text)} bytes</figcaption></figure></article>'
             new = digest.digest() not in seen
@@ -204,7 +180,7 @@ def _features(batches):
             out = []
             for digest, media in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 media = media.as_py()
-                width, height, payload = decode_png(media)
+                width, height, payload = decode_image(media)
                 counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
                 level = int((counts * np.arange(256)).sum())
                 feature = f"gray8 {width}x{height} sum {level} kinds {int((counts > 0).sum())} spaces {int(counts[32])} digits {int(counts[48:58].sum())} high {int(counts[128:].sum())}"

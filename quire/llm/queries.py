@@ -11,6 +11,13 @@ from quire.llm import fingerprint, lm, media, mixing, ngram_join, packing, quali
 from quire.llm.common import id_text_crc, table
 
 
+# CRC-32 in SQL: its table by the rule, and the sum over a list of bytes.
+_CRC_TABLE = """bits AS (SELECT n, 0 AS k, n::BIGINT AS c FROM range(256) t(n) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS crcs FROM bits WHERE k = 8)"""
+_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: ('0x' || h)::BIGINT)"
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295], {0}), lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])))"
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -25,6 +32,27 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+OP2_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, {_CRC.format(_BYTES.format("coalesce(text, '')"))} AS text_crc32,
+    ({_CRC.format(_BYTES.format("coalesce(doc_id::VARCHAR, text, '')"))} % 4096)::INT AS virtual_slot
+  FROM documents, crc
+),
+l AS (SELECT r.v, coalesce(sum(size), 0) AS load FROM range(4096) r(v) LEFT JOIN d ON d.virtual_slot = r.v GROUP BY r.v),
+o AS (SELECT v, load, row_number() OVER (ORDER BY load DESC, v) AS i FROM l),
+m AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS v, NULL::BIGINT AS shard, list_transform(range(24), lambda x: 0::HUGEINT) AS held
+  UNION ALL
+  SELECT o.i, o.v, list_position(held, list_min(held)) - 1, list_transform(held, lambda h, x: CASE WHEN x = list_position(held, list_min(held)) THEN h + load ELSE h END)
+  FROM m JOIN o ON o.i = m.i + 1
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, m.shard::INT AS shard, row_number() OVER (PARTITION BY m.shard ORDER BY virtual_slot, doc_id, text_crc32, size) - 1 AS slot,
+  NULL::INT AS grown_shard, virtual_slot, 1 AS map_version
+FROM d JOIN m ON m.v = d.virtual_slot
+"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a WARC archive of all pages says about each, once read back."""
     captures = warc.archive_pages(table(spark, sf_dir, "pages"))
@@ -52,6 +80,19 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+t AS (SELECT doc_id, coalesce(text, '') AS body, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT *, greatest(192, (n + 191) // 192 * 192) AS m, {_BYTES.format("body")} AS own FROM t),
+w AS (SELECT *, body || repeat(' ', (m - n)::INT) AS payload, list_concat(own, list_transform(range(m - n), lambda x: 32::BIGINT)) AS every FROM p),
+s AS (SELECT *, 'P5' || chr(10) || '192 ' || m // 192 || chr(10) || '255' || chr(10) || payload AS media FROM w)
+SELECT doc_id, n::BIGINT AS n_bytes, m::BIGINT AS payload_bytes, sha256(payload) AS payload_sha256, {_CRC.format("every[-16:]")} AS tail_crc32, strlen(media)::BIGINT AS media_bytes, sha256(media) AS media_sha256,
+  'gray8 192x' || m // 192 || ' sum ' || list_sum(every)::BIGINT || ' kinds ' || len(list_distinct(every)) || ' spaces ' || len(list_filter(every, lambda b: b = 32))
+  || ' digits ' || len(list_filter(every, lambda b: b BETWEEN 48 AND 57)) || ' high ' || len(list_filter(every, lambda b: b >= 128)) AS feature
+FROM s, crc
+"""
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
@@ -120,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_ngram_join": OP5_SQL}
+    return {"op2_sharding": OP2_SQL, "op3_warc": OP3_SQL, "op4_media": OP4_SQL, "op5_ngram_join": OP5_SQL}

@@ -62,8 +62,8 @@ class SlotMap:
 
 
 def virtual_slot(key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> Column:
-    own = F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(key)))
-    return F.pmod(own, F.lit(slots)).cast("int")
+    name = F.coalesce(F.col(key).cast("string"), F.col(text), F.lit(""))
+    return F.pmod(F.crc32(name.cast("binary")), F.lit(slots)).cast("int")
 
 
 def record_size(text: str = "text") -> Column:
@@ -161,7 +161,7 @@ def current_map(spark: SparkSession, path: str, loads: list[int], shards: int, s
         held = SlotMap.load(spark, path)
     except AnalysisException:  # no such folder yet
         assign(loads, shards).save(spark, path)
-        held = SlotMap.load(spark, path)
+        return SlotMap.load(spark, path)
     fresh = rebalance(held, loads, shards, slack)
     if fresh.moved or fresh.shards != held.shards:
         fresh.save(spark, path)
