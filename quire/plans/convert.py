@@ -68,7 +68,7 @@ def convert(spark: SparkSession, root: str, covers: DataFrame | None = None, rig
     Audio is stored as it is. Sources without a file are in the manifest and in missing_audio. covers: book_id and cover
     (JPEG or PNG bytes). rights: said instead of the books' own. modified: the packages' time, else that of the call.
     """
-    tables = daisy.load(spark, root)
+    tables = daisy.tables_of(daisy.scan(spark, root), stored=True)
     return packages(tables, _heard_files(spark, root, heard_files(tables)), sections(tables), covers, rights, modified)
 
 

@@ -83,8 +83,8 @@ clips AS (
 """
 
 
-def _tables(spark, sf_dir) -> dict[str, DataFrame]:
-    return daisy.tables_of(library(spark, sf_dir))
+def _tables(spark, sf_dir, stored: bool = False) -> dict[str, DataFrame]:
+    return daisy.tables_of(library(spark, sf_dir), stored)
 
 
 @query(
@@ -150,7 +150,7 @@ SELECT book_id, CASE WHEN NOT bare THEN 'Café ' || c_name END AS title, clips,
 )
 def book_report(spark, sf_dir):
     """What there is to say about each book: clips, seconds, files as first heard, headings by level, pars, sections."""
-    info = daisy.book_info(_tables(spark, sf_dir))
+    info = daisy.book_info(_tables(spark, sf_dir, stored=True))
     return info.select("book_id", "title", "clips", F.round("seconds", 6).alias("seconds"), "files", "in_order", "headings", "pars", "sections")
 
 
@@ -179,7 +179,7 @@ dc AS (SELECT m.book_id, m.k AS section_idx, m.o, m.error, coalesce(bd.body, '<h
 @query(f"{_DOCUMENTS} SELECT book_id, section_idx::INT AS section_idx, o::VARCHAR AS name, 'Part ' || section_idx AS title, body, smil, round(seconds, 6) AS seconds FROM dc")
 def section_documents(spark, sf_dir):
     """Every section's document name, body and overlay."""
-    return convert.sections(_tables(spark, sf_dir)).select("book_id", "section_idx", "name", "title", "body", "smil", F.round("seconds", 6).alias("seconds"))
+    return convert.sections(_tables(spark, sf_dir, stored=True)).select("book_id", "section_idx", "name", "title", "body", "smil", F.round("seconds", 6).alias("seconds"))
 
 
 def _entries(books: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def _entries(books: DataFrame) -> DataFrame:
 
 def _packages(spark, sf_dir) -> DataFrame:
     """All books packaged; every heard file but bare.mp3 is there, with its name as content."""
-    tables = _tables(spark, sf_dir)
+    tables = _tables(spark, sf_dir, stored=True)
     heard = convert.heard_files(tables).where("src <> 'bare.mp3'")
     sounds = heard.select("book_id", "src", F.encode("src", "UTF-8").alias("content"))
     covers = tables["books"].where("book_id LIKE '%7'").select("book_id", F.lit(b"\x89PNG\r\n\x1a\n cover").alias("cover"))
@@ -289,7 +289,7 @@ ss AS (SELECT book_id, section_idx, string_agg(x, '' ORDER BY pp) AS x, '<?xml v
 @query(f"{_SPOKEN} SELECT dc.book_id, dc.section_idx::INT AS section_idx, body || coalesce(x, '') AS body, coalesce(y, smil) AS smil, round(CASE WHEN y IS NULL THEN seconds ELSE t END, 6) AS seconds FROM dc LEFT JOIN ss USING (book_id, section_idx)")
 def spoken_sections(spark, sf_dir):
     """Sections with their spoken text: by the true text, by merged segments, or as they were."""
-    parts = convert.sections(_tables(spark, sf_dir))
+    parts = convert.sections(_tables(spark, sf_dir, stored=True))
     out = transcribed.with_transcripts(parts, *_spoken(spark, sf_dir))
     return out.select("book_id", "section_idx", "body", "smil", F.round("seconds", 6).alias("seconds"))
 

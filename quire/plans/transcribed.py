@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import text
 from quire.operators import alignment, sequences
+from quire.operators.scratch import written
 from quire.plans import package
 
 KEYS = ["book_id", "section_idx"]
@@ -94,7 +95,8 @@ def with_transcripts(parts: DataFrame, segments: DataFrame, words: DataFrame, tr
     segments: KEYS, seg_ord, start_s, end_s, text, audio_src; words: KEYS, seg_ord, word_ord, start_s, end_s, text;
     truths: KEYS and text.
     """
-    paragraphs = spoken_paragraphs(segments, words, truths, strategy)
+    # read twice below, and its alignment is the costly part
+    paragraphs = written(spoken_paragraphs(segments, words, truths, strategy), "paragraphs")
     overlays = word_overlays(paragraphs, parts.select(*KEYS, "name")).withColumnsRenamed({"smil": "_smil", "seconds": "_seconds"})
     joined = parts.join(paragraph_xhtml(paragraphs), KEYS, "left").join(overlays, KEYS, "left")
     new = F.col("_smil").isNotNull()

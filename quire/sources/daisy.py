@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import text
 from quire.operators import aggregates
+from quire.operators.scratch import written
 
 _TYPED = {"dc:title": "title", "dc:creator": "creator", "dc:publisher": "publisher", "dc:date": "date", "dc:language": "language", "dc:identifier": "identifier", "dc:format": "format", "dc:source": "source", "dc:subject": "subject", "ncc:charset": "charset", "ncc:multimediatype": "multimedia_type", "ncc:narrator": "narrator", "ncc:totaltime": "total_time"}
 _NUMBERS = {"ncc:depth": "depth", "ncc:tocitems": "toc_items", "ncc:pagenormal": "page_normal", "ncc:files": "files", "ncc:kbytesize": "kbyte_size"}
@@ -191,13 +192,17 @@ def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return tables_of(scan(spark, root))
 
 
-def tables_of(files: DataFrame) -> dict[str, DataFrame]:
-    """load() for files that are rows: path, dir, name, content."""
+def tables_of(files: DataFrame, stored: bool = False) -> dict[str, DataFrame]:
+    """load() for files that are rows: path, dir, name, content.
+
+    stored: parses every file once, now, into tables of the shared folder; for plans that read many of the tables.
+    """
     from quire.functions.clock import parse_clock_value
 
     ncc = navigation_files(files)
-    rows = ncc_rows(ncc)
-    parsed = smil_rows(files)
+    rows, parsed = ncc_rows(ncc), smil_rows(files)
+    if stored:
+        rows, parsed = written(rows, "navigation"), written(parsed, "smil")
     refs = parsed.where("kind = 'ref' AND lower(name) = 'master.smil'").select(F.col("dir").alias("book_id"), (F.col("ord") + 1).alias("section_idx"), F.col("id").alias("ref_id"), "title", "src")
     present = files.select(F.col("dir").alias("book_id"), F.col("name").alias("src"), F.lit(True).alias("_there"))
     missing = refs.join(present, ["book_id", "src"], "left").groupBy("book_id").agg(F.min_by("src", F.when(F.col("_there").isNull(), F.col("section_idx"))).alias("_gone"), F.count_if(F.col("_there").isNull()).alias("_n"))
