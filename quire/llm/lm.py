@@ -13,7 +13,7 @@ the model's log10 probability of a text is the sum over its bits and choices:
 
 Each bit of 1 to 4 is mixed from three hashed-context predictors by weights that a gate selects, refined by the counts
 of the joint context, and shifted by a bias that is learned online while the document is read. The bits of a spelling are
-mixed from predictors of orders 1 to 4 and one of the last short word (SHORT bytes at most) with two letters;
+mixed from predictors of orders 2 to 4 and one of the last short word (SHORT bytes at most) with two letters;
 their weights are learned online and an adaptive map refines the mix by the byte before.
 
 What the corpus teaches are exact counts of tokens and of tokens in contexts over all training documents; they grow with
@@ -68,7 +68,7 @@ TOLD = 1 << 16
 BLOCK, BIAS_RATE, BIAS_HOLD = 32, 0.02, 0.98
 
 #: Orders of the spelling's predictors (0: the last short word with two letters) and the bits of their tables' addresses.
-ORDERS, SLOT_BITS = (1, 2, 3, 4, 0), (16, 18, 18, 19, 19)
+ORDERS, SLOT_BITS = (2, 3, 4, 0), (18, 18, 19, 19)
 _ADDRESS = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS])))
 _TABLE = int(_ADDRESS[-1])
 _PART = 1 << 17
@@ -140,27 +140,36 @@ def order_of(values: np.ndarray) -> np.ndarray:
     return np.argsort(values, kind="stable")
 
 
-def pair_order(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """The stable order by context, then by token. First by 26 and 18 of their bits; groups that these don't tell apart
-    are put right."""
+def pair_order(context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the stable order by context, then by token; contexts and tokens in it). First by 26 and 18 of their bits; groups
+    that these don't tell apart are put right."""
     n = len(context)
     if n > 1 << 20:
-        return np.lexsort((token, context))
+        order = np.lexsort((token, context))
+        return order, context[order], token[order]
     fine, wide, place = np.uint64(20), np.uint64(38), np.uint64((1 << 20) - 1)
     key = np.sort((context >> wide << wide) | (token.astype(np.uint64) >> np.uint64(TOKEN_BITS - 18) << fine) | np.arange(n, dtype=np.uint64))
     order = (key & place).astype(np.int64)
     c, t = context[order], token[order]
-    wides, fines = runs(key >> wide), runs(key >> fine)
-    wide_of, fine_of = spread(wides, n), spread(fines, n)
-    bad_wide, bad_fine = np.zeros(len(wides), dtype=bool), np.zeros(len(fines), dtype=bool)
-    bad_wide[wide_of[1:][(wide_of[1:] == wide_of[:-1]) & (c[1:] != c[:-1])]] = True
-    bad_fine[fine_of[1:][(fine_of[1:] == fine_of[:-1]) & (t[1:] != t[:-1])]] = True
-    coarse = bad_wide[wide_of]
-    mixed_up = np.flatnonzero(coarse | bad_fine[fine_of])
-    if len(mixed_up):
-        group = np.where(coarse[mixed_up], wides[wide_of[mixed_up]], fines[fine_of[mixed_up]])
-        order[mixed_up] = order[mixed_up][np.lexsort((order[mixed_up], t[mixed_up], c[mixed_up], group))]
-    return order
+    ranges = []
+    for bits, mixed in ((wide, c[1:] != c[:-1]), (fine, t[1:] != t[:-1])):
+        part = key >> bits
+        bad = np.unique(part[1:][(part[1:] == part[:-1]) & mixed])
+        first, last = np.searchsorted(part, bad), np.searchsorted(part, bad, side="right")
+        if ranges and len(ranges[0][0]):  # within a range that is put right anyway
+            within = ranges[0][1][np.maximum(np.searchsorted(ranges[0][0], first, side="right") - 1, 0)] > first
+            within &= ranges[0][0][0] <= first
+            first, last = first[~within], last[~within]
+        ranges.append((first, last))
+    first, last = (np.concatenate([r[k] for r in ranges]) for k in (0, 1))
+    if len(first):
+        by = np.argsort(first)
+        size = (last - first)[by]
+        group = np.repeat(first[by], size)
+        at = group + np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+        right = at[np.lexsort((order[at], t[at], c[at], group))]
+        order[at], c[at], t[at] = order[right], c[right], t[right]
+    return order, c, t
 
 
 # ---- chunks
@@ -243,8 +252,7 @@ class Entries:
         context, token = chunk.context(order), chunk.other if order == VOCABULARY else chunk.other[chunk.ids]
         if order != VOCABULARY:
             context = hot.salted(order, context, token)
-        self.order = pair_order(context, token)
-        context, token = context[self.order], token[self.order]
+        self.order, context, token = pair_order(context, token)
         self.pair = runs(context, token)
         self.pair_of = spread(self.pair, len(context))
         self.context, self.token = context[self.pair], token[self.pair]
@@ -343,9 +351,9 @@ def _chunks(batches):
             base += len(raw)
         first, spans = np.array(first), np.concatenate(spans, axis=1)
         raw = np.concatenate([r for *_, r in held])
-        by = pair_order(hashes, np.zeros(len(hashes), np.uint32))
-        starts = runs(hashes[by])
-        uniq, where, n = hashes[by[starts]], by[starts], np.diff(np.append(starts, len(by)))
+        by, sorted_, _ = pair_order(hashes, np.zeros(len(hashes), np.uint32))
+        starts = runs(sorted_)
+        uniq, where, n = sorted_[starts], by[starts], np.diff(np.append(starts, len(by)))
         back = np.empty(len(by), dtype=np.int64)
         back[by] = spread(starts, len(by))
         order = np.lexsort((uniq, -n))
@@ -928,13 +936,11 @@ def spelling(raw: np.ndarray, size: np.ndarray, short: np.ndarray, own: np.ndarr
 
 
 def read_online(x: np.ndarray, outcome: np.ndarray, owner: np.ndarray, block: np.ndarray, docs: int) -> np.ndarray:
-    """The log10 probability of a bit's outcomes by document; x: stretched probabilities. A document's bias is learned
-    after every block of its tokens."""
+    """The log10 probability of a bit's outcomes by document; x: stretched probabilities, all in the order of blocks. A
+    document's bias is learned after every block of its tokens."""
     out, bias = np.zeros(docs), np.zeros(docs)
-    by = order_of(block)
-    starts = runs(block[by]) if len(by) else np.zeros(0, np.int64)
-    x, outcome, owner = x[by], outcome[by], owner[by]
-    for a, b in zip(starts.tolist(), np.append(starts[1:], len(by)).tolist() if len(by) else [], strict=True):
+    edges = np.append(runs(block), len(block)).tolist() if len(block) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         who, y = owner[a:b], outcome[a:b]
         p = sigmoid(x[a:b] + bias[who])
         here = runs(who)
@@ -959,9 +965,13 @@ def _scored(train_tokens: int, chain: list[np.ndarray], slots: np.ndarray, w: np
                 owner = np.repeat(np.arange(docs), n_tokens)
                 block = (np.arange(len(owner)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)) // BLOCK
                 score = choice.astype("<u8").view(np.float64).copy()
+                by = order_of(block)
+                told, asked, owner, block = told[by], asked[by], owner[by], block[by]
+                full = np.zeros(len(by))
                 for bit, code in enumerate(codes):
                     at = np.flatnonzero(asked & (1 << bit))
-                    score += read_online(chain[bit][code], told[at] == bit, owner[at], block[at], docs)
+                    full[np.sort(by[at])] = chain[bit][code]  # codes lie in the order of the text
+                    score += read_online(full[by[at]], told[at] == bit, owner[at], block[at], docs)
                 raw, size, short, of = _words(row, held.astype(bool), False)
                 if len(size):
                     score += np.bincount(of, spelling(raw, size, short, held[of] == 0, slots, w, map_), docs)

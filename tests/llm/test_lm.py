@@ -257,11 +257,13 @@ def test_odd_rows(spark):
 
 def test_order_helpers():
     rng = np.random.default_rng(5)
-    for n in (0, 1, 7, 5000):
+    for n in (0, 1, 7, 300, 5000, 5000, 5000):
         context = rng.integers(0, 1 << 30, n).astype(np.uint64) << np.uint64(rng.integers(4, 34))
         context[rng.random(n) < 0.3] = np.uint64(12345) << np.uint64(40)
         token = rng.integers(0, 1 << 31, n).astype(np.uint32) & np.uint32(0xFF0003)
-        assert lm.pair_order(context, token).tolist() == sorted(range(n), key=lambda k: (int(context[k]), int(token[k])))
+        order, c, t = lm.pair_order(context, token)
+        assert order.tolist() == sorted(range(n), key=lambda k: (int(context[k]), int(token[k])))
+        assert (c == context[order]).all() and (t == token[order]).all()
         values = rng.integers(0, 50, n)
         assert lm.order_of(values).tolist() == sorted(range(n), key=lambda k: values[k])
         assert [a.tolist() for a in lm.unpack(lm.pack(context, token))] == [context.tolist(), token.tolist()]
