@@ -598,6 +598,76 @@ def trim_log(spark, sf_dir):
     return alignment.trim_log(script, _words(s, "transcript", "whisper_idx"), _words(s, "truth", "gt_idx"), ["doc_id", "line_ord"])
 
 
+# ---- transfer over scripts that are told by a rule: events are operations, their kinds say which
+
+
+def _script(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Script, transcript and truth of every user."""
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "purchase", "insert").when(F.col("event_id") % 6 == 0, "fuzzy").otherwise("equal")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = e.withColumn("op", op).withColumn("op_ord", F.row_number().over(w) - 1)
+    index = lambda missing: F.when(F.col("op") != missing, F.count_if(F.col("op") != missing).over(upto) - 1).cast("int")
+    script = rows.select("user_id", "op_ord", "op", index("insert").alias("whisper_idx"), index("delete").alias("gt_idx"), F.lit(None).cast("double").alias("score"))
+    word = lambda c: F.concat(F.lit("w"), F.repeat(F.lit("x"), (F.col(c) % 13).cast("int")), F.col(c).cast("string")).alias("text")
+    transcript = script.where("whisper_idx IS NOT NULL").select("user_id", "whisper_idx", word("whisper_idx"), (F.col("whisper_idx") * 0.5).alias("start_s"), (F.col("whisper_idx") * 0.5 + F.when(F.col("whisper_idx") % 9 == 4, 0.75).otherwise(0.375)).alias("end_s"))
+    truth = script.where("gt_idx IS NOT NULL").select("user_id", "gt_idx", F.expr("gt_idx div 20").cast("int").alias("para_idx"), word("gt_idx"))
+    return script, transcript, truth
+
+
+_SCRIPT = """WITH e AS (SELECT user_id, row_number() OVER w - 1 AS op_ord, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'purchase' THEN 'insert' WHEN event_id % 6 = 0 THEN 'fuzzy' ELSE 'equal' END AS op, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+i AS (SELECT *, op IN ('equal', 'fuzzy') AS m, CASE WHEN op <> 'insert' THEN count(*) FILTER (WHERE op <> 'insert') OVER w - 1 END AS wi, CASE WHEN op <> 'delete' THEN count(*) FILTER (WHERE op <> 'delete') OVER w - 1 END AS gi FROM e WINDOW w AS (PARTITION BY user_id ORDER BY op_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, sum(CASE WHEN m THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY op_ord) AS grp FROM i),
+an AS (SELECT user_id, min(op_ord) AS a, max(op_ord) + 1 AS b FROM g WHERE m GROUP BY user_id, grp HAVING count(*) >= 5), bo AS (SELECT user_id, min(a) AS l, max(b) AS t FROM an GROUP BY 1),
+p AS (SELECT g.*, CASE WHEN l < t AND op_ord < l THEN 'leading' WHEN l < t AND op_ord >= t THEN 'trailing' ELSE 'core' END AS region, wi * 0.5::DOUBLE AS ws, wi * 0.5 + CASE WHEN wi % 9 = 4 THEN 0.75 ELSE 0.375 END::DOUBLE AS we, 'w' || repeat('x', (gi % 13)::INT) || gi AS gt, 'w' || repeat('x', (wi % 13)::INT) || wi AS wt FROM g LEFT JOIN bo USING (user_id)),
+c AS (SELECT *, op = 'insert' AS ins, coalesce(min(ws) FILTER (WHERE region = 'core' AND m) OVER k, 0.0) AS core_start, max(we) OVER k AS audio_end, coalesce(max(we) FILTER (WHERE region = 'core' AND m) OVER k, max(we) OVER k, 0.0) AS core_end, coalesce(lag(region) OVER (PARTITION BY user_id ORDER BY op_ord), '') AS before FROM p WINDOW k AS (PARTITION BY user_id)),
+r AS (SELECT *, sum((m OR region <> before)::INT) OVER (PARTITION BY user_id ORDER BY op_ord) AS run, last_value(CASE WHEN m THEN we END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY op_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pr FROM c),
+f AS (SELECT *, min(op_ord) FILTER (WHERE ins) OVER (PARTITION BY user_id, run) AS first_in, coalesce(min(pr) OVER (PARTITION BY user_id, run), 0.0) AS prev, CASE WHEN ins THEN greatest(length(gt), 1) ELSE 0 END::DOUBLE AS wt_, CASE region WHEN 'core' THEN run WHEN 'leading' THEN -1 ELSE -2 END AS reg FROM r),
+q AS (SELECT *, max(we) FILTER (WHERE op = 'delete' AND op_ord > first_in) OVER (PARTITION BY user_id, run) AS pool, sum(wt_) OVER (PARTITION BY user_id, reg) AS al, sum(wt_) OVER (PARTITION BY user_id, reg ORDER BY op_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS su FROM f),
+s AS (SELECT *, CASE region WHEN 'leading' THEN 0.0 WHEN 'trailing' THEN core_end ELSE prev END AS a, CASE region WHEN 'leading' THEN core_start WHEN 'trailing' THEN audio_end ELSE coalesce(pool, prev) END AS b FROM q),
+x AS (SELECT *, greatest(b - a, 0.0) AS span, region <> 'core' AS edge FROM s CROSS JOIN (VALUES ('bracket'), ('drop'), ('nosync')) v(strategy)),
+o AS (SELECT *, edge AND (strategy <> 'bracket' OR span <= 0) AS free FROM x),
+z AS (SELECT *, CASE WHEN m THEN ws WHEN free THEN 0.0 WHEN span > 0 THEN a + (su - wt_) / al * span ELSE a END AS s0, CASE WHEN m THEN we WHEN free THEN 0.0 WHEN span > 0 THEN a + su / al * span ELSE a END AS e0,
+  CASE WHEN op = 'equal' THEN 'exact' WHEN op = 'fuzzy' THEN 'fuzzy' WHEN free THEN 'unsynced' WHEN edge THEN 'bracketed' ELSE 'interpolated' END AS confidence FROM o WHERE gi IS NOT NULL AND NOT (strategy = 'drop' AND edge AND ins)),
+u AS (SELECT *, confidence = 'unsynced' AS un, sum((confidence = 'unsynced')::INT) OVER (PARTITION BY strategy, user_id ORDER BY gi) AS isl FROM z),
+y AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN e0 ELSE greatest(s0, e0) END AS mx FROM u WINDOW w AS (PARTITION BY strategy, user_id, isl, un ORDER BY gi)),
+done AS (SELECT strategy, user_id, gi::INT AS gt_idx, gt AS text, CASE WHEN un THEN s0 ELSE greatest(s0, coalesce(max(mx) OVER (PARTITION BY strategy, user_id, isl, un ORDER BY gi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s0)) END AS start_s,
+  CASE WHEN un THEN e0 ELSE max(mx) OVER (PARTITION BY strategy, user_id, isl, un ORDER BY gi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS end_s, confidence FROM y)
+"""
+
+
+@query(f"{_SCRIPT} SELECT strategy, user_id, gt_idx, text, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, confidence FROM done")
+def script_transfer(spark, sf_dir):
+    """Every true word's time by a script, for each way to treat what the transcript lacks at its edges."""
+    out = None
+    for strategy in ("bracket", "drop", "nosync"):
+        rows = alignment.transfer(*_script(spark, sf_dir), ["user_id"], strategy).withColumn("strategy", F.lit(strategy))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("strategy", "user_id", "gt_idx", "text", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "confidence")
+
+
+@query(
+    f"""{_SCRIPT}, w AS (SELECT *, gt_idx // 20 AS para_idx, confidence <> 'unsynced' AS synced FROM done WHERE strategy = 'nosync')
+SELECT user_id, para_idx::INT AS para_idx, round(coalesce(arg_min(start_s, gt_idx) FILTER (WHERE synced), 0.0), 6) AS start_s, round(coalesce(arg_max(end_s, gt_idx) FILTER (WHERE synced), 0.0), 6) AS end_s, string_agg(text, ' ' ORDER BY gt_idx) AS text, count(*) AS words FROM w GROUP BY user_id, para_idx"""
+)
+def script_paragraphs(spark, sf_dir):
+    """Aligned words back in paragraphs of twenty, from the first to the last word that is in sync."""
+    script, transcript, truth = _script(spark, sf_dir)
+    aligned = alignment.transfer(script, transcript, truth, ["user_id"], "nosync")
+    rows = alignment.regroup_paragraphs(aligned, truth, ["user_id"])
+    return rows.select("user_id", "para_idx", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "text", F.size("words").cast("long").alias("words"))
+
+
+@query(
+    f"""{_SCRIPT}, d AS (SELECT user_id, region || CASE WHEN op = 'delete' THEN '_whisper' ELSE '_ground_truth' END AS kind, list(CASE WHEN op = 'delete' THEN wt ELSE gt END ORDER BY op_ord) AS ws FROM p WHERE region <> 'core' AND op IN ('delete', 'insert') GROUP BY 1, 2)
+SELECT user_id, kind, len(ws) AS word_count, list_reduce(ws[1:15], lambda a, w: CASE WHEN strlen(a) > 80 THEN a ELSE a || ' ' || w END) || CASE WHEN len(ws) > 15 THEN ' …' ELSE '' END AS preview FROM d"""
+)
+def script_trim_log(spark, sf_dir):
+    """The words at the edges that one side lacks, with a preview."""
+    return alignment.trim_log(*_script(spark, sf_dir), ["user_id"])
+
+
 # ---- rendering
 
 
