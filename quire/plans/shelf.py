@@ -65,6 +65,8 @@ def library(spark, sf_dir) -> DataFrame:
     body = own.where("o % 97 <> 0").join(_joined(lines, "o", "j", par), "o", "left")
     smil = body.select("c", F.concat(_s(o), F.lit(".smil")).alias("name"), F.encode(F.concat(F.lit('<smil><head><meta name="ncc:totalElapsedTime" content="'), _s(k), F.lit('"/></head><body><seq id="q'), _s(o), F.lit('" dur="'), _s(F.coalesce("n", F.lit(0))), F.lit('s">'), F.coalesce("inner", F.lit("")), F.lit('<audio src="bare.mp3" clip-begin="0:00:01" clip-end="0:00:02"/></seq></body></smil>')), "UTF-8").alias("content"))
     files = ncc.unionByName(other).unionByName(master).unionByName(smil).withColumn("dir", F.concat(F.lit("lib/"), _s(c)))
+    # parsing is what costs here, not bytes, so the files are spread over as many tasks as there may be
+    files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dir", "name")
     return files.select(F.concat("dir", F.lit("/"), "name").alias("path"), "dir", "name", "content")
 
 

@@ -10,6 +10,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -275,19 +276,31 @@ def write_smil(nodes: list[dict], metas: list[tuple[str, str]] = ()) -> str:
 
 
 def written_smil(rows: DataFrame) -> DataFrame:
-    """dir, name and content of every SMIL file whose rows (smil_rows) are given: master files by their refs."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        plain = lambda v: None if pd.isna(v) else v
-        metas = [(r.id, r.title) for r in frame[frame["kind"] == "meta"].itertuples()]
-        refs = [(r.id, r.title, r.src) for r in frame[frame["kind"] == "ref"].itertuples()]
-        nodes = frame[~frame["kind"].isin(["meta", "ref"])]
-        folder, name = frame["dir"].iloc[0], frame["name"].iloc[0]
-        if name.lower() == "master.smil":
-            content = write_master(refs, metas)
-        else:
-            content = write_smil([{"node_id": int(r.ord), "parent_id": None if pd.isna(r.parent_id) else int(r.parent_id), "kind": r.kind} | {k: plain(getattr(r, k)) for k in ("id", "src", "dur", "endsync", "clip_begin", "clip_end")} for r in nodes.itertuples()], metas)
-        return pd.DataFrame([(folder, name, content)], columns=["dir", "name", "content"])
+    """dir, name and content of every SMIL file whose rows (smil_rows) are given: master files by their refs.
+
+    Rows stream through sorted by file, so a task holds one file's.
+    """
 
-    return rows.groupBy("dir", "name").applyInPandas(run, "dir string, name string, content string")
+    def content(name: str, own: list[dict]) -> str:
+        metas = [(r["id"], r["title"]) for r in own if r["kind"] == "meta"]
+        if name.lower() == "master.smil":
+            return write_master([(r["id"], r["title"], r["src"]) for r in own if r["kind"] == "ref"], metas)
+        return write_smil([r | {"node_id": r["ord"]} for r in own if r["kind"] not in ("meta", "ref")], metas)
+
+    def run(batches):
+        held: list[dict] = []
+        key, out = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if key != (r["dir"], r["name"]):
+                    if held:
+                        out.append((*key, content(key[1], held)))
+                    key, held = (r["dir"], r["name"]), []
+                held.append(r)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(3)], ["dir", "name", "content"])
+                out = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (*key, content(key[1], held))], ["dir", "name", "content"])
+
+    return rows.repartition("dir", "name").sortWithinPartitions("dir", "name", "ord").mapInArrow(run, "dir string, name string, content string")
