@@ -15,6 +15,10 @@ from quire.plans import package
 from quire.sources import daisy
 
 
+#: Before identifiers that are no URN.
+PREFIX = "urn:daisy:"
+
+
 def section_overlays(tables: dict[str, DataFrame]) -> DataFrame:
     """book_id, section_idx, k, anchor, src, clip_begin, clip_end: the k-th par of a section takes its k-th anchor.
 
@@ -62,14 +66,15 @@ def _heard_files(spark: SparkSession, root: str, heard: DataFrame) -> DataFrame:
     return heard.select("book_id", "src", F.concat_ws("/", "book_id", "src").alias("path")).join(files, "path").select("book_id", "src", "content")
 
 
-def convert(spark: SparkSession, root: str, covers: DataFrame | None = None, rights: str | None = None, modified: str | None = None) -> DataFrame:
+def convert(spark: SparkSession, root: str, covers: DataFrame | None = None, rights: str | None = None, modified: str | None = None, prefix: str = PREFIX) -> DataFrame:
     """input, status, error, n_sections, seconds, epub (the package's bytes) and missing_audio of every book under root.
 
     Audio is stored as it is. Sources without a file are in the manifest and in missing_audio. covers: book_id and cover
     (JPEG or PNG bytes). rights: said instead of the books' own. modified: the packages' time, else that of the call.
+    prefix: put before identifiers that are no URN.
     """
     tables = daisy.tables_of(daisy.scan(spark, root), stored=True)
-    return packages(tables, _heard_files(spark, root, heard_files(tables)), sections(tables), covers, rights, modified)
+    return packages(tables, _heard_files(spark, root, heard_files(tables)), sections(tables), covers, rights, modified, prefix)
 
 
 def heard_files(tables: dict[str, DataFrame]) -> DataFrame:
@@ -77,7 +82,7 @@ def heard_files(tables: dict[str, DataFrame]) -> DataFrame:
     return aggregates.first_seen(tables["clips"].withColumn("place", F.col("section_idx").cast("long") * 1_000_000_000 + F.col("clip_ord")), ["book_id"], "src", "place")
 
 
-def packages(tables: dict[str, DataFrame], files: DataFrame, parts: DataFrame, covers: DataFrame | None = None, rights: str | None = None, modified: str | None = None) -> DataFrame:
+def packages(tables: dict[str, DataFrame], files: DataFrame, parts: DataFrame, covers: DataFrame | None = None, rights: str | None = None, modified: str | None = None, prefix: str = PREFIX) -> DataFrame:
     """convert() of books that are tables; files: book_id, src and content of their audio; parts: as of sections().
 
     Documents are named like their SMIL files, so that navigation and overlays point at what is there; navigation items
@@ -85,7 +90,7 @@ def packages(tables: dict[str, DataFrame], files: DataFrame, parts: DataFrame, c
     """
     spark = files.sparkSession
     modified = modified or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    daisy_urn = F.concat(F.lit("urn:dpub:daisy:"), "identifier")
+    daisy_urn = F.concat(F.lit(prefix), "identifier")
     own_rights = F.lit(rights) if rights is not None else F.get(F.map_values(F.map_filter("other", lambda k, _: F.lower(k) == "dc:rights")), F.lit(0))
     book = tables["books"].select("book_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), F.coalesce(F.nullif("language", F.lit("")), F.lit("en")).alias("lang"), F.coalesce(F.when(F.col("identifier").startswith("urn:"), F.col("identifier")).otherwise(daisy_urn), F.concat(F.lit("urn:book:"), F.sha1(F.col("book_id").cast("binary")))).alias("identifier"), "creator", "publisher", "date", daisy_urn.alias("source"), own_rights.alias("rights"), "narrator", F.col("multimedia_type").alias("multimedia"), "error")
     own = parts.join(book.select("book_id", "lang"), "book_id").withColumn("xhtml", package.content_xhtml("title", "body", "lang"))

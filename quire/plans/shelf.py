@@ -240,7 +240,7 @@ it AS (SELECT book_id, string_agg('<item id="s-' || {_PAD.format('section_idx')}
   coalesce(string_agg('<meta property="media:duration" refines="#mo-' || {_PAD.format('section_idx')} || '">' || printf('%.3f', seconds) || 's</meta>', '' ORDER BY section_idx) FILTER (WHERE smil IS NOT NULL), '') AS lengths,
   string_agg('<itemref idref="s-' || {_PAD.format('section_idx')} || '"/>', '' ORDER BY section_idx) AS spine FROM dc GROUP BY 1),
 so AS (SELECT book_id, string_agg('<item id="audio-' || {_PAD.format('r')} || '" href="audio/' || src || '" media-type="audio/mpeg"/>', '' ORDER BY r) AS sounds FROM au GROUP BY 1)
-SELECT f.book_id, md5('<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="pub-id" prefix="schema: http://schema.org/"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="pub-id">urn:dpub:daisy:c-' || c || '</dc:identifier><dc:title>Café ' || c_name || '</dc:title><dc:language>en</dc:language><meta property="dcterms:modified">2024-01-02T03:04:05Z</meta><dc:source>urn:dpub:daisy:c-' || c || '</dc:source>' || lengths
+SELECT f.book_id, md5('<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="pub-id" prefix="schema: http://schema.org/"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="pub-id">urn:daisy:c-' || c || '</dc:identifier><dc:title>Café ' || c_name || '</dc:title><dc:language>en</dc:language><meta property="dcterms:modified">2024-01-02T03:04:05Z</meta><dc:source>urn:daisy:c-' || c || '</dc:source>' || lengths
   || '<meta property="media:duration">' || printf('%.3f', total) || 's</meta>{_FIXED["access"]}<meta property="schema:accessMode">auditory</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>' || CASE WHEN c % 10 = 7 THEN '<item id="cover-image" href="images/cover.png" media-type="image/png" properties="cover-image"/>' ELSE '' END || items || sounds || '</manifest><spine>' || spine || '</spine></package>') AS opf_md5
 FROM fine f JOIN it USING (book_id) JOIN so USING (book_id) JOIN du USING (book_id)"""
 )
