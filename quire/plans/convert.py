@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import UTC, datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quire.functions import clock, text
 from quire.operators import aggregates, joins
+from quire.operators.scratch import written
 from quire.plans import package
-from quire.sources import daisy
+from quire.sources import books, daisy
 
 
 #: Before identifiers that are no URN.
@@ -32,32 +31,13 @@ def section_overlays(tables: dict[str, DataFrame]) -> DataFrame:
     return zipped.join(audio, ["book_id", "section_idx", "par_ord"]).select("book_id", "section_idx", "k", F.coalesce("anchor", F.lit("")).alias("anchor"), "src", "clip_begin", "clip_end")
 
 
-def _document_names(refs: DataFrame) -> DataFrame:
-    """section_refs with name: that of the section's SMIL file, numbered where an earlier section has the same."""
-    stem = F.regexp_replace("src", "(?i)\\.smil$", "")
-    again = F.row_number().over(Window.partitionBy("book_id", F.lower(stem)).orderBy("section_idx"))
-    return refs.withColumn("name", F.when(again == 1, stem).otherwise(F.concat(stem, F.lit("-"), F.col("section_idx").cast("string"))))
-
-
-def sections(tables: dict[str, DataFrame]) -> DataFrame:
-    """book_id, section_idx, name, title, body, smil, seconds of every section."""
-    refs = _document_names(tables["section_refs"])
-    nav = tables["nav_items"].withColumn("src", F.substring_index("href", "#", 1))
-    level = F.coalesce(F.col("level"), F.lit(0)).cast("string")
-    ident = F.concat(F.lit(' id="'), text.escape_attr(F.regexp_extract("href", "#(.*)$", 1)), F.lit('">'))
-    markup = F.when(F.col("kind") == "heading", F.concat(F.lit("<h"), level, ident, text.escape_text(text.heading_label(F.col("text"), F.col("item_id"))), F.lit("</h"), level, F.lit(">"))).otherwise(F.concat(F.lit("<span"), ident, text.escape_text(F.col("text")), F.lit("</span>")))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("ord", "x"))), lambda v: v["x"])
-    bodies = nav.withColumn("x", markup).groupBy("book_id", "src").agg(F.array_join(listed, "").alias("body"))
-    body = F.coalesce("body", F.concat(F.lit("<h1>"), text.escape_text(F.col("title")), F.lit("</h1>")))
-    pars = section_overlays(tables).join(refs.select("book_id", "section_idx", "name"), ["book_id", "section_idx"])
-    pars = pars.withColumns({"para_ord": F.lit(0), "word_ord": F.col("k"), "_key": F.concat_ws("\x00", "book_id", F.col("section_idx").cast("string"))})
-    document = F.concat(F.lit("content/"), text.escape_attr(F.col("name")), F.lit(".xhtml"))
-    pars = pars.withColumns({"par_id": package.numbered("p", F.col("section_idx"), F.col("k")), "text_src": text.overlay_text_source(document, text.escape_attr(F.col("anchor"))), "audio_src": F.concat(F.lit("audio/"), "src"), "_b": clock.format_smil_clock(F.col("clip_begin")), "_e": clock.format_smil_clock(F.col("clip_end"))})
-    smil = package.overlay_smil(pars.drop("clip_begin", "clip_end").withColumnsRenamed({"_b": "clip_begin", "_e": "clip_end"}), "_key")
-    keys = pars.groupBy("_key", "book_id", "section_idx").agg(F.sum(aggregates.clip_seconds(F.col("clip_begin"), F.col("clip_end"))).alias("seconds"))
-    overlays = keys.join(smil, "_key").drop("_key")
-    rows = refs.join(bodies, ["book_id", "src"], "left").join(overlays, ["book_id", "section_idx"], "left")
-    return rows.select("book_id", "section_idx", "name", "title", body.alias("body"), "smil", F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
+def _sections_of(book: books.Book) -> list[tuple]:
+    return [(book.folder, *s.values()) for s in book.sections()]
+
+
+def sections(files: DataFrame) -> DataFrame:
+    """book_id, section_idx, name, title, body, smil, seconds of every section of the books whose files are given."""
+    return books.each_book(files, _sections_of, "book_id string, section_idx int, name string, title string, body string, smil string, seconds double")
 
 
 def _heard_files(spark: SparkSession, root: str, heard: DataFrame) -> DataFrame:
@@ -71,67 +51,59 @@ def convert(spark: SparkSession, root: str, covers: DataFrame | None = None, rig
 
     Audio is stored as it is. Sources without a file are in the manifest and in missing_audio. covers: book_id and cover
     (JPEG or PNG bytes). rights: said instead of the books' own. modified: the packages' time, else that of the call.
-    prefix: put before identifiers that are no URN.
+    prefix: put before identifiers that are no URN. Files are parsed twice: what is heard must be known before its audio
+    is read, and a second reading costs less than to keep what was read.
     """
-    tables = daisy.tables_of(daisy.scan(spark, root), stored=True)
-    return packages(tables, _heard_files(spark, root, heard_files(tables)), sections(tables), covers, rights, modified, prefix)
+    files = daisy.scan(spark, root)
+    return packages(files, _heard_files(spark, root, heard_files(files)), covers, rights, modified, prefix)
+
 
+def heard_files(files: DataFrame) -> DataFrame:
+    """book_id and src of every source that is heard."""
+    return books.each_book(files, lambda book: [(book.folder, src) for src in book.heard()], "book_id string, src string")
 
-def heard_files(tables: dict[str, DataFrame]) -> DataFrame:
-    """book_id, src and the place where each source is first heard."""
-    return aggregates.first_seen(tables["clips"].withColumn("place", F.col("section_idx").cast("long") * 1_000_000_000 + F.col("clip_ord")), ["book_id"], "src", "place")
 
+_MEDIA = {"mp3": "audio/mpeg", "m4a": "audio/mp4", "mp4": "audio/mp4", "opus": "audio/ogg", "ogg": "audio/ogg"}
 
-def packages(tables: dict[str, DataFrame], files: DataFrame, parts: DataFrame, covers: DataFrame | None = None, rights: str | None = None, modified: str | None = None, prefix: str = PREFIX) -> DataFrame:
-    """convert() of books that are tables; files: book_id, src and content of their audio; parts: as of sections().
+
+def packages(files: DataFrame, audio: DataFrame, covers: DataFrame | None = None, rights: str | None = None, modified: str | None = None, prefix: str = PREFIX, kept: bool = True) -> DataFrame:
+    """convert() of books whose files are rows; audio: book_id, src and content, of which those that are heard are stored.
 
     Documents are named like their SMIL files, so that navigation and overlays point at what is there; navigation items
-    of files that are no section are left out.
+    of files that are no section are left out. kept: whether the packages that were made are returned.
     """
-    spark = files.sparkSession
     modified = modified or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    daisy_urn = F.concat(F.lit(prefix), "identifier")
-    own_rights = F.lit(rights) if rights is not None else F.get(F.map_values(F.map_filter("other", lambda k, _: F.lower(k) == "dc:rights")), F.lit(0))
-    book = tables["books"].select("book_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), F.coalesce(F.nullif("language", F.lit("")), F.lit("en")).alias("lang"), F.coalesce(F.when(F.col("identifier").startswith("urn:"), F.col("identifier")).otherwise(daisy_urn), F.concat(F.lit("urn:book:"), F.sha1(F.col("book_id").cast("binary")))).alias("identifier"), "creator", "publisher", "date", daisy_urn.alias("source"), own_rights.alias("rights"), "narrator", F.col("multimedia_type").alias("multimedia"), "error")
-    own = parts.join(book.select("book_id", "lang"), "book_id").withColumn("xhtml", package.content_xhtml("title", "body", "lang"))
-    packed = own.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("section_idx", "name", "xhtml", "smil", "seconds"))).alias("sections"))
-    known = tables["section_refs"].select("book_id", F.col("src").alias("_src")).distinct()
-    nav = tables["nav_items"].withColumn("_src", F.substring_index("href", "#", 1)).join(known, ["book_id", "_src"], "left_semi")
-    headings = nav.where("kind = 'heading'").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("ord", "level", text.escape_text(text.heading_label(F.col("text"), F.col("item_id"))).alias("label"), text.escape_attr(text.rewrite_href(F.col("href"))).alias("href")))).alias("headings"))
-    pages = nav.where("kind = 'page'").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("ord", text.escape_text(F.col("text")).alias("label"), text.escape_attr(text.rewrite_href(F.col("href"))).alias("href")))).alias("pages"))
-    audio = heard_files(tables).groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("first_seen", "src", F.concat(F.lit("audio/"), "src").alias("href"), text.media_type(F.col("src")).alias("media_type")))).alias("audio"))
-    total = tables["clips"].groupBy("book_id").agg(F.sum(aggregates.clip_seconds(F.col("clip_begin"), F.col("clip_end"))).alias("total"))
-    covers = spark.createDataFrame([], "book_id string, cover binary") if covers is None else covers.select("book_id", "cover")
-    rows = book
-    for part in (packed, headings, pages, audio, total, covers):
-        rows = rows.join(part, "book_id", "left")
-    wrong = package.violations(F.col("identifier"), F.col("title"), F.col("lang"), F.size("sections"))
-    rows = rows.withColumn("error", F.coalesce("error", F.nullif(F.array_join(wrong, "; "), F.lit(""))))
-
-    def run(books, files):
-        out = []
-        stored = dict(zip(files["src"], files["content"], strict=True))
-        for r in books.itertuples(index=False):
-            listed = lambda x: [] if x is None else [dict(v.asDict() if hasattr(v, "asDict") else v) for v in x]
-            plain = lambda v: None if v is None or v != v else v
-            data, error = None, r.error
-            parts = listed(r.sections)
-            sounds = [a | {"content": stored.get(a["src"])} for a in listed(r.audio)]
+
+    def one(book: books.Book) -> list[tuple]:
+        if book.root is None:
+            return []
+        data, error, parts, missing, seconds = None, None, [], [], 0.0
+        try:  # a book's failure is its row's error
+            meta, error, parts = book.meta, book.error, book.sections()
+            seconds = float(sum(p["seconds"] for p in parts))
+            heard = book.heard()
+            missing = [src for src in heard if book.audio.get(src) is None]
+            named = meta.get("dc:identifier")
+            urn = None if named is None else prefix + named
+            identifier = named if named is not None and named.startswith("urn:") else urn if urn is not None else "urn:book:" + hashlib.sha1(book.folder.encode()).hexdigest()
+            title, lang = meta.get("dc:title") or "Untitled", meta.get("dc:language") or "en"
+            error = error or "; ".join(package.faults(identifier, title, lang, len(parts))) or None
             if not error:
-                try:
-                    about = {"identifier": r.identifier, "title": r.title, "language": r.lang, "modified": modified, "seconds": plain(r.total), "access_modes": ("auditory", "textual") if r.multimedia == "audioFullText" else ("auditory",)}
-                    about |= {n: plain(getattr(r, n)) for n in ("creator", "publisher", "date", "source", "rights", "narrator")}
-                    data = package.epub(about, parts, [(h["level"], h["label"], h["href"]) for h in listed(r.headings)], [(p["label"], p["href"]) for p in listed(r.pages)], sounds, plain(r.cover))
-                except Exception as e:  # a book's failure is its row's error
-                    error = f"{type(e).__name__}: {e}"
-            out.append((r.book_id, "error" if error else "ok", error, len(parts), float(sum(p["seconds"] for p in parts)), data, [a["src"] for a in sounds if a["content"] is None]))
-        return pd.DataFrame(out, columns=["input", "status", "error", "n_sections", "seconds", "epub", "missing_audio"])
+                about = {"identifier": identifier, "title": title, "language": lang, "modified": modified, "seconds": book.seconds(), "access_modes": ("auditory", "textual") if meta.get("ncc:multimediatype") == "audioFullText" else ("auditory",)}
+                about |= {"creator": meta.get("dc:creator"), "publisher": meta.get("dc:publisher"), "date": meta.get("dc:date"), "source": urn, "rights": rights if rights is not None else book.rights, "narrator": meta.get("ncc:narrator")}
+                own = [p | {"xhtml": package.content(p["title"], p["body"], lang)} for p in parts]
+                sounds = [{"href": f"audio/{src}", "media_type": _MEDIA.get(src.rpartition(".")[2].lower() if "." in src else "", "application/octet-stream"), "content": book.audio.get(src)} for src in heard]
+                data = package.epub(about, own, book.headings(), book.pages(), sounds, book.cover)
+        except Exception as e:
+            data, error = None, f"{type(e).__name__}: {e}"
+        return [(book.folder, "error" if error else "ok", error, len(parts), seconds, data if kept else None, missing)]
 
-    return rows.groupBy("book_id").cogroup(files.groupBy("book_id")).applyInPandas(run, "input string, status string, error string, n_sections int, seconds double, epub binary, missing_audio array<string>")
+    return books.each_book(files, one, "input string, status string, error string, n_sections int, seconds double, epub binary, missing_audio array<string>", audio, covers)
 
 
 def summary_lines(entries: DataFrame) -> DataFrame:
     """input and json: a row an entry, and one of the totals (without input), so that no row grows with the batch."""
+    entries = written(entries.select("input", "status", "error"), "entries")  # read twice, and packages are made for it
     ok = F.col("status") == "ok"
     totals = entries.agg(F.count("*").alias("total"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"))
     lines = entries.select("input", F.to_json(F.struct("input", "status", "error")).alias("json"))

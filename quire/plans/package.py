@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,12 @@ def violations(identifier: Column, title: Column, lang: Column, sections: Column
     return F.array_compact(F.array(blank(identifier, "identifier"), blank(title, "title"), blank(lang, "language"), F.when(F.coalesce(sections, F.lit(0)) < 1, "no sections")))
 
 
+def faults(identifier: str, title: str, lang: str, sections: int) -> list[str]:
+    """violations() for kernels."""
+    found = [f"{name} is empty" for name, value in (("identifier", identifier), ("title", title), ("language", lang)) if not value.strip(" ")]
+    return found + ["no sections"] * (sections < 1)
+
+
 def render_paragraphs(paragraphs: DataFrame, section: str) -> DataFrame:
     """section, para_ord, id and xhtml of a paragraph each; the text of a section is their join in order."""
     ident = numbered("tx", F.col(section), F.col("para_ord") + 1)
@@ -62,6 +70,12 @@ def content_xhtml(title: str, body: str, lang: str) -> Column:
     return F.concat(F.lit(_XML + '<html xmlns="http://www.w3.org/1999/xhtml" lang="'), F.col(lang), F.lit('"><head><title>'), text.escape_text(F.col(title)), F.lit("</title></head><body>"), F.rtrim(F.col(body)), F.lit("</body></html>"))
 
 
+def content(title: str, body: str, lang: str) -> str:
+    """content_xhtml() for kernels."""
+    esc = title.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    return f'{_XML}<html xmlns="http://www.w3.org/1999/xhtml" lang="{lang}"><head><title>{esc}</title></head><body>{body.rstrip(" ")}</body></html>'
+
+
 ACCESS = '<meta property="schema:accessibilityFeature">tableOfContents</meta><meta property="schema:accessibilityFeature">synchronizedAudioText</meta><meta property="schema:accessibilityHazard">none</meta><meta property="schema:accessibilitySummary">This audiobook is structured for accessible reading with synchronised audio and navigable headings.</meta>'
 
 
@@ -122,23 +136,46 @@ def nav_xhtml(headings: list[tuple[int, str, str]], pages: list[tuple[str, str]]
 
 def epub(book: dict, sections: list[dict], headings, pages, audio: list[dict], cover: bytes | None = None) -> bytes:
     """One package: the mimetype first and stored, documents deflated, audio and cover stored."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip", zipfile.ZIP_STORED)
-        z.writestr("META-INF/container.xml", CONTAINER)
-        z.writestr("OEBPS/package.opf", opf(book, sections, audio, cover))
-        z.writestr("OEBPS/nav.xhtml", nav_xhtml(headings, pages))
-        for k, s in enumerate(sections, 1):
-            z.writestr(f"OEBPS/content/{document_name(s, k)}.xhtml", s["xhtml"])
-        for k, s in enumerate(sections, 1):
-            if s.get("smil"):
-                z.writestr(f"OEBPS/overlays/{document_name(s, k)}.smil", s["smil"])
-        for a in audio:
-            if a.get("content") is not None:
-                z.writestr(zipfile.ZipInfo(f"OEBPS/{a['href']}"), a["content"], zipfile.ZIP_STORED)
-        if cover:
-            z.writestr(zipfile.ZipInfo(f"OEBPS/{cover_kind(cover)[1]}"), cover, zipfile.ZIP_STORED)
-    return out.getvalue()
+    entries = [("mimetype", b"application/epub+zip", True), ("META-INF/container.xml", CONTAINER, False), ("OEBPS/package.opf", opf(book, sections, audio, cover), False), ("OEBPS/nav.xhtml", nav_xhtml(headings, pages), False)]
+    entries += [(f"OEBPS/content/{document_name(s, k)}.xhtml", s["xhtml"], False) for k, s in enumerate(sections, 1)]
+    entries += [(f"OEBPS/overlays/{document_name(s, k)}.smil", s["smil"], False) for k, s in enumerate(sections, 1) if s.get("smil")]
+    entries += [(f"OEBPS/{a['href']}", a["content"], True) for a in audio if a.get("content") is not None]
+    if cover:
+        entries.append((f"OEBPS/{cover_kind(cover)[1]}", cover, True))
+    return archive([(name, data.encode() if isinstance(data, str) else data, stored) for name, data, stored in entries])
+
+
+#: Bytes and entries from which zipfile writes an archive, which then may need larger fields.
+LARGE, MANY = 1 << 30, 50_000
+
+
+def archive(entries: list[tuple[str, bytes, bool]]) -> bytes:
+    """A ZIP archive of (name, content, whether stored) in order; others are deflated. Books have many small documents,
+    for which zipfile and deflate's large windows cost more than the work itself."""
+    if len(entries) > MANY or sum(len(data) for _, data, _ in entries) > LARGE:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data, stored in entries:
+                z.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED)
+        return out.getvalue()
+    parts: list[bytes] = []
+    listed: list[bytes] = []
+    at = 0
+    for name, data, stored in entries:
+        body = data
+        if not stored:
+            small = len(data) <= 4096
+            packer = zlib.compressobj(6, zlib.DEFLATED, -12 if small else -15, 5 if small else 8)
+            body = packer.compress(data) + packer.flush()
+        label = name.encode()
+        # version, flags (names in UTF-8), method, 1980-01-01, digest, sizes, length of the name, no extra fields
+        fields = struct.pack("<HHHHHIIIHH", 20, 0 if name.isascii() else 0x800, 0 if stored else 8, 0, 33, zlib.crc32(data), len(body), len(data), len(label), 0)
+        parts += (b"PK\3\4", fields, label, body)
+        listed += (b"PK\1\2\x14\3", fields, struct.pack("<HHHII", 0, 0, 0, 0o600 << 16, at), label)
+        at += 30 + len(label) + len(body)
+    catalogue = b"".join(listed)
+    end = struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, len(entries), len(entries), len(catalogue), at, 0)
+    return b"".join((*parts, catalogue, end))
 
 
 def report_json(summary: DataFrame, issues: DataFrame, key: str) -> DataFrame:
