@@ -146,7 +146,7 @@ def _timed(op: np.ndarray, heard: np.ndarray, true: np.ndarray, owner: np.ndarra
     return true, np.where(free, out_start, np.fmax(out_start, earlier)), np.where(free, out_end, most), confidence
 
 
-def _words(heard: pa.Array, true: pa.Array, sizes: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray, strategy: str) -> tuple[np.ndarray, ...]:
+def words_of_sections(heard: pa.Array, true: pa.Array, sizes: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray, strategy: str) -> tuple[np.ndarray, ...]:
     """(section, true word's index among all, start, end, confidence) of all true words of so many sections."""
     coded = pa.concat_arrays([heard, true]).dictionary_encode()
     known: dict[str, int] = {}
@@ -197,7 +197,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], at: int, strategy: str) -> Itera
             sizes = tuple(pc.fill_null(pc.list_value_length(rows.column(k)), 0).to_numpy().astype(np.int64) for k in (at, at + 3))
             heard, true = rows.column(at).flatten(), rows.column(at + 3).flatten()
             start, end = (rows.column(k).flatten().to_numpy(zero_copy_only=False).astype(float) for k in (at + 1, at + 2))
-            section, word, begin, till, confidence = _words(heard, true, sizes, start, end, strategy)
+            section, word, begin, till, confidence = words_of_sections(heard, true, sizes, start, end, strategy)
             if len(word):
                 yield rows, true, section, word, np.cumsum(sizes[1]) - sizes[1], begin, till, confidence
 

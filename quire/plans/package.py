@@ -14,6 +14,7 @@ from quire.functions import clock, text
 from quire.operators.tree import nested_list
 
 _XML = '<?xml version="1.0" encoding="utf-8"?>\n'
+SMIL_HEAD, SMIL_END = _XML + '<smil xmlns="http://www.w3.org/ns/SMIL" version="3.0"><body>', "</body></smil>"
 CONTAINER = _XML + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
 
 
@@ -61,8 +62,7 @@ def overlay_smil(pars: DataFrame, section: str) -> DataFrame:
     ordered = lambda order, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]), "")
     inner = pars.withColumn("_x", par).groupBy(section, "para_ord").agg(ordered("word_ord", "_x").alias("_p"))
     inner = inner.withColumn("_p", F.concat(F.lit("<seq>"), "_p", F.lit("</seq>")))
-    head = _XML + '<smil xmlns="http://www.w3.org/ns/SMIL" version="3.0"><body>'
-    return inner.groupBy(section).agg(F.concat(F.lit(head), ordered("para_ord", "_p"), F.lit("</body></smil>")).alias("smil"))
+    return inner.groupBy(section).agg(F.concat(F.lit(SMIL_HEAD), ordered("para_ord", "_p"), F.lit(SMIL_END)).alias("smil"))
 
 
 def content_xhtml(title: str, body: str, lang: str) -> Column:
