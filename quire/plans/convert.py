@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,14 +64,16 @@ def heard_files(files: DataFrame) -> DataFrame:
     return books.each_book(files, lambda book: [(book.folder, src) for src in book.heard()], "book_id string, src string")
 
 
+PACKAGES = "input string, status string, error string, n_sections int, seconds double, epub binary, missing_audio array<string>"
 _MEDIA = {"mp3": "audio/mpeg", "m4a": "audio/mp4", "mp4": "audio/mp4", "opus": "audio/ogg", "ogg": "audio/ogg"}
 
 
-def packages(files: DataFrame, audio: DataFrame, covers: DataFrame | None = None, rights: str | None = None, modified: str | None = None, prefix: str = PREFIX, kept: bool = True) -> DataFrame:
+def packages(files: DataFrame, audio: DataFrame, covers: DataFrame | None = None, rights: str | None = None, modified: str | None = None, prefix: str = PREFIX, then: Callable[[tuple], list[tuple]] | None = None, fields: str = PACKAGES) -> DataFrame:
     """convert() of books whose files are rows; audio: book_id, src and content, of which those that are heard are stored.
 
     Documents are named like their SMIL files, so that navigation and overlays point at what is there; navigation items
-    of files that are no section are left out. kept: whether the packages that were made are returned.
+    of files that are no section are left out. then: what is made of each row, as rows of fields, in the task that has it,
+    so that packages that are only looked at go no further.
     """
     modified = modified or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -96,9 +99,10 @@ def packages(files: DataFrame, audio: DataFrame, covers: DataFrame | None = None
                 data = package.epub(about, own, book.headings(), book.pages(), sounds, book.cover)
         except Exception as e:
             data, error = None, f"{type(e).__name__}: {e}"
-        return [(book.folder, "error" if error else "ok", error, len(parts), seconds, data if kept else None, missing)]
+        row = (book.folder, "error" if error else "ok", error, len(parts), seconds, data, missing)
+        return [row] if then is None else then(row)
 
-    return books.each_book(files, one, "input string, status string, error string, n_sections int, seconds double, epub binary, missing_audio array<string>", audio, covers)
+    return books.each_book(files, one, fields, audio, covers)
 
 
 def summary_lines(entries: DataFrame) -> DataFrame:
